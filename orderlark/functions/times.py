@@ -21,7 +21,7 @@ def epoch_micros(moment: str | Column) -> Column:
 
 def whole_days(micros: Column) -> Column:
     """Whole days in a span of microseconds, rounded down."""
-    return F.floor(micros / F.lit(float(DAY_MICROS))).cast("bigint")
+    return ((micros - F.pmod(micros, F.lit(DAY_MICROS))) / DAY_MICROS).cast("bigint")
 
 
 def calendar_features(df: DataFrame, date: str = "date") -> DataFrame:

@@ -36,20 +36,29 @@ def heavy_hashes(df: DataFrame, *key_sets: Sequence[str]) -> list[list[int]]:
     A key is heavy above max_group_rows and a thousandth of all rows, so each list
     has at most a thousand entries whatever the data size.
     """
+    return heavy_and_stats(df, key_sets, {})[0]
+
+
+def heavy_and_stats(
+    df: DataFrame, key_sets: Sequence[Sequence[str]], stats: dict[str, Column]
+) -> tuple[list[list[int]], dict]:
+    """As heavy_hashes, with further scalar aggregates read in the same pass."""
     limit = max_group_rows(df.sparkSession)
-    hashed = df.select(*[F.xxhash64(*keys).alias(f"k{i}") for i, keys in enumerate(key_sets)])
+    hashed = df.withColumns({f"k{i}": F.xxhash64(*keys) for i, keys in enumerate(key_sets)})
     found = hashed.agg(
         F.count(F.lit(1)).alias("n"),
         *[
             F.expr(f"approx_top_k(k{i}, {TRACKED_SHARE}, {SKETCH_ITEMS})").alias(f"top{i}")
             for i in range(len(key_sets))
         ],
+        *[c.alias(name) for name, c in stats.items()],
     ).first()
     floor = max(limit, found["n"] // TRACKED_SHARE)
-    return [
+    heavy = [
         [item["item"] for item in (found[f"top{i}"] or []) if item["count"] > floor]
         for i in range(len(key_sets))
     ]
+    return heavy, {name: found[name] for name in stats}
 
 
 def is_heavy(keys: Sequence[str], hashes: Sequence[int]) -> Column:
