@@ -24,6 +24,7 @@ GROUP_ROWS_CONF = "spark.orderlark.maxGroupRows"
 # At most this many keys can each hold more than a thousandth of the rows.
 TRACKED_SHARE = 1000
 SKETCH_ITEMS = 100_000
+SALTS = 256
 
 
 def max_group_rows(spark: SparkSession) -> int:
@@ -77,18 +78,18 @@ def attach(
 ) -> DataFrame:
     """Left join a table with one row per key onto the rows.
 
-    Rows of heavy keys meet a broadcast of just those keys' stats (at most a thousand
-    rows); the rest is an ordinary shuffle join.
+    Rows of heavy keys are spread over SALTS sub-keys and their stats row is copied to
+    each; all other keys have the one sub-key 0. The salt is a hash of the row, so a
+    recomputed task repeats it.
     """
     if heavy is None:
         (heavy,) = heavy_hashes(df, keys)
     if not heavy:
         return df.join(stats, list(keys), "left")
-    hot = df.where(is_heavy(keys, heavy)).join(
-        F.broadcast(stats.where(is_heavy(keys, heavy))), list(keys), "left"
-    )
-    cold = df.where(~is_heavy(keys, heavy)).join(stats, list(keys), "left")
-    return cold.unionByName(hot)
+    salt = F.when(is_heavy(keys, heavy), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0))
+    copies = F.when(is_heavy(keys, heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = stats.withColumn("_salt", F.explode(copies).cast("bigint"))
+    return df.withColumn("_salt", salt.cast("bigint")).join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
 def cut_blocks(hot: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlark.operators.prepare import prepare_sales
@@ -138,24 +138,161 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
 
 
-def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns with a speaker, a stand-in emotion and clock positions."""
-    from pyspark.sql import Window
+def near(column: str | Column, digits: int = 4) -> Column:
+    """Rounding for comparison: exact halves, and sums that miss one by float noise, go up."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.floor(c * float(10**digits) + 0.500001) / float(10**digits)
+
+
+def near_sql(expression: str, digits: int = 4) -> str:
+    return f"floor(({expression}) * 1e{digits} + 0.500001) / 1e{digits}"
+
+
+def rounded(columns: list[str], digits: int = 4) -> list[Column]:
+    return [near(c, digits).alias(c) for c in columns]
+
 
-    from orderlark.operators.skew import bounded_window  # noqa: F401
+def rounded_sql(columns: list[str], digits: int = 4) -> str:
+    return ", ".join(f"{near_sql(c, digits)} AS {c}" for c in columns)
 
+
+def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns with a speaker, a stand-in emotion and a place on the clock
+    (one turn per half minute, fifteen characters per second)."""
     turns = table(spark, sf_dir, "conversations")
     emotions = F.array(*[F.lit(e) for e in ("hap", "neu", "sad", "ang")])
-    seconds = F.length("text") / 15.0
+    speaker = F.when(F.col("role") == "user", "customer").when(F.col("role") == "assistant", "operator")
+    start = F.col("turn") * 30.0
     return turns.select(
         "conv_id",
         "turn",
-        F.when(F.col("role") == "user", "customer")
-        .when(F.col("role") == "assistant", "operator")
-        .otherwise(F.col("role"))
-        .alias("speaker"),
+        speaker.otherwise(F.col("role")).alias("speaker"),
         "text",
-        F.get(emotions, F.length("text") % 4).alias("emotion"),
-        (F.col("turn") * 1000.0).alias("start"),
-        (F.col("turn") * 1000.0 + seconds).alias("end"),
+        F.get(emotions, (F.length("text") % 4).cast("int")).alias("emotion"),
+        start.alias("start"),
+        (start + F.length("text") / 15.0).alias("end"),
+    )
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as dialogue turns: one call per user, speakers repeat in a row."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("conv_id"),
+        "ts",
+        "event_id",
+        F.col("event_type").alias("speaker"),
+        F.format_string("%.2f", F.col("value")).alias("text"),
+        F.get(F.array(F.lit("hap"), F.lit("neu"), F.lit("sad")), (F.col("event_id") % 3).cast("int")).alias("emotion"),
+        F.col("event_id").cast("double").alias("start"),
+        (F.col("event_id") + 0.5).alias("end"),
+    )
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue rendered in the bracket styles, with every fourth line malformed."""
+    turns = dialogue(spark, sf_dir)
+    text = F.trim(F.regexp_replace("text", r"[\r\n:\[\]\x{00A0}]", " "))
+    seconds = (F.col("turn") * 7 + F.col("conv_id") % 50).cast("int")
+    clock = F.format_string("%02d:%02d", F.floor(seconds / 60), seconds % 60)
+    line = (
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit("["), clock, F.lit("] "), F.col("speaker"), F.lit(": "), text))
+        .when(
+            F.col("turn") % 4 == 1,
+            F.format_string("[%dm %ds 250ms - %dm %ds] %s: %s", F.floor(seconds / 60), seconds % 60, F.floor(seconds / 60) + 1, seconds % 60, "speaker", text),
+        )
+        .when(F.col("turn") % 4 == 2, F.format_string("[%ds] %s", seconds, text))
+        .otherwise(F.concat(clock, F.lit(" "), text))
+    )
+    return turns.select("conv_id", "turn", line.alias("line"))
+
+
+def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One analysis answer per turn: plain, fenced, with fields left out, or broken."""
+    turns = dialogue(spark, sf_dir)
+    said = F.array(
+        F.struct(F.col("speaker"), F.col("text"), F.col("emotion")),
+        F.struct(F.lit("Customer").alias("speaker"), F.lit("ok").alias("text"), F.lit("neu").alias("emotion")),
+    )
+    quality = F.when(
+        F.col("turn") % 5 != 3,
+        F.struct((F.length("text") % 5 + 1).alias("score"), F.lit("x").alias("label")),
+    )
+    body = F.to_json(
+        F.struct(
+            said.alias("dialogue"),
+            F.when(F.col("turn") % 5 != 2, F.lit("Card")).alias("topic"),
+            F.concat(F.lit("Call "), F.col("conv_id").cast("string")).alias("summary"),
+            quality.alias("quality_assessment"),
+        )
+    )
+    answer = (
+        F.when(F.col("turn") % 7 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(F.col("turn") % 7 == 5, F.substring(body, 1, 25))
+        .otherwise(body)
+    )
+    return turns.select("conv_id", "turn", answer.alias("answer"))
+
+
+def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts against a copy whose every seventh word is dropped or replaced."""
+    turns = table(spark, sf_dir, "conversations")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    dropped = F.filter(words, lambda w, i: i % 7 != 6)
+    replaced = F.transform(words, lambda w, i: F.when(i % 7 == 6, F.lit("#")).otherwise(w))
+    drops = F.col("conv_id") % 2 == 0
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(drops, "dropping").otherwise("replacing").alias("model"),
+        F.array_join(words, " ").alias("reference"),
+        F.array_join(F.when(drops, dropped).otherwise(replaced), " ").alias("hypothesis"),
+    )
+
+
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot product of every embedding with every label's mean embedding.
+
+    The means are a few vectors (one per label), so they travel as one array value.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    return _centroid_scores(rows, rows, "label")
+
+
+def _centroid_scores(rows: DataFrame, source: DataFrame, label: str) -> DataFrame:
+    parts = source.select(label, F.posexplode("embedding").alias("pos", "x"))
+    means = parts.groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vectors = means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v"))
+    packed = vectors.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("v.x").alias("mean")))).scalar()
+
+    def dot(mean: Column) -> Column:
+        products = F.zip_with(mean, F.col("embedding"), lambda a, b: a * b)
+        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+
+    scored = F.transform(packed, lambda c: F.struct(c["label"].alias("label"), dot(c["mean"]).alias("score")))
+    return rows.select("vec_id", F.explode(scored).alias("s")).select("vec_id", "s.label", "s.score")
+
+
+def bi_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return who.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("n_name").alias("city")
+    )
+
+
+def bi_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderdate").alias("order_date"),
+        F.col("o_orderpriority").alias("payment_type"),
+        F.col("o_totalprice").alias("amount"),
+    )
+
+
+def bi_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    return line.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
+        F.col("l_orderkey").alias("order_id"),
+        (1 + F.col("l_quantity") % 5).cast("int").alias("score"),
     )
