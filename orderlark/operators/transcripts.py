@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,8 +185,6 @@ def call_stages(parsed: DataFrame) -> DataFrame:
 
 def edit_distance(reference: Sequence[str], hypothesis: Sequence[str]) -> int:
     """Word edits between two texts: one vector step per reference word."""
-    import numpy as np
-
     codes: dict[str, int] = {}
     a = np.array([codes.setdefault(w, len(codes)) for w in reference], dtype=np.int64)
     b = np.array([codes.setdefault(w, len(codes)) for w in hypothesis], dtype=np.int64)
@@ -201,8 +201,6 @@ def edit_distance(reference: Sequence[str], hypothesis: Sequence[str]) -> int:
 
 def with_word_edits(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Adds `edits` and `n_words`. Equal texts never leave the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("bigint")
     def edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
         return pd.Series([edit_distance(r.split(), h.split()) for r, h in zip(ref, hyp)], dtype="int64")

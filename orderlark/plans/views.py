@@ -264,12 +264,10 @@ def _centroid_scores(rows: DataFrame, source: DataFrame, label: str) -> DataFram
     vectors = means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v"))
     packed = vectors.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("v.x").alias("mean")))).scalar()
 
-    def dot(mean: Column) -> Column:
-        products = F.zip_with(mean, F.col("embedding"), lambda a, b: a * b)
-        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-    scored = F.transform(packed, lambda c: F.struct(c["label"].alias("label"), dot(c["mean"]).alias("score")))
-    return rows.select("vec_id", F.explode(scored).alias("s")).select("vec_id", "s.label", "s.score")
+    spread = rows.select("vec_id", "embedding", F.explode(packed).alias("c"))
+    products = F.zip_with("c.mean", "embedding", lambda a, b: a * b)
+    dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    return spread.select("vec_id", "c.label", dot.alias("score"))
 
 
 def bi_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
