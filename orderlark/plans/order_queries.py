@@ -735,8 +735,8 @@ cal AS (SELECT DISTINCT o_orderdate AS dt, (isodow(o_orderdate) = 7 AND day(o_or
   20 + 10 * sin(dayofyear(o_orderdate) * 2 * pi() / 365) AS temp_c FROM orders),
 price AS (SELECT order_dt, customer_id, sku_id, arg_max(l_extendedprice / qty, ({TIES_SQL})) AS net_price,
   arg_max(l_discount, ({TIES_SQL})) AS discount_pct FROM ord GROUP BY 1, 2, 3),
-inv AS (SELECT order_dt, customer_id, sku_id, (sku_id * 7 + min(l_suppkey)) % 120 AS on_hand,
-  ((sku_id * 7 + min(l_suppkey)) % 120 = 0)::INT AS stockout_flag, 1 + min(l_suppkey) % 4 AS lead_time
+inv AS (SELECT order_dt, customer_id, sku_id, (min(l_partkey) * 7 + min(l_suppkey)) % 120 AS on_hand,
+  ((min(l_partkey) * 7 + min(l_suppkey)) % 120 = 0)::INT AS stockout_flag, 1 + min(l_suppkey) % 4 AS lead_time
   FROM ord WHERE l_partkey % 3 <> 0 GROUP BY 1, 2, 3)"""
 V1_WINDOW = f"WINDOW w AS (PARTITION BY customer_id, sku_id ORDER BY order_dt, {TIES_SQL})"
 V1_HISTORY_SQL = f"""hist AS (SELECT *, date_diff('day', lag(order_dt) OVER w, order_dt) AS gap, lead(order_dt) OVER w AS next_order_dt,
@@ -757,11 +757,11 @@ f AS (SELECT order_id, order_dt, customer_id, sku_id, qty, {TIES_SQL}, coalesce(
 V1_OUT = ["net_price", *snapshots.SNAPSHOT_FEATURES]
 
 
-def _v1(spark, d):
+def _v1(spark, d, skus=None):
     return (
-        views.orders_v1(spark, d).drop("l_discount"),
-        views.prices_v1(spark, d),
-        views.inventory_v1(spark, d),
+        views.orders_v1(spark, d, skus).drop("l_discount"),
+        views.prices_v1(spark, d, skus),
+        views.inventory_v1(spark, d, skus),
         views.calendar_v1(spark, d),
         SALES_TIES,
     )
@@ -798,17 +798,22 @@ def j3(spark, d):
     return out.select(*SALES_TIES, "customer_id", "order_dt", "on_hand", "stockout_flag", "lead_time")
 
 
-@register(
-    "W16_order_snapshots",
-    f"""WITH {V1_SQL}, {V1_HISTORY_SQL}, {_v1_filled('hist')}, time_to_next, target_qty_next,
+W16_SQL = f"""WITH {V1_SQL}, {V1_HISTORY_SQL}, {_v1_filled('hist')}, time_to_next, target_qty_next,
   coalesce(time_to_next <= 14, false)::INT AS label FROM j)
-SELECT {TIES_SQL}, customer_id, order_dt, {rounded_sql(V1_OUT)}, time_to_next, label, target_qty_next FROM f""",
-)
-def w16(spark, d):
-    out = snapshots.order_snapshots(*_v1(spark, d))
-    return out.select(
-        *SALES_TIES, "customer_id", "order_dt", *rounded(V1_OUT), "time_to_next", F.col("label_reorder_in_N").alias("label"), "target_qty_next"
-    )
+SELECT {TIES_SQL}, customer_id, order_dt, {rounded_sql(V1_OUT)}, time_to_next, label, target_qty_next FROM f"""
+
+
+def _snapshots(skus):
+    def run(spark, d):
+        out = snapshots.order_snapshots(*_v1(spark, d, skus))
+        label = F.col("label_reorder_in_N").alias("label")
+        return out.select(*SALES_TIES, "customer_id", "order_dt", *rounded(V1_OUT), "time_to_next", label, "target_qty_next")
+
+    return run
+
+
+register("W16_order_snapshots", W16_SQL)(_snapshots(None))
+register("W16_order_snapshots_long", W16_SQL.replace("l_partkey AS sku_id", "l_partkey % 25 AS sku_id"))(_snapshots(25))
 
 
 @register(

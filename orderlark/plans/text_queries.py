@@ -337,7 +337,21 @@ def e4_weighted(spark, d):
     return out.select(*rounded(["accuracy", "precision", "recall", "f1"], 6))
 
 
-@register("X4_knn_grid")
+GRID_KS, GRID_WEIGHTS = [3, 5, 7], ["uniform", "distance"]
+GRID_SQL = """p AS (SELECT vec_id, label::VARCHAR AS label, embedding::DOUBLE[] AS v, ('0x' || substr(md5('fold' || vec_id), 1, 8))::BIGINT % 3 AS fold FROM embeddings),
+dist AS (SELECT q.vec_id AS query_id, q.fold, q.label, b.vec_id AS neighbor_id, b.label AS neighbor_label, round(list_distance(q.v, b.v) ** 2, 9) AS d2
+  FROM p q JOIN p b ON q.fold <> b.fold),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id) AS rank FROM dist QUALIFY rank <= 7),
+ks AS (SELECT unnest([3, 5, 7])::INT AS k),
+v AS (SELECT k, query_id, fold, label, neighbor_label, count(*) AS n, count(*) FILTER (d2 = 0) AS same,
+  round(coalesce(sum(1 / sqrt(d2)) FILTER (d2 > 0), 0), 9) AS c FROM nn JOIN ks ON rank <= k GROUP BY 1, 2, 3, 4, 5),
+w AS (SELECT k, 'uniform' AS weights, query_id, fold, label, arg_min(neighbor_label, (-n, neighbor_label)) AS pred FROM v GROUP BY 1, 3, 4, 5
+  UNION ALL SELECT k, 'distance', query_id, fold, label, arg_min(neighbor_label, (-same, -c, neighbor_label)) FROM v GROUP BY 1, 3, 4, 5),
+f AS (SELECT k, weights, fold, avg((pred = label)::INT) AS a FROM w GROUP BY 1, 2, 3)"""
+
+
+@register("X4_knn_grid", f"WITH {GRID_SQL} SELECT k, weights, {near_sql('avg(a)', 6)} AS accuracy FROM f GROUP BY 1, 2")
 def x4(spark, d):
     rows = _vectors(spark, d).select("id", "val", "label")
-    return neighbors.knn_grid(rows, 64, splits.fold_of("id"), 3, [3, 5, 7], ["uniform", "distance"])
+    out = neighbors.knn_grid(rows, 64, splits.fold_of("id"), 3, GRID_KS, GRID_WEIGHTS)
+    return out.select("k", "weights", *rounded(["accuracy"], 6))

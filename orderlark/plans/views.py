@@ -80,17 +80,19 @@ def sales_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_v1(spark: SparkSession, sf_dir: str, skus: int | None = None) -> DataFrame:
+    """Order lines of the first generation. Pairs of customer and part rarely repeat;
+    `skus` folds the parts into that many products with real histories."""
     line = table(spark, sf_dir, "lineitem")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    sku = F.col("l_partkey") if skus is None else F.col("l_partkey") % skus
     return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("o_orderdate").alias("order_dt"),
         F.col("o_custkey").alias("customer_id"),
-        F.col("l_partkey").alias("sku_id"),
+        sku.alias("sku_id"),
         F.col("l_quantity").alias("qty"),
-        *[c for c in SALES_TIES if c != "l_shipdate"],
-        "l_shipdate",
+        *SALES_TIES,
         "l_discount",
     )
 
@@ -105,8 +107,8 @@ def calendar_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prices_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_v1(spark, sf_dir).select(
+def prices_v1(spark: SparkSession, sf_dir: str, skus: int | None = None) -> DataFrame:
+    return orders_v1(spark, sf_dir, skus).select(
         F.col("order_dt").alias("dt"),
         "customer_id",
         "sku_id",
@@ -116,10 +118,10 @@ def prices_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inventory_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per day, customer and product; a third of the products have none."""
+def inventory_v1(spark: SparkSession, sf_dir: str, skus: int | None = None) -> DataFrame:
+    """One row per day, customer and product; a third of the parts have none."""
     on_hand = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 120
-    rows = orders_v1(spark, sf_dir).where("l_partkey % 3 <> 0")
+    rows = orders_v1(spark, sf_dir, skus).where("l_partkey % 3 <> 0")
     return (
         rows.groupBy(F.col("order_dt").alias("dt"), "customer_id", "sku_id")
         .agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
