@@ -101,8 +101,8 @@ def dense_classifier(p: Dense, n_inputs: int, n_classes: int, label: str, name:
     )
 
 
-def robust_regressor(label: str, output: str) -> LinearRegression:
-    return LinearRegression(labelCol=label, featuresCol="features", predictionCol=output, loss="huber", maxIter=200)
+def robust_regressor(label: str, output: str, rounds: int) -> LinearRegression:
+    return LinearRegression(labelCol=label, featuresCol="features", predictionCol=output, loss="huber", maxIter=rounds)
 
 
 @dataclass
@@ -170,28 +170,36 @@ def _fit(rows: DataFrame, features: Sequence[str], estimator, with_validation: b
 
 
 def fit_reorder(
-    split: DataFrame, horizon: int, boosting: Boosting = Boosting(), dense: Dense | None = Dense()
+    split: DataFrame, horizon: int, boosting: Boosting | None = Boosting(), dense: Dense | None = Dense()
 ) -> dict[str, PipelineModel]:
-    """Members for the likelihood: a dense network and boosted trees."""
+    """Members for the likelihood: a dense network and boosted trees; None leaves one out."""
     shared_root(split.sparkSession)
     features = feature_columns(horizon)
     rows = split.withColumn("_val", F.col("split") == "val")
     out = {}
     if dense is not None:
         out["dense"] = _fit(rows, features, dense_classifier(dense, len(features), 2, "will_reorder", "dense"), False)
-    out["boosted"] = _fit(rows, features, boosted_classifier(boosting, "will_reorder", "boosted", "_val"), True)
+    if boosting is not None:
+        out["boosted"] = _fit(rows, features, boosted_classifier(boosting, "will_reorder", "boosted", "_val"), True)
     return out
 
 
-def fit_quantity(split: DataFrame, horizon: int, boosting: Boosting = Boosting()) -> dict[str, PipelineModel]:
-    """Members for the quantity, fitted on rows that do reorder."""
+def fit_quantity(
+    split: DataFrame, horizon: int, boosting: Boosting | None = Boosting(), robust_rounds: int | None = 200
+) -> dict[str, PipelineModel]:
+    """Members for the quantity, fitted on rows that do reorder: a robust linear model in
+    the network's place (Spark has no network regressor) and boosted trees."""
     shared_root(split.sparkSession)
     features = feature_columns(horizon)
     rows = split.withColumn("_val", F.col("split") == "val")
-    return {
-        "dense": _fit(rows, features, robust_regressor("next_order_quantity", "quantity_dense"), False),
-        "boosted": _fit(rows, features, boosted_regressor(boosting, "next_order_quantity", "quantity_boosted", "_val"), True),
-    }
+    out = {}
+    if robust_rounds is not None:
+        robust = robust_regressor("next_order_quantity", "quantity_dense", robust_rounds)
+        out["dense"] = _fit(rows, features, robust, False)
+    if boosting is not None:
+        boosted = boosted_regressor(boosting, "next_order_quantity", "quantity_boosted", "_val")
+        out["boosted"] = _fit(rows, features, boosted, True)
+    return out
 
 
 def evaluate_models(models: ReorderModels, reorder_split: DataFrame, quantity_split: DataFrame | None = None) -> DataFrame:

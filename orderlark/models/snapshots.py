@@ -6,6 +6,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -79,21 +81,34 @@ def fit_calibrated(
 
 @dataclass
 class QuantityModel:
-    """Mean from a Tweedie GLM, quantiles from the leaves of a forest."""
+    """Mean from a Tweedie GLM, quantiles from the leaves of a forest.
+
+    `tables` holds, per quantile, its value for every (tree, leaf): at most
+    trees * 2^depth numbers.
+    """
 
     glm: PipelineModel
     forest: PipelineModel
-    leaves: DataFrame
-    quantiles: tuple[float, ...]
+    tables: dict[str, np.ndarray]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds qty_mean and one qty_pNN per quantile, without a shuffle."""
+        out = self.glm.transform(df).drop("features")
+        out = self.forest.transform(out).withColumn("_leaves", vector_to_array("_leaf"))
+        for name, table in self.tables.items():
+            out = out.withColumn(name, _mean_over_trees(table)(F.col("_leaves")))
+        return out.drop("features", "_leaf", "_leaves", "_mean")
+
 
-    def score(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
-        """Adds qty_mean and one qty_pNN per quantile; `key` identifies the rows."""
-        mean = self.glm.transform(df).drop("features")
-        found = self.forest.transform(df).select(*key, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-        # At most trees * 2^depth leaves, so the table is small by construction.
-        hit = found.join(F.broadcast(self.leaves), ["tree", "leaf"])
-        each = hit.groupBy(*key).agg(*[F.avg(f"_q{i}").alias(quantile_name(q)) for i, q in enumerate(self.quantiles)])
-        return mean.join(each, list(key), "left")
+def _mean_over_trees(table: np.ndarray):
+    @F.pandas_udf("double")
+    def mean(leaves: pd.Series) -> pd.Series:
+        if not len(leaves):
+            return pd.Series([], dtype="float64")
+        at = np.stack(leaves.to_numpy()).astype(np.int64)
+        return pd.Series(np.nanmean(table[np.arange(table.shape[0]), at], axis=1))
+
+    return mean
 
 
 def quantile_name(q: float) -> str:
@@ -121,11 +136,17 @@ def fit_quantity(
     glm_model = Pipeline(stages=[assembler, glm]).fit(rows)
     forest_model = Pipeline(stages=[assembler, forest]).fit(rows)
     placed = forest_model.transform(rows).select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"), F.col(target).alias("_y"))
-    leaves = placed.groupBy("tree", "leaf").agg(
-        *[F.percentile_approx("_y", q, 10_000).cast("double").alias(f"_q{i}") for i, q in enumerate(quantiles)]
+    leaves = placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(
+        F.percentile_approx("_y", list(quantiles), 10_000).alias("_q")
     )
-    shared_root(train.sparkSession)
-    return QuantityModel(glm_model, forest_model, leaves.checkpoint(), quantiles)
+    # Bounded by trees * 2^depth rows.
+    found = leaves.collect()
+    width = max(r["leaf"] for r in found) + 1
+    tables = {quantile_name(q): np.full((trees, width), np.nan) for q in quantiles}
+    for r in found:
+        for table, value in zip(tables.values(), r["_q"]):
+            table[r["tree"], r["leaf"]] = value
+    return QuantityModel(glm_model, forest_model, tables)
 
 
 def fit_survival(rows: DataFrame, features: Sequence[str], time: str = "time_to_next", event: str = "event") -> PipelineModel:
@@ -165,11 +186,11 @@ def rank_score(df: DataFrame, model: LogisticRegressionModel, features: Sequence
     return df.withColumn(output, F.round(score, 9))
 
 
-def score_snapshot(latest: DataFrame, likelihood: CalibratedModel, quantity: QuantityModel, key: Sequence[str]) -> DataFrame:
+def score_snapshot(latest: DataFrame, likelihood: CalibratedModel, quantity: QuantityModel) -> DataFrame:
     """The columns behind the three entry points: likelihood, quantities and the ranker's
     inputs, for all customers at once; filter on customer_id for one."""
     filled = latest.fillna(0.0, subset=[*SNAPSHOT_FEATURES, "qty"])
-    scored = quantity.score(likelihood.score(filled), key)
+    scored = quantity.score(likelihood.score(filled))
     return scored.withColumn("margin_proxy", 1 - F.coalesce("discount_pct", F.lit(0.0)))
 
 

@@ -19,6 +19,7 @@ from orderlark.operators.skew import (
     heavy_hashes,
     is_heavy,
     null_safe_join,
+    running_rank,
     with_halo,
 )
 
@@ -36,6 +37,12 @@ TOO_SHORT_FOR_TOPIC = "Not enough data for topic classification."
 ROLES = ("customer", "operator")
 
 
+def _in_parts(turns: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds `part`: the row's place within its key, in steps of PART_ROWS."""
+    ranked = running_rank(turns, keys, [order], "_rn")
+    return ranked.withColumn("part", F.floor((F.col("_rn") - 1) / PART_ROWS).cast("int")).drop("_rn")
+
+
 def turn_filter(turns: DataFrame, min_seconds: float = 0.2, phrases: Sequence[str] = BOILERPLATE) -> DataFrame:
     """Drops very short turns, empty texts and texts that contain a boiler-plate phrase."""
     out = turns.withColumn("text", F.trim("text")).where(F.col("end") - F.col("start") >= min_seconds)
@@ -140,7 +147,7 @@ def emotion_trend(turns: DataFrame, call: str = "conv_id", order: str = "turn",
     """
     label = emotion_name(F.col("emotion")) if named else F.col("emotion")
     spoken = turns.where(is_customer(F.col("speaker"))).withColumn("_emotion", label)
-    spoken = spoken.withColumn("part", F.floor(F.col(order) / PART_ROWS).cast("int"))
+    spoken = _in_parts(spoken.select(call, order, "_emotion"), [call], order)
     lists = spoken.groupBy(call, "part").agg(
         ordered_join(order, "_emotion", TREND_ARROW).alias("_list"),
         F.count(F.lit(1)).alias("_n"),
@@ -148,19 +155,18 @@ def emotion_trend(turns: DataFrame, call: str = "conv_id", order: str = "turn",
         F.max_by("_emotion", order).alias("_last"),
     )
     calls = lists.groupBy(call).agg(
-        F.min("part").alias("_from"),
         F.max("part").alias("_to"),
         F.sum("_n").alias("n_emotions"),
         F.min_by("_first", "part").alias("start_emotion"),
         F.max_by("_last", "part").alias("end_emotion"),
     )
-    head = F.when(F.col("part") == F.col("_from"), TREND_HEAD).otherwise(TREND_ARROW)
+    head = F.when(F.col("part") == 0, TREND_HEAD).otherwise(TREND_ARROW)
     ending = F.concat(F.lit(". "), _closing(F.col("n_emotions"), F.col("start_emotion"), F.col("end_emotion")))
     tail = F.when(F.col("part") == F.col("_to"), ending).otherwise("")
     silent = turns.select(call).distinct()
     heard = lists.join(calls, call).select(
         call,
-        (F.col("part") - F.col("_from")).alias("part"),
+        "part",
         "n_emotions",
         "start_emotion",
         "end_emotion",
@@ -171,7 +177,7 @@ def emotion_trend(turns: DataFrame, call: str = "conv_id", order: str = "turn",
 
 def speaker_texts(turns: DataFrame, call: str = "conv_id", order: str = "turn") -> DataFrame:
     """All texts of a speaker in a call, joined by spaces, in numbered parts."""
-    parted = turns.withColumn("part", F.floor(F.col(order) / PART_ROWS).cast("int"))
+    parted = _in_parts(turns.select(call, "speaker", order, "text"), [call, "speaker"], order)
     return parted.groupBy(call, "speaker", "part").agg(
         ordered_join(order, "text", " ").alias("text"), F.min(order).alias("first_turn"), F.count(F.lit(1)).alias("n_turns")
     )

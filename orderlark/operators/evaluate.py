@@ -8,32 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlark.operators.rank import top_per
+from orderlark.operators.skew import carried, cut_blocks, null_safe_join
 
 
-def roc_auc(df: DataFrame, score: str, label: str, buckets: int = 4096) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row with the area under the ROC curve; equal scores count half.
 
-    Rows are first counted per distinct score. Positives are then accumulated over
-    ranges of the score and inside each range, so no single task sorts everything.
+    Rows are first counted per distinct score. These counts are cut into ordered ranges
+    of even size, whatever the spread of the scores; negatives are then accumulated over
+    the ranges and inside each.
     """
-    value = F.col(score).cast("double")
-    per_score = df.groupBy(value.alias("_s")).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_neg"),
+    positive = F.col(label) == 1
+    per_score = df.groupBy(F.col(score).cast("double").alias("_s")).agg(
+        F.sum(F.when(positive, 1).otherwise(0)).alias("_pos"), F.sum(F.when(positive, 0).otherwise(1)).alias("_neg")
     )
-    low, high = per_score.agg(F.min("_s")).scalar(), per_score.agg(F.max("_s")).scalar()
-    spread = F.when(high > low, high - low).otherwise(F.lit(1.0))
-    bucketed = per_score.withColumn("_b", F.floor((F.col("_s") - low) / spread * (buckets - 1)))
-    ranges = bucketed.groupBy("_b").agg(F.sum("_neg").alias("_range_neg"))
-    lower = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("_b", F.coalesce(F.sum("_range_neg").over(lower), F.lit(0)).alias("_below"))
-    inside = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counted = bucketed.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
-    # Ranges are at most `buckets` rows.
-    joined = counted.join(F.broadcast(ranges), "_b")
+    ranges = cut_blocks(per_score, [], ["_s"])
+    below = carried(ranges, [], {"_below": F.col("_neg")})
+    inside = Window.partitionBy("_block").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counted = null_safe_join(ranges.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0))), below, ["_block"])
     wins = F.col("_pos") * (F.col("_below") + F.col("_inside") + 0.5 * F.col("_neg"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
-    return joined.agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
+    return counted.agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
 
 
 def _ratio(a: Column, b: Column) -> Column:

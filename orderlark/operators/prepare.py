@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlark.operators.skew import attach
+
 # Column names of the sales input and the names used here.
 SALES_COLUMNS = {
     "DATE": "date",
@@ -125,7 +127,8 @@ def short_texts(df: DataFrame, text: str, min_words: int = 24) -> DataFrame:
 
 
 def without(df: DataFrame, removed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(removed, list(keys), "left_anti")
+    """Rows whose key is not in `removed`; a key that very many rows share is spread."""
+    return attach(df, removed.select(*keys).distinct(), keys, how="left_anti")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -74,9 +74,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def attach(
-    df: DataFrame, stats: DataFrame, keys: Sequence[str], heavy: Sequence[int] | None = None
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], heavy: Sequence[int] | None = None, how: str = "left"
 ) -> DataFrame:
-    """Left join a table with one row per key onto the rows.
+    """Join a table with one row per key onto the rows (left, left_semi or left_anti).
 
     Rows of heavy keys are spread over SALTS sub-keys and their stats row is copied to
     each; all other keys have the one sub-key 0. The salt is a hash of the row, so a
@@ -85,11 +85,12 @@ def attach(
     if heavy is None:
         (heavy,) = heavy_hashes(df, keys)
     if not heavy:
-        return df.join(stats, list(keys), "left")
+        return df.join(stats, list(keys), how)
     salt = F.when(is_heavy(keys, heavy), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0))
-    copies = F.when(is_heavy(keys, heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = stats.withColumn("_salt", F.explode(copies).cast("bigint"))
-    return df.withColumn("_salt", salt.cast("bigint")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+    every = F.expr(f"sequence(0L, {SALTS - 1}L)")
+    copies = F.when(is_heavy(keys, heavy), every).otherwise(F.expr("array(0L)"))
+    salted = stats.withColumn("_salt", F.explode(copies))
+    return df.withColumn("_salt", salt.cast("bigint")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def cut_blocks(hot: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int | None = None) -> DataFrame:

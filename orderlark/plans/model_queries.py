@@ -22,6 +22,7 @@ ORACLE: dict[str, str] = {}
 
 SHORT = Boosting(rounds=5, depth=4, rate=0.2)
 SMALL = Dense(hidden=(16, 8), rounds=15)
+ROUNDS = 15
 
 
 def register(name: str, oracle: str | None = None):
@@ -54,7 +55,7 @@ def _models(spark, d, dense=SMALL):
     rows = _training_rows(spark, d)
     models = ReorderModels(30, reorder.fit_reorder(rows, 30, SHORT, dense))
     quantities = _quantity_rows(rows)
-    models.quantity = reorder.fit_quantity(quantities, 30, SHORT)
+    models.quantity = reorder.fit_quantity(quantities, 30, SHORT, ROUNDS)
     return models, rows, quantities
 
 
@@ -83,14 +84,14 @@ def m2(spark, d):
 @register("M3_dense_classifier")
 def m3(spark, d):
     rows = _training_rows(spark, d)
-    models = ReorderModels(30, {"dense": reorder.fit_reorder(rows, 30, Boosting(rounds=1, depth=2), SMALL)["dense"]})
+    models = ReorderModels(30, reorder.fit_reorder(rows, 30, None, SMALL))
     return reorder.evaluate_models(models, rows)
 
 
 @register("M4_boosted_regressor")
 def m4(spark, d):
     rows = _quantity_rows(_training_rows(spark, d))
-    fitted = reorder.fit_quantity(rows, 30, SHORT)
+    fitted = reorder.fit_quantity(rows, 30, SHORT, None)
     held = fitted["boosted"].transform(rows.where("split = 'test'"))
     return evaluate.regression_metrics(held, "quantity_boosted", "next_order_quantity")
 
@@ -98,7 +99,7 @@ def m4(spark, d):
 @register("M5_robust_regressor")
 def m5(spark, d):
     rows = _quantity_rows(_training_rows(spark, d))
-    fitted = reorder.fit_quantity(rows, 30, Boosting(rounds=1, depth=2))
+    fitted = reorder.fit_quantity(rows, 30, None, ROUNDS)
     held = fitted["dense"].transform(rows.where("split = 'test'"))
     return evaluate.regression_metrics(held, "quantity_dense", "next_order_quantity")
 
@@ -203,7 +204,7 @@ def m8(spark, d):
     snapshots.order_snapshots(*_v1(spark, d, SKUS)).write.parquet(root)
     rows = snapshots.regression_rows(spark.read.parquet(root), SALES_TIES)
     model = v1.fit_quantity(rows, v1.QUANTITY_FEATURES, "target_qty_next", trees=10, depth=5)
-    scored = model.score(rows, SALES_TIES)
+    scored = model.score(rows)
     return scored.select(*SALES_TIES, "target_qty_next", "qty_mean", "qty_p50", "qty_p90")
 
 
@@ -240,7 +241,7 @@ def m13(spark, d):
 def m18(spark, d):
     _, likelihood, quantity = _v1_models(spark, d)
     latest = snapshots.latest_snapshot(*_v1(spark, d, SKUS))
-    scored = v1.score_snapshot(latest, likelihood, quantity, V1_KEY)
+    scored = v1.score_snapshot(latest, likelihood, quantity)
     out = v1.recommend(scored, 10)
     return out.select(*V1_KEY, "p_reorder", "qty_mean", "qty_p50", "qty_p90", "score", "suggested_qty", "on_hand", "stockout_flag", "lead_time", "discount_pct")
 

@@ -67,7 +67,8 @@ if __name__ == "__main__":
 
     wanted = sys.argv[1:]
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = local_session()
+    skew = os.environ.get("SKEW")
+    spark = local_session(**({"spark.orderlark.maxGroupRows": skew} if skew else {}))
     con = connect(sf)
     sqls = entry.oracle_sql()
     for name, fn in entry.queries().items():
