@@ -204,18 +204,22 @@ def fit_quantity(
 
 def evaluate_models(models: ReorderModels, reorder_split: DataFrame, quantity_split: DataFrame | None = None) -> DataFrame:
     """Test metrics of all members and ensembles as (component, model, metric, value)."""
+    shared_root(reorder_split.sparkSession)
     out = None
 
     def add(rows: DataFrame) -> None:
         nonlocal out
         out = rows if out is None else out.unionByName(rows)
 
-    test = models.score(reorder_split.where("split = 'test'"))
+    # Every metric reads the scores again, so they are written once.
+    columns = [f"reorder_{m}" for m in [*models.reorder, "ensemble"]]
+    test = models.score(reorder_split.where("split = 'test'")).select("will_reorder", *columns).checkpoint()
     for name in [*models.reorder, "ensemble"]:
         add(long_metrics(roc_auc(test, f"reorder_{name}", "will_reorder"), "reorder", name))
         add(long_metrics(binary_metrics(test, f"reorder_{name}", "will_reorder"), "reorder", name))
     if quantity_split is not None:
-        held = models.score(quantity_split.where("split = 'test'"))
+        columns = [f"quantity_{m}" for m in [*models.quantity, "ensemble"]]
+        held = models.score(quantity_split.where("split = 'test'")).select("next_order_quantity", *columns).checkpoint()
         for name in [*models.quantity, "ensemble"]:
             add(long_metrics(regression_metrics(held, f"quantity_{name}", "next_order_quantity"), "quantity", name))
     return out

@@ -23,6 +23,7 @@ def with_lookup(
     order: Sequence[str],
     defaults: Mapping[str, str],
     raw_key: str | None = None,
+    heavy: Sequence[int] | None = None,
 ) -> DataFrame:
     """Left join of the first raw row per key, keys compared as text.
 
@@ -36,7 +37,7 @@ def with_lookup(
     )
     first = first_per_key(slim, [key], order).select(key, *present.values())
     left = predictions.drop(*columns.values()).withColumn(key, F.col(key).cast("string"))
-    out = attach(left, first, [key])
+    out = attach(left, first, [key], heavy)
     for name in columns.values():
         fallback = F.lit(defaults.get(name))
         out = out.withColumn(name, F.coalesce(F.col(name), fallback) if name in out.columns else fallback)

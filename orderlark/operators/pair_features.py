@@ -79,18 +79,19 @@ def _plain(df: DataFrame, keys: Sequence[str], ties: Sequence[str], horizon: int
     w = Window.partitionBy(*keys).orderBy("_t", *ties)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_time = Window.partitionBy(*keys).orderBy("_t")
-    # Earlier rows of the same instant count too: their number is row_number - rank.
-    same_instant = F.row_number().over(w) - F.rank().over(by_time)
+    place = F.row_number().over(w).cast("bigint")
 
     def within(days: int) -> Column:
-        earlier = F.count(F.lit(1)).over(by_time.rangeBetween(-days * DAY_MICROS, -1))
-        return (earlier + same_instant).cast("bigint")
+        # Rows before the look-back are counted, not those in it: a frame that only grows
+        # is updated row by row, a sliding one would be summed anew for every row.
+        too_old = by_time.rangeBetween(Window.unboundedPreceding, -days * DAY_MICROS - 1)
+        return place - 1 - F.count(F.lit(1)).over(too_old)
 
     out = _bounded(df, w, horizon)
     return out.withColumns(
         {
             "days_since_first_order": whole_days(F.col("_t") - F.first("_t").over(so_far)),
-            "order_count": F.row_number().over(w).cast("bigint"),
+            "order_count": place,
             **{f"orders_last_{d}d": within(d) for d in lookbacks(horizon)},
             "avg_order_interval": F.avg("days_since_last_order").over(so_far),
             "order_interval_std": F.coalesce(
@@ -210,32 +211,40 @@ def build_features(
     `ties` are the columns that order rows of the same instant. One narrow pass first
     reads the last instant and the heavy pairs; everything else is lazy.
     """
+    out, last_instant = _with_windows(sales, horizon, ties, keys)
+    if targets:
+        out = _add_targets(out, last_instant, horizon)
+    return _finish(out, horizon) if targets else _finish(out, horizon).drop("next_order_date")
+
+
+def latest_features(sales: DataFrame, horizon: int = 30, ties: Sequence[str] = (), keys: Sequence[str] = PAIR) -> DataFrame:
+    """The newest feature row of each pair: the one without a next order, which the same
+    window pass knows. Filter the result on a pair key to score one customer or product;
+    the filter reaches the scan."""
+    out, _ = _with_windows(sales, horizon, ties, keys)
+    return _finish(out.where(F.col("_next_t").isNull()), horizon).drop("next_order_date")
+
+
+def _with_windows(sales: DataFrame, horizon: int, ties: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, int]:
     timed = sales.withColumn("_t", epoch_micros("date"))
     (heavy,), found = heavy_and_stats(timed, [keys], {"last": F.max("_t")})
-    if heavy:
-        out = _plain(timed.where(~is_heavy(keys, heavy)), keys, ties, horizon)
-        hot = _blocked(timed.where(is_heavy(keys, heavy)), keys, ties, horizon)
-        out = out.unionByName(hot.select(*out.columns))
-    else:
-        out = _plain(timed, keys, ties, horizon)
-    out = calendar_features(out.withColumn("avg_unit_price", unit_price()))
-    if targets:
-        out = _add_targets(out, found["last"], horizon)
-    else:
-        out = out.drop("next_order_date")
+    if not heavy:
+        return _plain(timed, keys, ties, horizon), found["last"]
+    out = _plain(timed.where(~is_heavy(keys, heavy)), keys, ties, horizon)
+    hot = _blocked(timed.where(is_heavy(keys, heavy)), keys, ties, horizon)
+    return out.unionByName(hot.select(*out.columns)), found["last"]
+
+
+def _finish(features: DataFrame, horizon: int) -> DataFrame:
+    out = calendar_features(features.withColumn("avg_unit_price", unit_price()))
     return fill_features(out, feature_columns(horizon)).drop("_t", "_next_t", "_next_quantity")
 
 
 def latest_per_pair(features: DataFrame, ties: Sequence[str] = (), keys: Sequence[str] = PAIR) -> DataFrame:
+    """The newest row of each pair of any table, by an aggregate with map-side combine."""
     return last_per_key(features, keys, ["date", *ties])
 
 
-def latest_features(sales: DataFrame, horizon: int = 30, ties: Sequence[str] = (), keys: Sequence[str] = PAIR) -> DataFrame:
-    """The newest feature row of each pair; filter the result on a pair key to score one
-    customer or product, the filter reaches the scan."""
-    return latest_per_pair(build_features(sales, horizon, targets=False, ties=ties, keys=keys), ties, keys)
-
-
 def sequences(
     features: DataFrame,
     columns: Sequence[str],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ from orderlark.functions.scoring import (
     suggested_quantity,
     whole_quantity,
 )
+from orderlark.operators.lookup import STOCK_DEFAULTS, with_lookup
+from orderlark.operators.prepare import manufacturer_like
 from orderlark.operators.skew import attach
+from orderlark.session import shared_root
 
 CUSTOMER_SHARE = 0.6
 PRODUCT_SHARE = 0.7
@@ -27,10 +32,15 @@ def top_per(df: DataFrame, entity: str, score: str, tie: str, k: int, rank: str
 
 def with_priority(scores: DataFrame, entity: str, share: float, min_probability: float = 0.5) -> DataFrame:
     """Rows at or above the probability gate, with whole quantities and a priority that
-    relates the quantity to the entity's largest one after the gate."""
+    relates the quantity to the entity's largest one after the gate.
+
+    The gated rows are read for their entity sizes, the largest quantities and the
+    ranking; they are written once, so that the scores behind them are computed once.
+    """
+    shared_root(scores.sparkSession)
     gated = scores.where(F.col("reorder_probability") >= min_probability).withColumn(
         "predicted_quantity", whole_quantity(F.col("predicted_quantity"))
-    )
+    ).checkpoint()
     most = gated.groupBy(entity).agg(F.max("predicted_quantity").alias("_most"))
     score = priority(F.col("reorder_probability"), F.col("predicted_quantity"), F.col("_most"), share)
     return attach(gated, most, [entity]).withColumn("priority_score", score).drop("_most")
@@ -48,15 +58,31 @@ def recommend_customers(scores: DataFrame, top_k: int = 20, min_probability: flo
     return top_per(ranked, "product_id", "priority_score", "customer_id", top_k)
 
 
-def stock_plan(scores: DataFrame, min_probability: float = 0.5, limit: int = 50) -> DataFrame:
-    """Expected demand per product over the likely orders, largest first."""
+def stock_plan(
+    scores: DataFrame,
+    raw: DataFrame,
+    columns: Mapping[str, str],
+    order: Sequence[str],
+    raw_key: str,
+    min_probability: float = 0.5,
+    limit: int = 50,
+    manufacturer: str | None = None,
+) -> DataFrame:
+    """Expected demand per product over the likely orders, largest first.
+
+    Demand is summed per product before names are joined, so the join has one row per
+    product on both sides. `manufacturer` keeps products whose maker matches a pattern.
+    """
     likely = scores.where(F.col("reorder_probability") >= min_probability)
-    plan = likely.groupBy("product_id", "product_name", "manufacturer").agg(
+    demand = likely.groupBy("product_id").agg(
         F.round(F.sum("predicted_quantity"), 6).alias("total_qty"),
         F.count(F.lit(1)).alias("customer_count"),
         F.avg("reorder_probability").alias("avg_confidence"),
     )
-    return plan.orderBy(F.col("total_qty").desc(), "product_id", "product_name", "manufacturer").limit(limit)
+    plan = with_lookup(demand, raw, "product_id", columns, order, STOCK_DEFAULTS, raw_key, heavy=[])
+    if manufacturer is not None:
+        plan = manufacturer_like(plan, manufacturer)
+    return plan.orderBy(F.col("total_qty").desc(), "product_id").limit(limit)
 
 
 def recommend_by_value(df: DataFrame, k: int = 10, entity: str = "customer_id", item: str = "sku_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlark.operators.skew import attach, heavy_hashes
+from orderlark.session import shared_root
 
 # Fixed value: runs of two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -54,14 +55,38 @@ def weigh(counts: DataFrame, vocabulary: DataFrame, doc: str, max_features: int
     return raw.withColumn("weight", F.col("_raw") / norm).select(doc, "token", "weight")
 
 
+def _fitted(df: DataFrame, doc: str, text: str, train: Column, max_features: int | None) -> tuple[DataFrame, DataFrame]:
+    """Term counts of all documents, written once because the vocabulary, the sizes of
+    the tokens and the weights all read them; and the vocabulary of the training rows."""
+    shared_root(df.sparkSession)
+    flagged = df.select(doc, text, train.alias("_train"))
+    exploded = flagged.select(doc, "_train", F.explode(tokens(text)).alias("token"))
+    counts = exploded.groupBy(doc, "_train", "token").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
+    n_docs = flagged.where("_train").agg(F.count(F.lit(1))).scalar()
+    return counts, fit_vocabulary(counts.where("_train"), n_docs, max_features)
+
+
 def tfidf(df: DataFrame, doc: str, text: str, train: Column, max_features: int | None = None) -> DataFrame:
     """Weights of all documents under a vocabulary fitted on the training rows only."""
-    counts = term_counts(df, doc, text)
-    fitted_on = df.where(train)
-    vocabulary = fit_vocabulary(term_counts(fitted_on, doc, text), fitted_on.agg(F.count(F.lit(1))).scalar(), max_features)
+    counts, vocabulary = _fitted(df, doc, text, train, max_features)
     return weigh(counts, vocabulary, doc, max_features)
 
 
+def tfidf_vectors(df: DataFrame, doc: str, text: str, train: Column, max_features: int = DEFAULT_VOCABULARY) -> DataFrame:
+    """(doc, idx, val): one sparse row per document for the neighbour join, positions being
+    the tokens in order. A text without known words has the empty, all-zero vector."""
+    counts, vocabulary = _fitted(df, doc, text, train, max_features)
+    # At most max_features rows.
+    numbered = vocabulary.select("token", "idf", (F.row_number().over(Window.orderBy("token")) - 1).alias("_i"))
+    cells = counts.join(F.broadcast(numbered), "token").withColumn("_raw", F.col("tf") * F.col("idf"))
+    packed = cells.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_i", "_raw"))).alias("_c"))
+    squares = F.aggregate("_c._raw", F.lit(0.0), lambda acc, x: acc + x * x)
+    packed = packed.withColumn("_norm", F.sqrt(squares))
+    vectors = packed.select(doc, F.col("_c._i").alias("idx"), F.transform("_c._raw", lambda x: x / F.col("_norm")).alias("val"))
+    empty = {"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")}
+    return df.join(vectors, doc, "left").withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
+
+
 def tfidf_pipeline(train: DataFrame, text: str, output: str = "features", max_features: int = DEFAULT_VOCABULARY) -> PipelineModel:
     """The same weights as a Spark ML pipeline model, for classifiers.
 
@@ -83,15 +108,6 @@ def tfidf_pipeline(train: DataFrame, text: str, output: str = "features", max_fe
     )
 
 
-def sparse_rows(weights: DataFrame, doc: str, vocabulary: DataFrame) -> DataFrame:
-    """(doc, idx, val): one row per document for the neighbour join. Needs a capped
-    vocabulary, whose tokens are numbered in order."""
-    numbered = vocabulary.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("_i"))
-    cells = weights.join(F.broadcast(numbered), "token")
-    packed = cells.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_i", "weight"))).alias("_c"))
-    return packed.select(doc, F.col("_c._i").alias("idx"), F.col("_c.weight").alias("val"))
-
-
 def cosine(a: str, b: str) -> Column:
     """Cosine of two array columns."""
 

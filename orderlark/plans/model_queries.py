@@ -144,8 +144,7 @@ def m17_stock(spark, d):
     models, _, _ = _models(spark, d, None)
     scored = models.predict(latest_features(views.sales(spark, d), models.horizon, SALES_TIES), "boosted")
     slim = scored.select("customer_id", "product_id", "reorder_probability", "predicted_quantity")
-    named = lookup.with_lookup(slim, views.raw_sales(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.STOCK_DEFAULTS, "Product Code")
-    return rank.stock_plan(named, 0.2)
+    return rank.stock_plan(slim, views.raw_sales(spark, d), PRODUCT_COLUMNS, ["DATE", *SALES_TIES], "Product Code", 0.2)
 
 
 @register("M19_saved_models_score_the_same")

@@ -610,10 +610,8 @@ FROM scores JOIN prod USING (product_id) WHERE reorder_probability >= 0.3
 GROUP BY 1, 2, 3 ORDER BY total_qty DESC, product_id LIMIT 50""",
 )
 def a5(spark, d):
-    named = lookup.with_lookup(
-        scores(spark, d), views.raw_sales(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.STOCK_DEFAULTS, "Product Code"
-    )
-    return rank.stock_plan(named, 0.3).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    plan = rank.stock_plan(scores(spark, d), views.raw_sales(spark, d), PRODUCT_COLUMNS, ["DATE", *SALES_TIES], "Product Code", 0.3)
+    return plan.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 FINE = "l_partkey AS product_id"
@@ -629,12 +627,12 @@ FROM sales WHERE 1 - discount_pct >= 0.95 GROUP BY 1, 2, 3 ORDER BY total_qty DE
 def a5_fine(spark, d):
     rows = views.sales(spark, d, "l_partkey").select(
         F.col("product_id").cast("string").alias("product_id"),
-        F.col("Product Name").alias("product_name"),
-        "manufacturer",
         F.col("quantity").alias("predicted_quantity"),
         (1 - F.col("discount_pct")).alias("reorder_probability"),
     )
-    return rank.stock_plan(rows, 0.95).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    raw = views.raw_sales(spark, d, "l_partkey")
+    plan = rank.stock_plan(rows, raw, PRODUCT_COLUMNS, ["DATE", *SALES_TIES], "Product Code", 0.95)
+    return plan.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 @register(

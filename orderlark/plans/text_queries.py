@@ -236,24 +236,10 @@ def m10_distance(spark, d):
     return neighbors.knn_vote(_vector_neighbors(spark, d), weights="distance")
 
 
-def _text_vectors(spark, d, cap=tfidf.DEFAULT_VOCABULARY):
-    rows = _split(spark, d)
-    train = F.col("split") == "train"
-    counts = tfidf.term_counts(rows, "doc_id", "text")
-    fitted_on = rows.where(train)
-    n = fitted_on.agg(F.count(F.lit(1))).scalar()
-    vocabulary = tfidf.fit_vocabulary(tfidf.term_counts(fitted_on, "doc_id", "text"), n, cap)
-    weights = tfidf.weigh(counts, vocabulary, "doc_id", cap)
-    vectors = tfidf.sparse_rows(weights, "doc_id", vocabulary)
-    # A text without known words is the zero vector.
-    nothing = {"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")}
-    joined = rows.join(vectors, "doc_id", "left").withColumns({c: F.coalesce(F.col(c), e) for c, e in nothing.items()})
-    return joined.select(F.col("doc_id").alias("id"), "idx", "val", "label", "split"), cap
-
-
 def _text_neighbors(spark, d, k=5):
-    rows, dim = _text_vectors(spark, d)
-    return neighbors.knn_join(rows.where("split = 'test'"), rows.where("split = 'train'"), k, dim)
+    rows = tfidf.tfidf_vectors(_split(spark, d), "doc_id", "text", F.col("split") == "train")
+    rows = rows.select(F.col("doc_id").alias("id"), "idx", "val", "label", "split")
+    return neighbors.knn_join(rows.where("split = 'test'"), rows.where("split = 'train'"), k, tfidf.DEFAULT_VOCABULARY)
 
 
 TEXT_KNN_SQL = f"""{_tfidf_sql(5000)},
