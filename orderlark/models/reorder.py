@@ -17,7 +17,7 @@ from orderlark.functions.scoring import ensemble
 from orderlark.operators.evaluate import binary_metrics, long_metrics, regression_metrics, roc_auc
 from orderlark.operators.pair_features import feature_columns
 from orderlark.operators.splits import time_based_split
-from orderlark.session import shared_root
+from orderlark.session import shared_root, stored
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,6 @@ def fit_quantity(
 
 def evaluate_models(models: ReorderModels, reorder_split: DataFrame, quantity_split: DataFrame | None = None) -> DataFrame:
     """Test metrics of all members and ensembles as (component, model, metric, value)."""
-    shared_root(reorder_split.sparkSession)
     out = None
 
     def add(rows: DataFrame) -> None:
@@ -213,13 +212,15 @@ def evaluate_models(models: ReorderModels, reorder_split: DataFrame, quantity_sp
 
     # Every metric reads the scores again, so they are written once.
     columns = [f"reorder_{m}" for m in [*models.reorder, "ensemble"]]
-    test = models.score(reorder_split.where("split = 'test'")).select("will_reorder", *columns).checkpoint()
+    test = models.score(reorder_split.where("split = 'test'")).select("will_reorder", *columns)
+    test = stored(test, "scored")
     for name in [*models.reorder, "ensemble"]:
         add(long_metrics(roc_auc(test, f"reorder_{name}", "will_reorder"), "reorder", name))
         add(long_metrics(binary_metrics(test, f"reorder_{name}", "will_reorder"), "reorder", name))
     if quantity_split is not None:
         columns = [f"quantity_{m}" for m in [*models.quantity, "ensemble"]]
-        held = models.score(quantity_split.where("split = 'test'")).select("next_order_quantity", *columns).checkpoint()
+        held = models.score(quantity_split.where("split = 'test'")).select("next_order_quantity", *columns)
+        held = stored(held, "scored")
         for name in [*models.quantity, "ensemble"]:
             add(long_metrics(regression_metrics(held, f"quantity_{name}", "next_order_quantity"), "quantity", name))
     return out

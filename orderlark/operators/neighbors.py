@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlark.operators.rank import top_per
-from orderlark.session import shared_root
+from orderlark.session import stored
 
 PIVOTS = 32
 BLOCK_ROWS = 2000
@@ -56,11 +56,10 @@ def knn_join(
     `idx` makes the vectors sparse, with positions below `dim`. Euclidean distance; equal
     distances go to the smaller id. On unit vectors the order is that of the cosine.
     """
-    shared_root(base.sparkSession)
     vector = [c for c in ("idx", "val") if c in base.columns]
     # Vectors, their cells and the routed queries are each read several times below, and
     # the cells must not move in between: they are written once.
-    base = base.select("id", "label", *vector).checkpoint()
+    base = stored(base.select("id", "label", *vector), "base")
     centers = _pick_pivots(base, dim, pivots)
     vector_type = ", ".join(f"{c} array<{'int' if c == 'idx' else 'double'}>" for c in vector)
 
@@ -71,9 +70,8 @@ def knn_join(
                 pdf = pdf.assign(cell=d.argmin(1).astype("int32"), reach=d.min(1))
                 yield pdf
 
-    placed = base.mapInPandas(
-        nearest_center, f"id bigint, label string, {vector_type}, cell int, reach double"
-    ).checkpoint()
+    cell_type = f"id bigint, label string, {vector_type}, cell int, reach double"
+    placed = stored(base.mapInPandas(nearest_center, cell_type), "cells")
     # At most k rows per cell, so pivots * k numbers come to the driver.
     by_reach = Window.partitionBy("cell").orderBy("reach", "id")
     closest = placed.select("cell", "reach", "id").withColumn("_r", F.row_number().over(by_reach)).where(F.col("_r") <= k)
@@ -97,7 +95,8 @@ def knn_join(
             row, col = np.nonzero(d - radius <= bound[:, None] + 1e-6)
             yield pdf.iloc[row].assign(cell=cells[col])
 
-    routed = queries.select("id", *vector).mapInPandas(route, f"id bigint, {vector_type}, cell int").checkpoint()
+    routed = queries.select("id", *vector).mapInPandas(route, f"id bigint, {vector_type}, cell int")
+    routed = stored(routed, "routed")
     asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
 
     def pieces(counts: dict, rows: int) -> Column:

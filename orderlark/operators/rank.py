@@ -17,7 +17,7 @@ from orderlark.functions.scoring import (
 from orderlark.operators.lookup import STOCK_DEFAULTS, with_lookup
 from orderlark.operators.prepare import manufacturer_like
 from orderlark.operators.skew import attach
-from orderlark.session import shared_root
+from orderlark.session import stored
 
 CUSTOMER_SHARE = 0.6
 PRODUCT_SHARE = 0.7
@@ -37,10 +37,10 @@ def with_priority(scores: DataFrame, entity: str, share: float, min_probability:
     The gated rows are read for their entity sizes, the largest quantities and the
     ranking; they are written once, so that the scores behind them are computed once.
     """
-    shared_root(scores.sparkSession)
     gated = scores.where(F.col("reorder_probability") >= min_probability).withColumn(
         "predicted_quantity", whole_quantity(F.col("predicted_quantity"))
-    ).checkpoint()
+    )
+    gated = stored(gated, "gated")
     most = gated.groupBy(entity).agg(F.max("predicted_quantity").alias("_most"))
     score = priority(F.col("reorder_probability"), F.col("predicted_quantity"), F.col("_most"), share)
     return attach(gated, most, [entity]).withColumn("priority_score", score).drop("_most")

@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from orderlark.session import shared_root
+from orderlark.session import stored
 
 MAX_GROUP_ROWS = 1_000_000
 GROUP_ROWS_CONF = "spark.orderlark.maxGroupRows"
@@ -97,18 +97,14 @@ def cut_blocks(hot: DataFrame, keys: Sequence[str], order: Sequence[str], block_
     """Order the rows of heavy keys into blocks of about `block_rows` rows.
 
     Adds `_block` (ascending along keys, order) and `_spread` (a last tie-break that
-    also separates exact copies). Both are frozen by a checkpoint, so that every later
-    use and every recomputed task sees the same cut.
+    also separates exact copies). Both are written out, so that every later use and every
+    recomputed task sees the same cut.
     """
-    shared_root(hot.sparkSession)
     block_rows = block_rows or max_group_rows(hot.sparkSession)
-    frozen = hot.withColumn("_spread", F.monotonically_increasing_id()).checkpoint()
+    frozen = stored(hot.withColumn("_spread", F.monotonically_increasing_id()), "heavy")
     blocks = max(1, math.ceil(frozen.count() / block_rows))
-    return (
-        frozen.repartitionByRange(blocks, *keys, *order, "_spread")
-        .withColumn("_block", F.spark_partition_id())
-        .checkpoint()
-    )
+    cut = frozen.repartitionByRange(blocks, *keys, *order, "_spread")
+    return stored(cut.withColumn("_block", F.spark_partition_id()), "blocks")
 
 
 def _edge_rows(blocked: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, ahead: bool) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlark.operators.skew import attach, heavy_hashes
-from orderlark.session import shared_root
+from orderlark.session import stored
 
 # Fixed value: runs of two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -58,10 +58,10 @@ def weigh(counts: DataFrame, vocabulary: DataFrame, doc: str, max_features: int
 def _fitted(df: DataFrame, doc: str, text: str, train: Column, max_features: int | None) -> tuple[DataFrame, DataFrame]:
     """Term counts of all documents, written once because the vocabulary, the sizes of
     the tokens and the weights all read them; and the vocabulary of the training rows."""
-    shared_root(df.sparkSession)
     flagged = df.select(doc, text, train.alias("_train"))
     exploded = flagged.select(doc, "_train", F.explode(tokens(text)).alias("token"))
-    counts = exploded.groupBy(doc, "_train", "token").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
+    counts = exploded.groupBy(doc, "_train", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = stored(counts, "terms")
     n_docs = flagged.where("_train").agg(F.count(F.lit(1))).scalar()
     return counts, fit_vocabulary(counts.where("_train"), n_docs, max_features)
 
@@ -79,10 +79,12 @@ def tfidf_vectors(df: DataFrame, doc: str, text: str, train: Column, max_feature
     # At most max_features rows.
     numbered = vocabulary.select("token", "idf", (F.row_number().over(Window.orderBy("token")) - 1).alias("_i"))
     cells = counts.join(F.broadcast(numbered), "token").withColumn("_raw", F.col("tf") * F.col("idf"))
-    packed = cells.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("_i", "_raw"))).alias("_c"))
-    squares = F.aggregate("_c._raw", F.lit(0.0), lambda acc, x: acc + x * x)
-    packed = packed.withColumn("_norm", F.sqrt(squares))
-    vectors = packed.select(doc, F.col("_c._i").alias("idx"), F.transform("_c._raw", lambda x: x / F.col("_norm")).alias("val"))
+    packed = cells.groupBy(doc).agg(
+        F.sort_array(F.collect_list(F.struct("_i", "_raw"))).alias("_c"),
+        F.sum(F.col("_raw") * F.col("_raw")).alias("_squares"),
+    )
+    unit = F.transform("_c._raw", lambda x: x / F.sqrt("_squares"))
+    vectors = packed.select(doc, F.col("_c._i").alias("idx"), unit.alias("val"))
     empty = {"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")}
     return df.join(vectors, doc, "left").withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
 

@@ -14,7 +14,7 @@ from orderlark.operators.pair_features import build_features, latest_features
 from orderlark.plans import views
 from orderlark.plans.order_queries import FEATURES_SQL, ID_SQL, ID, PRODUCT_COLUMNS, _v1
 from orderlark.plans.views import SALES_TIES, near, near_sql
-from orderlark.session import scratch_path
+from orderlark.session import scratch_path, stored
 from orderlark.sources import tables
 
 QUERIES: dict = {}
@@ -39,11 +39,8 @@ def _training_rows(spark, d, horizon=30):
     """Features are built once, stored, and read by every fit."""
     root = scratch_path(spark, "train")
     tables.save_features(build_features(views.sales(spark, d), horizon, ties=SALES_TIES), root, horizon)
-    stored = tables.load_features(spark, root, horizon)
-    split = reorder.split_for_training(stored, horizon, SALES_TIES)
-    path = f"{root}/split"
-    split.write.parquet(path)
-    return spark.read.parquet(path)
+    cached = tables.load_features(spark, root, horizon)
+    return stored(reorder.split_for_training(cached, horizon, SALES_TIES), "split")
 
 
 def _quantity_rows(rows, horizon=30):
@@ -176,9 +173,7 @@ SKUS = 25
 
 
 def _v1_models(spark, d):
-    root = scratch_path(spark, "snapshots")
-    snapshots.order_snapshots(*_v1(spark, d, SKUS)).write.parquet(root)
-    rows = spark.read.parquet(root)
+    rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
     keyed = snapshots.classification_rows(rows, SALES_TIES).withColumn("_key", F.concat_ws("|", *SALES_TIES))
     likelihood = v1.fit_calibrated(keyed, snapshots.SNAPSHOT_FEATURES, "label_reorder_in_N", "_key", rounds=3)
     quantity = v1.fit_quantity(snapshots.regression_rows(rows, SALES_TIES), v1.QUANTITY_FEATURES, "target_qty_next", trees=5, depth=5)
@@ -187,9 +182,8 @@ def _v1_models(spark, d):
 
 @register("M7_calibrated_classifier")
 def m7(spark, d):
-    root = scratch_path(spark, "snapshots")
-    snapshots.order_snapshots(*_v1(spark, d, SKUS)).write.parquet(root)
-    rows = snapshots.classification_rows(spark.read.parquet(root), SALES_TIES)
+    stored_rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
+    rows = snapshots.classification_rows(stored_rows, SALES_TIES)
     keyed = rows.withColumn("_key", F.concat_ws("|", *SALES_TIES))
     split = splits.stratified_split(keyed, "label_reorder_in_N", "_key", [("train", 0.8), ("test", 0.2)])
     model = v1.fit_calibrated(split.where("split = 'train'"), snapshots.SNAPSHOT_FEATURES, "label_reorder_in_N", "_key", rounds=5)
@@ -199,9 +193,8 @@ def m7(spark, d):
 
 @register("M8_quantity_quantiles")
 def m8(spark, d):
-    root = scratch_path(spark, "snapshots")
-    snapshots.order_snapshots(*_v1(spark, d, SKUS)).write.parquet(root)
-    rows = snapshots.regression_rows(spark.read.parquet(root), SALES_TIES)
+    stored_rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
+    rows = snapshots.regression_rows(stored_rows, SALES_TIES)
     model = v1.fit_quantity(rows, v1.QUANTITY_FEATURES, "target_qty_next", trees=10, depth=5)
     scored = model.score(rows)
     return scored.select(*SALES_TIES, "target_qty_next", "qty_mean", "qty_p50", "qty_p90")
