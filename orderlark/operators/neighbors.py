@@ -117,7 +117,7 @@ def knn_join(
 
     def best(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(bs):
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "neighbor_label": [], "d2": []})
+            return pd.DataFrame()
         bs = bs.sort_values("id")
         d2 = np.round(_squared(_matrix(qs, dim), _matrix(bs, dim)), DIGITS)
         top = np.argsort(d2, axis=1, kind="stable")[:, :k]
