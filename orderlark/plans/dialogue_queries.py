@@ -158,7 +158,7 @@ def p18(spark, d):
     "P17_overlap_chunks",
     """WITH r AS (SELECT doc_id, length(text) / 15.0::DOUBLE AS dur FROM documents WHERE length(text) > 0),
 c AS (SELECT doc_id, dur, unnest(range(0, CASE WHEN dur >= 30 THEN floor((dur - 30) / 18)::INT + 2 ELSE 1 END)) AS chunk FROM r)
-SELECT doc_id, chunk, chunk * 18.0 AS chunk_start, """
+SELECT doc_id, chunk, (chunk * 18.0)::DOUBLE AS chunk_start, """
     + near_sql("least(chunk * 18.0 + 30.0, dur)", 6)
     + " AS chunk_end FROM c",
 )
@@ -366,7 +366,7 @@ def _bi(spark, d):
 
 @register(
     "J7_orders_with_reviews",
-    f"""WITH {BI_SQL}, r AS (SELECT order_id, sum(score) AS score_sum, count(*) AS n_reviews FROM reviews GROUP BY 1)
+    f"""WITH {BI_SQL}, r AS (SELECT order_id, sum(score)::BIGINT AS score_sum, count(*) AS n_reviews FROM reviews GROUP BY 1)
 SELECT ord.id, customer_id, name, city, amount, payment_type, score_sum, n_reviews FROM ord JOIN customers ON customers.id = customer_id
 JOIN r ON r.order_id = ord.id""",
 )

@@ -16,7 +16,7 @@ from orderlark.operators.pair_features import (
     sequences,
 )
 from orderlark.plans import views
-from orderlark.plans.views import EVENT_TIES, SALES_TIES
+from orderlark.plans.views import EVENT_TIES, SALES_TIES, near, near_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -157,8 +157,8 @@ CIRCLE = ["month_sin", "month_cos", "dow_sin", "dow_cos"]
     f"""WITH {SALES_SQL} SELECT {ID_SQL}, year(date) AS year, month(date) AS month, quarter(date) AS quarter,
   isodow(date) - 1 AS day_of_week, day(date) AS day_of_month, week(date) AS week_of_year,
   (isodow(date) >= 6)::INT AS is_weekend, (day(date) <= 5)::INT AS is_month_start, (day(date) >= 25)::INT AS is_month_end,
-  round(sin(2 * pi() * month(date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(date) / 12), 6) AS month_cos,
-  round(sin(2 * pi() * (isodow(date) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * (isodow(date) - 1) / 7), 6) AS dow_cos
+  {near_sql('sin(2 * pi() * month(date) / 12)', 6)} AS month_sin, {near_sql('cos(2 * pi() * month(date) / 12)', 6)} AS month_cos,
+  {near_sql('sin(2 * pi() * (isodow(date) - 1) / 7)', 6)} AS dow_sin, {near_sql('cos(2 * pi() * (isodow(date) - 1) / 7)', 6)} AS dow_cos
 FROM sales""",
 )
 def p2(spark, d):
@@ -167,10 +167,10 @@ def p2(spark, d):
 
 @register(
     "P3_avg_unit_price",
-    f"WITH {SALES_SQL} SELECT {ID_SQL}, round(sales_value / (quantity + 0.01), 6) AS avg_unit_price FROM sales",
+    f"WITH {SALES_SQL} SELECT {ID_SQL}, {near_sql('sales_value / (quantity + 0.01)', 6)} AS avg_unit_price FROM sales",
 )
 def p3(spark, d):
-    return views.sales(spark, d).select(*ID, F.round(prepare.unit_price(), 6).alias("avg_unit_price"))
+    return views.sales(spark, d).select(*ID, near(prepare.unit_price(), 6).alias("avg_unit_price"))
 
 
 @register(
@@ -338,9 +338,9 @@ INTERACTION = ["share_of_wallet", "customer_product_concentration", "relative_qu
     "A4_interaction_features",
     f"""WITH {SALES_SQL},
 b AS (SELECT customer_id, count(DISTINCT product_id) AS n FROM sales GROUP BY 1)
-SELECT {ID_SQL}, round(sales_value / (sum(sales_value) OVER (PARTITION BY customer_id, date) + 0.01), 6) AS share_of_wallet,
-  round(1.0 / n, 6) AS customer_product_concentration,
-  round(quantity / (avg(quantity) OVER (PARTITION BY product_id) + 0.01), 6) AS relative_quantity
+SELECT {ID_SQL}, {near_sql("sales_value / (sum(sales_value) OVER (PARTITION BY customer_id, date) + 0.01)", 6)} AS share_of_wallet,
+  {near_sql("1.0::DOUBLE / n", 6)} AS customer_product_concentration,
+  {near_sql("quantity / (avg(quantity) OVER (PARTITION BY product_id) + 0.01)", 6)} AS relative_quantity
 FROM sales JOIN b USING (customer_id)""",
 )
 def a4(spark, d):
@@ -517,7 +517,7 @@ PRODUCT_COLUMNS = {"Product Name": "product_name", "Product Manufacturer": "manu
 @register(
     "J4_product_lookup",
     f"""WITH {SCORES_SQL}, {FIRST_PRODUCT_SQL} SELECT customer_id, product_id, coalesce(product_name, 'Unknown Product') AS product_name,
-  coalesce(manufacturer, '') AS manufacturer, round(reorder_probability, 6) AS reorder_probability FROM scores LEFT JOIN prod USING (product_id)""",
+  coalesce(manufacturer, '') AS manufacturer, {near_sql('scores.reorder_probability', 6)} AS reorder_probability FROM scores LEFT JOIN prod USING (product_id)""",
 )
 def j4(spark, d):
     out = lookup.with_lookup(
@@ -637,7 +637,7 @@ def a5_fine(spark, d):
 
 @register(
     "O1_top_by_score",
-    f"""WITH {SCORES_SQL} SELECT customer_id, product_id, round(reorder_probability, 6) AS reorder_probability FROM scores
+    f"""WITH {SCORES_SQL} SELECT customer_id, product_id, {near_sql('scores.reorder_probability', 6)} AS reorder_probability FROM scores
 ORDER BY scores.reorder_probability DESC, customer_id, product_id LIMIT 50""",
 )
 def o1(spark, d):
@@ -705,7 +705,8 @@ def e1(spark, d):
     EVAL_SQL
     + """, c AS (SELECT count(*) FILTER (p > 0.35 AND will_reorder = 1) AS tp, count(*) FILTER (p > 0.35 AND will_reorder = 0) AS fp,
   count(*) FILTER (p <= 0.35 AND will_reorder = 1) AS fn FROM s)
-SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""",
+SELECT tp, fp, fn, """
+    + f"{near_sql('tp / (tp + fp)', 6)} AS precision, {near_sql('tp / (tp + fn)', 6)} AS recall, {near_sql('2 * tp / (2 * tp + fp + fn)', 6)} AS f1 FROM c",
 )
 def e2(spark, d):
     out = evaluate.binary_metrics(_evaluated(spark, d), "p", "will_reorder", 0.35)
@@ -715,9 +716,9 @@ def e2(spark, d):
 @register(
     "E3_regression_metrics",
     EVAL_SQL
-    + """ SELECT count(*) AS n_rows, round(avg(abs(next_order_quantity - q)), 6) AS mae,
-  round(sqrt(avg((next_order_quantity - q) ** 2)), 6) AS rmse,
-  round(1 - sum((next_order_quantity - q) ** 2) / (var_pop(next_order_quantity) * count(*)), 6) AS r2
+    + f""" SELECT count(*) AS n_rows, {near_sql('avg(abs(next_order_quantity - q))', 6)} AS mae,
+  {near_sql('sqrt(avg((next_order_quantity - q) ** 2))', 6)} AS rmse,
+  {near_sql('1 - sum((next_order_quantity - q) ** 2) / (var_pop(next_order_quantity) * count(*))', 6)} AS r2
 FROM s WHERE next_order_quantity IS NOT NULL""",
 )
 def e3(spark, d):
@@ -767,7 +768,7 @@ def _v1(spark, d, skus=None):
 
 @register(
     "J1_order_calendar",
-    f"WITH {V1_SQL} SELECT {TIES_SQL}, customer_id, order_dt, holiday_flag, round(temp_c, 6) AS temp_c FROM ord LEFT JOIN cal ON dt = order_dt",
+    f"WITH {V1_SQL} SELECT {TIES_SQL}, customer_id, order_dt, holiday_flag, {rounded_sql(['temp_c'], 6)} FROM ord LEFT JOIN cal ON dt = order_dt",
 )
 def j1(spark, d):
     out = snapshots.with_calendar(views.orders_v1(spark, d), views.calendar_v1(spark, d))
@@ -853,7 +854,7 @@ def m14(spark, d):
     "M6_ensemble",
     f"""WITH {SCORES_SQL}, m AS (SELECT customer_id, product_id, CASE WHEN order_count > 1 THEN reorder_probability END AS a,
   CASE WHEN days_since_last_order < 200 THEN 1 - avg_discount END AS b FROM scores)
-SELECT customer_id, product_id, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE 0.5 * a + 0.5 * b END, 6) AS ensemble FROM m""",
+SELECT customer_id, product_id, {near_sql('CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE 0.5 * a + 0.5 * b END', 6)} AS ensemble FROM m""",
 )
 def m6(spark, d):
     from orderlark.functions.scoring import ensemble
@@ -861,17 +862,18 @@ def m6(spark, d):
     rows = scores(spark, d)
     a = F.when(F.col("order_count") > 1, F.col("reorder_probability"))
     b = F.when(F.col("days_since_last_order") < 200, 1 - F.col("avg_discount"))
-    return rows.select("customer_id", "product_id", F.round(ensemble({"dense": a, "boosted": b}), 6).alias("ensemble"))
+    return rows.select("customer_id", "product_id", near(ensemble({"dense": a, "boosted": b}), 6).alias("ensemble"))
 
 
 @register(
     "M16_model_comparison",
     f"""WITH {SCORES_SQL}, m AS (SELECT customer_id, product_id, reorder_probability AS a, coalesce(1 - avg_discount, 0) AS b,
   CASE WHEN order_count > 1 THEN predicted_quantity ELSE 0 END AS qa, predicted_quantity + 1 AS qb FROM scores),
-e AS (SELECT *, 0.5 * a + 0.5 * b AS ens FROM m)
-SELECT customer_id, product_id, round(a, 6) AS reorder_dense, round(b, 6) AS reorder_boosted, round(ens, 6) AS reorder_ensemble,
-  round(qa, 6) AS quantity_dense, round(qb, 6) AS quantity_boosted, round(0.5 * qa + 0.5 * qb, 6) AS quantity_ensemble
-FROM e QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY round(ens, 9) DESC, product_id) <= 10""",
+e AS (SELECT *, round(0.5 * a + 0.5 * b, 9) AS ens FROM m)
+SELECT customer_id, product_id, {near_sql('a', 6)} AS reorder_dense, {near_sql('b', 6)} AS reorder_boosted,
+  {near_sql('ens', 6)} AS reorder_ensemble, {near_sql('qa', 6)} AS quantity_dense, {near_sql('qb', 6)} AS quantity_boosted,
+  {near_sql('0.5 * qa + 0.5 * qb', 6)} AS quantity_ensemble
+FROM e QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY ens DESC, product_id) <= 10""",
 )
 def m16(spark, d):
     rows = scores(spark, d)
