@@ -49,10 +49,10 @@ def order_history(orders: DataFrame, ties: Sequence[str], n_days: int = 14, heav
     return out.withColumn("label_reorder_in_N", label).drop("_t")
 
 
-def with_calendar(df: DataFrame, calendar: DataFrame) -> DataFrame:
-    """The calendar has one row per day, a century of it is under forty thousand rows."""
-    days = calendar.withColumnRenamed("dt", "order_dt")
-    return df.join(F.broadcast(days), "order_dt", "left")
+def with_calendar(df: DataFrame, calendar: DataFrame, heavy: Sequence[int] | None = None) -> DataFrame:
+    """The calendar has one row per day. Spark broadcasts it by its size; should it be too
+    large for that, busy days are spread."""
+    return attach(df, calendar.withColumnRenamed("dt", "order_dt"), ["order_dt"], heavy)
 
 
 def last_price(prices: DataFrame, ties: Sequence[str]) -> DataFrame:
@@ -81,11 +81,18 @@ def _weekday(df: DataFrame) -> DataFrame:
     return df.withColumn("is_weekend", F.col("dow").isin(5, 6).cast("int"))
 
 
-def _joined(rows: DataFrame, prices: DataFrame, inventory: DataFrame, calendar: DataFrame, ties: Sequence[str]) -> DataFrame:
-    (heavy,) = heavy_hashes(rows, DAY_KEY)
-    out = with_calendar(rows, calendar)
-    out = with_prices(out, prices, ties, heavy)
-    out = with_inventory(out, inventory, heavy)
+def _joined(
+    rows: DataFrame,
+    prices: DataFrame,
+    inventory: DataFrame,
+    calendar: DataFrame,
+    ties: Sequence[str],
+    heavy_keys: Sequence[int],
+    heavy_days: Sequence[int],
+) -> DataFrame:
+    out = with_calendar(rows, calendar, heavy_days)
+    out = with_prices(out, prices, ties, heavy_keys)
+    out = with_inventory(out, inventory, heavy_keys)
     out = fill_medians(out.withColumn("time_since_prev", F.col("_gap")), ["time_since_prev", "on_hand", "lead_time"])
     return _weekday(out.fillna(0, subset=["stockout_flag"])).drop("_gap")
 
@@ -94,7 +101,10 @@ def order_snapshots(
     orders: DataFrame, prices: DataFrame, inventory: DataFrame, calendar: DataFrame, ties: Sequence[str], n_days: int = 14
 ) -> DataFrame:
     """Every order with features, label, next quantity and time to the next order."""
-    return _joined(order_history(orders, ties, n_days), prices, inventory, calendar, ties)
+    # All heavy keys are read off the bare orders, in one pass.
+    pairs, keys, days = heavy_hashes(orders, SKU_PAIR, DAY_KEY, ["order_dt"])
+    history = order_history(orders, ties, n_days, pairs)
+    return _joined(history, prices, inventory, calendar, ties, keys, days)
 
 
 def latest_snapshot(
@@ -108,9 +118,11 @@ def latest_snapshot(
     """The last order of each pair up to a date, with history from before it; medians are
     taken over these last rows only."""
     upto = orders if as_of is None else orders.where(F.col("order_dt") <= as_of)
-    history = order_history(upto, ties).drop("next_order_dt", "time_to_next", "target_qty_next", "label_reorder_in_N")
-    last = last_per_key(history, SKU_PAIR, ["order_dt", *ties])
-    return _joined(last, prices, inventory, calendar, ties)
+    pairs, keys, days = heavy_hashes(upto, SKU_PAIR, DAY_KEY, ["order_dt"])
+    history = order_history(upto, ties, heavy=pairs)
+    # The last order of a pair is the one without a next.
+    last = history.where("next_order_dt IS NULL").drop("next_order_dt", "time_to_next", "target_qty_next", "label_reorder_in_N")
+    return _joined(last, prices, inventory, calendar, ties, keys, days)
 
 
 def classification_rows(snapshots: DataFrame, ties: Sequence[str]) -> DataFrame:

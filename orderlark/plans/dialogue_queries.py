@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderlark.functions.scoring import service_label
 from orderlark.operators import bi, dialogue, transcripts
+from orderlark.operators.skew import heavy_hashes
 from orderlark.plans import views
 from orderlark.plans.views import near, near_sql, rounded, rounded_sql
 
@@ -132,14 +133,20 @@ def p16(spark, d):
     return transcripts.parse_lines(views.transcript_lines(spark, d)).select("conv_id", "turn", "start", "end", "text")
 
 
+def _filled(spark, d):
+    """Parsed lines with ends; busy files are found on the lines, before any parsing."""
+    lines = views.transcript_lines(spark, d)
+    (heavy,) = heavy_hashes(lines, ["conv_id"])
+    return transcripts.fill_ends(transcripts.parse_lines(lines), "conv_id", ["turn"], heavy)
+
+
 @register(
     "W13_transcript_end_fill",
     f"""WITH {LINES_SQL}, n AS (SELECT *, lead(start) OVER (PARTITION BY conv_id ORDER BY start, turn) AS nx FROM parsed)
 SELECT conv_id, turn, start, coalesce("end", CASE WHEN nx > start THEN nx END) AS end FROM n""",
 )
 def w13(spark, d):
-    parsed = transcripts.parse_lines(views.transcript_lines(spark, d))
-    return transcripts.fill_ends(parsed, "conv_id", ["turn"]).select("conv_id", "turn", "start", "end")
+    return _filled(spark, d).select("conv_id", "turn", "start", "end")
 
 
 @register(
@@ -150,8 +157,7 @@ c AS (SELECT conv_id, turn, floor(start * 1000)::BIGINT AS start_ms,
 SELECT * FROM c WHERE start_ms < end_ms AND end_ms - start_ms >= 100""",
 )
 def p18(spark, d):
-    segments = transcripts.fill_ends(transcripts.parse_lines(views.transcript_lines(spark, d)), "conv_id", ["turn"])
-    return transcripts.clip_windows(segments, F.lit(60.0)).select("conv_id", "turn", "start_ms", "end_ms")
+    return transcripts.clip_windows(_filled(spark, d), F.lit(60.0)).select("conv_id", "turn", "start_ms", "end_ms")
 
 
 @register(

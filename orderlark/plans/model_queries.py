@@ -131,8 +131,9 @@ def m17(spark, d):
     sales = views.sales(spark, d)
     scored = models.predict(latest_features(sales, models.horizon, SALES_TIES))
     slim = scored.select("customer_id", "product_id", "category_h1", "reorder_probability", "predicted_quantity", "days_since_last_order", "avg_discount")
-    named = lookup.with_lookup(slim, views.raw_sales(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.PRODUCT_DEFAULTS, "Product Code")
-    return rank.recommend_products(named, 20, 0.2)
+    # Names change no rank, so only the few ranked rows are joined to them.
+    top = rank.recommend_products(slim, 20, 0.2)
+    return lookup.with_lookup(top, views.raw_sales(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.PRODUCT_DEFAULTS, "Product Code")
 
 
 @register("M17_stock_forecast")
@@ -209,7 +210,7 @@ def m12(spark, d):
 
 def _ranker_rows(spark, d):
     """Snapshots with stand-in scores; relevant is what the customer orders again."""
-    rows = snapshots.order_snapshots(*_v1(spark, d, SKUS))
+    rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
     return rows.withColumns(
         {
             "p_reorder": 1 / (1 + F.col("time_since_prev") / 30.0),

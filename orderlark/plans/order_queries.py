@@ -9,14 +9,16 @@ from orderlark.functions.scoring import discount_shopper, finite_or_zero
 from orderlark.functions.times import calendar_features
 from orderlark.operators import entity, evaluate, lookup, prepare, rank, snapshots, splits, summary
 from orderlark.operators.pair_features import (
+    PAIR,
     build_features,
     feature_columns,
     latest_features,
-    latest_per_pair,
     sequences,
 )
+from orderlark.operators.skew import heavy_hashes
 from orderlark.plans import views
 from orderlark.plans.views import EVENT_TIES, SALES_TIES, near, near_sql
+from orderlark.session import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -293,8 +295,10 @@ FROM (SELECT * REPLACE (list_transform(vectors, lambda v: list_transform(v, lamb
   FROM seq WHERE len(vectors) = 10)""",
 )
 def w15(spark, d):
-    feats = build_features(views.sales_long(spark, d), ties=EVENT_TIES)
-    out = sequences(feats, ["days_since_last_order", "order_count", "quantity"], ties=EVENT_TIES)
+    rows = views.sales_long(spark, d)
+    (heavy,) = heavy_hashes(rows, PAIR)
+    feats = build_features(rows, ties=EVENT_TIES)
+    out = sequences(feats, ["days_since_last_order", "order_count", "quantity"], ties=EVENT_TIES, heavy=heavy)
     whole = F.transform(F.flatten("sequence"), lambda x: F.round(F.round(x, 4) * 10000).cast("bigint").cast("string"))
     return out.select(
         "customer_id", "product_id", "date", "event_id", "will_reorder", "next_order_quantity", F.array_join(whole, ",").alias("flat")
@@ -521,7 +525,7 @@ PRODUCT_COLUMNS = {"Product Name": "product_name", "Product Manufacturer": "manu
 )
 def j4(spark, d):
     out = lookup.with_lookup(
-        scores(spark, d), _catalogue(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.PRODUCT_DEFAULTS, "Product Code"
+        stored(scores(spark, d), "scores"), _catalogue(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.PRODUCT_DEFAULTS, "Product Code"
     )
     return out.select("customer_id", "product_id", "product_name", "manufacturer", *rounded(["reorder_probability"], 6))
 
@@ -542,7 +546,7 @@ def j5(spark, d):
         "Partner Customer District": "district",
     }
     out = lookup.with_lookup(
-        scores(spark, d), raw, "customer_id", columns, ["DATE", *SALES_TIES], lookup.CUSTOMER_DEFAULTS, "Partner Customer Referans Code"
+        stored(scores(spark, d), "scores"), raw, "customer_id", columns, ["DATE", *SALES_TIES], lookup.CUSTOMER_DEFAULTS, "Partner Customer Referans Code"
     )
     return out.select("customer_id", "product_id", "customer_name", "salesman_name", "district")
 
@@ -555,7 +559,7 @@ def j5(spark, d):
 def j6(spark, d):
     raw = _catalogue(spark, d).drop("Product Name")
     out = lookup.with_lookup(
-        scores(spark, d), raw, "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.STOCK_DEFAULTS, "Product Code"
+        stored(scores(spark, d), "scores"), raw, "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.STOCK_DEFAULTS, "Product Code"
     )
     return out.select("customer_id", "product_id", "product_name", "manufacturer")
 

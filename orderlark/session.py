@@ -28,15 +28,13 @@ def local_session(cores: str = "8", app: str = "orderlark", **conf: str) -> Spar
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach: spark.checkpoint.dir, or a temporary
-    one when the session names none (single-machine tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="orderlark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    """The folder all executors can reach: spark.checkpoint.dir. Where the session names
+    none (single-machine tests) the context gets a temporary one, and keeps it."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orderlark-"))
+    return named or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
