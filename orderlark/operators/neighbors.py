@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from orderlark.operators.rank import top_per
 from orderlark.session import stored
 
-PIVOTS = 32
-BLOCK_ROWS = 2000
+MOST_PIVOTS = 256
+BLOCK_ROWS = 1000
 DIGITS = 9  # squared distances are rounded, so that equal vectors tie and ids decide
 
 
@@ -48,18 +48,22 @@ def _pick_pivots(base: DataFrame, dim: int, pivots: int) -> np.ndarray:
 
 
 def knn_join(
-    queries: DataFrame, base: DataFrame, k: int, dim: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, base: DataFrame, k: int, dim: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(query_id, neighbor_id, neighbor_label, distance, rank) of the k nearest base rows.
 
     `queries` has (id, val) and `base` (id, val, label), ids being whole numbers; a column
     `idx` makes the vectors sparse, with positions below `dim`. Euclidean distance; equal
     distances go to the smaller id. On unit vectors the order is that of the cosine.
+    By default there is a pivot per block of base rows, up to MOST_PIVOTS: each further
+    cell costs the queries that cannot rule it out one more copy.
     """
     vector = [c for c in ("idx", "val") if c in base.columns]
     # Vectors, their cells and the routed queries are each read several times below, and
     # the cells must not move in between: they are written once.
     base = stored(base.select("id", "label", *vector), "base")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(1, base.count() // block_rows))
     centers = _pick_pivots(base, dim, pivots)
     vector_type = ", ".join(f"{c} array<{'int' if c == 'idx' else 'double'}>" for c in vector)
 

@@ -13,7 +13,7 @@ from orderlark.operators.skew import (
     bounded_window,
     carried,
     cut_blocks,
-    heavy_and_stats,
+    heavy_and_greatest,
     is_heavy,
     null_safe_join,
     with_halo,
@@ -227,12 +227,12 @@ def latest_features(sales: DataFrame, horizon: int = 30, ties: Sequence[str] = (
 
 def _with_windows(sales: DataFrame, horizon: int, ties: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, int]:
     timed = sales.withColumn("_t", epoch_micros("date"))
-    (heavy,), found = heavy_and_stats(timed, [keys], {"last": F.max("_t")})
+    (heavy,), last_instant = heavy_and_greatest(timed, [keys], F.col("_t"))
     if not heavy:
-        return _plain(timed, keys, ties, horizon), found["last"]
+        return _plain(timed, keys, ties, horizon), last_instant
     out = _plain(timed.where(~is_heavy(keys, heavy)), keys, ties, horizon)
     hot = _blocked(timed.where(is_heavy(keys, heavy)), keys, ties, horizon)
-    return out.unionByName(hot.select(*out.columns)), found["last"]
+    return out.unionByName(hot.select(*out.columns)), last_instant
 
 
 def _finish(features: DataFrame, horizon: int) -> DataFrame:

@@ -21,9 +21,10 @@ from orderlark.session import stored
 
 MAX_GROUP_ROWS = 1_000_000
 GROUP_ROWS_CONF = "spark.orderlark.maxGroupRows"
-# At most this many keys can each hold more than a thousandth of the rows.
-TRACKED_SHARE = 1000
-SKETCH_ITEMS = 100_000
+# Keys are sketched in parts by hash; each part names its thousand most frequent ones.
+SKETCH_PARTS = 8
+SKETCH_TOP = 1000
+SKETCH_ITEMS = 10_000
 SALTS = 256
 
 
@@ -32,38 +33,41 @@ def max_group_rows(spark: SparkSession) -> int:
 
 
 def heavy_hashes(df: DataFrame, *key_sets: Sequence[str]) -> list[list[int]]:
-    """Hashes of the heavy keys of each key set, in one shuffle-free pass.
+    """Hashes of the heavy keys of each key set, in one pass that shuffles only sketches.
 
-    A key is heavy above max_group_rows and a thousandth of all rows, so each list
-    has at most a thousand entries whatever the data size.
+    A key is heavy above max_group_rows and an eight-thousandth of all rows, so each list
+    has at most eight thousand entries whatever the data size.
     """
-    return heavy_and_stats(df, key_sets, {})[0]
-
-
-def heavy_and_stats(
-    df: DataFrame, key_sets: Sequence[Sequence[str]], stats: dict[str, Column]
-) -> tuple[list[list[int]], dict]:
-    """As heavy_hashes, with further scalar aggregates read in the same pass."""
-    limit = max_group_rows(df.sparkSession)
-    hashed = df.withColumns({f"k{i}": F.xxhash64(*keys) for i, keys in enumerate(key_sets)})
-    found = hashed.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.expr(f"approx_top_k(k{i}, {TRACKED_SHARE}, {SKETCH_ITEMS})").alias(f"top{i}")
-            for i in range(len(key_sets))
-        ],
-        *[c.alias(name) for name, c in stats.items()],
-    ).first()
-    floor = max(limit, found["n"] // TRACKED_SHARE)
-    heavy = [
-        [item["item"] for item in (found[f"top{i}"] or []) if item["count"] > floor]
-        for i in range(len(key_sets))
-    ]
-    return heavy, {name: found[name] for name in stats}
+    return heavy_and_greatest(df, key_sets, F.lit(0))[0]
+
+
+def heavy_and_greatest(
+    df: DataFrame, key_sets: Sequence[Sequence[str]], value: Column
+) -> tuple[list[list[int]], int | None]:
+    """As heavy_hashes, and the greatest value of an expression from the same pass."""
+    sets = [F.struct(F.lit(i).alias("set"), F.xxhash64(*keys).alias("key")) for i, keys in enumerate(key_sets)]
+    hashed = df.select(value.alias("_v"), F.explode(F.array(*sets)).alias("k")).select("_v", "k.*")
+    found = (
+        hashed.groupBy("set", F.pmod("key", F.lit(SKETCH_PARTS)).alias("_part"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("_v").alias("greatest"),
+            F.expr(f"approx_top_k(key, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top"),
+        )
+        .collect()
+    )
+    n_rows = sum(r["n"] for r in found if r["set"] == 0)
+    floor = max(max_group_rows(df.sparkSession), n_rows // (SKETCH_TOP * SKETCH_PARTS))
+    heavy: list[list[int]] = [[] for _ in key_sets]
+    for r in found:
+        heavy[r["set"]] += [item["item"] for item in r["top"] if item["count"] > floor]
+    return heavy, max((r["greatest"] for r in found if r["greatest"] is not None), default=None)
 
 
 def is_heavy(keys: Sequence[str], hashes: Sequence[int]) -> Column:
-    return F.xxhash64(*keys).isin(list(hashes))
+    # One parsed list instead of thousands of separate literal calls.
+    names = ", ".join(f"`{k}`" for k in keys)
+    return F.expr(f"xxhash64({names}) IN ({', '.join(f'{h}L' for h in hashes)})")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
