@@ -63,25 +63,31 @@ def time_based_split(
     smaller table, unless `strict_gap` keeps the first test start. Only the cut instants
     need row order; every other row is labelled by its date alone.
     """
+    kind = df.schema[date].dataType
+
+    def literal(moment) -> Column:
+        # Through text, so that no session zone touches a zone-less moment.
+        return F.lit(str(moment)).cast(kind)
+
     n = df.count()
     start, _ = _row_at(df, date, [int(n * (1 - test_size))])[0]
     if gap_days > 0:
-        begin = F.lit(start) - F.expr(f"INTERVAL {int(gap_days)} DAYS")
-        df = df.where(~((F.col(date) >= begin) & (F.col(date) < F.lit(start))))
+        begin = literal(start) - F.expr(f"INTERVAL {int(gap_days)} DAYS")
+        df = df.where(~((F.col(date) >= begin) & (F.col(date) < literal(start))))
         n = df.count()
     if strict_gap:
-        n_rest = df.where(F.col(date) < F.lit(start)).count()
+        n_rest = df.where(F.col(date) < literal(start)).count()
         test_at = (start, 0)
         val_at = _row_at(df, date, [int(n_rest * (1 - val_size))])[0]
     else:
         n_rest = int(n * (1 - test_size))
         test_at, val_at = _row_at(df, date, [n_rest, int(n_rest * (1 - val_size))])
 
-    cuts = [F.lit(test_at[0]), F.lit(val_at[0])]
+    cuts = [literal(test_at[0]), literal(val_at[0])]
     at_cut = (F.col(date) == cuts[0]) | (F.col(date) == cuts[1])
 
     def right_of(cut: tuple, ranked: bool) -> Column:
-        at = F.lit(cut[0])
+        at = literal(cut[0])
         later = F.col(date) > at
         return later | ((F.col(date) == at) & (F.col("_rank") > cut[1])) if ranked else later
 

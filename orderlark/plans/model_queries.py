@@ -48,11 +48,11 @@ def _quantity_rows(rows, horizon=30):
     return reorder.split_for_training(wanted, horizon, SALES_TIES)
 
 
-def _models(spark, d, dense=SMALL):
+def _models(spark, d, dense=SMALL, robust_rounds=ROUNDS):
     rows = _training_rows(spark, d)
     models = ReorderModels(30, reorder.fit_reorder(rows, 30, SHORT, dense))
     quantities = _quantity_rows(rows)
-    models.quantity = reorder.fit_quantity(quantities, 30, SHORT, ROUNDS)
+    models.quantity = reorder.fit_quantity(quantities, 30, SHORT, robust_rounds)
     return models, rows, quantities
 
 
@@ -66,7 +66,7 @@ SCALED = ["order_count", "cumulative_quantity", "qty_trend"]
     + " FROM features",
 )
 def m1(spark, d):
-    rows = build_features(views.sales(spark, d), targets=False, ties=SALES_TIES).select(*ID, *SCALED)
+    rows = stored(build_features(views.sales(spark, d), targets=False, ties=SALES_TIES).select(*ID, *SCALED), "scaled")
     out = reorder.standardise(rows, SCALED)
     return out.select(*ID, *[near(F.col("scaled")[i]).alias(c) for i, c in enumerate(SCALED)])
 
@@ -139,7 +139,7 @@ def m17(spark, d):
 @register("M17_stock_forecast")
 def m17_stock(spark, d):
     """The plan takes the horizon the models were trained for, and the boosted members."""
-    models, _, _ = _models(spark, d, None)
+    models, _, _ = _models(spark, d, None, None)
     scored = models.predict(latest_features(views.sales(spark, d), models.horizon, SALES_TIES), "boosted")
     slim = scored.select("customer_id", "product_id", "reorder_probability", "predicted_quantity")
     return rank.stock_plan(slim, views.raw_sales(spark, d), PRODUCT_COLUMNS, ["DATE", *SALES_TIES], "Product Code", 0.2)
@@ -290,7 +290,7 @@ def x4(spark, d):
     from orderlark.operators.tfidf import tfidf_pipeline
 
     rows = views.intents(spark, d).withColumn("text", F.lower(F.trim("text")))
-    vectors = tfidf_pipeline(rows, "text", max_features=2000).transform(rows).select("label", "features")
+    vectors = stored(tfidf_pipeline(rows, "text", max_features=2000).transform(rows).select("label", "features"), "vectors")
     search = texts.bayes_grid(vectors, "label")
     pairs = [(float(p[list(p)[0]]), float(a)) for p, a in zip(search.getEstimatorParamMaps(), search.avgMetrics)]
     return spark.createDataFrame(pairs, "alpha double, accuracy double")

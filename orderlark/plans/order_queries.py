@@ -405,7 +405,7 @@ split AS (SELECT *, CASE WHEN pos >= floor(n * (1 - 0.2::DOUBLE)) THEN 'test'
 SELECT split, count(*) AS n_rows, round(avg(will_reorder), 9) AS mean_target FROM split GROUP BY 1""",
 )
 def a6(spark, d):
-    feats = build_features(views.sales(spark, d), ties=SALES_TIES)
+    feats = stored(build_features(views.sales(spark, d), ties=SALES_TIES).select("date", *SALES_TIES, "will_reorder"), "labels")
     out = summary.mean_target(splits.time_based_split(feats, ties=SALES_TIES), "split", "will_reorder")
     return out.withColumn("mean_target", F.round("mean_target", 9))
 
@@ -429,7 +429,8 @@ SELECT i::INT AS bin, round(lo + i * w, 6) AS bin_start, coalesce(n, 0) AS n FRO
 
 def _histogram(column: str):
     def run(spark, d):
-        out = summary.histogram(build_features(views.sales(spark, d), ties=SALES_TIES), column)
+        values = stored(build_features(views.sales(spark, d), ties=SALES_TIES).select(column), "values")
+        out = summary.histogram(values, column)
         return out.withColumn("bin_start", F.round("bin_start", 6))
 
     return run

@@ -30,3 +30,26 @@ MAY_BE_EMPTY = {"P9_turn_filter"}
 def test_matches_sql(spark, con, name):
     found = compare(QUERIES[name](spark, SF_SMALL), con, ORACLE[name])
     assert found is None or (found == "both empty" and name in MAY_BE_EMPTY)
+
+
+SPREAD = [
+    "A3_entity_features",
+    "A4_interaction_features",
+    "A13_labelled_dialogue",
+    "E1_roc_auc",
+    "J5_customer_lookup",
+    "J7_orders_with_reviews",
+    "J8_meaningless_anti_join",
+    "T1_tfidf",
+    "W11_events_targets",
+    "W13_transcript_end_fill",
+    "W14_merge_turns",
+    "W16_order_snapshots_long",
+    "W17_priority_score",
+    "X1_events_clock_split",
+]
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_matches_sql_with_heavy_keys(spark, con, forced_skew, name):
+    assert compare(QUERIES[name](spark, SF_SMALL), con, ORACLE[name]) is None

@@ -166,3 +166,24 @@ def test_next_quantity_needs_a_second_successor(spark):
     assert [r["target_qty_next"] for r in out] == [6.0, None, None]
     assert [r["label_reorder_in_N"] for r in out] == [1, 0, 0]
     assert [r["qty_rolling_mean_30"] for r in out] == [5.0, 5.5, 6.0]
+
+
+def test_ranking_limits_groups_before_the_shuffle(spark):
+    rows = [(c, p, 0.9, float(p)) for c in range(3) for p in range(9)]
+    df = spark.createDataFrame(rows, "customer_id int, product_id int, reorder_probability double, predicted_quantity double")
+    plan = rank.recommend_products(df, 2, 0.5)._jdf.queryExecution().executedPlan().toString()
+    partial, exchange = plan.index("Partial"), plan.index("Exchange hashpartitioning(customer_id")
+    assert "WindowGroupLimit" in plan and exchange < partial
+
+
+def test_split_does_not_depend_on_the_session_zone(spark):
+    rows = spark.createDataFrame([(day(i, 2), i) for i in range(60, 120)], "date timestamp_ntz, seq int")
+    expected = sorted((r["seq"], r["split"]) for r in splits.time_based_split(rows, gap_days=5, ties=["seq"]).collect())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = sorted((r["seq"], r["split"]) for r in splits.time_based_split(rows, gap_days=5, ties=["seq"]).collect())
+        gaps = by_seq(build_features(history(spark, [("a", "x", day(69, 1), 1), ("a", "x", day(70, 2), 1)]), targets=False, ties=["seq"]), "days_since_last_order")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == expected and gaps == [(90,), (1,)]
