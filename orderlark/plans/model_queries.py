@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from orderlark.models import reorder, snapshots as v1, texts
+from orderlark.models import reorder, snapshots as v1, texts, training
 from orderlark.models.reorder import Boosting, Dense, ReorderModels
 from orderlark.operators import evaluate, lookup, rank, snapshots, splits
 from orderlark.operators.pair_features import build_features, latest_features
@@ -15,7 +15,6 @@ from orderlark.plans import views
 from orderlark.plans.order_queries import FEATURES_SQL, ID_SQL, ID, PRODUCT_COLUMNS, _v1
 from orderlark.plans.views import SALES_TIES, near, near_sql
 from orderlark.session import scratch_path, stored
-from orderlark.sources import tables
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,25 +34,23 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
-def _training_rows(spark, d, horizon=30):
+def _features(spark, d, horizon=30):
     """Features are built once, stored, and read by every fit."""
-    root = scratch_path(spark, "train")
-    tables.save_features(build_features(views.sales(spark, d), horizon, ties=SALES_TIES), root, horizon)
-    cached = tables.load_features(spark, root, horizon)
-    return stored(reorder.split_for_training(cached, horizon, SALES_TIES), "split")
+    return training.cached_features(views.sales(spark, d), scratch_path(spark, "train"), horizon, SALES_TIES, resume=False)
+
 
+def _training_rows(spark, d, horizon=30):
+    return stored(reorder.split_for_training(_features(spark, d, horizon), horizon, SALES_TIES), "split")
 
-def _quantity_rows(rows, horizon=30):
-    wanted = rows.where("next_order_quantity IS NOT NULL").drop("split")
-    return reorder.split_for_training(wanted, horizon, SALES_TIES)
+
+def _quantity_rows(spark, d, horizon=30):
+    wanted = _features(spark, d, horizon).where("next_order_quantity IS NOT NULL")
+    return stored(reorder.split_for_training(wanted, horizon, SALES_TIES), "split")
 
 
 def _models(spark, d, dense=SMALL, robust_rounds=ROUNDS):
-    rows = _training_rows(spark, d)
-    models = ReorderModels(30, reorder.fit_reorder(rows, 30, SHORT, dense))
-    quantities = _quantity_rows(rows)
-    models.quantity = reorder.fit_quantity(quantities, 30, SHORT, robust_rounds)
-    return models, rows, quantities
+    store = scratch_path(spark, "train")
+    return training.train_all(views.sales(spark, d), store, 30, SALES_TIES, boosting=SHORT, dense=dense, robust_rounds=robust_rounds)
 
 
 SCALED = ["order_count", "cumulative_quantity", "qty_trend"]
@@ -87,7 +84,7 @@ def m3(spark, d):
 
 @register("M4_boosted_regressor")
 def m4(spark, d):
-    rows = _quantity_rows(_training_rows(spark, d))
+    rows = _quantity_rows(spark, d)
     fitted = reorder.fit_quantity(rows, 30, SHORT, None)
     held = fitted["boosted"].transform(rows.where("split = 'test'"))
     return evaluate.regression_metrics(held, "quantity_boosted", "next_order_quantity")
@@ -95,7 +92,7 @@ def m4(spark, d):
 
 @register("M5_robust_regressor")
 def m5(spark, d):
-    rows = _quantity_rows(_training_rows(spark, d))
+    rows = _quantity_rows(spark, d)
     fitted = reorder.fit_quantity(rows, 30, None, ROUNDS)
     held = fitted["dense"].transform(rows.where("split = 'test'"))
     return evaluate.regression_metrics(held, "quantity_dense", "next_order_quantity")
@@ -103,8 +100,7 @@ def m5(spark, d):
 
 @register("M6_ensemble_test_metrics")
 def m6(spark, d):
-    models, rows, quantities = _models(spark, d)
-    return reorder.evaluate_models(models, rows, quantities)
+    return _models(spark, d)[1]
 
 
 @register("M15_feature_importance")
@@ -115,7 +111,7 @@ def m15(spark, d):
 
 @register("M16_trained_model_comparison")
 def m16(spark, d):
-    models, _, _ = _models(spark, d)
+    models, _ = _models(spark, d)
     latest = latest_features(views.sales(spark, d), 30, SALES_TIES)
     scored = models.score(latest).select("customer_id", "product_id", *_score_columns())
     return rank.compare_models(scored, ["dense", "boosted", "ensemble"])
@@ -127,7 +123,7 @@ def _score_columns():
 
 @register("M17_recommend_for_all_customers")
 def m17(spark, d):
-    models, _, _ = _models(spark, d)
+    models, _ = _models(spark, d)
     sales = views.sales(spark, d)
     scored = models.predict(latest_features(sales, models.horizon, SALES_TIES))
     slim = scored.select("customer_id", "product_id", "category_h1", "reorder_probability", "predicted_quantity", "days_since_last_order", "avg_discount")
@@ -139,24 +135,26 @@ def m17(spark, d):
 @register("M17_stock_forecast")
 def m17_stock(spark, d):
     """The plan takes the horizon the models were trained for, and the boosted members."""
-    models, _, _ = _models(spark, d, None, None)
+    models, _ = _models(spark, d, None, None)
     scored = models.predict(latest_features(views.sales(spark, d), models.horizon, SALES_TIES), "boosted")
     slim = scored.select("customer_id", "product_id", "reorder_probability", "predicted_quantity")
     return rank.stock_plan(slim, views.raw_sales(spark, d), PRODUCT_COLUMNS, ["DATE", *SALES_TIES], "Product Code", 0.2)
 
 
-@register("M19_saved_models_score_the_same")
+@register("M19_resumed_models_score_the_same")
 def m19(spark, d):
-    models, rows, _ = _models(spark, d)
-    path = scratch_path(spark, "models")
-    models.save(spark, path)
-    again = ReorderModels.load(spark, path)
+    """Train, then resume from the store: rows whose scores differ, of all latest rows."""
+    sales, store = views.sales(spark, d), scratch_path(spark, "train")
+    sizes = {"boosting": SHORT, "dense": SMALL, "robust_rounds": ROUNDS}
+    models, _ = training.train_all(sales, store, 30, SALES_TIES, **sizes)
+    again, _ = training.train_all(sales, store, 30, SALES_TIES, resume=True, **sizes)
+    latest = stored(latest_features(sales, 30, SALES_TIES), "latest")
     keys = [*ID, "reorder_ensemble", "quantity_ensemble"]
-    test = rows.where("split = 'test'")
-    a = models.score(test).select(*keys)
-    b = again.score(test).select(*keys)
+    a, b = models.score(latest).select(*keys), again.score(latest).select(*keys)
     both = a.exceptAll(b).unionByName(b.exceptAll(a))
-    return both.agg(F.count(F.lit(1)).cast("int").alias("n_different")).withColumn("horizon", F.lit(again.horizon))
+    different = both.agg(F.count(F.lit(1))).scalar()
+    total = latest.agg(F.count(F.lit(1)).alias("n_rows"))
+    return total.withColumns({"n_different": different, "horizon": F.lit(again.horizon)})
 
 
 @register("M22_scale_then_score")

@@ -114,3 +114,19 @@ def test_auc_ties_and_metrics(spark, forced_skew):
     assert flat["mae"] == 0.5 and flat["r2"] is None
     table = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.1)], "model string, f1 double")
     assert best_model(table).first()["model"] == "a"
+
+
+def test_train_and_resume(spark, tmp_path):
+    from conftest import SF_SMALL
+
+    from orderlark.models.training import train_all
+    from orderlark.plans.views import EVENT_TIES, sales_long
+
+    sales = sales_long(spark, SF_SMALL).withColumn("date", F.expr("date + make_dt_interval(cast(event_id % 300 as int))"))
+    sizes = {"boosting": reorder.Boosting(rounds=2, depth=2, min_rows=1), "dense": reorder.Dense(hidden=(4,), rounds=3), "robust_rounds": 3}
+    models, metrics = train_all(sales, str(tmp_path), 20, EVENT_TIES, **sizes)
+    assert {(r["component"], r["model"]) for r in metrics.collect()} == {(c, m) for c in ("reorder", "quantity") for m in ("dense", "boosted", "ensemble")}
+    # Nothing is left to build from: the resumed run reads the store alone.
+    again, found = train_all(sales.limit(0), str(tmp_path), 20, EVENT_TIES, resume=True, **sizes)
+    assert again.horizon == 20 and found.count() == metrics.count()
+    assert set(again.reorder) == set(models.reorder) and set(again.quantity) == set(models.quantity)
