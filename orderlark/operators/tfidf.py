@@ -33,6 +33,21 @@ def fit_vocabulary(train_counts: DataFrame, n_docs: Column, max_features: int |
     `max_features` keeps the most frequent tokens of the corpus, ties by token.
     """
     vocabulary = train_counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_tf"))
+    return _with_idf(vocabulary, n_docs, max_features)
+
+
+def text_vocabulary(train: DataFrame, text: str, n_docs: Column, max_features: int | None = None) -> DataFrame:
+    """The same straight from texts, without numbering documents: each token is counted
+    once per text and once per occurrence, and only sums per token are shuffled."""
+    found = train.select(tokens(text).alias("_t"))
+    once = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("token"), F.lit(1).alias("df"), F.lit(0).alias("tf")))
+    each = F.transform("_t", lambda t: F.struct(t.alias("token"), F.lit(0).alias("df"), F.lit(1).alias("tf")))
+    rows = found.select(F.explode(F.concat(once, each)).alias("r")).select("r.*")
+    vocabulary = rows.groupBy("token").agg(F.sum("df").alias("df"), F.sum("tf").alias("corpus_tf"))
+    return _with_idf(vocabulary, n_docs, max_features)
+
+
+def _with_idf(vocabulary: DataFrame, n_docs: Column, max_features: int | None) -> DataFrame:
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.col("corpus_tf").desc(), "token").limit(max_features)
     return vocabulary.withColumn("idf", F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0)
@@ -95,8 +110,7 @@ def tfidf_pipeline(train: DataFrame, text: str, output: str = "features", max_fe
     Only the capped vocabulary reaches the driver. Documents are weighed by JVM
     transformers: token counts, times idf, scaled to unit length.
     """
-    counted = train.select(F.monotonically_increasing_id().alias("_id"), text)
-    vocabulary = fit_vocabulary(term_counts(counted, "_id", text), F.lit(train.count()), max_features)
+    vocabulary = text_vocabulary(train, text, F.lit(train.count()), max_features)
     rows = vocabulary.select("token", "idf").orderBy("token").collect()
     words = [r["token"] for r in rows]
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_counts")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orderlark.operators import evaluate, neighbors, prepare, splits, tfidf
 from orderlark.plans import views
-from orderlark.plans.views import near_sql, rounded, rounded_sql
+from orderlark.plans.views import near_sql, rounded
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -169,7 +169,7 @@ def t1_capped(spark, d):
 def t2(spark, d):
     train = _split(spark, d).where("split = 'train'")
     n = train.agg(F.count(F.lit(1))).scalar()
-    out = tfidf.fit_vocabulary(tfidf.term_counts(train, "doc_id", "text"), n, tfidf.DEFAULT_VOCABULARY)
+    out = tfidf.text_vocabulary(train, "text", n, tfidf.DEFAULT_VOCABULARY)
     return out.select("token", "df", "corpus_tf", *rounded(["idf"], 6))
 
 
