@@ -1,20 +1,20 @@
 """MinHash near-dedup: universal hash minima, banding, verification, star components.
 
 1. One Arrow pass gives each text its class (digest of its lower-cased words), the size of
-   its shingle set, HASHES minima of multiply-shift hashes, and one key for each of BANDS
-   bands of ROWS minima. Copies of a text fall together here and travel on as one class.
-2. Classes that share a band key form a bucket. Buckets never emit their pairs: in each
-   round a few hub classes a bucket are compared with its other members, a hub that has met
-   all others leaves, and pairs inside one component are not compared at all. Rounds go on
-   until every bucket has at most one component with members that were no hub, so every
-   bucket pair is linked, known not to be, or already joined through others.
-3. A compared pair must agree in enough minima (far below what a true link could miss) and
-   is then confirmed on the full shingle sets of both texts.
-4. Links become components by alternating large-star and small-star steps, then smallest
-   document ids spread to all copies.
+   its shingle set, and HASHES minima of multiply-shift hashes. Copies of a text fall
+   together here and travel on as one class.
+2. Classes that share one of BANDS band keys of ROWS minima form a bucket. A large bucket is
+   dealt into parts, and each pair of parts is one bounded group of rows. A task compares
+   the minima inside a group and hands on only a spanning forest of the pairs that agree
+   often enough for a link to be possible, at most one row for each row it got.
+3. The forests' components are clusters that no link leaves. Their full shingle sets are
+   compared in the same manner, in bounded groups, and again only a spanning forest of the
+   confirmed links goes on.
+4. Both forests become components by alternating large-star and small-star steps; then the
+   smallest document ids spread to all copies.
 
 With 24 bands of 5 minima a pair at the threshold of 0.85 meets in no band with probability
-(1 - 0.85^5)^24 < 1e-6, and a closer pair with less.
+(1 - 0.85^5)^24 < 1e-6, and a closer pair with less. No bucket or cluster is capped.
 
 Defined results: null and empty texts have no shingles and are linked with nothing (each is
 its own component); a text of fewer words than a shingle has its whole sequence as its only
@@ -25,12 +25,14 @@ no id when the smallest is taken; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlark.llm.common import space_words, table, text_bytes
@@ -40,10 +42,11 @@ SHINGLE = 3
 THRESHOLD = 85  # per cent of the union
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
-#: Least share of equal minima at which a pair is still confirmed on the full sets. At a true
-#: similarity s the share has deviation sqrt(s (1 - s) / HASHES); this stands six below s.
-SLACK = 6
-HUBS_STEP = 4  # a bucket may name 1, 4, 16, ... hubs in successive rounds
+#: Pairs whose share of equal minima is this many deviations below the threshold are no link.
+SLACK = 5
+#: Sizes of a part of a bucket in classes and of a cluster in shingles.
+PART_CLASSES = 1024
+PART_SHINGLES = 400_000
 
 _SEEDS = np.random.default_rng(20240229)
 _A = _SEEDS.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,6 +60,13 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX[61] ^ (x >> np.uint64(32))
 
 
+def word_hashes(texts: Sequence[Sequence[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """64-bit hashes of the distinct words of some texts, and each text as places in them."""
+    code: dict[bytes, int] = {}
+    coded = [np.array([code.setdefault(w, len(code)) for w in words], np.int64) for words in texts]
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in code), np.uint64, len(code)), coded
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Distinct 64-bit hashes of the n-word shingles, from 64-bit word hashes."""
     if len(words) == 0:
@@ -79,104 +89,200 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
-    return _stir((rows * _MIX[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX[40]).view(np.int64)
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """The band keys of signatures, one row each."""
+    rows = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    return _stir((rows * _MIX[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX[40]).view(np.int64)
 
 
-SKETCH = "doc_id long, row_hash long, class binary, n_shingles long, signature binary, bands array<long>"
+SKETCH = "doc_id long, row_hash long, class binary, n_shingles long, signature binary"
 
 
 def sketches(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: its class, set size, minima and band keys (null without words)."""
+    """One row per document: its class, set size and minima (null without words)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
 
     def sketch(batches):
         for batch in batches:
-            code: dict[bytes, int] = {}
             texts = [space_words(t) for t in text_bytes(batch, "text")]
-            coded = [[code.setdefault(w, len(code)) for w in words] for words in texts]
-            hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in code), np.uint64, len(code))
-            out: dict[str, list] = {"class": [], "n_shingles": [], "signature": [], "bands": []}
+            hashed, coded = word_hashes(texts)
+            out: dict[str, list] = {"class": [], "n_shingles": [], "signature": []}
             for words, codes in zip(texts, coded, strict=True):
-                found = shingle_hashes(hashed[codes] if codes else hashed[:0], shingle)
+                found = shingle_hashes(hashed[codes], shingle)
                 out["n_shingles"].append(len(found))
                 if len(found) == 0:
-                    for c in ("class", "signature", "bands"):
+                    for c in ("class", "signature"):
                         out[c].append(None)
                     continue
-                signature = minima(found)
                 out["class"].append(hashlib.md5(b" ".join(words)).digest())
-                out["signature"].append(signature.tobytes())
-                out["bands"].append(band_keys(signature))
+                out["signature"].append(minima(found).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_hash"), pa.array(out["class"], pa.binary()), pa.array(out["n_shingles"], pa.int64()), pa.array(out["signature"], pa.binary()), pa.array(out["bands"], pa.list_(pa.int64()))],
-                names=["doc_id", "row_hash", "class", "n_shingles", "signature", "bands"],
+                [batch.column("doc_id"), batch.column("row_hash"), pa.array(out["class"], pa.binary()), pa.array(out["n_shingles"], pa.int64()), pa.array(out["signature"], pa.binary())],
+                names=["doc_id", "row_hash", "class", "n_shingles", "signature"],
             )
 
     return slim.mapInArrow(sketch, SKETCH)
 
 
-def shingle_set(words: Sequence[bytes], code: dict[bytes, int], n: int) -> set:
-    ids = [code.setdefault(w, len(code)) for w in words]
-    if len(ids) < n:
-        return {tuple(ids)} if ids else set()
-    return set(zip(*(ids[i:] for i in range(n)), strict=False))
-
+def banded(classes: DataFrame) -> DataFrame:
+    """(class, band): a row for each band key of a class."""
 
-def alike(n_both: int, n_a: int, n_b: int, threshold: int = THRESHOLD) -> bool:
-    return 100 * n_both >= threshold * (n_a + n_b - n_both)
-
-
-def agreeing(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs whose minima agree often enough for a link to be possible."""
-    share = threshold / 100
-    least = (share - SLACK * (share * (1 - share) / HASHES) ** 0.5) * HASHES
-
-    def keep(batches):
+    def spread(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in ("sig_a", "sig_b"))
-            ok = pa.array([int((x == y).sum()) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(ok)
+            if batch.num_rows:
+                signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+                names = batch.column("class").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(band_keys(signatures).ravel())], names=["class", "band"])
+
+    return classes.select("class", "signature").mapInArrow(spread, "class binary, band long")
+
+
+def paired_parts(rows: DataFrame, key: str, parts: Column) -> DataFrame:
+    """Deal each key's rows into parts and give every pair of parts (i, j) its rows, so that
+    any two rows of a key meet in a group that holds two parts at most."""
+    own = F.pmod(F.xxhash64("class", F.lit(7)), F.col("_parts"))
+    dealt = rows.withColumn("_parts", parts.cast("long")).withColumn("_own", own)
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    paired = met.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_parts", "_own", "_other")
+    return paired.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted rows, with the groups' bounds."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        bounds = _bounds(rows, key)
+        if len(bounds) > 2:
+            yield rows.slice(0, bounds[-2]), bounds[:-1]
+            held = rows.slice(bounds[-2]).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, _bounds(rows, key)
+
+
+def _bounds(rows: pa.Table, key: str) -> np.ndarray:
+    changes = np.zeros(rows.num_rows, bool)
+    for name in (key, "i", "j"):
+        column = rows.column(name).combine_chunks()
+        if len(column) > 1:
+            same = pc.equal(column.slice(1), column.slice(0, len(column) - 1))
+            changes[1:] |= ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
+    return np.concatenate(([0], np.flatnonzero(changes), [rows.num_rows]))
+
+
+def least_labels(adjacent: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric adjacency matrix, the least row of its component."""
+    labels = np.arange(len(adjacent))
+    while True:
+        reached = np.minimum(labels, np.where(adjacent, labels[None, :], len(labels)).min(axis=1))
+        reached = np.minimum(reached, reached[reached])
+        if (reached == labels).all():
+            return labels
+        labels = reached
 
-    return pairs.mapInArrow(keep, "a binary, b binary")
 
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts of equal minima between all rows of two signature matrices."""
+    out = np.empty((len(a), len(b)), np.int16)
+    for at in range(0, len(a), 64):
+        out[at : at + 64] = (a[at : at + 64, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
+    return out
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs of classes that are alike on their full shingle sets."""
-    a, b = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
 
-    def check(batches):
-        last, code, one = None, {}, set()
-        for batch in batches:
-            ok = []
-            rows = zip(batch.column("a").to_pylist(), text_bytes(batch, "text_a"), text_bytes(batch, "text_b"), strict=True)
-            for name, text_a, text_b in rows:
-                if name != last:
-                    last, code = name, {}
-                    one = shingle_set(text_a.split(b" "), code, shingle)
-                other = shingle_set(text_b.split(b" "), dict(code), shingle)
-                ok.append(alike(len(one & other), len(one), len(other), threshold))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    # The hub's text comes last, so that its rows lie next to each other.
-    return pairs.join(b, "b").join(a, "a").mapInArrow(check, "a binary, b binary")
-
-
-def class_texts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
-    """The normalised words of one document of each wanted class (class, row_hash)."""
+def least_agreement(threshold: int) -> float:
+    share = threshold / 100
+    return (share - SLACK * (share * (1 - share) / HASHES) ** 0.5) * HASHES
+
+
+FOREST = "a binary, b binary"
+
+
+def _edges(names: pa.Array, a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    ends = [names.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ends], names=["a", "b"])
+
+
+def likely(buckets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """A spanning forest of the pairs of a bucket whose minima agree often enough."""
+    least = least_agreement(threshold)
+
+    def compare(batches):
+        for rows, bounds in whole_groups(batches, "band"):
+            signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+            sizes, a, b = np.diff(bounds), [], []
+            for size in (2, 3):  # most buckets: compared in one step
+                starts = bounds[:-1][sizes == size]
+                for x, y in combinations(range(size), 2):
+                    near = (signatures[starts + x] == signatures[starts + y]).sum(axis=1) >= least
+                    a.append(starts[near] + x)
+                    b.append(starts[near] + y)
+            for start, end in zip(bounds[:-1][sizes > 3].tolist(), bounds[1:][sizes > 3].tolist(), strict=True):
+                own = signatures[start:end]
+                labels = least_labels(agreement(own, own) >= least)
+                moved = np.flatnonzero(labels != np.arange(len(labels)))
+                a.append(moved + start)
+                b.append(labels[moved] + start)
+            yield _edges(rows.column("class").combine_chunks(), a, b)
+
+    return buckets.mapInArrow(compare, FOREST)
+
+
+def confirmed(clusters: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """A spanning forest of the links of a cluster, found on the full shingle sets."""
+    least = least_agreement(threshold)
+
+    def compare(batches):
+        for rows, bounds in whole_groups(batches, "cluster"):
+            a, b = [], []
+            packed_sets, packed = rows.column("shingles").to_pylist(), rows.column("signature").to_pylist()
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in packed_sets[start:end]]
+                sizes = np.array([len(x) for x in sets])
+                signatures = np.frombuffer(b"".join(packed[start:end]), np.uint32).reshape(-1, HASHES)
+                labels = np.arange(len(sets))
+                # Rows with the most likely links first: what they join is not compared again.
+                near = agreement(signatures, signatures) >= least
+                for one in np.argsort(-near.sum(axis=1), kind="stable").tolist():
+                    others = np.flatnonzero(near[one] & (labels != labels[one]) & (100 * np.minimum(sizes, sizes[one]) >= threshold * np.maximum(sizes, sizes[one])))
+                    if not len(others):
+                        continue
+                    pooled = np.concatenate([sets[x] for x in others])
+                    at = np.minimum(np.searchsorted(sets[one], pooled), sizes[one] - 1)
+                    both = np.add.reduceat(sets[one][at] == pooled, np.concatenate(([0], np.cumsum(sizes[others])[:-1])), dtype=np.int64)
+                    for other in others[100 * both >= threshold * (sizes[others] + sizes[one] - both)].tolist():
+                        if labels[other] != labels[one]:
+                            labels[labels == labels[other]] = labels[one]
+                            a.append(np.array([start + one]))
+                            b.append(np.array([start + other]))
+            yield _edges(rows.column("class").combine_chunks(), a, b)
+
+    return clusters.mapInArrow(compare, FOREST)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The full sorted shingle set of each wanted class (class, row_hash), from one of its texts."""
     picked = docs.select(F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
     picked = picked.join(wanted.select("row_hash").distinct(), "row_hash", "left_semi")
 
-    def name(batches):
+    def sets(batches):
         for batch in batches:
-            texts = [b" ".join(space_words(t)) for t in text_bytes(batch, "text")]
+            words = [space_words(t) for t in text_bytes(batch, "text")]
+            hashed, coded = word_hashes(words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([t.decode() for t in texts], pa.string())], names=["class", "text"]
+                [
+                    pa.array([hashlib.md5(b" ".join(w)).digest() for w in words], pa.binary()),
+                    pa.array([shingle_hashes(hashed[c], shingle).tobytes() for c in coded], pa.binary()),
+                ],
+                names=["class", "shingles"],
             )
 
-    named = picked.select("text").mapInArrow(name, "class binary, text string")
-    return named.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    named = picked.select("text").mapInArrow(sets, "class binary, shingles binary")
+    # Copies of a text share its row hash, so each class comes once for every copy.
+    return named.join(wanted.drop("row_hash"), "class").groupBy("class").agg(*[F.first(c).alias(c) for c in ("shingles", *wanted.drop("row_hash", "class").columns)])
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -215,49 +321,15 @@ def star_components(links: DataFrame) -> DataFrame:
 
 def linked_classes(classes: DataFrame, docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, root) of all classes that are linked with another one."""
-    spark = classes.sparkSession
-    banded = classes.select("class", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub")).where("n > 1")
-    members = stored(banded.join(shared.select("band", "hub"), "band"), "buckets")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    if members.isEmpty():
-        return roots
-    wanted = members.select("class").distinct().join(classes.select("class", "row_hash", "n_shingles", "signature"), "class")
-    wanted = stored(wanted, "candidates")
-    texts = stored(class_texts(docs, wanted, text_col), "texts")
-    left, right = (wanted.select(F.col("class").alias(s), F.col("signature").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}")) for s in "ab")
-
-    open_ = members.select("band", "class", F.col("class").alias("root"))
-    hubs = members.where("class = hub").select("band", "class", F.col("class").alias("root"))
-    n_hubs = 1
-    while True:
-        named = hubs.select("band", F.col("class").alias("a"), F.col("root").alias("root_a"))
-        pairs = open_.join(named, "band").where("class != a AND root != root_a").select("a", F.col("class").alias("b")).distinct()
-        close = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-        links = stored(confirmed(agreeing(close.select("a", "b", "sig_a", "sig_b"), threshold), texts, shingle, threshold), "confirmed")
-        # Links between components known so far, as links between their roots.
-        known = roots.select(F.col("node").alias("class"), F.col("root").alias("known"))
-        ends = links
-        for end in "ab":
-            ends = ends.join(known.withColumnsRenamed({"class": end, "known": f"root_{end}"}), end, "left")
-        lifted = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        joined = star_components(lifted)
-        moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
-        moved = moved.select("node", F.coalesce("new", "root").alias("root")).union(joined)
-        roots = stored(moved.distinct(), "roots")
-
-        left_open = open_.join(hubs.select("band", "class"), ["band", "class"], "left_anti").select("band", "class")
-        left_open = left_open.join(roots.withColumnsRenamed({"node": "class"}), "class", "left").select("band", "class", F.coalesce("root", "class").alias("root"))
-        mixed = left_open.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s")
-        open_ = stored(left_open.join(mixed.select("band"), "band", "left_semi"), "open")
-        if open_.isEmpty():
-            return roots
-        n_hubs *= HUBS_STEP
-        sizes = open_.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-        outside = open_.join(sizes, ["band", "root"]).join(largest, "band").where("root != largest")
-        order = Window.partitionBy("band").orderBy("n", "root", "class")
-        hubs = stored(outside.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n_hubs).select("band", "class", "root"), "hubs")
+    spread = stored(banded(classes), "bands")
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = spread.join(shared, "band").join(classes.select("class", "signature"), "class")
+    near = star_components(likely(paired_parts(members, "band", F.ceil(F.col("n") / PART_CLASSES)), threshold))
+    clusters = near.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.select("class", "row_hash", "n_shingles", "signature"), "class")
+    sets = stored(shingle_sets(docs, clusters, text_col, shingle), "sets")
+    totals = sets.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
+    rows = sets.join(totals, "cluster").drop("n_shingles")
+    return star_components(confirmed(paired_parts(rows, "cluster", F.ceil(F.col("total") / PART_SHINGLES)).drop("total"), threshold))
 
 
 def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -268,7 +340,7 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rows = stored(sketches(docs, text_col, id_col, shingle), "sketches")
     with_words = rows.where("class IS NOT NULL")
     classes = stored(
-        with_words.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row_hash").alias("row_hash"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
+        with_words.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row_hash").alias("row_hash"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
         "classes",
     )
     roots = linked_classes(classes, docs, text_col, shingle, threshold)
@@ -283,17 +355,17 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The documents that are the smallest id of their component, one row for each.
 
-    Documents without words are kept. Where a kept id is repeated, copies of its text are
-    reduced to one row.
+    Documents without words are kept. Where rows repeat a kept id and text, one stays.
     """
     found = components(docs, text_col, id_col, shingle, threshold)
-    keep = found.where("kept AND class IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    id_ = F.col(id_col).cast("long")
-    blank = F.coalesce(F.trim(F.regexp_replace(text_col, "[\\x20\\x09-\\x0D]+", "")), F.lit("")) == ""
-    chosen = hashed.where(~blank).join(keep, id_.eqNullSafe(F.col("_id")) & (F.col("_hash") == keep["_hash"]), "left_semi")
-    first = chosen.dropDuplicates([id_col, "_hash"])
-    return first.unionByName(hashed.where(blank)).select(*docs.columns)
+    keep = stored(found.where("kept").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("_n"), F.first("n_shingles").alias("_size")), "kept")
+    hashed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    chosen = hashed.join(keep.withColumnRenamed("doc_id", "_kept_id").select("_kept_id", "row_hash", "_n", "_size"), F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("row_hash")))
+    once = F.expr("_n = 1 OR _size = 0")
+    out = chosen.where(once)
+    if not keep.where(~once).isEmpty():
+        out = out.unionByName(chosen.where(~once).dropDuplicates(["_id", "_hash"]))
+    return out.select(*docs.columns)
 
 
 def op4_near_dups(spark, sf_dir: str) -> DataFrame:
