@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "near_dups"]
+MODULES = ["decontaminate", "near_dups", "packing", "mixing", "quality"]
 
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
