@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "near_dups", "packing", "mixing", "quality"]
+MODULES = ["secret_scan", "decontaminate", "near_dups", "quality", "packing", "reply_trees", "mixing"]
 
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
