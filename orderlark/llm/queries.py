@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["secret_scan", "decontaminate", "near_dups", "quality", "packing", "reply_trees", "mixing"]
+MODULES = ["secret_scan", "decontaminate", "fixity", "near_dups", "html_text", "quality", "packing", "reply_trees", "mixing", "toxicity"]
 
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
