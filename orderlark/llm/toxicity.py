@@ -1,16 +1,17 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Texts are cut into sentences and those into units: words without punctuation, and runs of
-spaced single characters joined. Two units are compared by the gap-weighted subsequence kernel
-of ORDER letters (gaps decay by DECAY), normalised, so that inserted, spaced or doubled
-characters cost a little and not the match. A sentence's value for a landmark is that of its
-most similar unit, and a document's score that of its worst sentence.
-
-Landmarks are the words that labelled toxic texts hold far oftener than others. The Nystroem
-map (inverse root of the landmarks' kernel matrix) gives the features of a linear machine
-with squared hinge, trained on labelled sentences: those of clean texts, and from each toxic
-text the one sentence that the machine of the round before finds worst. A logistic curve on
-the margins of whole texts turns them into scores.
+Texts are cut into sentences and those into units: words without punctuation, and every tail of
+a run of spaced single characters joined. A unit is compared with a landmark by the gap-weighted
+subsequence kernel of ORDER letters (gaps decay by DECAY), normalised, over the unit's beginnings
+of about the landmark's length; marks of a word's start and end count as letters. So inserted,
+spaced or doubled characters cost a little and not the match. A sentence's value for a landmark is
+that of its most similar unit, and a text's is log2(1 + sum of its sentences' values).
+
+Landmarks are the words and word beginnings that labelled toxic texts hold, once or repeatedly,
+far oftener than others. The Nystroem map (inverse root of the landmarks' kernel matrix) and the
+text's length give the features of a linear machine with squared hinge, trained on the sentences
+of labelled texts, pooled by text since that is what a label marks. A logistic curve on the
+margins turns them into scores.
 
 The fit uses a bounded sample of labelled rows: at most MOST_TOXIC and MOST_CLEAN texts, those
 with the smallest hash of their id, never a held-out one. Scoring is one pass over all texts.
@@ -25,7 +26,8 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -37,19 +39,23 @@ from orderlark.llm.common import table
 from orderlark.session import stored
 
 ORDER, DECAY = 3, 0.7
-LANDMARKS = 24
+LANDMARKS = 32
+#: Characters of a word's beginning that may be a landmark, and of a whole word.
+BEGINNINGS, WHOLE = range(3, 9), 16
 #: A landmark's class association as a share of the strongest one.
-MIN_ASSOCIATION = 0.25
+MIN_ASSOCIATION = 0.1
 #: Share of a landmark's letters that a unit must hold, in any order, to be compared at all.
 MIN_LETTERS = 0.75
-#: Similarities below this count as none.
-MIN_SIMILARITY = 0.5
-#: Longer units are compared in overlapping windows.
-LONGEST = 24
+#: Similarities below this count as none; the others are raised to a power, which keeps a
+#: near match and takes most from the many faint ones of a long text.
+MIN_SIMILARITY, POWER = 0.55, 4
+#: Characters that a unit's compared beginning may have more than the landmark.
+EXTRA = 3
+FIRST, LAST = b"\x02", b"\x03"  # marks of a unit's start and end
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
-WORST = 3  # sentences kept of a training text
 HELD_OUT_OF = 5
 CACHED = 400_000  # units a task remembers
+LOT_BYTES = 4 << 20  # text compared at a time
 
 SENTENCE = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n+")
 PUNCTUATION = string.punctuation.encode()
@@ -57,33 +63,24 @@ SPACED = re.compile(rb"(?:(?<=[\x20\x09-\x0D])|(?<![\x00-\xff]))(?:[a-z0-9][\x20
 
 
 def units(text: bytes) -> list[bytes]:
-    """Words without ASCII punctuation, and joined runs of spaced single characters."""
+    """Words without ASCII punctuation, and the tails of joined runs of spaced characters."""
     plain = text.translate(None, PUNCTUATION)
     words = plain.split()
-    words += [b"".join(m[0].split()) for m in SPACED.finditer(plain)]
+    for m in SPACED.finditer(plain):
+        run = b"".join(m[0].split())
+        words += [run[i:] for i in range(len(run) - ORDER + 1)]
     return words
 
 
-def windows(unit: bytes) -> list[bytes]:
-    if len(unit) <= LONGEST:
-        return [unit]
-    step = LONGEST // 2
-    return [unit[i : i + LONGEST] for i in range(0, len(unit) - step, step)]
-
-
-def padded(pieces: Sequence[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(p.ljust(LONGEST, b"\0") for p in pieces), np.uint8).reshape(-1, LONGEST)
-
-
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Gap-weighted subsequence kernel of ORDER letters between the rows of two code tables
-    (one row of b may stand for all). Zero codes match nothing."""
-    n, rows = len(a), a.shape[1]
-    columns = b.shape[1]
+def prefix_terms(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Terms of the gap-weighted subsequence kernel of ORDER letters between the rows of two
+    code tables (one row of b may stand for all): the kernel of the first i letters of one and
+    the first j of the other is the sum of the terms up to i and j. Zero codes match nothing."""
+    n, rows, columns = len(a), a.shape[1], b.shape[1]
     same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
     inner = np.ones((n, rows + 1, columns + 1))
     for _ in range(ORDER - 1):
-        # outer[i][j]: decayed sum over matches of length one more within the first i and j letters
+        # outer[i][j]: decayed sum over matches of one letter more within the first i and j
         outer = np.zeros_like(inner)
         for i in range(1, rows + 1):
             matched = same[:, i - 1, :] * inner[:, i - 1, :-1] * DECAY**2
@@ -92,11 +89,20 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 run[:, j] = DECAY * run[:, j - 1] + matched[:, j - 1]
             outer[:, i, :] = DECAY * outer[:, i - 1, :] + run
         inner = outer
-    return DECAY**2 * (same * inner[:, :-1, :-1]).sum(axis=(1, 2))
+    return DECAY**2 * same * inner[:, :-1, :-1]
+
+
+def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return prefix_terms(a, b).sum(axis=(1, 2))
 
 
-def self_kernel(pieces: np.ndarray) -> np.ndarray:
-    return np.concatenate([kernel(pieces[i : i + 2000], pieces[i : i + 2000]) for i in range(0, len(pieces), 2000)]) if len(pieces) else np.zeros(0)
+def prefix_similarity(a: np.ndarray, code: np.ndarray, norm: float, least: int) -> np.ndarray:
+    """The best normalised kernel of a code with the beginnings of at least `least` letters."""
+    with_code = prefix_terms(a, code).sum(axis=2).cumsum(axis=1)
+    own = prefix_terms(a, a).cumsum(axis=1).cumsum(axis=2)
+    lengths = np.arange(a.shape[1])
+    values = with_code / np.sqrt(np.maximum(own[:, lengths, lengths] * norm, 1e-300))
+    return values[:, least - 1 :].max(axis=1)
 
 
 class Similarity:
@@ -106,29 +112,29 @@ class Similarity:
         self.landmarks = list(landmarks)
         self.codes = [np.frombuffer(x, np.uint8)[None, :] for x in self.landmarks]
         self.norms = [float(kernel(c, c)[0]) for c in self.codes]
+        self.longest = max([c.shape[1] for c in self.codes], default=0) + EXTRA
         self.known: dict[bytes, int] = {}
         self.values = [np.zeros(len(self.landmarks), np.float32)]
 
-    def _piece_values(self, pieces: Sequence[bytes]) -> np.ndarray:
-        out = np.zeros((len(pieces), len(self.landmarks)), np.float32)
-        for at in range(0, len(pieces), 50_000):
-            table_ = padded(pieces[at : at + 50_000])
-            counts = np.zeros((len(table_), 256), np.uint8)
-            places = np.arange(len(table_))
-            for column in table_.T:
-                counts[places, column] += 1
-            own = np.full(len(table_), np.nan)
+    def _values(self, found: Sequence[bytes]) -> np.ndarray:
+        out = np.zeros((len(found), len(self.landmarks)), np.float32)
+        for at in range(0, len(found), 50_000):
+            lot = [FIRST + u[: self.longest] + LAST for u in found[at : at + 50_000]]
+            letters = np.frombuffer(b"".join(u[: self.longest].ljust(self.longest, b"\0") for u in lot), np.uint8).reshape(-1, self.longest)
+            masks = np.bitwise_or.reduce(np.uint64(1) << (letters & 63).astype(np.uint64), axis=1)
             for k, codes in enumerate(self.codes):
-                letters, needed = np.unique(codes[0], return_counts=True)
-                shared = np.minimum(counts[:, letters], needed.astype(np.uint8)).sum(axis=1, dtype=np.int64)
-                near = np.flatnonzero(shared >= MIN_LETTERS * codes.shape[1])
-                if not len(near):
-                    continue
-                fresh = near[np.isnan(own[near])]
-                own[fresh] = self_kernel(table_[fresh])
-                raw = np.concatenate([kernel(table_[near[i : i + 2000]], codes) for i in range(0, len(near), 2000)])
-                out[at + near, k] = raw / np.sqrt(np.maximum(own[near] * self.norms[k], 1e-300))
-        return np.where(out >= MIN_SIMILARITY, out, 0)
+                size = codes.shape[1]
+                distinct, needed = np.unique(codes[0], return_counts=True)
+                # A unit without enough of the landmark's letters needs no kernel.
+                mask = np.bitwise_or.reduce(np.uint64(1) << (distinct & 63).astype(np.uint64))
+                near = np.flatnonzero(np.bitwise_count(~masks & mask) <= (1 - MIN_LETTERS) * size)
+                beginning = letters[near, : size + EXTRA]
+                shared = sum(np.minimum((beginning == x).sum(axis=1), n) for x, n in zip(distinct, needed, strict=True))
+                enough = shared >= MIN_LETTERS * size
+                near, beginning = near[enough], beginning[enough]
+                for part in range(0, len(near), 2000):
+                    out[at + near[part : part + 2000], k] = prefix_similarity(beginning[part : part + 2000], codes, self.norms[k], max(ORDER, size - EXTRA))
+        return np.where(out >= MIN_SIMILARITY, out, 0) ** POWER
 
     def places(self, found: Sequence[bytes]) -> list[int]:
         """For each unit the place of its values; 0 is no similarity to any landmark."""
@@ -136,11 +142,7 @@ class Similarity:
         if len(self.known) + len(new) > CACHED:
             self.known, self.values, new = {}, self.values[:1], list(set(found))
         if new:
-            cut = [windows(u) for u in new]
-            values = self._piece_values(list(chain.from_iterable(cut)))
-            if len(values):
-                values = np.maximum.reduceat(values, np.cumsum([0, *map(len, cut[:-1])]))
-            for unit, row in zip(new, values, strict=True):
+            for unit, row in zip(new, self._values(new), strict=True):
                 if row.any():
                     self.known[unit] = len(self.values)
                     self.values.append(row)
@@ -148,27 +150,37 @@ class Similarity:
                     self.known[unit] = 0
         return [self.known[u] for u in found]
 
-    def sentences(self, texts: Sequence[bytes]) -> list[list[np.ndarray]]:
-        """For each text the values of its sentences that resemble a landmark at all."""
+    def pooled(self, texts: Sequence[bytes]) -> np.ndarray:
+        """For each text its value for every landmark, and last the log of its length in units."""
         whole = [units(t) for t in texts]
         places = self.places(list(chain.from_iterable(whole)))
-        out, at = [], 0
-        for text, found in zip(texts, whole, strict=True):
-            rows = []
+        out, at = np.zeros((len(texts), len(self.landmarks) + 1)), 0
+        for i, (text, found) in enumerate(zip(texts, whole, strict=True)):
             if any(places[at : at + len(found)]):
-                parts = [units(s) for s in SENTENCE.split(text)]
-                flat = self.places(list(chain.from_iterable(parts)))
-                start = 0
-                for part in parts:
-                    hit = {p for p in flat[start : start + len(part)] if p}
-                    start += len(part)
+                total = np.zeros(len(self.landmarks))
+                for part in SENTENCE.split(text):
+                    hit = {p for p in (self.known.get(u, 0) for u in units(part)) if p}
                     if hit:
-                        rows.append(np.max([self.values[p] for p in hit], axis=0))
+                        total += np.max([self.values[p] for p in hit], axis=0)
+                out[i, :-1] = np.log2(1 + total)
+            out[i, -1] = np.log2(1 + len(found))
             at += len(found)
-            out.append(rows)
         return out
 
 
+def lots(texts: Sequence[str | None]) -> Iterator[list[bytes]]:
+    """Lower-cased texts in lots of bounded size."""
+    lot, size = [], 0
+    for text in lowered(texts):
+        lot.append(text)
+        size += len(text)
+        if size >= LOT_BYTES:
+            yield lot
+            lot, size = [], 0
+    if lot:
+        yield lot
+
+
 def lowered(texts: Sequence[str | None]) -> list[bytes]:
     return [(t or "").lower().encode() for t in texts]
 
@@ -193,56 +205,68 @@ def landmarks(training: DataFrame) -> list[str]:
 
     def distinct(batches):
         for batch in batches:
-            toxic, found = [], []
+            toxic, found, often = [], [], []
             for label, text in zip(batch.column("toxic").to_pylist(), lowered(batch.column("text").to_pylist()), strict=True):
-                words = {w.decode() for w in units(text) if ORDER <= len(w) <= LONGEST}
-                toxic += [label] * len(words)
-                found += words
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(found, pa.string())], names=["toxic", "unit"])
+                parts: Counter[str] = Counter()
+                for word, n in Counter(units(text)).items():
+                    w = word.decode()
+                    for size in BEGINNINGS:
+                        if len(w) >= size:
+                            parts[FIRST.decode() + w[:size]] += n
+                    if ORDER <= len(w) <= WHOLE:
+                        parts[f"{FIRST.decode()}{w}{LAST.decode()}"] += n
+                toxic += [label] * len(parts)
+                found += parts
+                often += [n > 1 for n in parts.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(found, pa.string()), pa.array(often, pa.bool_())], names=["toxic", "unit", "often"])
 
     total = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
     n_toxic, n_clean = total.get(1, 0), total.get(0, 0)
     if not n_toxic or not n_clean:
         return []
     n = float(n_toxic + n_clean)
-    held = training.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(distinct, "toxic int, unit string")
-    counts = held.groupBy("unit").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m"))
-    excess = F.col("a") - F.col("m") * (n_toxic / n)
-    chi = excess * excess / (F.col("m") * (1 - F.col("m") / n) + 1)
-    top = counts.where(excess > 0).select("unit", chi.alias("chi")).orderBy(F.desc("chi"), "unit").limit(LANDMARKS).collect()
-    return [r["unit"] for r in top if r["chi"] >= MIN_ASSOCIATION * top[0]["chi"]]
+    held = training.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(distinct, "toxic int, unit string, often boolean")
+    twice = F.col("often").cast("int")
+    counts = held.groupBy("unit").agg(F.sum("toxic").alias("a1"), F.count(F.lit(1)).alias("m1"), F.sum(F.col("toxic") * twice).alias("a2"), F.sum(twice).alias("m2"))
+
+    def association(a: str, m: str) -> Column:
+        excess = F.greatest(F.lit(0.0), F.col(a) - F.col(m) * (n_toxic / n))
+        return excess * excess / (F.col(m) * (1 - F.col(m) / n) + 1)
+
+    chi = F.greatest(association("a1", "m1"), association("a2", "m2"))
+    # Longer ones first among equals; one that begins another says nothing new beside it.
+    top = counts.select("unit", chi.alias("chi")).orderBy(F.desc("chi"), F.desc(F.length("unit")), "unit").limit(LANDMARKS * len(BEGINNINGS)).collect()
+    chosen: list[str] = []
+    for r in top:
+        if r["chi"] >= MIN_ASSOCIATION * top[0]["chi"] and not any(r["unit"].startswith(c.rstrip(LAST.decode())) or c.startswith(r["unit"]) for c in chosen):
+            chosen.append(r["unit"])
+    return chosen[:LANDMARKS]
 
 
 class Machine:
     """Nystroem map, linear machine and logistic curve."""
 
-    def __init__(self, words: Sequence[str], rows: Sequence[tuple[int, list[np.ndarray]]]):
+    def __init__(self, words: Sequence[str], rows: np.ndarray, labels: np.ndarray):
         self.words = [w.encode() for w in words]
         self.ready = bool(self.words)
         if not self.ready:
             return
         similarity = Similarity(self.words)
-        own = np.array([[float(kernel(a, b)[0]) / np.sqrt(na * nb) for b, nb in zip(similarity.codes, similarity.norms, strict=True)] for a, na in zip(similarity.codes, similarity.norms, strict=True)])
+        own = np.array([[(kernel(a, b)[0] / np.sqrt(na * nb)) ** POWER for b, nb in zip(similarity.codes, similarity.norms, strict=True)] for a, na in zip(similarity.codes, similarity.norms, strict=True)])
         values, vectors = np.linalg.eigh((own + own.T) / 2)
         self.map = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        none = np.zeros(len(self.words))
-        toxic = [np.array(s or [none]) @ self.map for label, s in rows if label == 1]
-        clean = np.concatenate([np.array([none, *s]) @ self.map for label, s in rows if label == 0])
-        worst = np.array([s[np.argmax(np.linalg.norm(s, axis=1))] for s in toxic])
-        for _ in range(4):
-            self.weights, self.offset = hinge(np.concatenate([worst, clean]), np.concatenate([np.ones(len(worst)), -np.ones(len(clean))]))
-            worst = np.array([s[np.argmax(s @ self.weights)] for s in toxic])
-        margins = [self.margin(s) for _, s in rows]
-        self.slope, self.shift = curve(np.array(margins), np.array([label for label, _ in rows]))
-
-    def margin(self, sentences: Sequence[np.ndarray]) -> float:
-        least = self.offset  # a sentence that resembles no landmark
-        if not len(sentences):
-            return float(least)
-        return float(max(least, (np.array(sentences) @ self.map @ self.weights + self.offset).max()))
-
-    def score(self, sentences: Sequence[np.ndarray]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(sentences) + self.shift, -40, 40)))) if self.ready else 0.0
+        x = self.features(rows)
+        self.weights, self.offset = hinge(x, np.where(labels == 1, 1.0, -1.0))
+        self.slope, self.shift = curve(x @ self.weights + self.offset, labels)
+
+    def features(self, rows: np.ndarray) -> np.ndarray:
+        return np.hstack([rows[:, :-1] @ self.map, rows[:, -1:] / 10])
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        if not self.ready:
+            return np.zeros(len(rows))
+        margins = self.features(rows) @ self.weights + self.offset
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
 
 
 def hinge(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -282,18 +306,15 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def values(batches):
         similarity = Similarity([w.encode() for w in words])
         for batch in batches:
-            kept = []
-            for rows in similarity.sentences(lowered(batch.column("text").to_pylist())):
-                # The sentences nearest to any landmark.
-                kept.append([r.astype(float).tolist() for r in sorted(rows, key=lambda r: (-r.max(), r.tolist()))[:WORST]])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("toxic"), pa.array(kept, pa.list_(pa.list_(pa.float64())))], names=["_id", "toxic", "sentences"])
+            kept = [r.tolist() for lot in lots(batch.column("text").to_pylist()) for r in similarity.pooled(lot)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("toxic"), pa.array(kept, pa.list_(pa.float64()))], names=["_id", "toxic", "values"])
 
     if not words:
-        return Machine([], [])
+        return Machine([], np.zeros((0, 1)), np.zeros(0))
     found = training.select(F.col("_id").cast("string").alias("_id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    # WORST short rows for each of the bounded number of training texts.
-    rows = found.mapInArrow(values, "_id string, toxic int, sentences array<array<double>>").orderBy("_id").collect()
-    return Machine(words, [(r["toxic"], [np.array(s) for s in r["sentences"]]) for r in rows])
+    # A short row for each of the bounded number of training texts.
+    rows = found.mapInArrow(values, "_id string, toxic int, values array<double>").orderBy("_id").collect()
+    return Machine(words, np.array([r["values"] for r in rows]), np.array([r["toxic"] for r in rows]))
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,10 +327,7 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
         model = shared.value
         similarity = Similarity(model.words)
         for batch in batches:
-            scores = []
-            for at in range(0, batch.num_rows, 512):
-                texts = lowered(batch.column("text").slice(at, 512).to_pylist())
-                scores += [model.score(s) for s in similarity.sentences(texts)] if model.ready else [0.0] * len(texts)
+            scores = [x for lot in lots(batch.column("text").to_pylist()) for x in model.scores(similarity.pooled(lot)).tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
     found = slim.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
