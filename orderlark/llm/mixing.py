@@ -159,7 +159,7 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sourc
     each = found.select(*docs.columns, "_h", F.posexplode("_shards").alias("_pass", "_shard"))
     # A shard's rows go to several tasks of their own, in hashed order.
     each = each.withColumn("_order", F.xxhash64(F.lit(SEED + 2), "_h", "_pass"))
-    out = each.repartition("_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("_shard", "_order")
+    out = each.repartition("_shard", F.pmod("_order", F.lit(4096))).sortWithinPartitions("_shard", "_order")
     return out.select(*docs.columns)
 
 
