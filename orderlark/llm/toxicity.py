@@ -48,7 +48,7 @@ MIN_ASSOCIATION = 0.1
 MIN_LETTERS = 0.75
 #: Similarities below this count as none; the others are raised to a power, which keeps a
 #: near match and takes most from the many faint ones of a long text.
-MIN_SIMILARITY, POWER = 0.55, 4
+MIN_SIMILARITY, POWER = 0.55, 3
 #: Characters that a unit's compared beginning may have more than the landmark.
 EXTRA = 3
 FIRST, LAST = b"\x02", b"\x03"  # marks of a unit's start and end
