@@ -89,8 +89,10 @@ def path_messages(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     members = leaves.select("tree", "leaf", F.col("leaf").alias("message"), F.lit(0).cast("long").alias("at"))
     for k, jump in reversed(list(enumerate(jumps))):
         hop = jump.withColumnsRenamed({"tree": "_t", "message": "_m"})
-        reached = members.join(hop, same("tree", "_t") & (F.col("message") == F.col("_m")))
-        members = members.union(reached.select("tree", "leaf", F.col("up"), F.col("at") + (1 << k)))
+        met = members.join(hop, same("tree", "_t") & (F.col("message") == F.col("_m")), "left")
+        # Each member stays and brings the ancestor the jump leads to; one plan, no copies of it.
+        both = F.array(F.struct("message", "at"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("message"), (F.col("at") + (1 << k)).alias("at"))))
+        members = met.select("tree", "leaf", F.explode(both).alias("m")).where("m IS NOT NULL").select("tree", "leaf", "m.message", "m.at")
     return members
 
 
