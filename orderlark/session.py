@@ -29,9 +29,11 @@ def local_session(cores: str = "8", app: str = "orderlark", **conf: str) -> Spar
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach: spark.checkpoint.dir. Where the session names
-    none (single-machine tests) the context gets a temporary one, and keeps it."""
+    none, a single-machine context gets a temporary one and keeps it; a cluster is an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is None and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orderlark-"))
     return named or context.getCheckpointDir()
