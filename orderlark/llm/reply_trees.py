@@ -20,6 +20,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,24 +57,32 @@ def same(left: str, right: str) -> Column:
 
 def pointers(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """From (tree, message, parent, score): each message's root, depth and path score, and the
-    tables of 1st, 2nd, 4th, ... ancestors (tree, message, up)."""
+    tables of 1st, 2nd, 4th, ... ancestors (tree, message, up).
+
+    A path without a cycle has at most as many messages as its tree, so a tree takes part
+    in log2(its size) rounds, and only messages that have not met their root are joined.
+    """
     known = messages.select(F.col("tree").alias("_t"), F.col("message").alias("_m"))
     linked = messages.join(known, same("tree", "_t") & (F.col("parent") == F.col("_m")), "left")
-    state = stored(linked.select("tree", "message", F.col("_m").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("path")), "pointers")
-    jumps, rounds = [], 0
-    # A path without a cycle has at most as many messages as its tree.
-    longest = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while (1 << rounds) < 2 * longest and not state.where("up IS NOT NULL").isEmpty():
-        jumps.append(state.where("up IS NOT NULL").select("tree", "message", "up"))
-        above = state.select(F.col("tree").alias("_t"), F.col("message").alias("_m"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-        met = state.join(above, same("tree", "_t") & (F.col("up") == F.col("_m")), "left")
-        zero = F.lit(0)
-        state = stored(
-            met.select("tree", "message", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", zero)).alias("depth"), (F.col("path") + F.coalesce("_path", F.lit(0.0))).alias("path")),
-            "pointers",
-        )
-        rounds += 1
-    return state.where("up IS NULL").drop("up"), jumps
+    sizes = messages.groupBy(F.col("tree").alias("_t")).agg(F.count(F.lit(1)).alias("size"))
+    first = linked.drop("_t").join(sizes, same("tree", "_t"))
+    state = stored(first.select("tree", "message", F.col("_m").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("path"), "size"), "pointers")
+    reached, jumps = [], []
+    while True:
+        length = 1 << len(jumps)
+        live = state.where(F.col("size") > length)
+        below = live.where("up IS NOT NULL")
+        if below.isEmpty():
+            # No message looks further up; pointers left in finished trees belong to cycles.
+            reached.append(state.where("up IS NULL"))
+            break
+        reached.append(state.where((F.col("size") <= length) & F.col("up").isNull()))
+        jumps.append(below.select("tree", "message", "up"))
+        above = live.select(F.col("tree").alias("_t"), F.col("message").alias("_m"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        met = below.join(above, same("tree", "_t") & (F.col("up") == F.col("_m")))
+        met = met.select("tree", "message", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("path") + F.coalesce("_path", F.lit(0.0))).alias("path"), "size")
+        state = stored(live.where("up IS NULL").unionByName(met), "pointers")
+    return reduce(DataFrame.unionByName, reached).drop("up", "size"), jumps
 
 
 def best_leaves(messages: DataFrame, reached: DataFrame, top: int) -> DataFrame:
@@ -84,16 +94,29 @@ def best_leaves(messages: DataFrame, reached: DataFrame, top: int) -> DataFrame:
     return ranked.withColumnRenamed("message", "leaf")
 
 
+#: Jumps in one plan; then the members found so far are written.
+HOPS = 4
+
+
 def path_messages(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """(tree, leaf, message, at) of all messages of the chosen paths, at counting from the leaf."""
-    members = leaves.select("tree", "leaf", F.col("leaf").alias("message"), F.lit(0).cast("long").alias("at"))
+    """(tree, leaf, message, at) of all messages of the chosen paths, at counting from the leaf.
+
+    A path enters at the longest jump that fits into it.
+    """
+    start = leaves.select("tree", "leaf", F.col("leaf").alias("message"), F.lit(0).cast("long").alias("at"), "depth")
+    members = None
     for k, jump in reversed(list(enumerate(jumps))):
+        entering = start.where((F.col("depth") > (1 << k)) & (F.col("depth") <= (2 << k))).drop("depth")
+        members = entering if members is None else members.unionByName(entering)
         hop = jump.withColumnsRenamed({"tree": "_t", "message": "_m"})
         met = members.join(hop, same("tree", "_t") & (F.col("message") == F.col("_m")), "left")
         # Each member stays and brings the ancestor the jump leads to; one plan, no copies of it.
         both = F.array(F.struct("message", "at"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("message"), (F.col("at") + (1 << k)).alias("at"))))
         members = met.select("tree", "leaf", F.explode(both).alias("m")).where("m IS NOT NULL").select("tree", "leaf", "m.message", "m.at")
-    return members
+        if k and k % HOPS == 0:
+            members = stored(members, "members")
+    alone = start.where("depth = 1").drop("depth")
+    return alone if members is None else members.unionByName(alone)
 
 
 def conversations(messages: DataFrame, top: int = 1) -> DataFrame:

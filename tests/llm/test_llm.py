@@ -440,3 +440,30 @@ def test_pipeline_takes_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, SF_SMALL), "test")
     assert hashlib.sha256(str(docs.count()).encode()).hexdigest()
+
+
+def test_reply_trees_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for tree in [*range(40), None]:
+        n = rng.choice([1, 2, 3, 9, 40])
+        for m in range(1, n + 1):
+            parent = rng.choice([None, m - 1, rng.randint(1, n), 999]) if m > 1 else rng.choice([None, 1, 2])
+            rows.append((tree, m, parent, "assistant" if m % 2 else "user", f"x{m}", float(rng.randint(1, 5))))
+    df = spark.createDataFrame(rows, "tree int, message long, parent long, role string, text string, score double")
+    got = {(r["tree"], r["leaf"]): (r["n_turns"], r["score"], r["formatted"]) for r in reply_trees.conversations(df, top=3).collect()}
+    expected = {}
+    for tree in [*range(40), None]:
+        known = {r[1]: r for r in rows if r[0] == tree}
+        parents, paths = {r[2] for r in known.values()}, []
+        for leaf in known:
+            path, at = [], leaf
+            while at in known and at not in path:
+                path.append(at)
+                at = known[at][2]
+            if at not in known and leaf not in parents:
+                paths.append((-sum(known[m][5] for m in path), leaf, path))
+        for score, leaf, path in sorted(paths)[:3]:
+            said = [reply_trees.START + known[m][3] + reply_trees.BETWEEN + known[m][4] + reply_trees.END for m in reversed(path)]
+            expected[(tree, leaf)] = (len(path), -score, "".join(said))
+    assert got == expected
