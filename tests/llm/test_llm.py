@@ -1,6 +1,7 @@
 """The operators against brute force, and their defined results on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
