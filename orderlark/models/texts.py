@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlark.operators.evaluate import weighted_metrics
+from orderlark.functions.strings import strip
 from orderlark.operators.tfidf import tfidf_pipeline
 
 
@@ -82,7 +83,7 @@ def bayes_grid(train: DataFrame, label: str, alphas: Sequence[float] = (0.1, 0.5
     return search.fit(index.transform(train))
 
 
-def fit_text_model(train: DataFrame, text: str, label: str, estimator, max_features: int = 5000) -> PipelineModel:
+def fit_text_model(train: DataFrame, text: str, label: str, estimator, max_features: int | None = None) -> PipelineModel:
     """From raw text to label in one saved pipeline."""
     vectors = tfidf_pipeline(train, text, max_features=max_features)
     model = fit_classifier(vectors.transform(train), label, estimator)
@@ -91,7 +92,7 @@ def fit_text_model(train: DataFrame, text: str, label: str, estimator, max_featu
 
 def score_texts(model: PipelineModel, texts: DataFrame, text: str) -> DataFrame:
     """Labels of a batch of raw texts, which are lowered and trimmed first."""
-    cleaned = texts.withColumn(text, F.lower(F.trim(text)))
+    cleaned = texts.withColumn(text, F.lower(strip(text)))
     kept = [c for c in texts.columns]
     return model.transform(cleaned).select(*kept, "prediction")
 

@@ -1,8 +1,7 @@
 """Turns of a call: cleaning, merging, speakers, emotions and topics.
 
-Long texts and lists are built in parts of at most PART_ROWS turns, numbered from 0. An
-ordinary call has the single part 0; a very long one has its text in order over several
-rows, so that no task and no row ever holds a whole unbounded call.
+Results have one row per run or call at every size: the joined text is the result. Lists
+that need not be one value, as the taxonomy's, stay rows.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlark.functions.strings import strip
 from orderlark.operators.skew import (
     attach,
     carried,
@@ -23,8 +23,6 @@ from orderlark.operators.skew import (
     with_halo,
 )
 
-PART_ROWS = 1000
-
 # Phrase that speech recognition invents in silence, customer names as they
 # occur in analyses (compared in lower case), emotion codes, and the sentence texts.
 BOILERPLATE = ("zlədiyiniz üçün təşəkkürlər",)
@@ -37,15 +35,9 @@ TOO_SHORT_FOR_TOPIC = "Not enough data for topic classification."
 ROLES = ("customer", "operator")
 
 
-def _in_parts(turns: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Adds `part`: the row's place within its key, in steps of PART_ROWS."""
-    ranked = running_rank(turns, keys, [order], "_rn")
-    return ranked.withColumn("part", F.floor((F.col("_rn") - 1) / PART_ROWS).cast("int")).drop("_rn")
-
-
 def turn_filter(turns: DataFrame, min_seconds: float = 0.2, phrases: Sequence[str] = BOILERPLATE) -> DataFrame:
     """Drops very short turns, empty texts and texts that contain a boiler-plate phrase."""
-    out = turns.withColumn("text", F.trim("text")).where(F.col("end") - F.col("start") >= min_seconds)
+    out = turns.withColumn("text", strip("text")).where(F.col("end") - F.col("start") >= min_seconds)
     out = out.where(F.col("text") != "")
     for phrase in phrases:
         out = out.where(~F.lower("text").contains(phrase))
@@ -100,8 +92,7 @@ def _runs(turns: DataFrame, call: str, order: Sequence[str]) -> DataFrame:
 def merge_turns(turns: DataFrame, call: str = "conv_id", order: Sequence[str] = ("turn",)) -> DataFrame:
     """Consecutive turns of one speaker as one: texts joined, first start, last end and
     last emotion. `run` is the place of the run's first turn in the call."""
-    parts = _runs(turns, call, order).withColumn("part", F.floor((F.col("_rn") - F.col("_run")) / PART_ROWS).cast("int"))
-    return parts.groupBy(call, F.col("_run").alias("run"), "part", "speaker").agg(
+    return _runs(turns, call, order).groupBy(call, F.col("_run").alias("run"), "speaker").agg(
         ordered_join("_rn", "text", " ").alias("text"),
         F.max_by("emotion", "_rn").alias("emotion"),
         F.min_by("start", "_rn").alias("start"),
@@ -111,7 +102,7 @@ def merge_turns(turns: DataFrame, call: str = "conv_id", order: Sequence[str] =
 
 
 def is_customer(speaker: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(speaker, F.lit("")))).isin(*CUSTOMER_NAMES)
+    return F.lower(strip(F.coalesce(speaker, F.lit("")))).isin(*CUSTOMER_NAMES)
 
 
 def emotion_name(emotion: Column) -> Column:
@@ -140,45 +131,24 @@ def emotion_sentence(emotions: Column) -> Column:
 
 
 def emotion_trend(turns: DataFrame, call: str = "conv_id", order: str = "turn", named: bool = True) -> DataFrame:
-    """Per call: first and last customer emotion, and the trend sentence.
-
-    The sentence of a call is its `trend` texts in `part` order. First, last and count
-    come from an aggregate with map-side combine; the list itself is joined per part.
-    """
+    """Per call: number of customer emotions, the first and last one, and the trend sentence."""
     label = emotion_name(F.col("emotion")) if named else F.col("emotion")
-    spoken = turns.where(is_customer(F.col("speaker"))).withColumn("_emotion", label)
-    spoken = _in_parts(spoken.select(call, order, "_emotion"), [call], order)
-    lists = spoken.groupBy(call, "part").agg(
-        ordered_join(order, "_emotion", TREND_ARROW).alias("_list"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by("_emotion", order).alias("_first"),
-        F.max_by("_emotion", order).alias("_last"),
-    )
-    calls = lists.groupBy(call).agg(
-        F.max("part").alias("_to"),
-        F.sum("_n").alias("n_emotions"),
-        F.min_by("_first", "part").alias("start_emotion"),
-        F.max_by("_last", "part").alias("end_emotion"),
-    )
-    head = F.when(F.col("part") == 0, TREND_HEAD).otherwise(TREND_ARROW)
-    ending = F.concat(F.lit(". "), _closing(F.col("n_emotions"), F.col("start_emotion"), F.col("end_emotion")))
-    tail = F.when(F.col("part") == F.col("_to"), ending).otherwise("")
-    silent = turns.select(call).distinct()
-    heard = lists.join(calls, call).select(
+    # Turns of others are null and left out, so that silent calls keep an empty list.
+    heard = F.collect_list(F.when(is_customer(F.col("speaker")), F.struct(order, label.alias("_emotion"))))
+    calls = turns.groupBy(call).agg(F.sort_array(heard)["_emotion"].alias("_list"))
+    n = F.size("_list")
+    return calls.select(
         call,
-        "part",
-        "n_emotions",
-        "start_emotion",
-        "end_emotion",
-        F.concat(head, "_list", tail).alias("trend"),
+        n.cast("bigint").alias("n_emotions"),
+        F.get("_list", F.lit(0)).alias("start_emotion"),
+        F.get("_list", n - 1).alias("end_emotion"),
+        emotion_sentence(F.col("_list")).alias("trend"),
     )
-    return silent.join(heard, call, "left").fillna({"part": 0, "n_emotions": 0, "trend": NO_CUSTOMER})
 
 
 def speaker_texts(turns: DataFrame, call: str = "conv_id", order: str = "turn") -> DataFrame:
-    """All texts of a speaker in a call, joined by spaces, in numbered parts."""
-    parted = _in_parts(turns.select(call, "speaker", order, "text"), [call, "speaker"], order)
-    return parted.groupBy(call, "speaker", "part").agg(
+    """All texts of a speaker in a call, joined by spaces."""
+    return turns.groupBy(call, "speaker").agg(
         ordered_join(order, "text", " ").alias("text"), F.min(order).alias("first_turn"), F.count(F.lit(1)).alias("n_turns")
     )
 
@@ -236,12 +206,11 @@ def label_speakers(turns: DataFrame, roles: DataFrame, call: str = "conv_id") ->
 # --- topics -------------------------------------------------------------------------
 
 
-def taxonomy(topics: DataFrame, cls: str = "Class", sub: str = "Sub_class") -> DataFrame:
-    """Sub-classes per class without null rows, sorted, in parts of bounded size."""
-    pairs = topics.dropna(subset=[cls, sub]).select(F.col(cls).alias("class"), F.col(sub).alias("sub_class")).distinct()
-    sizes = pairs.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
-    placed = attach(pairs, sizes, ["class"]).withColumn("part", F.pmod(F.xxhash64("sub_class"), "_parts").cast("int"))
-    return placed.groupBy("class", "part").agg(F.sort_array(F.collect_list("sub_class")).alias("sub_classes"))
+def taxonomy(topics: DataFrame, order: Sequence[str], cls: str = "Class", sub: str = "Sub_class") -> DataFrame:
+    """(class, position, sub_class): each class's sub-classes without null rows, repeats
+    kept, in the order of the file."""
+    named = topics.dropna(subset=[cls, sub]).select(F.col(cls).alias("class"), F.col(sub).alias("sub_class"), *order)
+    return running_rank(named, ["class"], order, "position").select("class", "position", "sub_class")
 
 
 def normalise_scores(scores: DataFrame, doc: str, multi_label: bool = False) -> DataFrame:

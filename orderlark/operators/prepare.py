@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlark.functions.strings import SPACE_CLASS, strip
 from orderlark.operators.skew import attach
 
 # Column names of the sales input and the names used here.
@@ -74,8 +75,7 @@ def manufacturer_like(df: DataFrame, pattern: str, column: str = "manufacturer")
     return df.where(F.lower(F.col(column)).rlike(pattern.lower()))
 
 
-# Python's idea of white space, which is wider than Java's \s.
-NOT_SPACE = r"[^\s\x0B\x1c-\x1f\x85\p{Z}]+"
+NOT_SPACE = rf"[^{SPACE_CLASS}]+"
 WORD_CHARS = r"\p{L}\p{N}_"
 SHORT_GIBBERISH = r"\A[" + WORD_CHARS + r"\s.,\-']{0,10}\z"
 
@@ -85,7 +85,7 @@ def word_count(text: str | Column) -> Column:
 
 
 def trim_labels(df: DataFrame, label: str) -> DataFrame:
-    return df.withColumn(label, F.trim(F.col(label)))
+    return df.withColumn(label, strip(label))
 
 
 def missing_and_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -106,8 +106,9 @@ def remap_labels(df: DataFrame, label: str, mapping: Mapping[str, str]) -> DataF
 
 
 def correct_labels(df: DataFrame, corrections: DataFrame, key: str, label: str) -> DataFrame:
-    """Point updates: rows named in `corrections` (key, label) take the label given there."""
-    fixes = corrections.select(key, F.col(label).alias("_fixed"))
+    """Point updates: rows named in `corrections` (key, label) take the label given there;
+    of several corrections of one key the greatest label counts."""
+    fixes = corrections.groupBy(key).agg(F.max(label).alias("_fixed"))
     return df.join(fixes, key, "left").withColumn(label, F.coalesce("_fixed", label)).drop("_fixed")
 
 

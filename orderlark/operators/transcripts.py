@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlark.functions.scoring import service_label
+from orderlark.functions.strings import SPACE, strip
 from orderlark.operators.dialogue import emotion_sentence, is_customer
 from orderlark.operators.skew import bounded_window
 
-# The two line formats of transcripts.
-CLOCK_LINE = r"^\[\s*(\d{2}):(\d{2})\s*\]\s*(.*?):\s*(.*)"
-_MINUTES = r"(?:(\d+)\s*m(?!s)\s*)?"
-_SPAN_START = _MINUTES + r"(\d+)\s*s(?:\s*(\d+)\s*ms)?"
-_SPAN_END = r"(?:-\s*" + _MINUTES + r"(?:(\d+)\s*s\s*)?(?:(\d+)\s*ms)?\s*)?"
-SPAN_LINE = r"^\[\s*" + _SPAN_START + r"\s*" + _SPAN_END + r"([^\]]*)\s*\]\s*(.*)$"
+# A line is a bracket and what follows it. The bracket holds a clock, or one or two spans
+# (amounts with a unit) with a hyphen between and perhaps more words.
+BRACKET = r"(?s)\A\[([^\]]*)\](.*)"
+CLOCK = r"\A(\d\d):(\d\d)\z"
+AMOUNTS = rf"(?:\d+{SPACE}*(?:ms|m|s)(?!\p{{L}}){SPACE}*)+"
 SPEAKER_PREFIX = r"(?U)^\s*\w+:\s*"
 
 # Texts of failed or incomplete analyses.
@@ -28,7 +28,7 @@ NO_TOPIC = "No topic classified."
 FAILED = "Analysis failed."
 ANALYSIS_SCHEMA = (
     "dialogue array<struct<speaker string, text string, emotion string>>, topic string, summary string, "
-    "quality_assessment struct<score int, label string>, _corrupt string"
+    "quality_assessment struct<score string, label string>, _corrupt string"
 )
 
 
@@ -38,36 +38,37 @@ def lines_of(files: DataFrame, file: str, content: str) -> DataFrame:
     return lines.where(F.col("line") != "")
 
 
-def _clock(minutes: Column, seconds: Column, millis: Column | None = None) -> Column:
-    """Seconds from matched digit groups; an unmatched group counts 0."""
+def _seconds(amounts: Column) -> Column:
+    """Minutes, seconds and milliseconds of a run of amounts; a missing one counts 0."""
 
-    def number(c: Column) -> Column:
-        return F.coalesce(F.try_to_number(F.nullif(c, F.lit("")), F.lit("999999999")).cast("double"), F.lit(0.0))
+    def number(unit: str) -> Column:
+        digits = F.regexp_extract(amounts, rf"(\d+){SPACE}*{unit}(?!\p{{L}})", 1)
+        return F.coalesce(digits.try_cast("double"), F.lit(0.0))
 
-    total = number(minutes) * 60 + number(seconds)
-    return total if millis is None else total + number(millis) / 1000
+    return number("m") * 60 + number("s") + number("ms") / 1000
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Start, optional end and text of each timed line; other lines are dropped.
 
-    Lines `[MM:SS] Speaker: text` are tried first, then `[1m 2s 500ms - 1m 5s] text`.
+    Lines `[MM:SS] Speaker: text` are tried first, then `[1m 2s 500ms - 1m 5s] text`, whose
+    first span must name seconds. Words after the spans belong to the text.
     """
-
-    def clock(i: int) -> Column:
-        return F.regexp_extract(line, CLOCK_LINE, i)
-
-    def span(i: int) -> Column:
-        return F.regexp_extract(line, SPAN_LINE, i)
-
-    simple, flexible = F.col(line).rlike(CLOCK_LINE), F.col(line).rlike(SPAN_LINE)
-    joined = F.trim(F.concat_ws(" ", span(7), span(8)))
-    has_end = F.concat(span(4), span(5), span(6)) != ""
-    parsed = lines.where(simple | flexible).withColumns(
+    inside, rest = F.regexp_extract(line, BRACKET, 1), F.regexp_extract(line, BRACKET, 2)
+    body = strip(inside)
+    clock = body.rlike(CLOCK) & rest.contains(":")
+    minutes, seconds = (F.regexp_extract(body, CLOCK, i).try_cast("double") for i in (1, 2))
+    begin = F.regexp_extract(inside, rf"\A{SPACE}*({AMOUNTS})", 1)
+    after = F.regexp_replace(inside, rf"\A{SPACE}*{AMOUNTS}", "")
+    finish = F.regexp_extract(after, rf"\A-{SPACE}*({AMOUNTS})", 1)
+    words = F.regexp_replace(after, rf"\A-{SPACE}*(?:{AMOUNTS})?", "")
+    spoken = strip(F.concat_ws(" ", words, F.regexp_replace(rest, rf"\A{SPACE}+", "")))
+    span = begin.rlike(rf"\d{SPACE}*s(?!\p{{L}})")
+    parsed = lines.where(clock | span).withColumns(
         {
-            "start": F.when(simple, _clock(clock(1), clock(2))).otherwise(_clock(span(1), span(2), span(3))),
-            "end": F.when(~simple & has_end, _clock(span(4), span(5), span(6))),
-            "text": F.when(simple, F.trim(clock(4))).otherwise(F.trim(F.regexp_replace(joined, SPEAKER_PREFIX, ""))),
+            "start": F.when(clock, minutes * 60 + seconds).otherwise(_seconds(begin)),
+            "end": F.when(~clock & (finish != ""), _seconds(finish)),
+            "text": F.when(clock, strip(F.regexp_replace(rest, r"(?s)\A[^:]*:", ""))).otherwise(strip(F.regexp_replace(spoken, SPEAKER_PREFIX, ""))),
         }
     )
     return parsed.where(F.col("text") != "").drop(line)
@@ -120,8 +121,9 @@ def segment_issue(text: str = "text", duration: str = "duration") -> Column:
 
 def parse_analysis(answers: DataFrame, column: str = "answer") -> DataFrame:
     """Decode analysis answers: code fences removed, missing fields defaulted, and an
-    `error` instead of a failure where the text is no JSON object."""
-    bare = F.trim(F.replace(F.replace(F.trim(F.col(column)), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+    `error` instead of a failure where the text is no JSON object. Scores may be whole or
+    not, also quoted; one that is no number counts as missing."""
+    bare = strip(F.replace(F.replace(strip(column), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
     decoded = F.from_json(bare, ANALYSIS_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = answers.withColumn("_a", decoded)
     broken = F.col("_a").isNull() | F.col("_a._corrupt").isNotNull()
@@ -132,7 +134,7 @@ def parse_analysis(answers: DataFrame, column: str = "answer") -> DataFrame:
             "dialogue": F.when(~broken, F.coalesce("_a.dialogue", empty)),
             "topic": F.when(~broken, F.coalesce("_a.topic", F.lit(NO_TOPIC))),
             "summary": F.when(~broken, F.coalesce("_a.summary", F.lit(NO_SUMMARY))),
-            "score": F.when(~broken, F.coalesce("_a.quality_assessment.score", F.lit(0))),
+            "score": F.when(~broken, F.coalesce(F.col("_a.quality_assessment.score").try_cast("double"), F.lit(0.0))),
             "quality_label": F.when(~broken, F.coalesce("_a.quality_assessment.label", F.lit("N/A"))),
         }
     ).drop("_a", column)
@@ -155,10 +157,11 @@ def call_stages(parsed: DataFrame) -> DataFrame:
     customer = F.filter("dialogue", lambda t: is_customer(t["speaker"]))
     emotions = F.transform(customer, lambda t: t["emotion"])
     lines = F.when(failed, F.array(F.concat(F.lit("ERROR: "), "error"))).otherwise(F.transform("dialogue", line))
-    verdict = F.struct(
-        F.when(failed, "Error").otherwise(service_label(F.col("score"))).alias("label"),
-        F.when(failed, 0).otherwise(F.col("score")).alias("score"),
-    )
+    label = F.when(failed, "Error").otherwise(service_label(F.col("score")))
+    score = F.when(failed, 0.0).otherwise(F.col("score"))
+    # Whole scores are written without a fraction.
+    plain = F.when(score == F.floor(score), score.cast("bigint").cast("string")).otherwise(score.cast("string"))
+    verdict = F.concat(F.lit('{"label":"'), label, F.lit('","score":'), plain, F.lit("}"))
 
     def unless_failed(result: Column) -> Column:
         return F.when(failed, FAILED).otherwise(result)
@@ -168,7 +171,7 @@ def call_stages(parsed: DataFrame) -> DataFrame:
         ("emotion_analysis", unless_failed(emotion_sentence(emotions))),
         ("summary", unless_failed(F.col("summary"))),
         ("topic_classification", unless_failed(F.col("topic"))),
-        ("classification", F.to_json(verdict)),
+        ("classification", verdict),
     ]
     rows = F.array(
         *[

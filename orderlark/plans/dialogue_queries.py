@@ -8,7 +8,7 @@ from orderlark.functions.scoring import service_label
 from orderlark.operators import bi, dialogue, transcripts
 from orderlark.operators.skew import heavy_hashes
 from orderlark.plans import views
-from orderlark.plans.views import near, near_sql, rounded, rounded_sql
+from orderlark.plans.views import near, near_sql, rounded, rounded_sql, strip_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,9 @@ dialogue AS (
     (['hap', 'neu', 'sad', 'ang'])[length(text) % 4 + 1] AS emotion, turn * 30.0::DOUBLE AS start,
     turn * 30.0::DOUBLE + length(text) / 15.0::DOUBLE AS end FROM conversations)"""
 
+# Texts between no-break spaces, tabs and newlines; every fifth turn holds nothing else.
+PADDED_SQL = "chr(160) || chr(9) || CASE WHEN turn % 5 = 4 THEN chr(10) || chr(160) ELSE text END || chr(8195) || chr(10)"
+
 
 @register(
     "P7_segment_quality_filter",
@@ -52,12 +55,15 @@ def p8(spark, d):
 
 @register(
     "P9_turn_filter",
-    f"""WITH {DIALOGUE_SQL} SELECT conv_id, turn, trim(text, ' ') AS text FROM dialogue WHERE "end" - start >= 5.0 AND trim(text, ' ') <> ''
+    f"""WITH {DIALOGUE_SQL}, s AS (SELECT * REPLACE ({strip_sql(PADDED_SQL)} AS text) FROM dialogue)
+SELECT conv_id, turn, text FROM s WHERE "end" - start >= 5.0 AND text <> ''
 AND NOT contains(lower(text), 'zlədiyiniz üçün təşəkkürlər') AND NOT contains(lower(text), ' the the')""",
 )
 def p9(spark, d):
     phrases = (*dialogue.BOILERPLATE, " the the")
-    return dialogue.turn_filter(views.dialogue(spark, d), 5.0, phrases).select("conv_id", "turn", "text")
+    blank = F.when(F.col("turn") % 5 == 4, "\n\u00a0").otherwise(F.col("text"))
+    turns = views.dialogue(spark, d).withColumn("text", F.concat(F.lit("\u00a0\t"), blank, F.lit("\u2003\n")))
+    return dialogue.turn_filter(turns, 5.0, phrases).select("conv_id", "turn", "text")
 
 
 @register(
@@ -83,7 +89,8 @@ def p14(spark, d):
 
 
 ANSWER_SQL = f"""{DIALOGUE_SQL},
-a AS (SELECT *, turn % 7 = 5 AS broken, turn % 5 <> 3 AS has_quality, length(text) % 5 + 1 AS score FROM dialogue)"""
+a AS (SELECT *, turn % 7 = 5 AS broken, turn % 5 <> 3 AS has_quality, length(text) % 5 + 1 AS whole, length(text) % 5 + 1 + CASE WHEN turn % 3 = 1 THEN 0.5 ELSE 0 END::DOUBLE AS score,
+  (length(text) % 5 + 1) || CASE WHEN turn % 3 = 1 THEN '.5' ELSE '' END AS written FROM dialogue)"""
 
 
 @register(
@@ -92,7 +99,7 @@ a AS (SELECT *, turn % 7 = 5 AS broken, turn % 5 <> 3 AS has_quality, length(tex
   CASE WHEN NOT broken THEN 2 END AS n_turns, CASE WHEN NOT broken THEN text END AS first_text,
   CASE WHEN broken THEN NULL WHEN turn % 5 <> 2 THEN 'Card' ELSE 'No topic classified.' END AS topic,
   CASE WHEN NOT broken THEN 'Call ' || conv_id END AS summary,
-  CASE WHEN broken THEN NULL WHEN has_quality THEN score ELSE 0 END AS score,
+  CASE WHEN broken THEN NULL WHEN has_quality THEN score ELSE 0 END::DOUBLE AS score,
   CASE WHEN broken THEN NULL WHEN has_quality THEN 'x' ELSE 'N/A' END AS quality_label FROM a""",
 )
 def p15(spark, d):
@@ -107,23 +114,25 @@ def p15(spark, d):
     "R2_call_stages",
     f"""WITH {ANSWER_SQL},
 e AS (SELECT *, CASE WHEN speaker = 'customer' THEN [emotion, 'neu'] ELSE ['neu'] END AS es FROM a)
-SELECT conv_id, turn, 1 AS stage_no, 'emotion_analysis' AS stage, CASE WHEN broken THEN 'Analysis failed.'
+SELECT conv_id, turn, 0 AS stage_no, 'identified_dialogue' AS stage, CASE WHEN broken THEN '["ERROR: Invalid JSON format received from the API."]'
+  ELSE to_json([speaker || ' (' || emotion || '): ' || text, 'Customer (neu): ok'])::VARCHAR END AS result FROM e
+UNION ALL SELECT conv_id, turn, 1, 'emotion_analysis', CASE WHEN broken THEN 'Analysis failed.'
   ELSE 'Customer emotion trend: ' || array_to_string(es, ' -> ') || '. ' || CASE WHEN len(es) = 1 THEN 'The customer''s emotion was neu.'
   WHEN emotion = 'neu' THEN 'The customer''s emotion remained neu.' ELSE 'The customer started ' || emotion || ' and finished neu.' END END AS result FROM e
 UNION ALL SELECT conv_id, turn, 2, 'summary', CASE WHEN broken THEN 'Analysis failed.' ELSE 'Call ' || conv_id END FROM a
 UNION ALL SELECT conv_id, turn, 3, 'topic_classification', CASE WHEN broken THEN 'Analysis failed.' WHEN turn % 5 <> 2 THEN 'Card' ELSE 'No topic classified.' END FROM a
 UNION ALL SELECT conv_id, turn, 4, 'classification', CASE WHEN broken THEN '{{"label":"Error","score":0}}' WHEN has_quality AND score >= 4
-  THEN '{{"label":"Operator tərəfindən yaxşı cavablandırıldı","score":' || score || '}}'
-  ELSE '{{"label":"Operator tərəfindən pis cavablandırıldı","score":' || CASE WHEN has_quality THEN score ELSE 0 END || '}}' END FROM a""",
+  THEN '{{"label":"Operator tərəfindən yaxşı cavablandırıldı","score":' || written || '}}'
+  ELSE '{{"label":"Operator tərəfindən pis cavablandırıldı","score":' || CASE WHEN has_quality THEN written ELSE '0' END || '}}' END FROM a""",
 )
 def r2_stages(spark, d):
     stages = transcripts.call_stages(transcripts.parse_analysis(views.analysis_json(spark, d)))
-    return stages.where("stage_no > 0").select("conv_id", "turn", "stage_no", "stage", "result")
+    return stages.select("conv_id", "turn", "stage_no", "stage", "result")
 
 
 LINES_SQL = r"""
 t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'customer' WHEN 'assistant' THEN 'operator' ELSE role END AS speaker,
-    trim(regexp_replace(text, '[\r\n:\[\]\x{00A0}]', ' ', 'g'), ' ') AS text, turn * 7 + conv_id % 50 AS s FROM conversations),
+    """ + strip_sql(r"regexp_replace(text, '[\r\n:\[\]]', ' ', 'g')") + r""" AS text, turn * 7 + conv_id % 50 AS s FROM conversations),
 parsed AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN s + 0.25 ELSE s END::DOUBLE AS start,
     CASE WHEN turn % 4 = 1 THEN (s // 60 + 1) * 60 + s % 60 END::DOUBLE AS end, text FROM t WHERE turn % 4 <> 3 AND text <> '')"""
 
@@ -180,7 +189,7 @@ def p17(spark, d):
     (['hap', 'neu', 'sad'])[event_id % 3 + 1] AS emotion, row_number() OVER w AS rn,
     coalesce(lag(event_type) OVER w <> event_type, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT *, max(CASE WHEN new THEN rn END) OVER (PARTITION BY conv_id ORDER BY rn) AS run FROM e)
-SELECT conv_id, run, 0 AS part, speaker, string_agg(text, ' ' ORDER BY rn) AS text, arg_max(emotion, rn) AS emotion,
+SELECT conv_id, run, speaker, string_agg(text, ' ' ORDER BY rn) AS text, arg_max(emotion, rn) AS emotion,
   arg_min(event_id, rn)::DOUBLE AS start, arg_max(event_id, rn) + 0.5::DOUBLE AS end, count(*) AS n_turns
 FROM r GROUP BY conv_id, run, speaker""",
 )
@@ -204,7 +213,7 @@ def w14_conversations(spark, d):
     f"""WITH {DIALOGUE_SQL}, c AS (SELECT conv_id, turn, {{'hap': 'Happy', 'neu': 'Neutral', 'sad': 'Sad', 'ang': 'Angry'}}[emotion] AS e
   FROM dialogue WHERE speaker = 'customer'),
 g AS (SELECT conv_id, count(*) AS n, string_agg(e, ' -> ' ORDER BY turn) AS l, arg_min(e, turn) AS a, arg_max(e, turn) AS z FROM c GROUP BY 1)
-SELECT conv_id, 0 AS part, coalesce(n, 0) AS n_emotions, a AS start_emotion, z AS end_emotion,
+SELECT conv_id, coalesce(n, 0) AS n_emotions, a AS start_emotion, z AS end_emotion,
   CASE WHEN n IS NULL THEN 'No customer speech detected to analyze emotion.' ELSE 'Customer emotion trend: ' || l || '. ' ||
     CASE WHEN n = 1 THEN 'The customer''s emotion was ' || a || '.' WHEN a = z THEN 'The customer''s emotion remained ' || z || '.'
     ELSE 'The customer started ' || a || ' and finished ' || z || '.' END END AS trend
@@ -219,7 +228,7 @@ def a11(spark, d):
 
 @register(
     "A12_speaker_texts",
-    f"""WITH {DIALOGUE_SQL} SELECT conv_id, speaker, 0 AS part, string_agg(text, ' ' ORDER BY turn) AS text, min(turn) AS first_turn,
+    f"""WITH {DIALOGUE_SQL} SELECT conv_id, speaker, string_agg(text, ' ' ORDER BY turn) AS text, min(turn) AS first_turn,
   count(*) AS n_turns FROM dialogue GROUP BY 1, 2""",
 )
 def a12(spark, d):
@@ -272,15 +281,15 @@ def a13_labelled(spark, d):
 
 @register(
     "A14_taxonomy",
-    """SELECT split_part(p_type, ' ', 1) AS class, 0 AS part, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS sub_classes
-FROM part WHERE p_size <> 7 GROUP BY 1""",
+    """SELECT split_part(p_type, ' ', 1) AS class, row_number() OVER (PARTITION BY split_part(p_type, ' ', 1) ORDER BY p_partkey) AS position,
+  p_type AS sub_class FROM part WHERE p_size <> 7""",
 )
 def a14(spark, d):
     part = views.table(spark, d, "part")
     topics = part.select(
-        F.split("p_type", " ")[0].alias("Class"), F.when(F.col("p_size") != 7, F.col("p_type")).alias("Sub_class")
+        "p_partkey", F.split("p_type", " ")[0].alias("Class"), F.when(F.col("p_size") != 7, F.col("p_type")).alias("Sub_class")
     )
-    return dialogue.taxonomy(topics).select("class", "part", F.array_join("sub_classes", "|").alias("sub_classes"))
+    return dialogue.taxonomy(topics, ["p_partkey"])
 
 
 @register(

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from orderlark.operators import evaluate, neighbors, prepare, splits, tfidf
 from orderlark.plans import views
-from orderlark.plans.views import near_sql, rounded
+from orderlark.functions.strings import SPACE_CLASS, strip
+from orderlark.plans.views import near_sql, rounded, strip_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,25 +23,26 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
-SPACES = r"[^\s\x0B\x1c-\x1f\x85\p{Z}]+"
-LABELLED_SQL = """lab AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ' ' || lang || ' ' ELSE lang END AS label,
+SPACES = f"[^{SPACE_CLASS}]+"
+LABELLED_SQL = """lab AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN ' ' || lang || ' ' WHEN 1 THEN chr(9) || lang || chr(160) || chr(10) ELSE lang END AS label,
   CASE WHEN doc_id % 31 <> 0 THEN text END AS text FROM documents)"""
 
 
 def _labelled(spark, d):
     docs = views.table(spark, d, "documents")
-    padded = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit(" "), "lang", F.lit(" "))).otherwise(F.col("lang"))
+    padded = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit(" "), "lang", F.lit(" ")))
+    padded = padded.when(F.col("doc_id") % 9 == 1, F.concat(F.lit("\t"), "lang", F.lit("\u00a0\n"))).otherwise(F.col("lang"))
     return docs.select("doc_id", padded.alias("label"), F.when(F.col("doc_id") % 31 != 0, F.col("text")).alias("text"))
 
 
-@register("P4_trim_labels", f"WITH {LABELLED_SQL} SELECT doc_id, trim(label) AS label FROM lab")
+@register("P4_trim_labels", f"WITH {LABELLED_SQL} SELECT doc_id, {strip_sql('label')} AS label FROM lab")
 def p4(spark, d):
     return prepare.trim_labels(_labelled(spark, d), "label").select("doc_id", "label")
 
 
 @register(
     "P4_missing_and_duplicates",
-    f"""WITH {LABELLED_SQL}, g AS (SELECT text, trim(label) AS label, count(*) AS n FROM lab GROUP BY 1, 2)
+    f"""WITH {LABELLED_SQL}, g AS (SELECT text, {strip_sql('label')} AS label, count(*) AS n FROM lab GROUP BY 1, 2)
 SELECT coalesce(sum(n) FILTER (text IS NULL), 0)::BIGINT AS missing_text, coalesce(sum(n) FILTER (label IS NULL), 0)::BIGINT AS missing_label,
   sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_duplicates FROM g""",
 )
@@ -48,7 +50,7 @@ def p4_counts(spark, d):
     return prepare.missing_and_duplicates(prepare.trim_labels(_labelled(spark, d), "label"), ["text", "label"])
 
 
-@register("P4_drop_duplicates", f"WITH {LABELLED_SQL} SELECT DISTINCT text, trim(label) AS label FROM lab")
+@register("P4_drop_duplicates", f"WITH {LABELLED_SQL} SELECT DISTINCT text, {strip_sql('label')} AS label FROM lab")
 def p4_distinct(spark, d):
     return prepare.trim_labels(_labelled(spark, d), "label").select("text", "label").dropDuplicates()
 
@@ -91,14 +93,14 @@ def j8(spark, d):
 
 @register(
     "T3_text_measures",
-    rf"""SELECT doc_id, len(regexp_extract_all(text, '{SPACES}')) AS words, length(text) AS characters, md5(lower(trim(text, ' '))) AS lowered FROM documents""",
+    rf"""SELECT doc_id, len(regexp_extract_all(text, '{SPACES}')) AS words, length(text) AS characters, md5(lower({strip_sql('text')})) AS lowered FROM documents""",
 )
 def t3(spark, d):
     return views.table(spark, d, "documents").select(
         "doc_id",
         prepare.word_count("text").alias("words"),
         F.length("text").alias("characters"),
-        F.md5(F.lower(F.trim("text"))).alias("lowered"),
+        F.md5(F.lower(strip("text"))).alias("lowered"),
     )
 
 

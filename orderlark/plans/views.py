@@ -150,6 +150,10 @@ def near_sql(expression: str, digits: int = 4) -> str:
     return f"floor(({expression}) * 1e{digits} + 0.500001) / 1e{digits}"
 
 
+def strip_sql(expression: str) -> str:
+    return rf"regexp_replace({expression}, '^[\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
 def rounded(columns: list[str], digits: int = 4) -> list[Column]:
     return [near(c, digits).alias(c) for c in columns]
 
@@ -191,9 +195,10 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogue rendered in the bracket styles, with every fourth line malformed."""
+    """Dialogue rendered in the bracket styles, with every fourth line malformed, and with
+    tabs and no-break spaces at the edges."""
     turns = dialogue(spark, sf_dir)
-    text = F.trim(F.regexp_replace("text", r"[\r\n:\[\]\x{00A0}]", " "))
+    text = F.concat(F.regexp_replace("text", r"[\r\n:\[\]]", " "), F.lit("\t\u00a0"))
     seconds = (F.col("turn") * 7 + F.col("conv_id") % 50).cast("int")
     clock = F.format_string("%02d:%02d", F.floor(seconds / 60), seconds % 60)
     line = (
@@ -202,14 +207,15 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("turn") % 4 == 1,
             F.format_string("[%dm %ds 250ms - %dm %ds] %s: %s", F.floor(seconds / 60), seconds % 60, F.floor(seconds / 60) + 1, seconds % 60, "speaker", text),
         )
-        .when(F.col("turn") % 4 == 2, F.format_string("[%ds] %s", seconds, text))
+        .when(F.col("turn") % 4 == 2, F.format_string("[%ds\u00a0]\u00a0%s", seconds, text))
         .otherwise(F.concat(clock, F.lit(" "), text))
     )
     return turns.select("conv_id", "turn", line.alias("line"))
 
 
 def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One analysis answer per turn: plain, fenced, with fields left out, or broken."""
+    """One analysis answer per turn: plain, fenced, with fields left out, or broken; scores
+    are whole, fractions or quoted."""
     turns = dialogue(spark, sf_dir)
     said = F.array(
         F.struct(F.col("speaker"), F.col("text"), F.col("emotion")),
@@ -227,8 +233,12 @@ def analysis_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             quality.alias("quality_assessment"),
         )
     )
+    score = F.concat(F.lit('"score":'), (F.length("text") % 5 + 1).cast("string"))
+    half = F.when(F.col("turn") % 3 == 1, ".5").otherwise("")
+    quoted = F.concat(F.lit('"score":"'), (F.length("text") % 5 + 1).cast("string"), half, F.lit('"'))
+    body = F.replace(body, score, F.when(F.col("turn") % 2 == 0, quoted).otherwise(F.concat(score, half)))
     answer = (
-        F.when(F.col("turn") % 7 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        F.when(F.col("turn") % 7 == 1, F.concat(F.lit("\u00a0```json\n"), body, F.lit("\n```\t")))
         .when(F.col("turn") % 7 == 5, F.substring(body, 1, 25))
         .otherwise(body)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from orderlark.functions.strings import strip
 from orderlark.operators.transcripts import call_stages, parse_analysis
 
 # Recordings that are picked up, and the names of the events.
@@ -34,7 +35,7 @@ def arriving_files(spark: SparkSession, directory: str, per_trigger: int | None
     return read.load(directory).select(F.col("path").alias("filepath"), "length").where(F.col("filepath").rlike(RECORDING))
 
 
-def arriving_answers(spark: SparkSession, directory: str, per_trigger: int | None = 1) -> DataFrame:
+def arriving_answers(spark: SparkSession, directory: str, per_trigger: int | None = None) -> DataFrame:
     """Stream of (filepath, answer): recordings with the analysis text they got."""
     read = spark.readStream.schema(ARRIVAL_SCHEMA)
     if per_trigger:
@@ -45,7 +46,7 @@ def arriving_answers(spark: SparkSession, directory: str, per_trigger: int | Non
 def stage_events(calls: DataFrame) -> DataFrame:
     """All events of each call in order. A call without an answer ends in an error event
     and never stops the batch; an answer that cannot be decoded publishes failure texts."""
-    unreadable = F.col("answer").isNull() | (F.trim("answer") == "")
+    unreadable = F.col("answer").isNull() | (strip("answer") == "")
     base = calls.withColumn("filename", file_name(F.col("filepath")))
 
     def event(number: Column, kind: Column, stage: Column, result: Column, error: Column) -> list[Column]:
@@ -101,11 +102,13 @@ def latest_stage(events: DataFrame) -> DataFrame:
     )
 
 
-def track_latest(spark: SparkSession, events_dir: str, out: str, checkpoint: str, per_trigger: int = 1) -> StreamingQuery:
+def track_latest(spark: SparkSession, events_dir: str, out: str, checkpoint: str, per_trigger: int | None = None) -> StreamingQuery:
     """Follow an event folder and keep the newest stage per file: every batch writes the
     files it changed, under its own number."""
     read = spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", True)
-    events = read.option("maxFilesPerTrigger", per_trigger).parquet(events_dir)
+    if per_trigger:
+        read = read.option("maxFilesPerTrigger", per_trigger)
+    events = read.parquet(events_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")

@@ -1,6 +1,5 @@
 """Turns, transcripts and transcription quality."""
 
-import itertools
 import random
 
 import pytest
@@ -18,8 +17,7 @@ def turns(spark, rows):
 
 
 def trend(df):
-    out = df.orderBy("conv_id", "part").collect()
-    return {c: "".join(r["trend"] for r in g) for c, g in itertools.groupby(out, key=lambda r: r["conv_id"])}
+    return {r["conv_id"]: r["trend"] for r in df.collect()}
 
 
 def test_emotion_trend(spark):
@@ -43,17 +41,29 @@ def test_emotion_trend(spark):
     }
 
 
-def test_long_calls_come_in_parts(spark, monkeypatch, forced_skew):
-    rows = [(1, t, "customer", str(t), random.Random(t).choice(["hap", "sad"])) for t in range(57)] + [(2, 0, "customer", "x", "neu")]
+def test_long_calls_have_the_shape_of_short_ones(spark):
+    n = 3500
+    rows = [(1, t, "customer", str(t), random.Random(t).choice(["hap", "sad"])) for t in range(n)] + [(2, 0, "customer", "x", "neu")]
     df = turns(spark, rows)
-    whole = trend(dialogue.emotion_trend(df))
-    monkeypatch.setattr(dialogue, "PART_ROWS", 10)
-    parts = dialogue.emotion_trend(df)
-    assert parts.where("conv_id = 1").count() == 6
-    assert trend(parts) == whole
-    merged = dialogue.merge_turns(df).where("conv_id = 1").orderBy("part").collect()
-    assert [r["n_turns"] for r in merged] == [10] * 5 + [7]
-    assert " ".join(r["text"] for r in merged) == " ".join(str(t) for t in range(57))
+    whole = " ".join(str(t) for t in range(n))
+    merged = {r["conv_id"]: (r["run"], r["n_turns"], r["text"]) for r in dialogue.merge_turns(df).collect()}
+    assert merged == {1: (1, n, whole), 2: (1, 1, "x")}
+    said = {r["conv_id"]: (r["n_turns"], r["text"]) for r in dialogue.speaker_texts(df).collect()}
+    assert said == {1: (n, whole), 2: (1, "x")}
+    (long, short) = dialogue.emotion_trend(df).orderBy("conv_id").collect()
+    assert (long["n_emotions"], long["trend"].count(" -> "), short["n_emotions"]) == (n, n - 1, 1)
+
+
+def test_taxonomy_keeps_order_and_repeats(spark, forced_skew):
+    rows = [(i, "a" if i % 2 else "b", None if i == 4 else f"s{i % 3}") for i in range(12)]
+    out = dialogue.taxonomy(spark.createDataFrame(rows, "at int, Class string, Sub_class string"), ["at"])
+    got = [(r["class"], r["sub_class"]) for r in out.orderBy("class", "position").collect()]
+    assert got == [("a", f"s{i % 3}") for i in range(1, 12, 2)] + [("b", f"s{i % 3}") for i in range(0, 12, 2) if i != 4]
+
+
+def test_blank_turns_go(spark):
+    df = turns(spark, [(1, 0, "a", "\t\n", "neu"), (1, 1, "a", "\u00a0x y\u2003\n", "neu")])
+    assert [r["text"] for r in dialogue.turn_filter(df).collect()] == ["x y"]
 
 
 def test_merge_turns_heavy_equals_plain(spark):
@@ -94,6 +104,11 @@ LINES = [
     ("[1m 2s - 1m 5s inside] outside", (62.0, 65.0, "inside outside")),
     ("[3s - 6s]", None),
     ("plain", None),
+    ("[5s 3 men] talk", (5.0, None, "3 men talk")),
+    ("[5s -] hi\t", (5.0, None, "hi")),
+    ("[\u00a01m\u00a02s\u00a0-\u00a03s\u00a0]\u00a0hi\u00a0", (62.0, 3.0, "hi")),
+    ("[1m] no seconds", None),
+    ("[00:05] : ", None),
     ("  [00:01] a: leading space", None),
 ]
 
@@ -148,3 +163,12 @@ def test_analysis_defaults(spark):
     out = transcripts.parse_analysis(spark.createDataFrame(answers, "answer string")).collect()
     assert (out[0]["error"], out[0]["topic"], out[0]["summary"], out[0]["score"], out[0]["quality_label"]) == (None, "T", transcripts.NO_SUMMARY, 0, "N/A")
     assert out[1]["error"] == transcripts.BAD_JSON
+
+
+def test_scores_of_any_writing(spark):
+    answers = [(i, '{"topic": "T", "quality_assessment": {"score": %s}}' % x) for i, x in enumerate(["4.5", '"5"', "3", '"abc"', "null"])]
+    parsed = transcripts.parse_analysis(spark.createDataFrame(answers, "id int, answer string"))
+    out = parsed.orderBy("id").collect()
+    assert [(r["error"], r["topic"], r["score"]) for r in out] == [(None, "T", x) for x in (4.5, 5.0, 3.0, 0.0, 0.0)]
+    results = transcripts.call_stages(parsed).where("stage = 'classification'").orderBy("id").collect()
+    assert [r["result"].split(",")[1] for r in results] == ['"score":4.5}', '"score":5}', '"score":3}', '"score":0}', '"score":0}']
