@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -19,12 +21,13 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlark.operators.evaluate import weighted_metrics
 from orderlark.functions.strings import strip
+from orderlark.operators.evaluate import weighted_metrics
 from orderlark.operators.tfidf import tfidf_pipeline
+from orderlark.session import stored
 
 
 def classifiers(seed: int = 42, steps: int = 100, trees: int = 100, rounds: int = 100) -> dict:
@@ -83,6 +86,61 @@ def bayes_grid(train: DataFrame, label: str, alphas: Sequence[float] = (0.1, 0.5
     return search.fit(index.transform(train))
 
 
+@dataclass(frozen=True)
+class TokenBayes:
+    """Multinomial Bayes over an open vocabulary, as tables: the weight of each token in
+    each class, and per class its log prior and the logarithm of its smoothed total."""
+
+    mass: DataFrame  # label, token, mass
+    classes: DataFrame  # label, prior, total
+    alpha: float
+
+    def predict(self, weights: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
+        """(doc, prediction) of all docs; those without a known token take the likeliest class
+        beforehand. Equal scores go to the smaller label."""
+        known = weights.groupBy(doc).agg(F.sum("weight").alias("_w"))
+        # A token that a class lacks adds only the smoothing, which all tokens share.
+        gain = F.sum(F.col("weight") * F.log1p(F.col("mass") / self.alpha))
+        gains = weights.join(self.mass, "token").groupBy(doc, "label").agg(gain.alias("_g"))
+        # One entry per class travels with every document.
+        packed = self.classes.agg(F.collect_list(F.struct("label", "prior", "total"))).scalar()
+        rows = docs.select(doc).join(known, doc, "left").select(doc, "_w", F.explode(packed).alias("c")).select(doc, "_w", "c.*")
+        zero = F.lit(0.0)
+        score = F.col("prior") + F.coalesce("_w", zero) * (math.log(self.alpha) - F.col("total")) + F.coalesce("_g", zero)
+        scored = rows.join(gains, [doc, "label"], "left").withColumn("_s", F.round(score, 9))
+        return scored.groupBy(doc).agg(F.min_by("label", F.struct(-F.col("_s"), "label")).alias("prediction"))
+
+
+def token_bayes(weights: DataFrame, labels: DataFrame, doc: str, alphas: Sequence[float] = (1.0,)) -> list[TokenBayes]:
+    """One model per smoothing from (doc, token, weight) and the (doc, label) of the training
+    rows. Nothing but sums per class and token is shuffled, and no vocabulary is collected."""
+    mass = weights.join(labels.select(doc, "label"), doc).groupBy("label", "token").agg(F.sum("weight").alias("mass"))
+    mass = stored(mass, "mass")
+    n_tokens = mass.agg(F.count_distinct("token")).scalar()
+    n_docs = labels.agg(F.count(F.lit(1))).scalar()
+    sums = mass.groupBy("label").agg(F.sum("mass").alias("_m"))
+    classes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).join(sums, "label", "left")
+    prior = F.log(F.col("_n") / n_docs).alias("prior")
+    return [
+        TokenBayes(mass, classes.select("label", prior, F.log(F.coalesce("_m", F.lit(0.0)) + alpha * n_tokens).alias("total")), alpha)
+        for alpha in alphas
+    ]
+
+
+def token_bayes_grid(weights: DataFrame, rows: DataFrame, doc: str, fold: Column, folds: int, alphas: Sequence[float]) -> DataFrame:
+    """(alpha, accuracy): mean accuracy over the folds per smoothing."""
+    folded = rows.select(doc, "label", fold.alias("_fold"))
+    every = None
+    for f in range(folds):
+        held = folded.where(F.col("_fold") == f)
+        seen = weights.join(held.select(doc), doc, "left_semi")
+        for model in token_bayes(weights, folded.where(F.col("_fold") != f), doc, alphas):
+            out = model.predict(seen, held, doc).join(held, doc)
+            one = out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("_a")).withColumn("alpha", F.lit(float(model.alpha)))
+            every = one if every is None else every.unionByName(one)
+    return every.groupBy("alpha").agg(F.avg("_a").alias("accuracy"))
+
+
 def fit_text_model(train: DataFrame, text: str, label: str, estimator, max_features: int | None = None) -> PipelineModel:
     """From raw text to label in one saved pipeline."""
     vectors = tfidf_pipeline(train, text, max_features=max_features)

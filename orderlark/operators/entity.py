@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlark.operators.skew import attach, heavy_hashes
+from orderlark.session import stored
 
 
 def entity_features(sales: DataFrame) -> DataFrame:
     """Breadth and volume of the row's customer, product, category, manufacturer,
-    settlement and district. Each entity is aggregated first and joined back."""
+    settlement and district. Each entity is aggregated first and joined back. The sales are
+    written once, as seven passes read a few columns of them each."""
+    sales = stored(sales, "sales")
     stats = {
         "customer_id": [
             F.count_distinct("product_id").alias("customer_total_products"),
@@ -35,6 +38,7 @@ def entity_features(sales: DataFrame) -> DataFrame:
 def interaction_features(sales: DataFrame) -> DataFrame:
     """Share of the customer's spend that day, product concentration, and quantity
     against the product's mean."""
+    sales = stored(sales, "sales")
     heavy = heavy_hashes(sales, ["customer_id", "date"], ["customer_id"], ["product_id"])
     spend = sales.groupBy("customer_id", "date").agg(F.sum("sales_value").alias("_spend"))
     breadth = sales.groupBy("customer_id").agg(F.count_distinct("product_id").alias("_breadth"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from orderlark.functions.times import epoch_micros, whole_days
 from orderlark.operators.prepare import last_per_key
 from orderlark.operators.skew import attach, bounded_window, heavy_hashes
+from orderlark.session import stored
 
 SKU_PAIR = ("customer_id", "sku_id")
 DAY_KEY = ("order_dt", "customer_id", "sku_id")
+# The features by their names.
 SNAPSHOT_FEATURES = [
     "time_since_prev",
     "qty_rolling_mean_30",
@@ -71,9 +73,12 @@ def with_inventory(df: DataFrame, inventory: DataFrame, heavy: Sequence[int] | N
 
 
 def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls become the column's median. The counters behind an exact median grow with
-    the distinct values (days, stock levels), not with the rows."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), df.agg(F.median(c)).scalar()) for c in columns})
+    """Nulls become the column's median. The rows are written once, and all medians come
+    from one pass over them. The counters behind an exact median grow with the distinct
+    values (days, stock levels), not with the rows."""
+    rows = stored(df, "joined")
+    medians = rows.agg(F.struct(*[F.median(c).alias(c) for c in columns])).scalar()
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), medians[c]) for c in columns})
 
 
 def _weekday(df: DataFrame) -> DataFrame:

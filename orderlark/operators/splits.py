@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlark.operators.skew import running_rank
+from orderlark.operators.skew import null_safe_join, running_rank
 
 
 def _instants(df: DataFrame, date: str) -> DataFrame:
@@ -101,27 +101,8 @@ def time_based_split(
     return elsewhere.unionByName(on_cut.withColumn("split", label(True)).drop("_rank"))
 
 
-def hash_rank(df: DataFrame, label: str, key: str, salt: str = "") -> DataFrame:
-    """Position `_rank` and size `_size` of each row within its class, in hash order.
-
-    The order is cut into 4096 even hash ranges per class, so that also a class with a
-    large share of the rows is ranked by many tasks.
-    """
-    digest = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
-    rows = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
-    counts = rows.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    in_class = Window.partitionBy(label)
-    before = F.sum("_n").over(in_class.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(
-        label, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(in_class).alias("_size")
-    )
-    inside = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_digest", key))
-    return (
-        rows.withColumn("_inside", inside)
-        .join(counts, [label, "_range"])
-        .withColumn("_rank", F.col("_before") + F.col("_inside"))
-        .drop("_digest", "_range", "_before", "_inside")
-    )
+#: Hex digits of a hash range: about a million ranges per class.
+RANGE_DIGITS = 5
 
 
 def stratified_split(
@@ -129,16 +110,46 @@ def stratified_split(
 ) -> DataFrame:
     """Adds `split`: exact shares of every class, drawn in hash order of the key.
 
-    `parts` are (name, share) pairs; the last one takes the remainder.
+    `parts` are (name, share) pairs; the last one takes the remainder. Rows are counted per
+    class and hash range. Only the few ranges that hold a cut are ranked row by row; all
+    other rows are placed by their range alone. A null label is a class.
     """
-    ranked = hash_rank(df, label, key, salt)
-    edge, pick = 0.0, None
-    for name, share in parts[:-1]:
+    digest = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
+    rows = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, RANGE_DIGITS))
+    counts = rows.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    in_class = Window.partitionBy(label)
+    upto = F.sum("_n").over(in_class.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumns({"_upto": upto, "_size": F.sum("_n").over(in_class)})
+    edge, cuts = 0.0, []
+    for i, (_, share) in enumerate(parts[:-1]):
         edge = round(edge + share, 9)
-        here = F.col("_rank") <= F.floor(F.col("_size") * F.lit(edge))
-        pick = F.when(here, name) if pick is None else pick.when(here, name)
-    last = F.lit(parts[-1][0])
-    return ranked.withColumn("split", last if pick is None else pick.otherwise(last)).drop("_rank", "_size")
+        wanted = F.floor(F.col("_size") * F.lit(edge))
+        before = F.col("_upto") - F.col("_n")
+        here = (before < wanted) & (wanted <= F.col("_upto"))
+        # The range that holds the cut, and how many of its rows lie before the cut.
+        cuts += [F.max(F.when(here, F.col("_range"))).alias(f"_at{i}"), F.max(F.when(here, wanted - before)).alias(f"_first{i}")]
+    # One row per class.
+    placed = null_safe_join(rows, counts.groupBy(label).agg(*cuts), [label]) if cuts else rows
+    at_cut = F.lit(False)
+    for i in range(len(parts) - 1):
+        at_cut = at_cut | F.coalesce(F.col("_range") == F.col(f"_at{i}"), F.lit(False))
+
+    def place(ranked: bool) -> Column:
+        pick = None
+        for i, (name, _) in enumerate(parts[:-1]):
+            # A class too small for the cut has no row before it.
+            before = F.col("_range") < F.col(f"_at{i}")
+            if ranked:
+                before = before | ((F.col("_range") == F.col(f"_at{i}")) & (F.col("_rank") <= F.col(f"_first{i}")))
+            pick = F.when(before, name) if pick is None else pick.when(before, name)
+        last = F.lit(parts[-1][0])
+        return last if pick is None else pick.otherwise(last)
+
+    order = Window.partitionBy(label, "_range").orderBy("_digest", key)
+    on_cut = placed.where(at_cut).withColumn("_rank", F.row_number().over(order))
+    keep = [*df.columns, "split"]
+    whole = placed.where(~at_cut).withColumn("split", place(False)).select(*keep)
+    return whole.unionByName(on_cut.withColumn("split", place(True)).select(*keep))
 
 
 def hash_bucket(key: str, buckets: int = 100, salt: str = "") -> Column:

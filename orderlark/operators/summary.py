@@ -69,17 +69,15 @@ def reorder_rate_by_weekday(features: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between the least and greatest value; the last bin is closed.
     Empty bins are kept."""
-    value = F.col(column).cast("double")
-    found = df.where(value.isNotNull())
-    low = found.agg(F.min(value)).scalar()
-    high = found.agg(F.max(value)).scalar()
-    low, width = _bin_edges(low, high, bins)
-    position = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
-    counts = found.groupBy(position.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    found = df.select(F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL")
+    start, width = _bin_edges(F.min("_v"), F.max("_v"), bins)
+    edges = found.agg(F.struct(start.alias("low"), width.alias("width"))).scalar()
+    position = F.least(F.floor((F.col("_v") - F.col("_e.low")) / F.col("_e.width")), F.lit(bins - 1)).cast("int")
+    counts = found.withColumn("_e", edges).groupBy(position.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), edges.alias("_e"))
     return every.join(counts, "bin", "left").select(
         "bin",
-        (low + F.col("bin") * width).alias("bin_start"),
+        (F.col("_e.low") + F.col("bin") * F.col("_e.width")).alias("bin_start"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
 

