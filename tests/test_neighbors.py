@@ -58,7 +58,7 @@ def test_inverted_index_is_exact(spark):
         row[rng.zipf(1.3, 14).clip(1, 59)] += rng.random(14)
     dense[10:25] = dense[9]
     dense[:112] /= np.sqrt((dense[:112] ** 2).sum(1))[:, None]
-    cells = [(i, f"t{j:02d}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    cells = [(int(i), f"t{j:02d}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
     weights = spark.createDataFrame(cells, "id bigint, token string, weight double")
     q, b = [i for i in range(120) if i % 3 == 0], np.array([i for i in range(120) if i % 3])
     queries = spark.createDataFrame([(i,) for i in q], "id bigint")

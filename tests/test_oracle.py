@@ -35,8 +35,12 @@ def test_matches_sql(spark, con, name):
 SPREAD = [
     "A3_entity_features",
     "A4_interaction_features",
+    "A11_emotion_trend",
+    "A12_speaker_texts",
     "A13_labelled_dialogue",
+    "A14_taxonomy",
     "E1_roc_auc",
+    "J3_order_inventory",
     "J5_customer_lookup",
     "J7_orders_with_reviews",
     "J8_meaningless_anti_join",
@@ -46,7 +50,9 @@ SPREAD = [
     "W14_merge_turns",
     "W16_order_snapshots_long",
     "W17_priority_score",
+    "W18_top_products_per_customer",
     "X1_events_clock_split",
+    "X2_stratified_split",
 ]
 
 

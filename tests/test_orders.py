@@ -187,3 +187,20 @@ def test_split_does_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert found == expected and gaps == [(90,), (1,)]
+
+
+def test_stratified_split_against_brute_force(spark):
+    import hashlib
+    import math
+
+    rows = [(i, None if i % 7 == 0 else "big" if i % 5 else "small") for i in range(900)] + [(900, "one"), (901, "two"), (902, "two")]
+    parts = [("train", 0.6), ("val", 0.2), ("test", 0.2)]
+    out = splits.stratified_split(spark.createDataFrame(rows, "id int, c string"), "c", "id", parts)
+    expected = {}
+    for c in {x[1] for x in rows}:
+        ids = sorted((x[0] for x in rows if x[1] == c), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        a, b = math.floor(len(ids) * 0.6), math.floor(len(ids) * 0.8)
+        expected |= {i: "train" if at < a else "val" if at < b else "test" for at, i in enumerate(ids)}
+    assert {r["id"]: r["split"] for r in out.collect()} == expected
+    every = splits.stratified_split(spark.createDataFrame(rows, "id int, c string"), "c", "id", [("all", 1.0)])
+    assert every.where("split = 'all'").count() == len(rows)
