@@ -143,16 +143,16 @@ def knn_join(
     return ranked.select("query_id", "neighbor_id", "neighbor_label", F.sqrt("d2").alias("distance"), "rank")
 
 
-#: Rare tokens of a query that give the first bound of its k-th product.
-PROBES = 8
+#: Tokens of a query that give the first bound of its k-th product.
+PROBES = 24
 
 
 def sparse_knn(weights: DataFrame, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """As knn_join for unit-length rows of an open vocabulary, through an inverted index.
 
     `weights` has (id, token, weight) of all rows, `queries` (id) and `base` (id, label).
-    Rows without tokens are zero vectors. Products over a query's rarest tokens give a
-    lower bound of its k-th best product. Its most frequent tokens, as long as together
+    Rows without tokens are zero vectors. Products over the tokens that can add
+    most give a lower bound of a query's k-th best product. Its most frequent tokens, as long as together
     they cannot reach that bound, bring up no candidates; they only complete the products
     of the pairs that the other tokens found. The result is exact.
     """
@@ -165,7 +165,7 @@ def sparse_knn(weights: DataFrame, queries: DataFrame, base: DataFrame, k: int)
         {
             # All that tokens at least as frequent can add to a product.
             "reach": F.sum(F.col("wq") * F.col("most")).over(frequent_first),
-            "probe": F.row_number().over(by_query.orderBy("df", "token")) <= PROBES,
+            "probe": F.row_number().over(by_query.orderBy(F.desc(F.col("wq") * F.col("most")), "token")) <= PROBES,
         }
     )
     asked = stored(asked, "asked")
