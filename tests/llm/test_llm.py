@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from conftest import SF_SMALL
+from conftest import SF, SF_SMALL
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
@@ -76,6 +76,32 @@ def test_ownership_separates_examples(spark):
     assert secret_scan.redacted(f"a {live} b", [(2, 24)]) == "a [secret] b"
 
 
+def test_secret_scan_against_brute_force(spark):
+    rows = [(r["doc_id"], r["source"], r["text"] or "") for r in table(spark, SF, "documents").collect()]
+    words = re.compile(r"""(?ia:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""")
+    base, offered, owners, homes = {}, {}, {}, {}
+    for doc, source, text in rows:
+        found = [(m.start(), 0, m.end()) for m in words.finditer(text) if len(m[1]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        base[doc] = sorted(found)
+        taken = [(a, k, e, "") for a, k, e in base[doc]]
+        offered[doc] = secret_scan.added_candidates(text, taken)
+        for *_, value in offered[doc]:
+            owners.setdefault(value, set()).add(source)
+            homes.setdefault(value, set()).add((source, doc))
+    live = {v for v in owners if len(owners[v]) <= secret_scan.MOST_OWNERS and len(homes[v]) <= secret_scan.MOST_REPOSITORIES}
+    listed = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{e}" for a, k, e in sorted(spans))
+    got = secret_scan.op1_secret_scan(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(doc for doc, *_ in rows)
+    assert any(base.values())
+    for r in got:
+        mine = base[r["doc_id"]]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for _, k, _ in mine) for kind in range(3))
+        assert r["base_sha256"] == hashlib.sha256(listed(mine).encode()).hexdigest()
+        assert r["spans"] == listed(mine + [(a, k, e) for a, k, e, value in offered[r["doc_id"]] if value in live])
+
+
 def test_secret_scan_odd_rows(odd, none):
     assert secret_scan.located(odd).count() == len(ODD)
     assert secret_scan.located(none).count() == 0
@@ -436,6 +462,52 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF_SMALL).agg(F.sum("n_tokens")).first()[0] > 0
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Each filtering stage on the one before it, by comparing all pairs and all windows."""
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    tables = [table(spark, SF, "documents")]
+    for stage in stages[:4]:
+        tables.append(corpus_pipeline.stored(stage(spark, tables[-1], SF), "test"))
+    good, single, clean, drawn = ([(r["doc_id"], r["text"], r["source"]) for r in t.collect()] for t in tables[1:])
+
+    groups = brute_components([r[:2] for r in good], n=5, share=80)
+    assert len(groups) == len(good) > len(single)
+    assert sorted(r[0] for r in single) == sorted(doc for doc, (_, least) in groups.items() if doc == least)
+
+    words = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    windows = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    items = [words(r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    banned = {}
+    for w in items:
+        if w:
+            n = min(len(w), decontaminate.WINDOW)
+            banned.setdefault(n, set()).update(windows(w, n))
+    holds = lambda text: any(windows(words(text), n) & found for n, found in banned.items())
+    after = {doc: text for doc, text, _ in clean}
+    assert any(holds(text) for _, text, _ in single) and not any(holds(text) for text in after.values())
+    assert all(after.get(doc) == text for doc, text, _ in single if not holds(text))
+
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    weight, held, taken, times = {}, {}, {}, {}
+    for at, source in enumerate(sorted({s for *_, s in clean})):
+        weight[source] = mixing.WEIGHTS[at % len(mixing.WEIGHTS)]
+        held[source] = sum(size(text) for _, text, s in clean if s == source)
+    target, open_, left = {}, set(weight), mixing.BUDGET * sum(held.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > mixing.MOST_PASSES * held[s]}
+        target.update({s: mixing.MOST_PASSES * held[s] for s in full} if full else share)
+        left -= sum(mixing.MOST_PASSES * held[s] for s in full)
+        open_ = open_ - full if full else set()
+    for row in drawn:
+        assert after[row[0]] == row[1]
+        taken[row[2]] = taken.get(row[2], 0) + size(row[1])
+        times[row[0]] = times.get(row[0], 0) + 1
+    assert max(times.values()) <= mixing.MOST_PASSES
+    longest = max(size(text) for text in after.values())
+    assert all(abs(taken.get(s, 0) - target[s]) <= max(longest, 0.02 * target[s]) for s in target)
+
+
 def test_pipeline_takes_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
