@@ -24,6 +24,7 @@ from orderlark.session import shared_root, stored
 class Boosting:
     """Boosted trees; training stops early once the validation rows gain nothing."""
 
+    # The sizes of the full fit.
     rounds: int = 1000
     depth: int = 7
     rate: float = 0.05

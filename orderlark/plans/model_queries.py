@@ -194,20 +194,27 @@ def m7(spark, d):
     return evaluate.roc_auc(held, "p_reorder", "label_reorder_in_N")
 
 
+def _held_out(rows):
+    """Mark a fifth of the rows by hash: they are scored but take no part in the fit."""
+    return rows.withColumn("held_out", F.pmod(F.xxhash64(F.concat_ws("|", *SALES_TIES)), F.lit(5)) == 0)
+
+
 @register("M8_quantity_quantiles")
 def m8(spark, d):
     stored_rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
     rows = snapshots.regression_rows(stored_rows, SALES_TIES)
-    model = v1.fit_quantity(rows, v1.QUANTITY_FEATURES, "target_qty_next", trees=10, depth=5)
+    rows = stored(_held_out(rows), "quantities")
+    model = v1.fit_quantity(rows.where("NOT held_out"), v1.QUANTITY_FEATURES, "target_qty_next", trees=10, depth=5)
     scored = model.score(rows)
-    return scored.select(*SALES_TIES, "target_qty_next", "qty_mean", "qty_p50", "qty_p90")
+    return scored.select(*SALES_TIES, "held_out", "target_qty_next", "qty_mean", "qty_p50", "qty_p90")
 
 
 @register("M12_time_to_next_order")
 def m12(spark, d):
     rows = snapshots.survival_rows(snapshots.order_snapshots(*_v1(spark, d, SKUS)), SALES_TIES)
-    model = v1.fit_survival(rows, snapshots.SNAPSHOT_FEATURES)
-    return model.transform(rows).select(*SALES_TIES, "time_to_next", "expected_days", vector_to_array("_median")[0].alias("median_days"))
+    rows = stored(_held_out(rows), "survival")
+    model = v1.fit_survival(rows.where("NOT held_out"), snapshots.SNAPSHOT_FEATURES)
+    return model.transform(rows).select(*SALES_TIES, "held_out", "time_to_next", "expected_days", vector_to_array("_median")[0].alias("median_days"))
 
 
 def _ranker_rows(spark, d):
