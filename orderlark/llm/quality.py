@@ -1,17 +1,19 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
 Words and word pairs are hashed into BUCKETS buckets. Two multinomials over the buckets are
-counted: one over all documents, one over trusted documents (labelled quality 1; a bounded
-sample of them by hash of the id, at most TRUSTED, so that their ids can be broadcast). The
-target is smoothed towards the corpus with PRIOR pseudo-counts. A document's score is the sum
-of ln(target / corpus) over its features, divided by their number, and every document whose
-score is below MIN_SCORE is rejected, as are those that fail the base rules. The threshold is
-a constant, so equal counts give equal verdicts. All of it is DataFrame code.
+counted: one over all documents, one over all trusted documents (labelled quality 1). A document
+is held against the others only: its own counts are taken out of the corpus, and out of the
+target if it is trusted, so being counted makes no difference. Each bucket's count in the target
+is compared with the one its share of the corpus leads to expect, both with SMOOTHING added,
+which leaves buckets too rare to tell near 0 at every size of the target. A document's score is
+the mean of ln((target + SMOOTHING) / (expected + SMOOTHING)) over its features, and every
+document whose score is below MIN_SCORE is rejected, as are those that fail the base rules. The
+threshold is a constant, so equal counts give equal verdicts. All of it is DataFrame code.
 
 Defined results: null and blank texts have no words and fail the base rules; repeated rows are
-scored each for itself; without any trusted document every score is 0 and the base rules
-alone decide; labels with a null id or quality are ignored; an empty table gives an empty
-result; other columns pass through kept_documents.
+scored each for itself (the copies count as other documents); without any other trusted document
+a score is 0 and the base rules alone decide; labels with a null id or quality are ignored; an
+empty table gives an empty result; other columns pass through kept_documents.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from orderlark.llm.common import table, words_column
 from orderlark.session import stored
 
 BUCKETS = 1 << 16
-#: Most trusted documents counted for the target, those with the smallest hash of their id.
-TRUSTED = 20_000
+#: Added to a bucket's count in the target and to the expected one.
+SMOOTHING = 8
+#: Pseudo-counts of the whole target, for scores that count a document into it.
 PRIOR = 10_000
 #: Least mean log-likelihood ratio per feature, in nats.
 MIN_SCORE = -0.1
@@ -66,52 +69,66 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def features(docs: DataFrame, *kept: str) -> DataFrame:
-    """One row per word place with the buckets of the word and of the pair it begins."""
-    at = docs.select(*kept, "words", F.posexplode_outer("words").alias("_i", "_word"))
-    following = F.get("words", F.col("_i") + 1)
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
-    return at.select(*kept, F.when(F.col("_word").isNotNull(), bucket("_word")).alias("word"), F.when(following.isNotNull(), bucket("_word", following)).alias("pair"))
+    """One row per document and distinct bucket of its words and word pairs, with the places n
+    that the bucket has and all places n_all; a document without words has one row of nulls."""
+    bucket = lambda x: f"CAST(pmod(xxhash64({x}), {BUCKETS}) AS int)"
+    pairs = f"IF(size(words) < 2, CAST(array() AS array<int>), transform(sequence(0, size(words) - 2), i -> {bucket('words[i], words[i + 1]')}))"
+    out = docs.select(*kept, F.expr(f"sort_array(concat(transform(words, w -> {bucket('w')}), {pairs}))").alias("_all"))
+    starts = "IF(size(_all) = 0, CAST(array() AS array<int>), filter(sequence(0, size(_all) - 1), i -> i = 0 OR _all[i - 1] <> _all[i]))"
+    out = out.withColumn("_starts", F.expr(starts))
+    counted = "transform(_starts, (p, i) -> struct(_all[p] AS bucket, coalesce(get(_starts, i + 1), size(_all)) - p AS n))"
+    out = out.select(*kept, F.size("_all").alias("n_all"), F.explode_outer(F.expr(counted)).alias("_x"))
+    return out.select(*kept, "n_all", "_x.bucket", "_x.n")
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids labelled quality 1 and never otherwise."""
+    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q")).where("q = 1")
+    return good.select("_id")
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """Ids labelled quality 1 (and never otherwise), at most `limit`, by hash."""
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q")).where("q = 1")
-    return good.orderBy(F.xxhash64("_id"), "_id").limit(limit).select("_id")
+def marked(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
+    """Add whether a document is trusted."""
+    return docs.join(trusted.withColumn("_trusted", F.lit(True)), F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("_trusted", F.col("_trusted").isNotNull())
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, weight): ln of the target's share over the corpus's share of a bucket."""
-    marked = docs.select(F.col(id_col).alias("_id"), words_column(text_col).alias("words")).join(F.broadcast(trusted.withColumn("_t", F.lit(1))), "_id", "left")
-    each = features(marked, "_t").select("_t", F.explode(F.array("word", "pair")).alias("bucket")).where("bucket IS NOT NULL")
-    counted = stored(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target")), "counts")
-    total = counted.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
-    if not total["all_target"]:
-        return counted.select("bucket", F.lit(0.0).alias("weight"))
-    share = F.col("raw") / F.lit(float(total["all_raw"]))
-    weight = F.log((F.col("target") / share + F.lit(float(PRIOR))) / F.lit(float(total["all_target"] + PRIOR)))
-    return counted.select("bucket", weight.alias("weight"))
+def counts(docs: DataFrame) -> DataFrame:
+    """(bucket, raw, target): places in all and in trusted documents, of words and _trusted."""
+    each = features(docs, "_trusted").where("bucket IS NOT NULL")
+    return each.groupBy("bucket").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("_trusted"), F.col("n")).otherwise(0)).alias("target"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *more: Column) -> DataFrame:
-    """Base measures, score and verdict of every document (id column, then measures)."""
+def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *more: Column, alone: bool = False) -> DataFrame:
+    """Base measures, score and verdict of every document (id column, then measures). With
+    `alone` a document's own counts are left out; else it is counted like any other, and the
+    target as a whole smoothed towards the corpus with PRIOR pseudo-counts."""
+    trusted = stored(trusted_ids(labels), "trusted")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c.alias(f"_x{i}") for i, c in enumerate(more)])
+    slim = marked(slim, trusted, "doc_id")
     # At most BUCKETS rows, whatever the corpus.
-    table_ = F.broadcast(stored(weights(docs, trusted_ids(labels), id_col, text_col), "weights"))
+    counted = stored(counts(slim.select("_trusted", words_column("text").alias("words"))), "counts")
+    total = counted.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    all_raw, all_target = (F.lit(float(total[c] or 0)) for c in ("raw", "target"))
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    extra = [c.alias(f"_x{i}") for i, c in enumerate(more)]
-    based = base_rules(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra))
+    based = base_rules(slim)
     kept = ["_row", "doc_id", *measures, *[f"_x{i}" for i in range(len(more))]]
-    each = features(based.withColumn("_row", F.monotonically_increasing_id()), *kept)
-    for side in ("word", "pair"):
-        each = each.join(table_.select(F.col("bucket").alias(side), F.col("weight").alias(f"{side}_weight")), side, "left")
-    value = F.coalesce("word_weight", F.lit(0.0)) + F.coalesce("pair_weight", F.lit(0.0))
-    summed = each.groupBy(*kept).agg(F.sum(value).alias("_sum"), (F.count("word") + F.count("pair")).alias("_n"))
+    each = features(based.withColumn("_row", F.monotonically_increasing_id()), *kept, "_trusted").join(F.broadcast(counted), "bucket", "left")
+    if alone:
+        own = lambda c: F.when(F.col("_trusted"), F.col(c)).otherwise(0)
+        others = all_raw - F.col("n_all")
+        expected = F.when(others > 0, (all_target - own("n_all")) * (F.col("raw") - F.col("n")) / others).otherwise(F.lit(0.0))
+        weight = F.log((F.col("target") - own("n") + F.lit(float(SMOOTHING))) / (expected + F.lit(float(SMOOTHING))))
+    else:
+        weight = F.log((F.col("target") * all_raw / F.col("raw") + F.lit(float(PRIOR))) / (all_target + F.lit(float(PRIOR))))
+        weight = F.when(all_target > 0, weight).otherwise(F.lit(0.0))
+    summed = each.groupBy(*kept).agg(F.sum(weight * F.col("n")).alias("_sum"), F.sum("n").alias("_n"))
     score = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(F.lit(0.0))
     return summed.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= MIN_SCORE)).drop("_row", "_sum", "_n")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that pass, unchanged."""
-    verdicts = scored(docs, labels, text_col, id_col, F.xxhash64(text_col)).where("NOT kept")
+    verdicts = scored(docs, labels, text_col, id_col, F.xxhash64(text_col), alone=True).where("NOT kept")
     rejected = verdicts.select(F.col("doc_id").alias("_id"), F.col("_x0").alias("_hash")).distinct()
     keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
     on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
@@ -119,7 +136,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alone=True)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 

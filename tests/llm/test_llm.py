@@ -281,6 +281,44 @@ def test_quality_matches_brute_force(spark):
         assert r["kept"] == (not r["base_failed"] and score >= quality.MIN_SCORE)
 
 
+def test_quality_leaves_a_text_out_of_its_own_target(spark):
+    """Scores of a labelled text by the others only, by brute force, and the same whether or not
+    its label is known; a label that the corpus does not have changes nothing."""
+    texts = {i: " ".join(f"w{(i * 7 + k * k) % 83}" for k in range(60)) for i in range(30)}
+    texts[0] += " alone " * 40
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(10, 0, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, known, alone=True).collect()}
+    without = {r["doc_id"]: r["score"] for r in quality.scored(docs, known.where("doc_id <> 3"), alone=True).collect()}
+    assert abs(got[3] - without[3]) < 1e-9 and abs(got[4] - without[4]) > 1e-6
+    h = lambda x, seed=42: xxhash.xxh64(x.encode(), seed=seed).intdigest()
+    signed = lambda x: (x - (1 << 64) if x >> 63 else x) % quality.BUCKETS
+    feats = {}
+    for i, text in texts.items():
+        w = text.split()
+        feats[i] = [signed(h(x)) for x in w] + [signed(h(b, h(a))) for a, b in zip(w, w[1:], strict=False)]
+    for i, mine in feats.items():
+        raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+        for j, f in feats.items():
+            if j != i:
+                np.add.at(raw, f, 1)
+                if j < 10:
+                    np.add.at(target, f, 1)
+        expected = raw[mine] / raw.sum() * target.sum()
+        score = np.mean(np.log((target[mine] + quality.SMOOTHING) / (expected + quality.SMOOTHING)))
+        assert abs(score - got[i]) < 1e-9, i
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.001", 0.3), ("sf0.01", 0.6), ("sf0.1", 0.8)])
+def test_quality_held_out(spark, sf, least):
+    """Of texts whose label was not counted, the good are kept and the bad are not, at all sizes."""
+    docs, known = (table(spark, SF.replace("sf0.01", sf), name) for name in ("documents", "labels"))
+    got = quality.scored(docs, known.where("doc_id % 2 = 0"), alone=True).where("NOT base_failed")
+    got = got.join(known.select("doc_id", "quality"), "doc_id").where("doc_id % 2 = 1").groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("gone"))
+    gone = {r["quality"]: r["gone"] for r in got.collect()}
+    assert gone[1] <= 0.05 and gone[0] >= least, gone
+
+
 def test_quality_odd_rows(spark, odd, none):
     got = quality.scored(odd, labels(spark)).collect()
     assert len(got) == len(ODD) and {r["doc_id"] for r in got if r["kept"]} <= {4, 5}
