@@ -2,13 +2,15 @@
 
 Each text is scanned once. The base kinds (assign, access, hex) count as found whatever their
 value. Further candidates, opaque values behind a bearer word and free-standing mixed tokens,
-are only shapes; whether one is a live credential is told by who holds it. Values are hashed,
-and each hash is counted by distinct owners and distinct repositories over the whole corpus.
-A value that several owners or many repositories hold is a copied example; one that stays
-with its owner and looks random is reported as an added span.
+are only shapes. Whether a value is a live credential is told by who holds it: the values of all
+spans, base ones included, are hashed without full stops at their end, and each hash is counted
+by distinct owners and distinct repositories over the whole corpus, in whatever shape it is
+written. A value that several owners or many repositories hold is a copied example; one that
+stays with its owner is owner-specific. Base spans are all reported, with their verdict; a
+further candidate is reported as an added span if it looks random and is owner-specific.
 
 Copies are reduced to (hash, owner, repository) before they are counted, and only the hashes
-of owner-specific values meet the candidates again, in a join Spark can split.
+of owner-specific values meet the spans again, in a join Spark can split.
 
 Defined results: a null or empty text has no spans; rows are documents, so a repeated id
 gives a row each time (equal rows count as one repository); null owners and repositories
@@ -41,8 +43,9 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 BASE_KINDS = ("assign", "access", "hex")
 # Added shapes: a value after an authorisation word, and a free-standing token of mixed kinds.
-BEARER = re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_.=-])")
+# A full stop parts free-standing tokens and does not end a bearer value.
+BEARER = re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{15,}[A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 KINDS = (*BASE_KINDS, "bearer", "opaque")
 
 
@@ -79,6 +82,11 @@ def added_candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[
     return out
 
 
+def hashed(value: str) -> bytes:
+    """Hash of a value without the full stops of a sentence that ends with it."""
+    return hashlib.sha256((value.rstrip(".") or value).encode()).digest()[:16]
+
+
 SCANNED = "doc_id long, text_hash long, owner string, repository string, spans array<struct<start:int,kind:int,end:int,value:binary,base:boolean>>"
 
 
@@ -95,7 +103,7 @@ def scanned(docs: DataFrame, text_col: str, id_col: str, owner_col: str, reposit
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
                 found = [(*s, True) for s in base] + [(*s, False) for s in added_candidates(text or "", base)]
-                spans.append([{"start": a, "kind": k, "end": e, "value": hashlib.sha256(v.encode()).digest()[:16], "base": b} for a, k, e, v, b in sorted(found)])
+                spans.append([{"start": a, "kind": k, "end": e, "value": hashed(v), "base": b} for a, k, e, v, b in sorted(found)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[:4]), pa.array(spans, kind)], names=[*batch.schema.names[:4], "spans"])
 
     return slim.mapInArrow(scan, SCANNED)
@@ -112,19 +120,18 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def located(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repository_col: str = "doc_id") -> DataFrame:
-    """doc_id and its reported spans (start, kind, end, value hash, base), one row per document:
-    all base spans, and added ones whose value is owner-specific."""
+    """doc_id and its reported spans (start, kind, end, value hash, base, own: whether the value
+    is owner-specific), one row per document: all base spans, and added ones that are own."""
     found = stored(scanned(docs, text_col, id_col, owner_col, repository_col), "spans")
-    live = ownership(found.withColumn("spans", F.filter("spans", lambda s: ~s["base"]))).where("verdict = 'owner-specific'").select("value")
-    # Documents with candidates to decide; those that repeat an id and text decide together.
-    open_ = found.where(F.exists("spans", lambda s: ~s["base"]))
-    added = open_.select("doc_id", "text_hash", F.explode("spans").alias("s")).where("NOT s.base").distinct()
-    added = added.select("doc_id", "text_hash", "s", F.col("s.value").alias("value")).join(live, "value", "left_semi")
-    per_doc = added.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("_added"))
+    live = ownership(found).where("verdict = 'owner-specific'").select("value")
+    # Documents with values to decide; those that repeat an id and text decide together.
+    values = F.array_distinct(F.transform("spans", lambda s: s["value"]))
+    each = found.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode(values).alias("value")).distinct()
+    per_doc = each.join(live, "value", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("_live"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     joined = found.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    base = F.filter("spans", lambda s: s["base"])
-    return joined.select("doc_id", F.when(F.col("_added").isNull(), base).otherwise(F.sort_array(F.concat(base, F.col("_added")))).alias("spans"))
+    judged = F.transform("spans", lambda s: s.withField("own", F.coalesce(F.array_contains("_live", s["value"]), F.lit(False))))
+    return joined.select("doc_id", F.filter(judged, lambda s: s["base"] | s["own"]).alias("spans"))
 
 
 def redacted(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> str:
@@ -146,7 +153,12 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = located(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", count(0), count(1), count(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    verdicts = F.array_join(F.transform("spans", lambda s: F.when(s["own"], "owner-specific").otherwise("copied example")), ",")
+    n = lambda own: F.size(F.filter("spans", lambda s: s["own"] == F.lit(own))).cast("long")
+    return found.select(
+        "doc_id", count(0), count(1), count(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+        verdicts.alias("verdicts"), n(True).alias("n_owner_specific"), n(False).alias("n_copied_example"),
+    )
 
 
 QUERIES = {"op1_secret_scan": op1_secret_scan}

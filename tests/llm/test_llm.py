@@ -102,6 +102,43 @@ def test_secret_scan_against_brute_force(spark):
         assert r["spans"] == listed(mine + [(a, k, e) for a, k, e, value in offered[r["doc_id"]] if value in live])
 
 
+def test_ownership_counts_every_shape(spark):
+    """An example that is assigned in many documents and bare in one is no live value; base spans
+    have verdicts; a full stop ends a bare token and is no part of a value."""
+    live, copied, own = "Zx9Qw3Er7Ty1Ui5Op0As2D", "Example0Token1Value2Abcd", "Kp4Lm8Nq2Rt6Vw0Xy3Za7B"
+    rows = [(i, f"token={copied}", f"o{i % 5}") for i in range(30)]
+    rows += [(40, f"see {copied} here", "o1"), (41, f"It is {live}.", "o1"), (42, f"password: {own}. Bye", "o2"), (43, f"use Bearer {own}.", "o2"), (44, f"a {live[:10]}", "o1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: [(secret_scan.KINDS[s["kind"]], s["start"], s["end"], s["own"]) for s in r["spans"]] for r in secret_scan.located(docs).collect()}
+    assert all(got[i] == [("assign", 0, 30, False)] for i in range(30))
+    assert got[40] == [] and got[44] == []
+    assert got[41] == [("opaque", 6, 28, True)]
+    assert got[42] == [("assign", 0, 33, True)] and got[43] == [("bearer", 4, 33, True)]
+    shared = docs.withColumn("source", F.when(F.col("doc_id") == 43, "o3").otherwise(F.col("source")))
+    got = {r["doc_id"]: [s["own"] for s in r["spans"]] for r in secret_scan.located(shared).collect()}
+    assert got[42] == [False] and got[43] == []
+
+
+def test_secret_verdicts_against_brute_force(spark):
+    owners, homes, spans = {}, {}, {}
+    for r in table(spark, SF, "documents").collect():
+        base = secret_scan.base_spans(r["text"] or "")
+        spans[r["doc_id"]] = [(s, True) for s in base] + [(s, False) for s in secret_scan.added_candidates(r["text"] or "", base)]
+        for (*_, value), _ in spans[r["doc_id"]]:
+            value = value.rstrip(".") or value
+            owners.setdefault(value, set()).add(r["source"])
+            homes.setdefault(value, set()).add((r["source"], r["doc_id"]))
+    own = lambda v: len(owners[v]) <= secret_scan.MOST_OWNERS and len(homes[v]) <= secret_scan.MOST_REPOSITORIES
+    seen = set()
+    for r in secret_scan.op1_secret_scan(spark, SF).collect():
+        each = [(own(v.rstrip(".") or v), base) for (*_, v), base in sorted(spans[r["doc_id"]])]
+        each = [mine for mine, base in each if mine or base]
+        assert r["verdicts"] == ",".join("owner-specific" if mine else "copied example" for mine in each)
+        assert (r["n_owner_specific"], r["n_copied_example"]) == (sum(each), len(each) - sum(each))
+        seen.update(each)
+    assert True in seen
+
+
 def test_secret_scan_odd_rows(odd, none):
     assert secret_scan.located(odd).count() == len(ODD)
     assert secret_scan.located(none).count() == 0
