@@ -1,11 +1,13 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Texts are cut into sentences and those into units: words without punctuation, and every tail of
-a run of spaced single characters joined. A unit is compared with a landmark by the gap-weighted
-subsequence kernel of ORDER letters (gaps decay by DECAY), normalised, over the unit's beginnings
-of about the landmark's length; marks of a word's start and end count as letters. So inserted,
-spaced or doubled characters cost a little and not the match. A sentence's value for a landmark is
-that of its most similar unit, and a text's is log2(1 + sum of its sentences' values).
+Texts are cut into sentences and those into units: words without punctuation, the parts that
+punctuation makes of a word, and bounded windows of a run of spaced single characters joined, one
+from each of its characters. A unit is compared with a landmark by the gap-weighted subsequence
+kernel of ORDER letters (gaps decay by DECAY), normalised, over all of the unit's windows of about
+the landmark's length; marks of a unit's start and end count as letters, so that a match inside a
+compound is a little less than one of a word. So inserted, spaced or doubled characters cost a
+little and not the match. A sentence's value for a landmark is that of its most similar unit, and
+a text's is log2(1 + sum of its sentences' values).
 
 Landmarks are the words and word beginnings that labelled toxic texts hold, once or repeatedly,
 far oftener than others. The Nystroem map (inverse root of the landmarks' kernel matrix) and the
@@ -49,26 +51,36 @@ MIN_LETTERS = 0.75
 #: Similarities below this count as none; the others are raised to a power, which keeps a
 #: near match and takes most from the many faint ones of a long text.
 MIN_SIMILARITY, POWER = 0.55, 3
-#: Characters that a unit's compared beginning may have more than the landmark.
+#: Characters that a unit's compared window may have more or fewer than the landmark.
 EXTRA = 3
+#: Characters of a spaced run's window: the longest landmark with its marks, and EXTRA.
+RUN_WINDOW = WHOLE + 2 + EXTRA
 FIRST, LAST = b"\x02", b"\x03"  # marks of a unit's start and end
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 HELD_OUT_OF = 5
 CACHED = 400_000  # units a task remembers
 LOT_BYTES = 4 << 20  # text compared at a time
+WINDOWS = 50_000  # windows compared at a time
 
 SENTENCE = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n+")
 PUNCTUATION = string.punctuation.encode()
+PARTED = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 SPACED = re.compile(rb"(?:(?<=[\x20\x09-\x0D])|(?<![\x00-\xff]))(?:[a-z0-9][\x20\x09]){2,}[a-z0-9](?![^\x20\x09-\x0D])")
 
 
 def units(text: bytes) -> list[bytes]:
-    """Words without ASCII punctuation, and the tails of joined runs of spaced characters."""
+    """Words without ASCII punctuation, their parts between it, and windows of joined runs of
+    spaced characters."""
     plain = text.translate(None, PUNCTUATION)
     words = plain.split()
+    for raw in text.split():
+        if not raw.isalnum():
+            parts = raw.translate(PARTED).split()
+            if len(parts) > 1:
+                words += [x for x in parts if len(x) >= ORDER]
     for m in SPACED.finditer(plain):
         run = b"".join(m[0].split())
-        words += [run[i:] for i in range(len(run) - ORDER + 1)]
+        words += [run[i : i + RUN_WINDOW] for i in range(len(run) - ORDER + 1)]
     return words
 
 
@@ -112,28 +124,40 @@ class Similarity:
         self.landmarks = list(landmarks)
         self.codes = [np.frombuffer(x, np.uint8)[None, :] for x in self.landmarks]
         self.norms = [float(kernel(c, c)[0]) for c in self.codes]
-        self.longest = max([c.shape[1] for c in self.codes], default=0) + EXTRA
         self.known: dict[bytes, int] = {}
         self.values = [np.zeros(len(self.landmarks), np.float32)]
 
     def _values(self, found: Sequence[bytes]) -> np.ndarray:
         out = np.zeros((len(found), len(self.landmarks)), np.float32)
         for at in range(0, len(found), 50_000):
-            lot = [FIRST + u[: self.longest] + LAST for u in found[at : at + 50_000]]
-            letters = np.frombuffer(b"".join(u[: self.longest].ljust(self.longest, b"\0") for u in lot), np.uint8).reshape(-1, self.longest)
-            masks = np.bitwise_or.reduce(np.uint64(1) << (letters & 63).astype(np.uint64), axis=1)
+            lot = [FIRST + u + LAST for u in found[at : at + 50_000]]
+            lengths = np.array([len(u) for u in lot])
+            firsts = np.cumsum(lengths) - lengths
+            flat = np.frombuffer(b"".join(lot), np.uint8)
+            masks = np.bitwise_or.reduceat(np.uint64(1) << (flat & 63).astype(np.uint64), firsts)
             for k, codes in enumerate(self.codes):
                 size = codes.shape[1]
+                least, places = max(ORDER, size - EXTRA), np.arange(size + EXTRA)
                 distinct, needed = np.unique(codes[0], return_counts=True)
                 # A unit without enough of the landmark's letters needs no kernel.
                 mask = np.bitwise_or.reduce(np.uint64(1) << (distinct & 63).astype(np.uint64))
-                near = np.flatnonzero(np.bitwise_count(~masks & mask) <= (1 - MIN_LETTERS) * size)
-                beginning = letters[near, : size + EXTRA]
-                shared = sum(np.minimum((beginning == x).sum(axis=1), n) for x, n in zip(distinct, needed, strict=True))
-                enough = shared >= MIN_LETTERS * size
-                near, beginning = near[enough], beginning[enough]
-                for part in range(0, len(near), 2000):
-                    out[at + near[part : part + 2000], k] = prefix_similarity(beginning[part : part + 2000], codes, self.norms[k], max(ORDER, size - EXTRA))
+                near = np.flatnonzero((np.bitwise_count(~masks & mask) <= (1 - MIN_LETTERS) * size) & (lengths >= MIN_LETTERS * size))
+                # A window from each place that leaves `least` letters, and the first one.
+                n = np.maximum(1, lengths[near] - least + 1)
+                ends = np.cumsum(n)
+                for low in range(0, int(ends[-1]) if len(near) else 0, WINDOWS):
+                    window = np.arange(low, min(low + WINDOWS, int(ends[-1])))
+                    of = np.searchsorted(ends, window, side="right")
+                    skipped = window - (ends[of] - n[of])
+                    unit = near[of]
+                    at_ = (firsts[unit] + skipped)[:, None] + places
+                    letters = np.where(places < (lengths[unit] - skipped)[:, None], flat[np.minimum(at_, len(flat) - 1)], 0).astype(np.uint8)
+                    shared = sum(np.minimum((letters == x).sum(axis=1), m) for x, m in zip(distinct, needed, strict=True))
+                    enough = shared >= MIN_LETTERS * size
+                    unit, letters = unit[enough], letters[enough]
+                    for part in range(0, len(unit), 2000):
+                        values = prefix_similarity(letters[part : part + 2000], codes, self.norms[k], least)
+                        np.maximum.at(out, (at + unit[part : part + 2000], k), values.astype(np.float32))
         return np.where(out >= MIN_SIMILARITY, out, 0) ** POWER
 
     def places(self, found: Sequence[bytes]) -> list[int]:

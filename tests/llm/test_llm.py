@@ -509,6 +509,27 @@ def test_toxicity_learns_and_tolerates(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for i, r in got.items())
 
 
+def test_toxicity_finds_words_inside_units(spark):
+    """An insult after punctuation, at the end of a compound, deep in a text without blanks or
+    in a long spaced run counts; the length of a run's units grows with the run only."""
+    similarity = toxicity.Similarity([b"\x02idiot\x03", b"\x02blockh"])
+    value = lambda text: similarity.pooled([text.encode()])[0, :-1].max()
+    for text in ["idea.idiot", "stupid/idiot", "super_idiot", "ideaidiot", "superidiot", "helloblockhead", "xy" * 500 + "blockhead" + "yx" * 500, " ".join("wevesaid" * 5 + "blockhead" + "indeed" * 5)]:
+        assert value(text) > 0.1, text
+    assert value("b-l-o-c-k-h-e-a-d") > 0.5 and value("the hills by the sea") == 0 and value("xy" * 500) == 0
+    assert sum(map(len, toxicity.units(b"a " * 20_000))) <= 20_000 * (toxicity.RUN_WINDOW + 1)
+    # By brute force over all windows of one unit.
+    for unit, landmark in [(b"\x02ideaidiots\x03", b"\x02idiot\x03"), (b"\x02ablockohead\x03", b"\x02blockh")]:
+        size = len(landmark)
+        best = max(
+            brute_kernel(unit[i : i + n], landmark) / np.sqrt(brute_kernel(unit[i : i + n], unit[i : i + n]) * brute_kernel(landmark, landmark))
+            for n in range(size - toxicity.EXTRA, size + toxicity.EXTRA + 1)
+            for i in range(len(unit) - n + 1)
+        )
+        got = toxicity.Similarity([landmark])._values([unit[1:-1]])[0, 0]
+        assert abs(got - (best**toxicity.POWER if best >= toxicity.MIN_SIMILARITY else 0)) < 1e-5
+
+
 def test_toxicity_held_out(spark):
     sf = SF_SMALL.replace("0.001", "0.01")
     docs, known = table(spark, sf, "documents"), table(spark, sf, "labels")
