@@ -1,18 +1,21 @@
 """Merkle fixity audit of WARC archives.
 
-Pages are rendered as WARC resource records and laid out in one logical archive by id, url and
-digest; offsets come from running sums inside range partitions plus the totals before them.
-A tree's leaves are ordered offset ranges of RANGE_BYTES: the hash of the digests of the
-records that start there. FANOUT neighbours make a node of the next level, up to one root.
-Two replicas have trees of the same geometry. Roots are compared first, and a level's nodes
-only below nodes that differ, down to the records of the ranges that differ.
-
-Records are hashed where they are read; only digests and lengths travel. A range has as many
-records as fit into its bytes, a node FANOUT children, so no group grows with the archive.
+Pages are rendered as WARC resource records. Each replica is a table of its own, hashed and laid
+out alone in one logical archive by id, url and digest; offsets come from running sums inside
+range partitions plus the totals before them. A tree's leaves are fixed ranges of the hashed keys
+(id, url), as many as the larger archive has RANGE_BYTES, so that a lost or added record moves no
+other to another leaf: the hash of the digests and copies of its records. FANOUT neighbours make a
+node of the next level, up to one root. Roots are compared first, and a level's nodes only below
+nodes that differ. Only records of ranges that differ are joined in full: equal digests are set off
+against each other, what is left of a key is paired in order, and the rest is missing or extra.
+
+Records are hashed where they are read; only digests and lengths travel. A range has about as
+many records as fit into its bytes, a node FANOUT children; a group grows only with the different
+payloads of one key.
 
 Defined results: null urls and payloads count as empty, a null id is written as empty and
-comes first; rows equal in all three are one run of copies; an empty archive has no root and
-no findings; other columns are not read.
+comes first; rows equal in all three are one run of copies; two empty archives have no findings;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,18 +49,23 @@ def record(id_: Column, url: Column, payload: Column) -> Column:
     return F.concat(*head, payload, F.lit(BREAK * 2))
 
 
-def replicas(pages: DataFrame, other: Column, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """id, url, length and digest of each record, and what a second replica holds in its place:
-    `other` is its payload, null where it has lost the record."""
-    mine = record(F.col(id_col), F.col(url_col), F.col(payload_col))
-    its = F.when(other.isNotNull(), record(F.col(id_col), F.col(url_col), other))
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("url"), F.octet_length(mine).cast("long").alias("length"), F.sha2(mine, 256).alias("digest"), F.octet_length(its).cast("long").alias("other_length"), F.sha2(its, 256).alias("other_digest"))
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """id, url, length, digest and copies of the records of one replica."""
+    text = record(F.col(id_col), F.col(url_col), F.col(payload_col))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("url"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def replicas(pages: DataFrame, other: Column, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """The archive of pages, and that of a second replica made from them: `other` is its payload,
+    null where it has lost the record."""
+    its = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), other.alias("payload")).where("payload IS NOT NULL")
+    return archive(pages, id_col, url_col, payload_col), archive(its, "id", "url", "payload")
+
+
 def located(records: DataFrame) -> DataFrame:
     """Add each record's offset in the archive."""
-    keys = ["id", "url", "digest", "other_digest"]
+    keys = ["id", "url", "digest"]
     rows = stored(records, "records")
     parts = max(1, math.ceil(rows.count() / PART_ROWS))
     laid = stored(rows.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), "laid")
@@ -70,13 +78,12 @@ def located(records: DataFrame) -> DataFrame:
     return placed.withColumn("offset", F.col("start") + F.col("_upto") - bytes_).drop("part", "start", "_upto")
 
 
-def tree(entries: DataFrame, end: int) -> list[DataFrame]:
-    """Levels of (node, hash) from the ranges up to the root, of entries (offset, length,
-    digest, copies) in an archive of `end` bytes."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("offset", "length", "copies", "digest"))), lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("offset", "length", "copies", "digest")]))
-    level = entries.groupBy(F.floor(F.col("offset") / RANGE_BYTES).alias("node")).agg(F.sha2(F.array_join(listed, ","), 256).alias("hash"))
+def tree(entries: DataFrame, nodes: int) -> list[DataFrame]:
+    """Levels of (node, hash) from the `nodes` ranges up to the root, of entries (node, length,
+    copies, digest)."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("digest", "length", "copies"))), lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("length", "copies", "digest")]))
+    level = entries.groupBy("node").agg(F.sha2(F.array_join(listed, ","), 256).alias("hash"))
     levels = [stored(level, "tree")]
-    nodes = max(1, math.ceil(end / RANGE_BYTES))
     while nodes > 1:
         children = F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"]))
         level = levels[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("up")).agg(F.sha2(F.array_join(children, ","), 256).alias("hash"))
@@ -98,16 +105,32 @@ def differing(mine: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     return below.withColumnRenamed("up", "node")
 
 
-def audit(records: DataFrame) -> DataFrame:
-    """The corrupt records: id, url, offset, length, copies, digests, and what is wrong."""
-    placed = stored(located(records), "placed")
-    end = placed.agg(F.max(F.col("offset") + F.col("length") * F.col("copies"))).first()[0] or 0
-    mine = placed.select("offset", "length", "copies", "digest")
-    other = placed.where("other_digest IS NOT NULL").select("offset", F.col("other_length").alias("length"), "copies", F.col("other_digest").alias("digest"))
-    ranges = differing(tree(mine, end), tree(other, end))
-    inside = placed.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES)).join(ranges, "node", "left_semi")
-    wrong = F.when(F.col("other_digest").isNull(), "missing").when(F.col("other_length") != F.col("length"), "length").otherwise("content")
-    return inside.where(~F.col("digest").eqNullSafe(F.col("other_digest"))).withColumn("damage", wrong).drop("node")
+def audit(archives: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The records that two archives do not share: id, url, and offset, length, copies and digest
+    in the first and (other_...) in the second, null where it has none, and what is wrong."""
+    placed = [stored(located(x), "placed") for x in archives]
+    end = max(x.agg(F.sum(F.col("length") * F.col("copies"))).first()[0] or 0 for x in placed)
+    nodes = max(1, math.ceil(end / RANGE_BYTES))
+    ranged = [x.withColumn("node", F.pmod(F.xxhash64(F.col("id").cast("string"), "url"), F.lit(nodes)).cast("long")) for x in placed]
+    ranges = differing(*[tree(x, nodes) for x in ranged])
+    mine, its = (x.join(ranges, "node", "left_semi").drop("node") for x in ranged)
+    # Equal records are set off against each other; what is over stays with its side.
+    equal = lambda x: x.select(F.col("id").alias("_id"), F.col("url").alias("_url"), F.col("digest").alias("_digest"), F.col("copies").alias("_copies"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("digest") == F.col("_digest"))
+    over = F.col("copies") - F.coalesce("_copies", F.lit(0))
+    order = Window.partitionBy("id", "url").orderBy("digest")
+    left = [
+        a.join(equal(b), same, "left").withColumn("copies", over).where("copies > 0").select("id", "url", "offset", "length", "copies", "digest", F.row_number().over(order).alias("_n"))
+        for a, b in ((mine, its), (its, mine))
+    ]
+    first = left[0].withColumnsRenamed({"id": "_id", "url": "_url", "_n": "_m"})
+    second = left[1].withColumnsRenamed({c: f"other_{c}" for c in ("offset", "length", "copies", "digest")})
+    pair = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_url") == F.col("url")) & (F.col("_m") == F.col("_n"))
+    met = first.join(second, pair, "full")
+    wrong = F.when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("other_length") != F.col("length"), "length").otherwise("content")
+    here = lambda a, b: F.when(F.col("digest").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(b)
+    columns = ["offset", "length", "copies", "digest", "other_offset", "other_length", "other_copies", "other_digest"]
+    return met.select(here("_id", "id"), here("_url", "url"), *columns, wrong.alias("damage"))
 
 
 def damaged(payload: Column, id_: Column) -> Column:
@@ -124,7 +147,8 @@ def damaged(payload: Column, id_: Column) -> Column:
 
 def op3_fixity(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = audit(replicas(pages, damaged(F.col("html"), F.col("page_id"))))
+    replica = stored(pages.withColumn("html", damaged(F.col("html"), F.col("page_id"))).where("html IS NOT NULL"), "replica")
+    found = audit((archive(pages), archive(replica)))
     return found.select(F.col("id").alias("page_id"), F.col("offset").alias("record_offset"), "length", "copies", F.col("digest").alias("expected_sha256"), F.col("other_digest").alias("found_sha256"), "damage")
 
 

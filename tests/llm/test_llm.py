@@ -205,6 +205,23 @@ def test_audit_without_damage_and_empty(spark):
     assert sorted(r["damage"] for r in lost) == ["length", "missing"]
 
 
+def test_audit_of_independent_replicas(spark, monkeypatch):
+    """Records that only one of two tables has, more copies, and a changed one, in many ranges."""
+    monkeypatch.setattr(fixity, "RANGE_BYTES", 1000)
+    rows = [(i, f"u{i}", f"text {i}" * 5) for i in range(300)]
+    other = rows[::-1]
+    other.remove(rows[7])
+    other[0] = (299, "u299", "other")
+    other += [(1000, "new", "x"), (5, "u5", rows[5][2]), (9, "renamed", rows[9][2])]
+    first, second = (spark.createDataFrame(x, "page_id long, url string, html string") for x in (rows, other))
+    got = fixity.audit((fixity.archive(first), fixity.archive(second))).collect()
+    found = sorted((r["id"], r["url"], r["damage"], r["copies"], r["other_copies"]) for r in got)
+    assert [x[:3] for x in found] == [(5, "u5", "extra"), (7, "u7", "missing"), (9, "renamed", "extra"), (299, "u299", "length"), (1000, "new", "extra")]
+    assert [x[3:] for x in found] == [(None, 1), (1, None), (None, 1), (1, 1), (None, 1)]
+    assert fixity.audit((fixity.archive(first), fixity.archive(spark.createDataFrame(rows[::-1], first.schema)))).count() == 0
+    assert {r["damage"] for r in fixity.audit((fixity.archive(first.limit(0)), fixity.archive(second))).collect()} == {"extra"}
+
+
 # 4
 
 
