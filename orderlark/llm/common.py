@@ -62,3 +62,16 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 def schema_ddl(df: DataFrame, *columns: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in columns)
+
+
+def fixed_point(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, **more: str) -> DataFrame:
+    """vec_id, x and further columns (new name = old one): x holds floor(scale * entry) as
+    long, saturated at the ends of long. Rows whose vector is null, empty or holds null or
+    non-finite entries go, as do those whose length is not the most frequent one (of equally
+    frequent lengths the smaller one counts)."""
+    slim = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), *[F.col(c).alias(n) for n, c in more.items()])
+    endless = F.lit(float("inf"))
+    sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != endless), F.lit(False)))
+    kept = slim.where(sound).withColumn("x", F.transform("v", lambda c: F.floor(c.cast("double") * scale)))
+    lengths = kept.groupBy(F.size("v").alias("length")).count().orderBy(F.col("count").desc(), "length").first()
+    return kept.where(F.size("v") == (lengths["length"] if lengths else 0)).drop("v")
