@@ -27,6 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -81,7 +82,8 @@ def blocks(fit: DataFrame, means: list[float], n: int) -> BlockMatrix:
     at = F.lit(means)
     centred = fit.select("index", array_to_vector(F.transform("x", lambda c, i: c.cast("double") - F.get(at, i))).alias("vector"))
     rows = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(centred, "vector"), n, len(means))
-    return rows.toBlockMatrix(BLOCK_ROWS, min(BLOCK_COLUMNS, len(means)))
+    # Read by both multiplications; a lost block is built again from the stored rows.
+    return rows.toBlockMatrix(BLOCK_ROWS, min(BLOCK_COLUMNS, len(means))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def scatter(matrix: BlockMatrix) -> np.ndarray:
