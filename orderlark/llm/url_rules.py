@@ -138,7 +138,9 @@ def rule_index(targets: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rule = F.struct("rank", "regex", "text", "verdict", "base").alias("rule")
     each = known.select(rule, F.explode_outer("tokens").alias("token"))
     wanted = each.select("token").distinct()
-    met = targets.select(F.explode(tokens(F.col("target"))).alias("token")).join(wanted, "token", "left_semi")
+    # MOST_RULES bounds the wanted tokens, so they may be broadcast; a token that very many
+    # URLs have is then counted where it is read.
+    met = targets.select(F.explode(tokens(F.col("target"))).alias("token")).join(F.broadcast(wanted), "token", "left_semi")
     counts = met.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("rule.rank").orderBy(F.coalesce("n", F.lit(0)), F.length("token").desc(), "token")
     filed = each.join(counts, "token", "left").withColumn("_r", F.row_number().over(rarest)).where("_r = 1")
