@@ -1,4 +1,4 @@
-"""Shared by the operators: column clashes, byte-level words, Arrow passes."""
+"""Shared by the operators: packed columns, byte-level words, Arrow passes."""
 
 from __future__ import annotations
 
@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, **named: Column) -> DataFrame:
+    """All columns as one struct `row`, beside working columns whose names then clash with none."""
+    return df.select(*[c.alias(n) for n, c in named.items()], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def constant(one_row: DataFrame, column: str) -> Column:
+    """The value of a column of a bounded one-row table as a constant of later expressions. It
+    travels with the tasks; as a joined column it would be copied into every row."""
+    text = one_row.select(F.to_json(column)).first()[0]
+    return F.from_json(F.lit(text), one_row.schema[column].dataType)
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Lower-cased words of letters, digits and non-ASCII characters."""
     return text.translate(ALNUM_WORDS).split()

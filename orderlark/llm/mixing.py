@@ -19,15 +19,17 @@ one row per drawn block; documents are only windowed within the one cut block of
 Defined results: null and blank texts have size 0 and are never drawn for words, but pass
 with the blocks they lie in; a null source is a source, last in order; rows equal in id and
 text share one decision; an empty table gives an empty result; the columns of `mixed` are
-those of the documents.
+those of the documents, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlark.llm.common import table, words_column
+from orderlark.llm.common import packed, table, words_column
 from orderlark.session import stored
 
 #: Weights of the sources in code point order, repeating.
@@ -98,7 +100,7 @@ def draws(sizes: DataFrame, shares: DataFrame, levels: int = LEVELS) -> DataFram
     """Per block (source, block): shards of its draws in order, and the words to draw of it
     in its last pass (null: all)."""
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = shares.withColumns({"passes": passes, "n_blocks": F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCUMENTS))})
+    plan = shares.withColumns({"passes": passes, "n_blocks": n_blocks()})
     plan = plan.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     dealt = same_source(sizes, plan.select("source", "n_blocks")).withColumn("block", F.pmod("h", F.col("n_blocks")))
     words = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"))
@@ -121,46 +123,74 @@ def draws(sizes: DataFrame, shares: DataFrame, levels: int = LEVELS) -> DataFram
     return plain.join(shards, ["place", "block"]).drop("place")
 
 
-def mixture(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", levels: int = LEVELS) -> DataFrame:
-    """doc_id, h, size, source_size, target, and the shards that a document goes to, one entry
-    for each time it is taken."""
+def n_blocks() -> Column:
+    """The number of blocks of a source of n_docs documents."""
+    return F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCUMENTS))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What decides where a document goes: one row a source, one a block, and one for each
+    document of the block that is cut in each source."""
+
+    sizes: DataFrame
+    shares: DataFrame
+    blocks: DataFrame  # source, block, cut, shards
+    parted: DataFrame  # doc_id, h, shards: of the documents of cut blocks
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Add source_size, target and shards to rows with doc_id, source and h. All joined tables
+        are short beside the documents, so Spark can broadcast them and no row moves."""
+        known = self.shares.withColumn("n_blocks", n_blocks())
+        dealt = same_source(rows, known.select("source", "source_size", "target", "n_blocks")).withColumn("block", F.pmod("h", F.col("n_blocks")))
+        at = self.blocks.withColumnsRenamed({"source": "_s", "block": "_b", "shards": "_all"})
+        found = dealt.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
+        own = self.parted.withColumnsRenamed({"doc_id": "_id", "h": "_ph", "shards": "_own"})
+        found = found.join(own, F.col("cut").isNotNull() & (F.col("h") == F.col("_ph")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        shards = F.coalesce(F.when(F.col("cut").isNull(), F.col("_all")).otherwise(F.col("_own")), F.expr("CAST(array() AS array<int>)"))
+        return found.withColumn("shards", shards).drop("n_blocks", "block", "cut", "_s", "_b", "_all", "_id", "_ph", "_own")
+
+
+def planned(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", levels: int = LEVELS) -> Plan:
     sizes = stored(sized(docs, text_col, id_col, source_col), "sizes")
     shares = stored(targets(sizes), "targets")
     blocks = stored(draws(sizes, shares, levels), "draws")
-    n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCUMENTS))
-    dealt = same_source(sizes, shares.drop("place")).withColumn("block", F.pmod("h", n_blocks)).drop("n_docs")
-    found = dealt.join(
-        blocks.withColumnsRenamed({"source": "_s", "block": "_b"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left"
-    ).drop("_s", "_b")
-    none = F.expr("CAST(array() AS array<int>)")
-    whole = found.where("cut IS NULL").withColumn("shards", F.coalesce("shards", none))
+    dealt = same_source(sizes, shares.select("source", n_blocks().alias("n_blocks"))).withColumn("block", F.pmod("h", F.col("n_blocks")))
+    cut = blocks.where("cut IS NOT NULL").withColumnsRenamed({"source": "_s", "block": "_b"})
+    found = dealt.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     # Only the one cut block of each source is ordered. Equal rows stand or fall together.
     # Each round takes documents that still fit, in hashed order; what a long one would
     # overshoot is left to shorter ones in the next round.
     inside = Window.partitionBy("source", "block").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
     block = Window.partitionBy("source", "block")
-    parted = found.where("cut IS NOT NULL").withColumns({"_in": F.lit(False), "_left": F.col("cut").cast("double")})
+    parted = found.withColumns({"_in": F.lit(False), "_left": F.col("cut").cast("double")})
     for _ in range(FILL_ROUNDS):
         open_ = ~F.col("_in") & (F.col("size") <= F.col("_left"))
         parted = parted.withColumn("_now", open_ & (F.sum(F.when(open_, F.col("size")).otherwise(0)).over(inside) <= F.col("_left")))
         used = F.sum(F.when(F.col("_now"), F.col("size")).otherwise(0)).over(block)
         parted = parted.withColumns({"_in": F.col("_in") | F.col("_now"), "_left": F.col("_left") - used})
     parted = parted.withColumn("shards", F.when(F.col("_in"), F.col("shards")).otherwise(F.expr("slice(shards, 1, size(shards) - 1)")))
-    return whole.drop("cut").unionByName(parted.drop("_in", "_now", "_left", "cut"))
+    once = stored(parted.groupBy("doc_id", "h").agg(F.first("shards").alias("shards")), "parted")
+    return Plan(sizes, shares, blocks, once)
+
+
+def mixture(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", levels: int = LEVELS) -> DataFrame:
+    """doc_id, h, size, source_size, target, and the shards that a document goes to, one entry
+    for each time it is taken."""
+    plan = planned(docs, text_col, id_col, source_col, levels)
+    return plan.placed(plan.sizes)
 
 
 def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", levels: int = LEVELS) -> DataFrame:
     """The documents of the mix, repeated as drawn, dealt to their shards' tasks and shuffled
-    there by hash."""
-    taken = mixture(docs, text_col, id_col, source_col, levels).where("size(shards) > 0").groupBy("doc_id", "h").agg(F.first("shards").alias("_shards"))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "h": "_taken_h"})
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(SEED), id_col, text_col))
-    found = keyed.join(taken, (F.col("_h") == F.col("_taken_h")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    each = found.select(*docs.columns, "_h", F.posexplode("_shards").alias("_pass", "_shard"))
+    there by hash. The texts move once, to their shards."""
+    plan = planned(docs, text_col, id_col, source_col, levels)
+    rows = packed(docs, doc_id=F.col(id_col), source=F.col(source_col), h=F.xxhash64(F.lit(SEED), id_col, text_col))
+    each = plan.placed(rows).select("row", "h", F.posexplode("shards").alias("pass", "shard"))
     # A shard's rows go to several tasks of their own, in hashed order.
-    each = each.withColumn("_order", F.xxhash64(F.lit(SEED + 2), "_h", "_pass"))
-    out = each.repartition("_shard", F.pmod("_order", F.lit(4096))).sortWithinPartitions("_shard", "_order")
-    return out.select(*docs.columns)
+    each = each.withColumn("order", F.xxhash64(F.lit(SEED + 2), "h", "pass"))
+    out = each.repartition("shard", F.pmod("order", F.lit(4096))).sortWithinPartitions("shard", "order")
+    return out.select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

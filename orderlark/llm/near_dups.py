@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlark.llm.common import space_words, table, text_bytes
+from orderlark.llm.common import packed, space_words, table, text_bytes
 from orderlark.session import stored
 
 SHINGLE = 3
@@ -333,10 +333,8 @@ def linked_classes(classes: DataFrame, docs: DataFrame, text_col: str = "text",
 
 
 def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, row_hash, class, n_shingles, component_id, kept: one row per document.
-
-    `leader` marks the one row of a component to keep, also among repeated ids.
-    """
+    """doc_id, row_hash, class, root, n_shingles, component_id, kept: one row per document;
+    root is the least class of the component, null without words."""
     rows = stored(sketches(docs, text_col, id_col, shingle), "sketches")
     with_words = rows.where("class IS NOT NULL")
     classes = stored(
@@ -346,26 +344,28 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     roots = linked_classes(classes, docs, text_col, shingle, threshold)
     named = classes.select("class", "doc_id").join(roots.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(smallest, "root").select("class", "component_id")
-    out = with_words.join(labels, "class").select("doc_id", "row_hash", "class", "n_shingles", "component_id")
-    alone = rows.where("class IS NULL").select("doc_id", "row_hash", "class", "n_shingles", F.col("doc_id").alias("component_id"))
+    labels = named.join(smallest, "root").select("class", "root", "component_id")
+    out = with_words.join(labels, "class").select("doc_id", "row_hash", "class", "root", "n_shingles", "component_id")
+    alone = rows.where("class IS NULL").select("doc_id", "row_hash", "class", F.col("class").alias("root"), "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents that are the smallest id of their component, one row for each.
+    """One document of each component, that of the smallest id; all documents without words.
 
-    Documents without words are kept. Where rows repeat a kept id and text, one stays.
+    Where several rows of a component bear its smallest id, the one with the least hash stays.
     """
     found = components(docs, text_col, id_col, shingle, threshold)
-    keep = stored(found.where("kept").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("_n"), F.first("n_shingles").alias("_size")), "kept")
-    hashed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
-    chosen = hashed.join(keep.withColumnRenamed("doc_id", "_kept_id").select("_kept_id", "row_hash", "_n", "_size"), F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("row_hash")))
-    once = F.expr("_n = 1 OR _size = 0")
-    out = chosen.where(once)
-    if not keep.where(~once).isEmpty():
-        out = out.unionByName(chosen.where(~once).dropDuplicates(["_id", "_hash"]))
-    return out.select(*docs.columns)
+    with_words = found.where("kept AND class IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("row_hash").alias("kept_hash"), F.count(F.lit(1)).alias("n"))
+    empty = found.where("class IS NULL").select(F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("kept_id"), F.col("row_hash").alias("kept_hash"), F.lit(1).cast("long").alias("n")).distinct()
+    # Two components may keep equal rows only if these have no words.
+    keep = stored(with_words.unionByName(empty).drop("root"), "kept")
+    hashed = packed(docs, id=F.col(id_col).cast("long"), hash=F.xxhash64(text_col))
+    chosen = hashed.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    out = chosen.where("n = 1")
+    if not keep.where("n > 1").isEmpty():
+        out = out.unionByName(chosen.where("n > 1").dropDuplicates(["id", "hash"]))
+    return out.select("row.*")
 
 
 def op4_near_dups(spark, sf_dir: str) -> DataFrame:

@@ -10,10 +10,15 @@ the mean of ln((target + SMOOTHING) / (expected + SMOOTHING)) over its features,
 document whose score is below MIN_SCORE is rejected, as are those that fail the base rules. The
 threshold is a constant, so equal counts give equal verdicts. All of it is DataFrame code.
 
+The counts are an array of BUCKETS places that every task holds, so a text is scored within its
+row, once as a trusted text and once as another one; which of the two holds is asked of the ids
+afterwards. Only texts whose id passes a Bloom filter of the trusted ids are shuffled, to count
+the target.
+
 Defined results: null and blank texts have no words and fail the base rules; repeated rows are
 scored each for itself (the copies count as other documents); without any other trusted document
 a score is 0 and the base rules alone decide; labels with a null id or quality are ignored; an
-empty table gives an empty result; other columns pass through kept_documents.
+empty table gives an empty result; all columns pass through kept_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlark.llm.common import table, words_column
+from orderlark.llm.common import constant, packed, table, words_column
 from orderlark.session import stored
 
 BUCKETS = 1 << 16
 #: Added to a bucket's count in the target and to the expected one.
 SMOOTHING = 8
-#: Pseudo-counts of the whole target, for scores that count a document into it.
-PRIOR = 10_000
 #: Least mean log-likelihood ratio per feature, in nats.
 MIN_SCORE = -0.1
 
+#: A Bloom filter of the trusted ids keeps most other texts from moving; 8 MB at most.
+BLOOM_BITS_PER_ID = 8
+MOST_BLOOM_BITS = 1 << 26
+
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 
@@ -68,17 +75,16 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def features(docs: DataFrame, *kept: str) -> DataFrame:
-    """One row per document and distinct bucket of its words and word pairs, with the places n
-    that the bucket has and all places n_all; a document without words has one row of nulls."""
-    bucket = lambda x: f"CAST(pmod(xxhash64({x}), {BUCKETS}) AS int)"
-    pairs = f"IF(size(words) < 2, CAST(array() AS array<int>), transform(sequence(0, size(words) - 2), i -> {bucket('words[i], words[i + 1]')}))"
-    out = docs.select(*kept, F.expr(f"sort_array(concat(transform(words, w -> {bucket('w')}), {pairs}))").alias("_all"))
-    starts = "IF(size(_all) = 0, CAST(array() AS array<int>), filter(sequence(0, size(_all) - 1), i -> i = 0 OR _all[i - 1] <> _all[i]))"
-    out = out.withColumn("_starts", F.expr(starts))
-    counted = "transform(_starts, (p, i) -> struct(_all[p] AS bucket, coalesce(get(_starts, i + 1), size(_all)) - p AS n))"
-    out = out.select(*kept, F.size("_all").alias("n_all"), F.explode_outer(F.expr(counted)).alias("_x"))
-    return out.select(*kept, "n_all", "_x.bucket", "_x.n")
+def _bucket(words: str) -> str:
+    return f"CAST(pmod(xxhash64({words}), {BUCKETS}) AS int)"
+
+
+def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
+    """(bucket, name): places of each bucket in the words and word pairs of all texts."""
+    words = docs.select(words_column("text").alias("w"))
+    each = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("z")).select("z.*")
+    both = f"IF(b IS NULL, array({_bucket('a')}), array({_bucket('a')}, {_bucket('a, b')}))"
+    return each.select(F.explode(F.expr(both)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -87,57 +93,105 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select("_id")
 
 
-def marked(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
-    """Add whether a document is trusted."""
-    return docs.join(trusted.withColumn("_trusted", F.lit(True)), F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("_trusted", F.col("_trusted").isNotNull())
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """(bucket, raw, target): places in all and in trusted documents, of words and _trusted."""
-    each = features(docs, "_trusted").where("bucket IS NOT NULL")
-    return each.groupBy("bucket").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("_trusted"), F.col("n")).otherwise(0)).alias("target"))
-
-
-def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *more: Column, alone: bool = False) -> DataFrame:
-    """Base measures, score and verdict of every document (id column, then measures). With
-    `alone` a document's own counts are left out; else it is counted like any other, and the
-    target as a whole smoothed towards the corpus with PRIOR pseudo-counts."""
-    trusted = stored(trusted_ids(labels), "trusted")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c.alias(f"_x{i}") for i, c in enumerate(more)])
-    slim = marked(slim, trusted, "doc_id")
-    # At most BUCKETS rows, whatever the corpus.
-    counted = stored(counts(slim.select("_trusted", words_column("text").alias("words"))), "counts")
-    total = counted.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
-    all_raw, all_target = (F.lit(float(total[c] or 0)) for c in ("raw", "target"))
-    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    based = base_rules(slim)
-    kept = ["_row", "doc_id", *measures, *[f"_x{i}" for i in range(len(more))]]
-    each = features(based.withColumn("_row", F.monotonically_increasing_id()), *kept, "_trusted").join(F.broadcast(counted), "bucket", "left")
-    if alone:
-        own = lambda c: F.when(F.col("_trusted"), F.col(c)).otherwise(0)
-        others = all_raw - F.col("n_all")
-        expected = F.when(others > 0, (all_target - own("n_all")) * (F.col("raw") - F.col("n")) / others).otherwise(F.lit(0.0))
-        weight = F.log((F.col("target") - own("n") + F.lit(float(SMOOTHING))) / (expected + F.lit(float(SMOOTHING))))
-    else:
-        weight = F.log((F.col("target") * all_raw / F.col("raw") + F.lit(float(PRIOR))) / (all_target + F.lit(float(PRIOR))))
-        weight = F.when(all_target > 0, weight).otherwise(F.lit(0.0))
-    summed = each.groupBy(*kept).agg(F.sum(weight * F.col("n")).alias("_sum"), F.sum("n").alias("_n"))
-    score = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(F.lit(0.0))
-    return summed.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= MIN_SCORE)).drop("_row", "_sum", "_n")
+def filled(rows: DataFrame, at: str, n: int, **values: Column) -> DataFrame:
+    """One row: an array of n values for each name, 0 where `rows` has no row at that place."""
+    every = rows.sparkSession.range(n).withColumnRenamed("id", "_at").join(rows, F.col("_at") == F.col(at), "left")
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("_at", *[F.coalesce(v, F.lit(0)).alias(k) for k, v in values.items()]))).alias("l"))
+    return listed.select(F.struct(*[F.transform("l", lambda x: x[k]).alias(k) for k in values]).alias("filled"))
+
+
+def bloom(trusted: DataFrame) -> tuple[DataFrame, int]:
+    """The bits that trusted ids set, as one row of 64-bit words, and their number."""
+    wanted = BLOOM_BITS_PER_ID * trusted.count()
+    bits = min(MOST_BLOOM_BITS, 1 << max(12, (wanted - 1).bit_length() if wanted else 0))
+    at = F.pmod(F.xxhash64("_id"), F.lit(bits))
+    words = trusted.groupBy(F.floor(at / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(pmod(xxhash64(_id), {bits}), 64) AS int))")).alias("set"))
+    return filled(words, "word", bits // 64, set=F.col("set")), bits
+
+
+class Scorer:
+    """Counts of a corpus and its trusted texts, and the scores that follow from them."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, text_col: str, id_col: str):
+        slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        self.trusted = stored(trusted_ids(labels), "trusted")
+        set_bits, bits = bloom(self.trusted)
+        at = F.pmod(F.xxhash64("id"), F.lit(bits))
+        word = F.get(set_bits.scalar()["set"], F.floor(at / 64).cast("int"))
+        # A bit that is not set proves that an id is not trusted.
+        set_ = F.expr(f"shiftleft(1L, CAST(pmod(pmod(xxhash64(id), {bits}), 64) AS int))")
+        self.maybe = F.col("id").isNotNull() & (word.bitwiseAND(set_) != 0)
+        # The texts of few other ids move here, once, and in the same way at every size.
+        known = slim.where(self.maybe).join(self.trusted.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
+        counted = bucket_counts(slim, "raw").join(bucket_counts(known, "target"), "bucket", "left").withColumn("target", F.coalesce("target", F.lit(0)))
+        # At most BUCKETS rows, whatever the corpus.
+        counted = stored(counted, "counts")
+        total = counted.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+        self.all_raw, self.all_target = (F.lit(float(total[c] or 0)) for c in ("raw", "target"))
+        self.counts = constant(filled(counted, "bucket", BUCKETS, raw=F.col("raw").cast("double"), target=F.col("target").cast("double")), "filled")
+
+    def rows(self, packed_docs: DataFrame) -> DataFrame:
+        """Add place, the base measures, maybe_trusted, and the scores `other` (for a text that is not
+        trusted) and `own` (for one that is; without meaning, or null, for others) to rows with id and text."""
+        based = base_rules(packed_docs)
+        pairs = f"IF(size(words) < 2, CAST(array() AS array<int>), transform(sequence(0, size(words) - 2), i -> {_bucket('words[i], words[i + 1]')}))"
+        based = based.withColumn("_all", F.expr(f"sort_array(concat(transform(words, w -> {_bucket('w')}), {pairs}))"))
+        # Each distinct bucket of the text starts at one of these places in the sorted list.
+        based = based.withColumn("_starts", F.expr("IF(size(_all) = 0, CAST(array() AS array<int>), filter(sequence(0, size(_all) - 1), i -> i = 0 OR _all[i - 1] <> _all[i]))"))
+        based = based.withColumn("_n", F.expr("transform(_starts, (p, i) -> struct(_all[p] AS b, CAST(coalesce(get(_starts, i + 1), size(_all)) - p AS double) AS n))"))
+        based = based.withColumn("maybe_trusted", self.maybe)
+        size, smooth = F.size("_all"), F.lit(float(SMOOTHING))
+
+        def score(own: bool) -> Column:
+            others = self.all_raw - size
+            share = F.when(others > 0, (self.all_target - (size if own else F.lit(0.0))) / others).otherwise(F.lit(0.0))
+
+            def weight(x: Column) -> Column:
+                target = F.get(self.counts["target"], x["b"]) - (x["n"] if own else F.lit(0.0))
+                expected = (F.get(self.counts["raw"], x["b"]) - x["n"]) * share
+                return x["n"] * F.log((target + smooth) / (expected + smooth))
+
+            return F.when(size > 0, F.aggregate("_n", F.lit(0.0), lambda a, x: a + weight(x)) / size).otherwise(F.lit(0.0))
+
+        # While `place` is read, a filter on the scores is not pushed below them, where Spark
+        # would compute them again for every term of the condition.
+        out = based.withColumns({"other": score(False), "own": F.when(F.col("maybe_trusted"), score(True)), "place": F.monotonically_increasing_id()})
+        return out.drop("_all", "_starts", "_n", "words")
+
+
+def passes(score: str) -> Column:
+    return ~F.col("base_failed") & (F.round(score, 9) >= MIN_SCORE)
+
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Base measures, score and verdict of every document (doc_id, measures, score, kept)."""
+    scorer = Scorer(docs, labels, text_col, id_col)
+    rows = scorer.rows(docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    # Only these short rows meet the ids. Written once, so that a caller's filter reads them
+    # instead of being pushed below the scores.
+    short = stored(rows.select("doc_id", "id", *MEASURES, "other", "own"), "scores")
+    met = short.join(scorer.trusted.hint("merge"), F.col("id") == F.col("_id"), "left")
+    return met.withColumn("score", F.when(F.col("_id").isNotNull(), F.col("own")).otherwise(F.col("other"))).withColumn("kept", passes("score")).drop("id", "_id", "other", "own")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that pass, unchanged."""
-    verdicts = scored(docs, labels, text_col, id_col, F.xxhash64(text_col), alone=True).where("NOT kept")
-    rejected = verdicts.select(F.col("doc_id").alias("_id"), F.col("_x0").alias("_hash")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return keyed.join(rejected, on, "left_anti").select(*docs.columns)
+    scorer = Scorer(docs, labels, text_col, id_col)
+    rows = scorer.rows(packed(docs, id=F.col(id_col).cast("long"), text=F.col(text_col)))
+    # Being trusted decides only where the two scores fall on different sides.
+    verdicts = rows.withColumns({"if_other": passes("other"), "if_own": passes("own")}).withColumn("open", F.col("maybe_trusted") & ~F.col("if_other").eqNullSafe(F.col("if_own")))
+    left = stored(verdicts.where("if_other OR open").select("place", "id", "row", "open", "if_other", "if_own"), "passing")
+    asked = left.where("open").join(scorer.trusted.hint("merge"), F.col("id") == F.col("_id"), "left")
+    decided = asked.where(F.when(F.col("_id").isNotNull(), F.col("if_own")).otherwise(F.col("if_other"))).select("row")
+    return left.where("NOT open").select("row").unionByName(decided).select("row.*")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alone=True)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *MEASURES, "kept", "score")
 
 
 QUERIES = {"op6_quality": op6_quality}

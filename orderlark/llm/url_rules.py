@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlark.llm.common import table
+from orderlark.llm.common import constant, table
 
 SLOTS = 4096
 MOST_RULES = 100_000
@@ -162,11 +162,10 @@ def judged(df: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "pa
     if len(rules) > MOST_RULES:
         raise ValueError(f"{len(rules)} rules, at most {MOST_RULES} are indexed")
     places = df.select(F.col(id_col).alias("page_id"), *located(F.col(url_col)))
-    index = rule_index(places.select("target"), rules).scalar()
-    found = places.withColumn("index", index)
+    index = constant(rule_index(places.select("target"), rules), "index")
     slot = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")
-    filed = F.flatten(F.transform(tokens(F.col("target")), lambda t: F.filter(F.get(F.col("index.slots"), slot(t)), lambda e: e["token"] == t)))
-    found = found.withColumn("candidates", F.when(F.col("target") != "", F.concat(F.transform(filed, lambda e: e["rule"]), F.col("index.always"))))
+    filed = F.flatten(F.transform(tokens(F.col("target")), lambda t: F.filter(F.get(index["slots"], slot(t)), lambda e: e["token"] == t)))
+    found = places.withColumn("candidates", F.when(F.col("target") != "", F.concat(F.transform(filed, lambda e: e["rule"]), index["always"])))
     fitting = F.filter("candidates", lambda r: F.rlike(F.col("target"), r["regex"]))
     best = found.withColumn("best", F.array_min(fitting))
     return best.select(

@@ -326,13 +326,17 @@ def test_quality_matches_brute_force(spark):
         np.add.at(raw, f, 1)
         if i in trusted:
             np.add.at(target, f, 1)
-    share = raw / raw.sum()
     for i, f in feats.items():
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_quality(texts[i]), i
-        score = np.mean(np.log((target[f] / share[f] + quality.PRIOR) / (target.sum() + quality.PRIOR))) if f else 0
+        mine = np.bincount(f, minlength=quality.BUCKETS)
+        counted = mine if i in trusted else 0 * mine
+        expected = (target.sum() - counted.sum()) * (raw - mine) / (raw.sum() - mine.sum())
+        score = np.mean(np.log((target - counted + quality.SMOOTHING) / (expected + quality.SMOOTHING))[f]) if f else 0
         assert abs(score - r["score"]) < 1e-9
         assert r["kept"] == (not r["base_failed"] and score >= quality.MIN_SCORE)
+    kept = {r["doc_id"] for r in quality.kept_documents(docs, known).collect()}
+    assert kept == {i for i, r in got.items() if r["kept"]}
 
 
 def test_quality_leaves_a_text_out_of_its_own_target(spark):
@@ -342,8 +346,8 @@ def test_quality_leaves_a_text_out_of_its_own_target(spark):
     texts[0] += " alone " * 40
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     known = spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(10, 0, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, known, alone=True).collect()}
-    without = {r["doc_id"]: r["score"] for r in quality.scored(docs, known.where("doc_id <> 3"), alone=True).collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, known).collect()}
+    without = {r["doc_id"]: r["score"] for r in quality.scored(docs, known.where("doc_id <> 3")).collect()}
     assert abs(got[3] - without[3]) < 1e-9 and abs(got[4] - without[4]) > 1e-6
     h = lambda x, seed=42: xxhash.xxh64(x.encode(), seed=seed).intdigest()
     signed = lambda x: (x - (1 << 64) if x >> 63 else x) % quality.BUCKETS
@@ -367,7 +371,7 @@ def test_quality_leaves_a_text_out_of_its_own_target(spark):
 def test_quality_held_out(spark, sf, least):
     """Of texts whose label was not counted, the good are kept and the bad are not, at all sizes."""
     docs, known = (table(spark, SF.replace("sf0.01", sf), name) for name in ("documents", "labels"))
-    got = quality.scored(docs, known.where("doc_id % 2 = 0"), alone=True).where("NOT base_failed")
+    got = quality.scored(docs, known.where("doc_id % 2 = 0")).where("NOT base_failed")
     got = got.join(known.select("doc_id", "quality"), "doc_id").where("doc_id % 2 = 1").groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("gone"))
     gone = {r["quality"]: r["gone"] for r in got.collect()}
     assert gone[1] <= 0.05 and gone[0] >= least, gone
