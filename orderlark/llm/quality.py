@@ -139,16 +139,20 @@ class Scorer:
         # Each distinct bucket of the text starts at one of these places in the sorted list.
         based = based.withColumn("_starts", F.expr("IF(size(_all) = 0, CAST(array() AS array<int>), filter(sequence(0, size(_all) - 1), i -> i = 0 OR _all[i - 1] <> _all[i]))"))
         based = based.withColumn("_n", F.expr("transform(_starts, (p, i) -> struct(_all[p] AS b, CAST(coalesce(get(_starts, i + 1), size(_all)) - p AS double) AS n))"))
-        based = based.withColumn("maybe_trusted", self.maybe)
         size, smooth = F.size("_all"), F.lit(float(SMOOTHING))
+        others = self.all_raw - size
+        share = lambda target: F.when(others > 0, target / others).otherwise(F.lit(0.0))
+        based = based.withColumns({"maybe_trusted": self.maybe, "_share_other": share(self.all_target), "_share_own": share(self.all_target - size)})
 
         def score(own: bool) -> Column:
-            others = self.all_raw - size
-            share = F.when(others > 0, (self.all_target - (size if own else F.lit(0.0))) / others).otherwise(F.lit(0.0))
+            share = F.col("_share_own" if own else "_share_other")
 
             def weight(x: Column) -> Column:
-                target = F.get(self.counts["target"], x["b"]) - (x["n"] if own else F.lit(0.0))
-                expected = (F.get(self.counts["raw"], x["b"]) - x["n"]) * share
+                target = F.get(self.counts["target"], x["b"])
+                target = target - x["n"] if own else target
+                # (raw - n) * share, with the share read twice: Spark would put the expression
+                # behind a column that is read once into the loop.
+                expected = F.get(self.counts["raw"], x["b"]) * share - x["n"] * share
                 return x["n"] * F.log((target + smooth) / (expected + smooth))
 
             return F.when(size > 0, F.aggregate("_n", F.lit(0.0), lambda a, x: a + weight(x)) / size).otherwise(F.lit(0.0))
@@ -156,7 +160,7 @@ class Scorer:
         # While `place` is read, a filter on the scores is not pushed below them, where Spark
         # would compute them again for every term of the condition.
         out = based.withColumns({"other": score(False), "own": F.when(F.col("maybe_trusted"), score(True)), "place": F.monotonically_increasing_id()})
-        return out.drop("_all", "_starts", "_n", "words")
+        return out.drop("_all", "_starts", "_n", "_share_other", "_share_own", "words")
 
 
 def passes(score: str) -> Column:
