@@ -1,5 +1,5 @@
-"""Models of the first generation: calibrated likelihood, quantity quantiles, time to
-the next order, and a ranker."""
+"""Models of the first generation: calibrated likelihood and quantity quantiles, and what is
+recommended from them (time to the next order: `hazards`, the ranker: `lambda_rank`)."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
-    AFTSurvivalRegression,
     GeneralizedLinearRegression,
     IsotonicRegression,
     RandomForestRegressor,
@@ -21,9 +20,9 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlark.models.lambda_rank import LambdaRanker
 from orderlark.models.reorder import scaling
 from orderlark.operators.rank import recommend_by_value, top_per
-from orderlark.operators.skew import attach
 from orderlark.operators.snapshots import SNAPSHOT_FEATURES
 from orderlark.operators.splits import fold_of
 from orderlark.session import shared_root
@@ -150,43 +149,6 @@ def fit_quantity(
     return QuantityModel(glm_model, forest_model, tables)
 
 
-def fit_survival(rows: DataFrame, features: Sequence[str], time: str = "time_to_next", event: str = "event") -> PipelineModel:
-    """Weibull accelerated-failure-time model; same-day gaps count half a day."""
-    prepared = rows.fillna(0.0, subset=list(features)).withColumn("_time", F.greatest(F.col(time).cast("double"), F.lit(0.5)))
-    aft = AFTSurvivalRegression(
-        featuresCol="features", labelCol="_time", censorCol=event, quantileProbabilities=[0.5], quantilesCol="_median", predictionCol="expected_days"
-    )
-    return Pipeline(stages=[*scaling(features), aft]).fit(prepared)
-
-
-def pair_differences(df: DataFrame, group: str, features: Sequence[str], label: str) -> DataFrame:
-    """For pairwise learning without pairs: each row's features less the mean of its
-    group's opposite class. One output row per input row, however large the group."""
-    sums = []
-    for c in features:
-        for name, wanted in (("pos", 1), ("neg", 0)):
-            sums.append(F.avg(F.when(F.col(label) == wanted, F.col(c))).alias(f"_{name}_{c}"))
-    means = df.groupBy(group).agg(*sums)
-    both = attach(df, means, [group])
-    relevant = F.col(label) == 1
-    gaps = [F.col(c) - F.when(relevant, F.col(f"_neg_{c}")).otherwise(F.col(f"_pos_{c}")) for c in features]
-    return both.select(group, F.col(label).cast("double").alias("label"), F.array(*[g.cast("double") for g in gaps]).alias("_gap")).where(
-        F.forall("_gap", lambda x: x.isNotNull())
-    )
-
-
-def fit_ranker(df: DataFrame, group: str, features: Sequence[str], label: str, rounds: int = 100) -> LogisticRegressionModel:
-    """Linear ranker: logistic regression without intercept on the differences."""
-    pairs = pair_differences(df, group, features, label).withColumn("features", array_to_vector("_gap"))
-    return LogisticRegression(fitIntercept=False, maxIter=rounds, regParam=0.01).fit(pairs)
-
-
-def rank_score(df: DataFrame, model: LogisticRegressionModel, features: Sequence[str], output: str = "score") -> DataFrame:
-    weights = model.coefficients.toArray()
-    score = sum((F.col(c).cast("double") * float(w) for c, w in zip(features, weights)), F.lit(0.0))
-    return df.withColumn(output, F.round(score, 9))
-
-
 def score_snapshot(latest: DataFrame, likelihood: CalibratedModel, quantity: QuantityModel) -> DataFrame:
     """The columns behind the three entry points: likelihood, quantities and the ranker's
     inputs, for all customers at once; filter on customer_id for one."""
@@ -195,10 +157,10 @@ def score_snapshot(latest: DataFrame, likelihood: CalibratedModel, quantity: Qua
     return scored.withColumn("margin_proxy", 1 - F.coalesce("discount_pct", F.lit(0.0)))
 
 
-def recommend(scored: DataFrame, k: int = 10, ranker: LogisticRegressionModel | None = None) -> DataFrame:
+def recommend(scored: DataFrame, k: int = 10, ranker: LambdaRanker | None = None) -> DataFrame:
     """Top products per customer by the ranker if there is one, else by expected value."""
     if ranker is None:
         return recommend_by_value(scored, k)
-    ranked = rank_score(scored, ranker, RANK_FEATURES)
+    ranked = ranker.score(scored)
     top = top_per(ranked, "customer_id", "score", "sku_id", k)
     return top.withColumn("suggested_qty", F.greatest(F.bround("qty_p50", 0), F.lit(1.0)).cast("bigint"))

@@ -26,13 +26,8 @@ DIGITS = 9  # squared distances are rounded, so that equal vectors tie and ids d
 
 
 def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
-    """Rows (dense `val`, or sparse `idx` and `val`) as a dense block."""
-    if "idx" not in pdf.columns:
-        return np.stack(pdf["val"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
-    out = np.zeros((len(pdf), dim))
-    for i, (idx, val) in enumerate(zip(pdf["idx"], pdf["val"])):
-        out[i, idx] = val
-    return out
+    """Rows as a dense block."""
+    return np.stack(pdf["val"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,8 +37,7 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _pick_pivots(base: DataFrame, dim: int, pivots: int) -> np.ndarray:
     """The rows with the smallest id hashes: a fixed, bounded sample."""
-    cols = [c for c in ("idx", "val") if c in base.columns]
-    rows = base.orderBy(F.xxhash64("id"), "id").select(*cols).limit(pivots).collect()
+    rows = base.orderBy(F.xxhash64("id"), "id").select("val").limit(pivots).collect()
     return _matrix(pd.DataFrame([r.asDict() for r in rows]), dim)
 
 
@@ -52,20 +46,18 @@ def knn_join(
 ) -> DataFrame:
     """(query_id, neighbor_id, neighbor_label, distance, rank) of the k nearest base rows.
 
-    `queries` has (id, val) and `base` (id, val, label), ids being whole numbers; a column
-    `idx` makes the vectors sparse, with positions below `dim`. Euclidean distance; equal
-    distances go to the smaller id. On unit vectors the order is that of the cosine.
+    `queries` has (id, val) and `base` (id, val, label), ids being whole numbers. Euclidean
+    distance; equal distances go to the smaller id. On unit vectors the order is that of the cosine.
     By default there is a pivot per block of base rows, up to MOST_PIVOTS: each further
     cell costs the queries that cannot rule it out one more copy.
     """
-    vector = [c for c in ("idx", "val") if c in base.columns]
     # Vectors, their cells and the routed queries are each read several times below, and
     # the cells must not move in between: they are written once.
-    base = stored(base.select("id", "label", *vector), "base")
+    base = stored(base.select("id", "label", "val"), "base")
     if pivots is None:
         pivots = min(MOST_PIVOTS, max(1, base.count() // block_rows))
     centers = _pick_pivots(base, dim, pivots)
-    vector_type = ", ".join(f"{c} array<{'int' if c == 'idx' else 'double'}>" for c in vector)
+    vector_type = "val array<double>"
 
     def nearest_center(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,7 +91,7 @@ def knn_join(
             row, col = np.nonzero(d - radius <= bound[:, None] + 1e-6)
             yield pdf.iloc[row].assign(cell=cells[col])
 
-    routed = queries.select("id", *vector).mapInPandas(route, f"id bigint, {vector_type}, cell int")
+    routed = queries.select("id", "val").mapInPandas(route, f"id bigint, {vector_type}, cell int")
     routed = stored(routed, "routed")
     asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
 
@@ -143,64 +135,6 @@ def knn_join(
     return ranked.select("query_id", "neighbor_id", "neighbor_label", F.sqrt("d2").alias("distance"), "rank")
 
 
-#: Tokens of a query that give the first bound of its k-th product.
-PROBES = 24
-
-
-def sparse_knn(weights: DataFrame, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """As knn_join for unit-length rows of an open vocabulary, through an inverted index.
-
-    `weights` has (id, token, weight) of all rows, `queries` (id) and `base` (id, label).
-    Rows without tokens are zero vectors. Products over the tokens that can add
-    most give a lower bound of a query's k-th best product. Its most frequent tokens, as long as together
-    they cannot reach that bound, bring up no candidates; they only complete the products
-    of the pairs that the other tokens found. The result is exact.
-    """
-    ours = stored(weights.join(base.select("id"), "id", "left_semi").select(F.col("id").alias("b"), "token", F.col("weight").alias("wb")), "postings")
-    tokens = ours.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("wb").alias("most"))
-    asked = weights.join(queries.select("id"), "id", "left_semi").join(tokens, "token")
-    by_query = Window.partitionBy("q")
-    frequent_first = by_query.orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.select(F.col("id").alias("q"), "token", F.col("weight").alias("wq"), "df", "most").withColumns(
-        {
-            # All that tokens at least as frequent can add to a product.
-            "reach": F.sum(F.col("wq") * F.col("most")).over(frequent_first),
-            "probe": F.row_number().over(by_query.orderBy(F.desc(F.col("wq") * F.col("most")), "token")) <= PROBES,
-        }
-    )
-    asked = stored(asked, "asked")
-
-    def products(rows: DataFrame) -> DataFrame:
-        return rows.join(ours, "token").groupBy("q", "b").agg(F.sum(F.col("wq") * F.col("wb")).alias("dot"))
-
-    bound = top_per(products(asked.where("probe")), "q", "dot", "b", k).where(F.col("rank") == k).select("q", F.col("dot").alias("bound"))
-    # A little below the bound, for sums taken in another order.
-    low = F.coalesce("bound", F.lit(0.0)) - 1e-6
-    asked = asked.join(bound, "q", "left").withColumn("frequent", F.col("reach") < low)
-    asked = stored(asked.select("q", "token", "wq", "reach", "frequent", low.alias("low")), "asked")
-    spare = asked.where("frequent").groupBy("q").agg(F.max("reach").alias("spare"))
-    limits = asked.groupBy("q").agg(F.max("low").alias("low")).join(spare, "q", "left").withColumn("spare", F.coalesce("spare", F.lit(0.0)))
-    found = products(asked.where("NOT frequent")).join(limits, "q").where(F.col("dot") + F.col("spare") >= F.col("low"))
-    found = stored(found.select("q", "b", "dot"), "found")
-    rest = found.select("q", "b").join(asked.where("frequent").select("q", "token", "wq"), "q").join(ours, ["b", "token"])
-    rest = rest.select("q", "b", (F.col("wq") * F.col("wb")).alias("dot"))
-    dots = found.unionByName(rest).groupBy("q", "b").agg(F.sum("dot").alias("dot"))
-    near = dots.select("q", "b", F.round(F.greatest(2.0 - 2.0 * F.col("dot"), F.lit(0.0)), DIGITS).alias("d2"))
-
-    # Rows that share no token: the k smallest ids with tokens and without, for every query.
-    sized = base.select("id").join(ours.select(F.col("b").alias("id")).distinct().withColumn("unit", F.lit(1.0)), "id", "left")
-    sized = sized.withColumn("unit", F.coalesce("unit", F.lit(0.0)))
-    far = sized.where("unit = 1").orderBy("id").limit(k).unionByName(sized.where("unit = 0").orderBy("id").limit(k))
-    packed = far.agg(F.collect_list(F.struct("id", "unit"))).scalar()
-    lengths = weights.select("id").distinct().withColumn("own", F.lit(1.0))
-    others = queries.select("id").join(lengths, "id", "left").select(F.col("id").alias("q"), "own", F.explode(packed).alias("f"))
-    others = others.select("q", F.col("f.id").alias("b"), (F.coalesce("own", F.lit(0.0)) + F.col("f.unit")).alias("d2"))
-    best = near.unionByName(others).groupBy("q", "b").agg((-F.min("d2")).alias("_near"))
-    ranked = top_per(best, "q", "_near", "b", k)
-    out = ranked.join(base.select(F.col("id").alias("b"), F.col("label").alias("neighbor_label")), "b")
-    return out.select(F.col("q").alias("query_id"), F.col("b").alias("neighbor_id"), "neighbor_label", F.sqrt(-F.col("_near")).alias("distance"), "rank")
-
-
 def knn_vote(neighbors: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
     """(query_id, prediction): majority of the k nearest, or votes weighted by 1/distance,
     where neighbours at distance 0 outvote all others. Ties go to the smallest label."""

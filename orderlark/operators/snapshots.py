@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlark.functions.times import epoch_micros, whole_days
 from orderlark.operators.prepare import last_per_key
+from orderlark.operators.selection import exact_quantiles
 from orderlark.operators.skew import attach, bounded_window, heavy_hashes
 from orderlark.session import stored
 
@@ -73,12 +74,11 @@ def with_inventory(df: DataFrame, inventory: DataFrame, heavy: Sequence[int] | N
 
 
 def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls become the column's median. The rows are written once, and all medians come
-    from one pass over them. The counters behind an exact median grow with the distinct
-    values (days, stock levels), not with the rows."""
+    """Nulls become the column's median. The rows are written once, and all medians are
+    selected together, with bounded buffers whatever the number of distinct values."""
     rows = stored(df, "joined")
-    medians = rows.agg(F.struct(*[F.median(c).alias(c) for c in columns])).scalar()
-    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), medians[c]) for c in columns})
+    medians = exact_quantiles(rows, columns, [0.5])
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0]).cast("double")) for c in columns})
 
 
 def _weekday(df: DataFrame) -> DataFrame:

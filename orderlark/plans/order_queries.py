@@ -507,13 +507,17 @@ def x1_events(spark, d):
 # --- lookups, ranking, planning -----------------------------------------------------
 
 FIRST_PRODUCT_SQL = f"""prod AS (SELECT product_id, arg_min(product_name, (date, {TIES_SQL})) AS product_name,
-  arg_min(manufacturer, (date, {TIES_SQL})) AS manufacturer FROM sales WHERE l_partkey % 5 <> 0 AND product_id <> 'Brand#11' GROUP BY 1)"""
+  arg_min(manufacturer, (date, {TIES_SQL})) AS manufacturer FROM sales GROUP BY 1)"""
 
 
-def _catalogue(spark, d):
-    """Product rows with one product missing, so that the defaults show."""
-    raw = views.raw_sales(spark, d)
-    return raw.where((F.col("l_partkey") % 5 != 0) & (F.col("Product Code") != "Brand#11"))
+#: Keys without a row in the looked-up table, so that the defaults show.
+UNKNOWN_SQL = "asked AS (SELECT customer_id, product_id, reorder_probability FROM scores UNION ALL SELECT -1, 'no such product', 0.5)"
+
+
+def _asked(spark, d):
+    """All scores, and one of a customer and a product that no sale knows."""
+    known = scores(spark, d).select("customer_id", "product_id", "reorder_probability")
+    return stored(known.unionByName(known.limit(1).select(F.lit(-1).cast(known.schema["customer_id"].dataType).alias("customer_id"), F.lit("no such product").alias("product_id"), F.lit(0.5).alias("reorder_probability"))), "scores")
 
 
 PRODUCT_COLUMNS = {"Product Name": "product_name", "Product Manufacturer": "manufacturer"}
@@ -521,12 +525,12 @@ PRODUCT_COLUMNS = {"Product Name": "product_name", "Product Manufacturer": "manu
 
 @register(
     "J4_product_lookup",
-    f"""WITH {SCORES_SQL}, {FIRST_PRODUCT_SQL} SELECT customer_id, product_id, coalesce(product_name, 'Unknown Product') AS product_name,
-  coalesce(manufacturer, '') AS manufacturer, {near_sql('scores.reorder_probability', 6)} AS reorder_probability FROM scores LEFT JOIN prod USING (product_id)""",
+    f"""WITH {SCORES_SQL}, {UNKNOWN_SQL}, {FIRST_PRODUCT_SQL} SELECT customer_id, product_id, coalesce(product_name, 'Unknown Product') AS product_name,
+  coalesce(manufacturer, '') AS manufacturer, {near_sql('asked.reorder_probability', 6)} AS reorder_probability FROM asked LEFT JOIN prod USING (product_id)""",
 )
 def j4(spark, d):
     out = lookup.with_lookup(
-        stored(scores(spark, d), "scores"), _catalogue(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.PRODUCT_DEFAULTS, "Product Code"
+        _asked(spark, d), views.raw_sales(spark, d), "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.PRODUCT_DEFAULTS, "Product Code"
     )
     return out.select("customer_id", "product_id", "product_name", "manufacturer", *rounded(["reorder_probability"], 6))
 
@@ -535,32 +539,32 @@ def j4(spark, d):
     "J5_customer_lookup",
     f"""WITH {SCORES_SQL},
 who AS (SELECT customer_id, arg_min(customer_name, (date, {TIES_SQL})) AS customer_name, arg_min(district, (date, {TIES_SQL})) AS district
-  FROM sales WHERE l_partkey % 3 = 0 GROUP BY 1)
+  FROM sales GROUP BY 1), {UNKNOWN_SQL}
 SELECT customer_id::VARCHAR AS customer_id, product_id, coalesce(customer_name, 'Unknown Customer') AS customer_name, 'N/A' AS salesman_name, district
-FROM scores LEFT JOIN who USING (customer_id)""",
+FROM asked LEFT JOIN who USING (customer_id)""",
 )
 def j5(spark, d):
-    raw = views.raw_sales(spark, d).where("l_partkey % 3 = 0")
+    raw = views.raw_sales(spark, d)
     columns = {
         "Partner Customer Referans Name": "customer_name",
         "Salesman Name": "salesman_name",
         "Partner Customer District": "district",
     }
     out = lookup.with_lookup(
-        stored(scores(spark, d), "scores"), raw, "customer_id", columns, ["DATE", *SALES_TIES], lookup.CUSTOMER_DEFAULTS, "Partner Customer Referans Code"
+        _asked(spark, d), raw, "customer_id", columns, ["DATE", *SALES_TIES], lookup.CUSTOMER_DEFAULTS, "Partner Customer Referans Code"
     )
     return out.select("customer_id", "product_id", "customer_name", "salesman_name", "district")
 
 
 @register(
     "J6_product_metadata",
-    f"""WITH {SCORES_SQL}, {FIRST_PRODUCT_SQL} SELECT customer_id, product_id, 'Unknown Product' AS product_name,
-  coalesce(manufacturer, 'Unknown') AS manufacturer FROM scores LEFT JOIN prod USING (product_id)""",
+    f"""WITH {SCORES_SQL}, {UNKNOWN_SQL}, {FIRST_PRODUCT_SQL} SELECT customer_id, product_id, 'Unknown Product' AS product_name,
+  coalesce(manufacturer, 'Unknown') AS manufacturer FROM asked LEFT JOIN prod USING (product_id)""",
 )
 def j6(spark, d):
-    raw = _catalogue(spark, d).drop("Product Name")
+    raw = views.raw_sales(spark, d).drop("Product Name")
     out = lookup.with_lookup(
-        stored(scores(spark, d), "scores"), raw, "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.STOCK_DEFAULTS, "Product Code"
+        _asked(spark, d), raw, "product_id", PRODUCT_COLUMNS, ["DATE", *SALES_TIES], lookup.STOCK_DEFAULTS, "Product Code"
     )
     return out.select("customer_id", "product_id", "product_name", "manufacturer")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orderlark.functions.strings import SPACE_CLASS, strip
 from orderlark.models import texts
-from orderlark.operators import evaluate, neighbors, prepare, splits, tfidf
+from orderlark.operators import evaluate, neighbors, prepare, splits, text_neighbors, tfidf
 from orderlark.plans import views
 from orderlark.plans.views import near_sql, rounded, strip_sql
 from orderlark.session import stored
@@ -249,7 +249,7 @@ def _weighted(spark, d):
 def _text_neighbors(spark, d, k=5):
     rows, weights = _weighted(spark, d)
     rows = rows.select(F.col("doc_id").alias("id"), "label", "split")
-    return neighbors.sparse_knn(weights.withColumnRenamed("doc_id", "id"), rows.where("split = 'test'"), rows.where("split = 'train'"), k)
+    return text_neighbors.sparse_knn(weights.withColumnRenamed("doc_id", "id"), rows.where("split = 'test'"), rows.where("split = 'train'"), k)
 
 
 TEXT_KNN_SQL = f"""{_tfidf_sql(None)},

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderlark.models import reorder, snapshots, texts
+from orderlark.models import hazards, lambda_rank, reorder, snapshots, texts
 from orderlark.operators.evaluate import best_model, binary_metrics, ndcg, regression_metrics, roc_auc
 from orderlark.operators.pair_features import feature_columns
 
@@ -77,15 +77,15 @@ def test_calibrated_and_quantiles(spark):
 def test_survival_median_follows_the_covariate(spark):
     rows = spark.range(300).select(F.rand(1).alias("x"), F.lit(1).alias("event"))
     rows = rows.withColumn("time_to_next", F.floor(F.exp(1 + 3 * F.col("x")) * (0.5 + F.rand(2))))
-    model = snapshots.fit_survival(rows, ["x"])
-    assert model.transform(rows).agg(F.corr("expected_days", "x")).first()[0] > 0.8
+    model = hazards.fit_hazards(rows, ["x"])
+    assert model.score(rows).agg(F.corr("median_days", "x")).first()[0] > 0.8
 
 
 def test_ranker_beats_chance(spark):
     rows = spark.range(400).select((F.col("id") % 20).alias("c"), F.col("id").alias("item"), F.rand(1).alias("x"), F.rand(2).alias("z"))
     rows = rows.withColumn("label", (F.col("x") + 0.3 * F.rand(3) > 0.9).cast("int")).cache()
-    model = snapshots.fit_ranker(rows, "c", ["x", "z"], "label")
-    good = ndcg(snapshots.rank_score(rows, model, ["x", "z"]), "c", "score", "label", "item").first()
+    model = lambda_rank.fit_lambda_rank(rows, "c", ["x", "z"], "label", "item")
+    good = ndcg(model.score(rows), "c", "score", "label", "item").first()
     poor = ndcg(rows.withColumn("score", F.col("z")), "c", "score", "label", "item").first()
     assert good["ndcg_at_5"] > 0.8 > poor["ndcg_at_5"]
 

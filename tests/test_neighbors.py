@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from orderlark.operators.neighbors import knn_join, knn_vote, sparse_knn
+from orderlark.operators.neighbors import knn_join, knn_vote
+from orderlark.operators.text_neighbors import block_max_pairs, sparse_knn
 
 
 def brute(q, b, ids, k):
@@ -63,9 +65,13 @@ def test_inverted_index_is_exact(spark):
     q, b = [i for i in range(120) if i % 3 == 0], np.array([i for i in range(120) if i % 3])
     queries = spark.createDataFrame([(i,) for i in q], "id bigint")
     base = spark.createDataFrame([(int(i), "x") for i in b], "id bigint, label string")
-    out = sparse_knn(weights, queries, base, 4).orderBy("query_id", "rank").collect()
+    out = sparse_knn(weights, queries, base, 4, block_rows=10).orderBy("query_id", "rank").collect()
     ids, dist = brute(dense[q], dense[b], b, 4)
     assert [r["distance"] for r in out] == pytest.approx(dist.ravel().tolist(), abs=1e-4)
     assert [r["neighbor_id"] for r in out] == ids.ravel().tolist()
     few = sparse_knn(weights, queries, base.limit(2), 4)
     assert few.groupBy("query_id").count().select("count").distinct().collect() == [(2,)]
+    # Whole blocks hand on k rows a query, far fewer than the pairs that share a token.
+    shared = weights.join(queries, "id").select(F.col("id").alias("q"), "token").join(weights.join(base, "id").select(F.col("id").alias("b"), "token"), "token").select("q", "b").distinct().count()
+    one_block = block_max_pairs(weights, queries, base, 2).count()
+    assert one_block <= 2 * len(q) < shared / 10
