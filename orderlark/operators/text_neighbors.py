@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from orderlark.operators.rank import top_per
 from orderlark.session import stored
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 #: Queries that one visit of a block brings along.
-QUERY_ROWS = 2048
+QUERY_ROWS = 256
 #: Tokens by whose weight rows are put beside like ones.
 LEADING = 3
 DIGITS = 9  # squared distances are rounded, so that equal rows tie and ids decide
