@@ -10,8 +10,9 @@ Each block of items holds at most about BLOCK_WORDS words, which bounds the broa
 larger benchmark is met in further passes over the documents, each with its own block.
 
 Defined results: a null or empty text has no words and is clean; a null or empty item has no
-windows; repeated items and documents are handled row by row; an empty benchmark leaves every
-document clean; an empty document table gives an empty result; other columns pass through.
+windows; an item with a null id hits words, but is not among the items met; repeated items and documents are handled row by row; an empty benchmark leaves every
+document clean; an empty document table gives an empty result; other columns pass through
+remove_spans, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlark.llm.common import ALNUM_WORDS, alnum_words, table, text_bytes
+from orderlark.llm.common import ALNUM_WORDS, alnum_words, packed, table, text_bytes
 from orderlark.session import stored
 
 WINDOW = 10
@@ -201,7 +202,7 @@ def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
                     spans, items_met = automaton.match(words)
                     counts.append(len(words))
                     hits.append(sorted({*old_hits, *(i for a, b in merged(spans) for i in range(a, b))}) if spans else old_hits)
-                    met.append(sorted({*old_items, *items_met}) if items_met else old_items)
+                    met.append(sorted({*old_items, *(x for x in items_met if x is not None)}) if items_met else old_items)
                 arrays = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(met, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([arrays.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
@@ -231,38 +232,65 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def remove_spans(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """Documents without benchmark passages: spans of at least `window` matched words are cut
     out, and a document that loses more than max_coverage of its words goes whole.
 
     Cutting can bring the words around a span together, so a cut text is matched again until
-    it is clean. Texts without a hit come back unchanged, byte for byte.
+    no item hits it; words that are cut in such a later round count as lost too. Each round
+    cuts what all items together hit, so the size of the blocks changes nothing. Texts without
+    a hit come back unchanged, byte for byte.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_cut": F.lit(0).cast("long")})
-    schema = out.schema
-    for number, automaton in enumerate(item_blocks(items, item_id, item_text, window)):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def cut(batches, shared=shared):
-            automaton = shared.value
-            for batch in batches:
-                texts, words, lost = batch.column(text_col).to_pylist(), batch.column("_words").to_pylist(), batch.column("_cut").to_pylist()
-                for i, raw in enumerate(text_bytes(batch, text_col)):
-                    found = alnum_words(raw)
-                    words[i] = max(words[i], len(found))
-                    spans, _ = automaton.match(found)
-                    while spans:
-                        texts[i], n = without(texts[i], merged(spans))
-                        lost[i] += n
-                        spans, _ = automaton.match(alnum_words(texts[i].encode()))
-                arrays = {text_col: pa.array(texts, batch.column(text_col).type), "_words": pa.array(words, pa.int64()), "_cut": pa.array(lost, pa.int64())}
-                yield pa.RecordBatch.from_arrays([arrays.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
-
-        out = out.mapInArrow(cut, schema)
-        if number % BLOCKS_PER_PASS == BLOCKS_PER_PASS - 1:
-            out = stored(out, "cut")
-    return out.where(F.col("_cut") <= F.lit(max_coverage) * F.col("_words")).select(*columns)
+    spark = docs.sparkSession
+    automata = [spark.sparkContext.broadcast(a) for a in item_blocks(items, item_id, item_text, window, block_words)]
+    if not automata:
+        return docs
+    zero = F.lit(0).cast("long")
+    rows = packed(docs, text=F.col(text_col), n_words=zero, lost=zero, hits=F.expr("CAST(array() AS array<int>)"))
+    schema, to_the_end = rows.schema, len(automata) == 1
+
+    def scan(batches, shared):
+        for batch in batches:
+            hits = batch.column("hits").to_pylist()
+            for i, raw in enumerate(text_bytes(batch, "text")):
+                spans, _ = shared.value.match(alnum_words(raw))
+                if spans:
+                    hits[i] = sorted({*hits[i], *(at for a, b in merged(spans) for at in range(a, b))})
+            yield batch.set_column(batch.schema.get_field_index("hits"), "hits", pa.array(hits, pa.list_(pa.int32())))
+
+    def cut(batches):
+        for batch in batches:
+            texts, words, lost = (batch.column(c).to_pylist() for c in ("text", "n_words", "lost"))
+            for i, (raw, hits) in enumerate(zip(text_bytes(batch, "text"), batch.column("hits").to_pylist(), strict=True)):
+                found = alnum_words(raw)
+                words[i] = max(words[i], len(found))
+                spans = automata[0].value.match(found)[0] if to_the_end else [(at, at + 1) for at in hits]
+                while spans:
+                    texts[i], n = without(texts[i], merged(spans))
+                    lost[i] += n
+                    # With a single block a text is finished here.
+                    spans = automata[0].value.match(alnum_words(texts[i].encode()))[0] if to_the_end else []
+            arrays = {"text": pa.array(texts, batch.column("text").type), "n_words": pa.array(words, pa.int64()), "lost": pa.array(lost, pa.int64())}
+            yield pa.RecordBatch.from_arrays([arrays.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+    out = None
+    if to_the_end:
+        out = rows.mapInArrow(cut, schema)
+    while out is None or not to_the_end:
+        for number, shared in enumerate(automata):
+            rows = rows.mapInArrow(lambda batches, shared=shared: scan(batches, shared), schema)
+            if number % BLOCKS_PER_PASS == BLOCKS_PER_PASS - 1:
+                rows = stored(rows, "scanned")
+        rows = stored(rows.mapInArrow(cut, schema), "cut")
+        clean = rows.where("size(hits) = 0")
+        out = clean if out is None else out.unionByName(clean)
+        rows = rows.where("size(hits) > 0").withColumn("hits", F.expr("CAST(array() AS array<int>)"))
+        if rows.isEmpty():
+            break
+    kept = out.where(F.col("lost") <= F.lit(max_coverage) * F.col("n_words"))
+    return kept.withColumn("row", F.col("row").withField(f"`{text_col}`", F.col("text"))).select("row.*")
 
 
 def without(text: str, spans: Sequence[tuple[int, int]]) -> tuple[str, int]:
