@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from orderlark.llm.common import constant, packed, table, words_column
 from orderlark.session import stored
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of two
 #: Added to a bucket's count in the target and to the expected one.
 SMOOTHING = 8
 #: Least mean log-likelihood ratio per feature, in nats.
@@ -54,9 +54,7 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_words": F.size("words").cast("long"),
             "word_chars": F.char_length(F.array_join("words", "")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.expr(
-                "IF(size(words) < 3, CAST(array() AS array<bigint>), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))"
-            ),
+            "_windows": F.expr("transform(slice(words, 3, size(words)), (w, i) -> xxhash64(words[i], words[i + 1], w))"),
         }
     )
     # Most texts repeat no window; only the others are sorted with positions.
@@ -76,7 +74,8 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _bucket(words: str) -> str:
-    return f"CAST(pmod(xxhash64({words}), {BUCKETS}) AS int)"
+    # The low bits of the hash. Unlike pmod, Spark knows them to be never null, and sorts such arrays as plain ints.
+    return f"CAST(xxhash64({words}) & {BUCKETS - 1} AS int)"
 
 
 def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
@@ -128,16 +127,16 @@ class Scorer:
         counted = stored(counted, "counts")
         total = counted.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
         self.all_raw, self.all_target = (F.lit(float(total[c] or 0)) for c in ("raw", "target"))
-        self.counts = constant(filled(counted, "bucket", BUCKETS, raw=F.col("raw").cast("double"), target=F.col("target").cast("double")), "filled")
+        self.counts = constant(filled(counted, "bucket", BUCKETS, raw=F.col("raw").cast("double"), target=F.col("target").cast("double"), log_target=F.log(F.coalesce("target", F.lit(0)) + F.lit(float(SMOOTHING)))), "filled")
 
     def rows(self, packed_docs: DataFrame) -> DataFrame:
         """Add place, the base measures, maybe_trusted, and the scores `other` (for a text that is not
         trusted) and `own` (for one that is; without meaning, or null, for others) to rows with id and text."""
         based = base_rules(packed_docs)
-        pairs = f"IF(size(words) < 2, CAST(array() AS array<int>), transform(sequence(0, size(words) - 2), i -> {_bucket('words[i], words[i + 1]')}))"
+        pairs = f"transform(slice(words, 2, size(words)), (w, i) -> {_bucket('words[i], w')})"
         based = based.withColumn("_all", F.expr(f"sort_array(concat(transform(words, w -> {_bucket('w')}), {pairs}))"))
         # Each distinct bucket of the text starts at one of these places in the sorted list.
-        based = based.withColumn("_starts", F.expr("IF(size(_all) = 0, CAST(array() AS array<int>), filter(sequence(0, size(_all) - 1), i -> i = 0 OR _all[i - 1] <> _all[i]))"))
+        based = based.withColumn("_starts", F.expr("filter(transform(_all, (b, i) -> IF(b = get(_all, i - 1), -1, i)), p -> p >= 0)"))
         based = based.withColumn("_n", F.expr("transform(_starts, (p, i) -> struct(_all[p] AS b, CAST(coalesce(get(_starts, i + 1), size(_all)) - p AS double) AS n))"))
         size, smooth = F.size("_all"), F.lit(float(SMOOTHING))
         others = self.all_raw - size
@@ -148,12 +147,12 @@ class Scorer:
             share = F.col("_share_own" if own else "_share_other")
 
             def weight(x: Column) -> Column:
-                target = F.get(self.counts["target"], x["b"])
-                target = target - x["n"] if own else target
+                # Of a text that is not trusted, the target holds nothing to take out.
+                target = F.log(F.get(self.counts["target"], x["b"]) - x["n"] + smooth) if own else F.get(self.counts["log_target"], x["b"])
                 # (raw - n) * share, with the share read twice: Spark would put the expression
                 # behind a column that is read once into the loop.
                 expected = F.get(self.counts["raw"], x["b"]) * share - x["n"] * share
-                return x["n"] * F.log((target + smooth) / (expected + smooth))
+                return x["n"] * (target - F.log(expected + smooth))
 
             return F.when(size > 0, F.aggregate("_n", F.lit(0.0), lambda a, x: a + weight(x)) / size).otherwise(F.lit(0.0))
 
