@@ -186,27 +186,104 @@ def call_stages(parsed: DataFrame) -> DataFrame:
 # --- transcription quality ----------------------------------------------------------
 
 
+#: Positions of a text that one machine word holds.
+WORD = 64
+#: Characters of the pairs that are compared together; a longer pair is compared alone.
+CHARS_AT_ONCE = 1 << 23
+
+
+def _columns(codes: np.ndarray, starts: np.ndarray, long: np.ndarray, short: np.ndarray, n_codes: int) -> np.ndarray:
+    """Edits of pairs (rows of `long`, `short`: text numbers), the longer text of each laid
+    down bit rows, the shorter one read word by word.
+
+    A block row is 64 words of a longer text. Each step moves every block row of every pair
+    by one word: block k is k words behind the first, so what it needs from the block above
+    is what that block gave one step before. Bits hold the steps of +1 and -1 down a column.
+    """
+    sizes = starts[1:] - starts[:-1]
+    n_blocks = -(-sizes[long] // WORD)
+    first = np.cumsum(n_blocks) - n_blocks
+    pair = np.repeat(np.arange(len(long)), n_blocks)
+    row = np.arange(len(pair))
+    behind = row - first[pair]
+    # For each block row and word in it: the bits at which that word stands, sorted by both.
+    lengths = sizes[long]
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    words = codes[np.repeat(starts[long], lengths) + at]
+    key = (np.repeat(first, lengths) + at // WORD) * n_codes + words
+    order = np.argsort(key, kind="stable")
+    known, begins = np.unique(key[order], return_index=True)
+    masks = np.bitwise_or.reduceat((np.uint64(1) << (at % WORD).astype(np.uint64))[order], begins)
+
+    one, zero = np.uint64(1), np.uint64(0)
+    plus, minus = np.full(len(row), ~zero), np.zeros(len(row), dtype=np.uint64)
+    out = np.zeros(len(row), dtype=np.int8)
+    is_first = behind == 0
+    last = first + n_blocks - 1
+    top = np.full(len(row), WORD - 1, dtype=np.uint64)
+    top[last] = ((lengths - 1) % WORD).astype(np.uint64)
+    score = lengths.copy()
+    n_steps = sizes[short][pair]
+    offset = starts[short][pair] - behind
+    for step in range(int((n_steps + behind).max(initial=0))):
+        live = np.flatnonzero((behind <= step) & (step - behind < n_steps))
+        wanted = row[live] * n_codes + codes[offset[live] + step]
+        place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        equal = np.where(known[place] == wanted, masks[place], zero)
+        given = np.where(is_first[live], 1, out[live - 1])
+        up, down = (given > 0).astype(np.uint64), (given < 0).astype(np.uint64)
+        p, m = plus[live], minus[live]
+        vertical = equal | m
+        equal |= down
+        across = (((equal & p) + p) ^ p) | equal
+        higher = m | ~(across | p)
+        lower = p & across
+        moved = ((higher >> top[live]) & one).astype(np.int8) - ((lower >> top[live]) & one).astype(np.int8)
+        higher, lower = (higher << one) | up, (lower << one) | down
+        plus[live], minus[live] = lower | ~(vertical | higher), higher & vertical
+        # Rows of one pair are handed on after all were read: `given` is a copy.
+        out[live] = moved
+        ends = live == last[pair[live]]
+        score[pair[live][ends]] += moved[ends]
+    return score
+
+
+def edit_distances(references: Sequence[Sequence[str]], hypotheses: Sequence[Sequence[str]]) -> np.ndarray:
+    """Word edits of many pairs of texts at once, bit-parallel."""
+    n = len(references)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    texts = [*references, *hypotheses]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    codes, known = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+    mine, other = np.arange(n), np.arange(n, 2 * n)
+    swap = sizes[mine] < sizes[other]
+    long, short = np.where(swap, other, mine), np.where(swap, mine, other)
+    out = sizes[long].copy()  # right where the shorter text has no words
+    # Pairs with about as many steps go together, so that few rows wait for the longest.
+    kind = np.where(sizes[short] > 0, np.log2(np.maximum(sizes[short], 1)).astype(np.int64), -1)
+    for k in np.unique(kind[kind >= 0]):
+        these = np.flatnonzero(kind == k)
+        out[these] = _columns(codes.astype(np.int64), starts, long[these], short[these], len(known))
+    return out
+
+
 def edit_distance(reference: Sequence[str], hypothesis: Sequence[str]) -> int:
-    """Word edits between two texts: one vector step per reference word."""
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in reference], dtype=np.int64)
-    b = np.array([codes.setdefault(w, len(codes)) for w in hypothesis], dtype=np.int64)
-    ramp = np.arange(len(b) + 1)
-    row = ramp.copy()
-    for i, word in enumerate(a, 1):
-        step = np.empty_like(row)
-        step[0] = i
-        step[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != word))
-        # Insertions run along the row: a prefix minimum after taking out the slope.
-        row = np.minimum.accumulate(step - ramp) + ramp
-    return int(row[-1])
+    """Word edits between two texts."""
+    return int(edit_distances([reference], [hypothesis])[0])
 
 
 def with_word_edits(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
-    """Adds `edits` and `n_words`. Equal texts never leave the JVM."""
+    """Adds `edits` and `n_words`. Equal texts never leave the JVM; the pairs of an Arrow
+    batch are compared together, up to CHARS_AT_ONCE. A null text has no words."""
+
     @F.pandas_udf("bigint")
     def edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance(r.split(), h.split()) for r, h in zip(ref, hyp)], dtype="int64")
+        both = pd.DataFrame({"ref": ref.fillna(""), "hyp": hyp.fillna("")})
+        piece = (both.ref.str.len() + both.hyp.str.len()).cumsum() // CHARS_AT_ONCE
+        found = [edit_distances([x.split() for x in g.ref], [x.split() for x in g.hyp]) for _, g in both.groupby(piece, sort=True)]
+        return pd.Series(np.concatenate(found) if found else [], dtype="int64")
 
     words = F.regexp_count(F.col(reference), F.lit(r"\S+"))
     same = F.col(reference) == F.col(hypothesis)

@@ -158,6 +158,27 @@ def test_edit_distance_against_brute_force():
         assert transcripts.edit_distance(a, b) == brute_edits(a, b)
 
 
+def test_edits_of_many_pairs_at_once():
+    """Texts over several machine words, of very different lengths, in one call."""
+    rng = random.Random(2)
+    lengths = [0, 1, 2, 63, 64, 65, 127, 128, 129, 200, 300]
+    pairs = [([rng.choice("abcdefgh"[:k]) for _ in range(n)], [rng.choice("abcdefgh"[:k]) for _ in range(m)]) for n in lengths for m in lengths for k in (1, 3, 8)]
+    for n in (70, 250):  # near copies
+        a = [str(rng.randrange(1000)) for _ in range(n)]
+        pairs.append((a, [w for w in a if rng.random() > 0.1]))
+        pairs.append((a, a[5:] + ["x"] * 7))
+    got = transcripts.edit_distances([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [brute_edits(a, b) for a, b in pairs]
+    assert transcripts.edit_distances([], []).tolist() == []
+
+
+def test_word_edits_of_null_and_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "CHARS_AT_ONCE", 8)
+    rows = [(0, None, "a b"), (1, "a b c", None), (2, "", ""), (3, "a b c d e f", "a x c e f g"), (4, "same", "same"), (5, None, None)]
+    out = transcripts.with_word_edits(spark.createDataFrame(rows, "id int, reference string, hypothesis string"))
+    assert [r["edits"] for r in out.orderBy("id").collect()] == [2, 3, 0, 3, 0, 0]
+
+
 def test_analysis_defaults(spark):
     answers = [("```json\n{\"dialogue\": [], \"topic\": \"T\"}\n```",), ("{broken",), ("[1]",)]
     out = transcripts.parse_analysis(spark.createDataFrame(answers, "answer string")).collect()
