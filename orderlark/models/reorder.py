@@ -141,19 +141,25 @@ class ReorderModels:
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
+        places = {}
         for kind, members in (("reorder", self.reorder), ("quantity", self.quantity)):
             for name, model in members.items():
-                model.write().overwrite().save(f"{path}/{kind}/{name}")
-        listed = [(self.horizon, list(self.reorder), list(self.quantity), self.features())]
-        meta = spark.createDataFrame(listed, "horizon int, reorder array<string>, quantity array<string>, features array<string>")
+                places[kind, name] = f"{kind}/{name}"
+                model.write().overwrite().save(f"{path}/{places[kind, name]}")
+        self.save_listing(spark, path, places)
+
+    def save_listing(self, spark: SparkSession, path: str, places: dict[tuple[str, str], str]) -> None:
+        """What the models were trained for, and where below `path` each member lies."""
+        listed = [(self.horizon, *({m: places[kind, m] for m in members} for kind, members in (("reorder", self.reorder), ("quantity", self.quantity))), self.features())]
+        meta = spark.createDataFrame(listed, "horizon int, reorder map<string, string>, quantity map<string, string>, features array<string>")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> ReorderModels:
         meta = spark.read.parquet(f"{path}/meta").first()
         models = ReorderModels(meta["horizon"])
-        models.reorder = {m: PipelineModel.load(f"{path}/reorder/{m}") for m in meta["reorder"]}
-        models.quantity = {m: PipelineModel.load(f"{path}/quantity/{m}") for m in meta["quantity"]}
+        models.reorder = {m: PipelineModel.load(f"{path}/{place}") for m, place in sorted(meta["reorder"].items())}
+        models.quantity = {m: PipelineModel.load(f"{path}/{place}") for m, place in sorted(meta["quantity"].items())}
         return models
 
 

@@ -116,9 +116,10 @@ def test_auc_ties_and_metrics(spark, forced_skew):
     assert best_model(table).first()["model"] == "a"
 
 
-def test_train_and_resume(spark, tmp_path):
+def test_train_and_resume(spark, tmp_path, monkeypatch):
     from conftest import SF_SMALL
 
+    from orderlark.models import training
     from orderlark.models.training import train_all
     from orderlark.plans.views import EVENT_TIES, sales_long
 
@@ -130,3 +131,20 @@ def test_train_and_resume(spark, tmp_path):
     again, found = train_all(sales.limit(0), str(tmp_path), 20, EVENT_TIES, resume=True, **sizes)
     assert again.horizon == 20 and found.count() == metrics.count()
     assert set(again.reorder) == set(models.reorder) and set(again.quantity) == set(models.quantity)
+
+    # A member whose marker is missing, as after a lost run, is fitted again, and it alone.
+    fits = []
+    for name in ("fit_reorder", "fit_quantity"):
+        real = getattr(training, name)
+        monkeypatch.setattr(training, name, lambda rows, h, b, d, real=real, name=name: fits.append((name, b is not None)) or real(rows, h, b, d))
+    present = training.is_complete
+    with monkeypatch.context() as lost:
+        lost.setattr(training, "is_complete", lambda s, path: "quantity/dense-" not in path and present(s, path))
+        train_all(sales.limit(0), str(tmp_path), 20, EVENT_TIES, resume=True, **sizes)
+    assert fits == [("fit_quantity", False)] and not present(spark, str(tmp_path))
+    # Other sizes mean other members; the rest is taken from the store.
+    fits.clear()
+    train_all(sales.limit(0), str(tmp_path), 20, EVENT_TIES, resume=True, **{**sizes, "dense": reorder.Dense(hidden=(3,), rounds=3)})
+    assert fits == [("fit_reorder", False)]
+    loaded = reorder.ReorderModels.load(spark, str(tmp_path / "models" / "h=20"))
+    assert loaded.reorder["dense"].stages[-1].getLayers()[1] == 3 and set(loaded.quantity) == {"dense", "boosted"}
