@@ -6,8 +6,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,11 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GeneralizedLinearRegression,
     IsotonicRegression,
-    RandomForestRegressor,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlark.models.boosting import BoostedTrees, Growth, Pinball, fit_boosted
 from orderlark.models.lambda_rank import LambdaRanker
 from orderlark.models.reorder import scaling
 from orderlark.operators.rank import recommend_by_value, top_per
@@ -81,34 +79,17 @@ def fit_calibrated(
 
 @dataclass
 class QuantityModel:
-    """Mean from a Tweedie GLM, quantiles from the leaves of a forest.
-
-    `tables` holds, per quantile, its value for every (tree, leaf): at most
-    trees * 2^depth numbers.
-    """
+    """Mean from a Tweedie GLM, quantiles from boosted trees, one series per quantile."""
 
     glm: PipelineModel
-    forest: PipelineModel
-    tables: dict[str, np.ndarray]
+    quantiles: BoostedTrees
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Adds qty_mean and one qty_pNN per quantile, without a shuffle."""
-        out = self.glm.transform(df).drop("features")
-        out = self.forest.transform(out).withColumn("_leaves", vector_to_array("_leaf"))
-        for name, table in self.tables.items():
-            out = out.withColumn(name, _mean_over_trees(table)(F.col("_leaves")))
-        return out.drop("features", "_leaf", "_leaves", "_mean")
-
-
-def _mean_over_trees(table: np.ndarray):
-    @F.pandas_udf("double")
-    def mean(leaves: pd.Series) -> pd.Series:
-        if not len(leaves):
-            return pd.Series([], dtype="float64")
-        at = np.stack(leaves.to_numpy()).astype(np.int64)
-        return pd.Series(np.nanmean(table[np.arange(table.shape[0]), at], axis=1))
-
-    return mean
+        """Adds qty_mean and one qty_pNN per quantile, without a shuffle. The series are fitted
+        apart; a higher quantile is raised to the lower ones where it falls below them."""
+        out = self.quantiles.score(self.glm.transform(df).drop("features"))
+        names = [o.name for o in self.quantiles.outputs]
+        return out.withColumns({n: F.greatest(*names[: i + 1]) for i, n in enumerate(names) if i})
 
 
 def quantile_name(q: float) -> str:
@@ -116,37 +97,19 @@ def quantile_name(q: float) -> str:
 
 
 def fit_quantity(
-    train: DataFrame,
-    features: Sequence[str],
-    target: str,
-    quantiles: tuple[float, ...] = (0.5, 0.9),
-    trees: int = 50,
-    depth: int = 8,
-    seed: int = 42,
+    train: DataFrame, features: Sequence[str], target: str, quantiles: tuple[float, ...] = (0.5, 0.9), growth: Growth = Growth()
 ) -> QuantityModel:
-    """Tweedie GLM (power 1.5, log link) and a quantile forest: each leaf keeps quantiles
-    of its training targets, a row's quantile is their mean over the trees."""
+    """Tweedie GLM (power 1.5, log link), and trees boosted on the pinball loss, whose leaves
+    hold quantiles of the residuals."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     # Targets of zero or less have no Tweedie likelihood.
     rows = train.where(F.col(target) >= 0)
     glm = GeneralizedLinearRegression(
         family="tweedie", variancePower=1.5, linkPower=0.0, regParam=0.1, labelCol=target, predictionCol="qty_mean"
     )
-    forest = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, leafCol="_leaf", predictionCol="_mean", seed=seed)
     glm_model = Pipeline(stages=[assembler, glm]).fit(rows)
-    forest_model = Pipeline(stages=[assembler, forest]).fit(rows)
-    placed = forest_model.transform(rows).select(F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"), F.col(target).alias("_y"))
-    leaves = placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(
-        F.percentile_approx("_y", list(quantiles), 10_000).alias("_q")
-    )
-    # Bounded by trees * 2^depth rows.
-    found = leaves.collect()
-    width = max(r["leaf"] for r in found) + 1
-    tables = {quantile_name(q): np.full((trees, width), np.nan) for q in quantiles}
-    for r in found:
-        for table, value in zip(tables.values(), r["_q"]):
-            table[r["tree"], r["leaf"]] = value
-    return QuantityModel(glm_model, forest_model, tables)
+    losses = {quantile_name(q): Pinball(q) for q in sorted(quantiles)}
+    return QuantityModel(glm_model, fit_boosted(rows, features, target, losses, growth))
 
 
 def score_snapshot(latest: DataFrame, likelihood: CalibratedModel, quantity: QuantityModel) -> DataFrame:

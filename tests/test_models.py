@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderlark.models import hazards, lambda_rank, reorder, snapshots, texts
+from orderlark.models import boosting, hazards, lambda_rank, reorder, snapshots, texts
 from orderlark.operators.evaluate import best_model, binary_metrics, ndcg, regression_metrics, roc_auc
 from orderlark.operators.pair_features import feature_columns
 
@@ -67,7 +67,7 @@ def test_calibrated_and_quantiles(spark):
     assert roc_auc(scored, "p_reorder", "y").first()[0] > 0.75
     gap = scored.agg(F.avg("p_reorder") - F.avg("y")).first()[0]
     assert abs(gap) < 0.05
-    quantity = snapshots.fit_quantity(rows, ["x", "z"], "q", trees=5, depth=4)
+    quantity = snapshots.fit_quantity(rows, ["x", "z"], "q", growth=boosting.Growth(rounds=30))
     out = quantity.score(rows).select("q", "qty_mean", "qty_p50", "qty_p90").toPandas()
     assert (out.qty_p90 >= out.qty_p50).all() and (out.qty_mean > 0).all()
     assert np.mean(out.q <= out.qty_p90) == pytest.approx(0.9, abs=0.06)
