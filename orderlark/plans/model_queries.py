@@ -11,7 +11,7 @@ from orderlark.models.reorder import Boosting, Dense, ReorderModels
 from orderlark.operators import evaluate, lookup, rank, snapshots, splits
 from orderlark.operators.pair_features import build_features, latest_features
 from orderlark.plans import views
-from orderlark.plans.order_queries import FEATURES_SQL, ID_SQL, ID, PRODUCT_COLUMNS, _v1
+from orderlark.plans.order_queries import FEATURES_SQL, ID_SQL, ID, PRODUCT_COLUMNS, TIES_SQL, W16_SQL, _v1
 from orderlark.plans.text_queries import _bayes_sql, _tfidf_sql
 from orderlark.plans.views import SALES_TIES, near, near_sql
 from orderlark.session import scratch_path, stored
@@ -178,7 +178,7 @@ def _v1_models(spark, d):
     rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
     keyed = snapshots.classification_rows(rows, SALES_TIES).withColumn("_key", F.concat_ws("|", *SALES_TIES))
     likelihood = v1.fit_calibrated(keyed, snapshots.SNAPSHOT_FEATURES, "label_reorder_in_N", "_key", rounds=3)
-    quantity = v1.fit_quantity(snapshots.regression_rows(rows, SALES_TIES), v1.QUANTITY_FEATURES, "target_qty_next", trees=5, depth=5)
+    quantity = v1.fit_quantity(snapshots.regression_rows(rows, SALES_TIES), v1.QUANTITY_FEATURES, "target_qty_next")
     return rows, likelihood, quantity
 
 
@@ -193,27 +193,56 @@ def m7(spark, d):
     return evaluate.roc_auc(held, "p_reorder", "label_reorder_in_N")
 
 
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def _held_out(rows):
     """Mark a fifth of the rows by hash: they are scored but take no part in the fit."""
-    return rows.withColumn("held_out", F.pmod(F.xxhash64(F.concat_ws("|", *SALES_TIES)), F.lit(5)) == 0)
+    keyed = rows.withColumn("_line", F.concat_ws("|", *LINE_KEY))
+    return keyed.withColumn("held_out", splits.hash_bucket("_line", 5, "held") == 0).drop("_line")
 
 
-@register("M8_quantity_quantiles")
-def m8(spark, d):
+HELD_OUT_SQL = f"""s AS ({W16_SQL.replace('l_partkey AS sku_id', f'l_partkey % {SKUS} AS sku_id')}),
+held AS (SELECT *, ('0x' || substr(md5('held' || concat_ws('|', {', '.join(LINE_KEY)})), 1, 8))::BIGINT % 5 = 0 AS held_out FROM s WHERE time_to_next IS NOT NULL)"""
+
+
+def _quantity_scores(spark, d):
     stored_rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
-    rows = snapshots.regression_rows(stored_rows, SALES_TIES)
-    rows = stored(_held_out(rows), "quantities")
-    model = v1.fit_quantity(rows.where("NOT held_out"), v1.QUANTITY_FEATURES, "target_qty_next", trees=10, depth=5)
-    scored = model.score(rows)
-    return scored.select(*SALES_TIES, "held_out", "target_qty_next", "qty_mean", "qty_p50", "qty_p90")
+    rows = stored(_held_out(snapshots.regression_rows(stored_rows, SALES_TIES)), "quantities")
+    model = v1.fit_quantity(rows.where("NOT held_out"), v1.QUANTITY_FEATURES, "target_qty_next")
+    return model.score(rows)
+
+
+@register("M8_quantity_quantiles", f"""WITH {HELD_OUT_SQL} SELECT {TIES_SQL}, held_out, target_qty_next, true AS in_order FROM held WHERE target_qty_next IS NOT NULL""")
+def m8(spark, d):
+    """All rows scored by the full fit; `in_order`: a positive mean, and quantiles that rise."""
+    in_order = F.expr("coalesce(qty_mean > 0 AND qty_p50 > 0 AND qty_p50 <= qty_p90, false)")
+    return _quantity_scores(spark, d).select(*SALES_TIES, "held_out", "target_qty_next", in_order.alias("in_order"))
+
+
+@register(
+    "M8_quantile_coverage",
+    f"""WITH {HELD_OUT_SQL} SELECT held_out, count(*) AS n_rows, true AS half_below_p50, true AS nine_tenths_below_p90 FROM held
+WHERE target_qty_next IS NOT NULL GROUP BY held_out""",
+)
+def m8_coverage(spark, d):
+    """Shares of targets at or below their quantiles, fitted rows and held-out rows apart."""
+    below = {q: F.avg((F.col("target_qty_next") <= F.col(q)).cast("int")) for q in ("qty_p50", "qty_p90")}
+    return _quantity_scores(spark, d).groupBy("held_out").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.abs(below["qty_p50"] - 0.5) <= 0.08).alias("half_below_p50"),
+        (F.abs(below["qty_p90"] - 0.9) <= 0.05).alias("nine_tenths_below_p90"),
+    )
 
 
-@register("M12_time_to_next_order")
+@register("M12_time_to_next_order", f"""WITH {HELD_OUT_SQL} SELECT {TIES_SQL}, held_out, time_to_next, true AS scored FROM held""")
 def m12(spark, d):
+    """`scored`: a finite hazard, and a median that is a time or, beyond the baseline, null."""
     rows = snapshots.survival_rows(snapshots.order_snapshots(*_v1(spark, d, SKUS)), SALES_TIES)
     rows = stored(_held_out(rows), "survival")
     model = hazards.fit_hazards(rows.where("NOT held_out"), snapshots.SNAPSHOT_FEATURES)
-    return model.score(rows).select(*SALES_TIES, "held_out", "time_to_next", "log_hazard", "median_days")
+    scored = F.expr("coalesce(abs(log_hazard) < 1e9, false) AND coalesce(median_days >= 0, true)")
+    return model.score(rows).select(*SALES_TIES, "held_out", "time_to_next", scored.alias("scored"))
 
 
 def _ranker_rows(spark, d):

@@ -63,7 +63,7 @@ def test_same_trees_as_a_search_over_all_splits(spark, loss, monkeypatch):
 def test_quantiles_cover_rows_that_took_no_part(spark):
     _, _, df = table(spark, n=6000, seed=8)
     held = F.col("key") % 3 == 0
-    model = fit_boosted(df.where(~held), ["a", "b", "c"], "y", {"p50": Pinball(0.5), "p90": Pinball(0.9)}, Growth(rounds=60, rate=0.2))
+    model = fit_boosted(df.where(~held), ["a", "b", "c"], "y", {"p50": Pinball(0.5), "p90": Pinball(0.9)}, Growth(rounds=25, rate=0.3))
     out = model.score(df.where(held)).toPandas()
     assert (out.y <= out.p50).mean() == pytest.approx(0.5, abs=0.05)
     assert (out.y <= out.p90).mean() == pytest.approx(0.9, abs=0.03)
