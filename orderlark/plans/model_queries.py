@@ -7,6 +7,7 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.sql import functions as F
 
 from orderlark.models import hazards, lambda_rank, reorder, snapshots as v1, texts, training
+from orderlark.models.boosting import Growth
 from orderlark.models.reorder import Boosting, Dense, ReorderModels
 from orderlark.operators import evaluate, lookup, rank, snapshots, splits
 from orderlark.operators.pair_features import build_features, latest_features
@@ -178,7 +179,7 @@ def _v1_models(spark, d):
     rows = stored(snapshots.order_snapshots(*_v1(spark, d, SKUS)), "snapshots")
     keyed = snapshots.classification_rows(rows, SALES_TIES).withColumn("_key", F.concat_ws("|", *SALES_TIES))
     likelihood = v1.fit_calibrated(keyed, snapshots.SNAPSHOT_FEATURES, "label_reorder_in_N", "_key", rounds=3)
-    quantity = v1.fit_quantity(snapshots.regression_rows(rows, SALES_TIES), v1.QUANTITY_FEATURES, "target_qty_next")
+    quantity = v1.fit_quantity(snapshots.regression_rows(rows, SALES_TIES), v1.QUANTITY_FEATURES, "target_qty_next", growth=Growth(rounds=10))
     return rows, likelihood, quantity
 
 
