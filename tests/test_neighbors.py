@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderlark.operators.neighbors import knn_join, knn_vote
+from orderlark.operators.neighbors import _packs, knn_join, knn_vote
 from orderlark.operators.text_neighbors import block_max_pairs, sparse_knn
 
 
@@ -75,3 +75,25 @@ def test_inverted_index_is_exact(spark):
     shared = weights.join(queries, "id").select(F.col("id").alias("q"), "token").join(weights.join(base, "id").select(F.col("id").alias("b"), "token"), "token").select("q", "b").distinct().count()
     one_block = block_max_pairs(weights, queries, base, 2).count()
     assert one_block <= 2 * len(q) < shared / 10
+
+
+def test_a_query_meets_large_blocks(spark):
+    """Fifteen hundred base rows are one visit: k rows a query leave it, and nothing is written
+    for each small block of base rows."""
+    rng = np.random.default_rng(6)
+    cells = [(i, f"t{j}", float(w)) for i in range(1520) for j, w in enumerate(rng.random(3) / 2)]
+    weights = spark.createDataFrame(cells, "id bigint, token string, weight double")
+    ids = spark.range(1520)
+    assert block_max_pairs(weights, ids.where("id >= 1500"), ids.where("id < 1500"), 3).count() == 60
+
+
+def test_a_query_travels_once_to_each_pack(spark):
+    """Cells share packs, so that queries are copied for each pack and not for each cell."""
+    first, pieces, packs = _packs([4, 25, 3, 9, 2], [2, 0, 1, 3, 4], 10)
+    assert (first.tolist(), pieces.tolist(), packs) == ([0, 1, 0, 4, 5], [1, 3, 1, 1, 1], 6)
+    rng = np.random.default_rng(7)
+    base, queries = rng.normal(size=(900, 8)), rng.normal(size=(50, 8))
+    b = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(base)], "id bigint, val array<double>, label string")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "id bigint, val array<double>")
+    out = knn_join(q, b, 5, dim=8, pivots=30, block_rows=30).orderBy("query_id", "rank").collect()
+    assert [r["neighbor_id"] for r in out] == brute(queries, base, np.arange(900), 5)[0].ravel().tolist()
