@@ -148,3 +148,23 @@ def test_train_and_resume(spark, tmp_path, monkeypatch):
     assert fits == [("fit_reorder", False)]
     loaded = reorder.ReorderModels.load(spark, str(tmp_path / "models" / "h=20"))
     assert loaded.reorder["dense"].stages[-1].getLayers()[1] == 3 and set(loaded.quantity) == {"dense", "boosted"}
+
+
+def test_text_bayes_as_tables(spark, tmp_path):
+    """The same labels as the pipeline's, with ids that repeat and texts that are missing; nothing
+    but tables is kept."""
+    from conftest import rows_of
+    from pyspark.ml.classification import NaiveBayes
+
+    rows = [(1, "red apple pie", "food"), (1, "apple tart", "food"), (None, "deep ocean wave", "sea"), (4, "ocean ship", "sea"), (5, "apple ocean", "sea")]
+    train = spark.createDataFrame(rows, "id int, text string, label string")
+    texts_in = spark.createDataFrame([(1, "  OCEAN "), (1, "Apple tart"), (None, "red"), (3, "zebra")], "id int, text string")
+    model = texts.fit_text_model(train, "text", "label", NaiveBayes(), tables=True)
+    model.save(str(tmp_path / "tables"))
+    again = texts.TextBayes.load(spark, str(tmp_path / "tables"))
+    plain = texts.score_texts(texts.fit_text_model(train, "text", "label", NaiveBayes()), texts_in, "text")
+    assert rows_of(texts.score_texts(again, texts_in, "text")) == rows_of(plain)
+    missing = spark.createDataFrame([(9, None)], "id int, text string")
+    assert [r["prediction"] for r in texts.score_texts(model, missing, "text").collect()] == ["sea"]
+    with pytest.raises(ValueError, match="tables"):
+        texts.fit_text_model(train, "text", "label", NaiveBayes(modelType="gaussian"), tables=True)
