@@ -168,3 +168,13 @@ def test_text_bayes_as_tables(spark, tmp_path):
     assert [r["prediction"] for r in texts.score_texts(model, missing, "text").collect()] == ["sea"]
     with pytest.raises(ValueError, match="tables"):
         texts.fit_text_model(train, "text", "label", NaiveBayes(modelType="gaussian"), tables=True)
+
+
+def test_rows_that_differ_are_counted_from_one_pass_a_side(spark):
+    from orderlark.plans.model_queries import n_different
+
+    a = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, None), (3, float("nan"))], "k int, v double")
+    b = spark.createDataFrame([(1, 0.5), (2, None), (3, float("nan")), (4, 1.0)], "k int, v double")
+    assert spark.range(1).select(n_different(a, b)).first()[0] == 2
+    assert spark.range(1).select(n_different(a, a.limit(0))).first()[0] == 4
+    assert spark.range(1).select(n_different(a, a)).first()[0] == 0
