@@ -74,6 +74,19 @@ def test_calibrated_and_quantiles(spark):
     assert np.mean(out.q <= out.qty_p50) == pytest.approx(0.5, abs=0.08)
 
 
+def test_calibration_works_its_rows_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(300).select(F.col("id").alias("key"), F.rand(1).alias("x"), (F.rand(2) < 0.5).cast("int").alias("y"))
+    snapshots.fit_calibrated(rows.mapInPandas(counted, rows.schema), ["x"], "y", "key", rounds=2)
+    assert seen.value == 300
+
+
 def test_survival_median_follows_the_covariate(spark):
     rows = spark.range(300).select(F.rand(1).alias("x"), F.lit(1).alias("event"))
     rows = rows.withColumn("time_to_next", F.floor(F.exp(1 + 3 * F.col("x")) * (0.5 + F.rand(2))))
