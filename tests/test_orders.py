@@ -204,3 +204,15 @@ def test_stratified_split_against_brute_force(spark):
     assert {r["id"]: r["split"] for r in out.collect()} == expected
     every = splits.stratified_split(spark.createDataFrame(rows, "id int, c string"), "c", "id", [("all", 1.0)])
     assert every.where("split = 'all'").count() == len(rows)
+
+
+def test_interaction_features_move_only_what_is_read(spark, monkeypatch):
+    from conftest import SF_SMALL
+
+    from orderlark.operators import entity
+    from orderlark.plans.order_queries import ID, a4
+
+    written = []
+    monkeypatch.setattr(entity, "stored", lambda df, label: written.append(df.columns) or df)
+    assert a4(spark, SF_SMALL).columns[: len(ID)] == ID
+    assert set(written[0]) == {*ID, "sales_value", "quantity"}
