@@ -1,10 +1,13 @@
 """Models on planted signals."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orderlark.models import boosting, hazards, lambda_rank, reorder, snapshots, texts
+from orderlark.operators import tfidf
 from orderlark.operators.evaluate import best_model, binary_metrics, ndcg, regression_metrics, roc_auc
 from orderlark.operators.pair_features import feature_columns
 
@@ -191,3 +194,28 @@ def test_rows_that_differ_are_counted_from_one_pass_a_side(spark):
     assert spark.range(1).select(n_different(a, b)).first()[0] == 2
     assert spark.range(1).select(n_different(a, a.limit(0))).first()[0] == 4
     assert spark.range(1).select(n_different(a, a)).first()[0] == 0
+
+
+def test_terms_are_counted_and_weighed_in_tasks_of_bounded_size(spark, monkeypatch):
+    """However few parts the input has; a document whose id repeats is one document."""
+    monkeypatch.setattr(tfidf, "TASK_CHARS", 100, raising=False)
+    monkeypatch.setattr(tfidf, "TASK_TERMS", 20, raising=False)
+    parts = []
+    monkeypatch.setattr(tfidf, "stored", lambda df, label: parts.append(df.rdd.getNumPartitions()) or df)
+    rows = [(i, f"common word{i % 7} word{i} word{i}") for i in range(100)] + [(5, "common again"), (None, "common"), (200, None)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").coalesce(1)
+    out = tfidf.tfidf(docs, "id", "text", F.lit(True))
+    assert parts[0] >= 20 and out.rdd.getNumPartitions() >= 12
+    found = {(r["id"], r["token"]): r["weight"] for r in out.collect()}
+    n = len(rows)
+
+    def weights(doc):
+        words = [w for i, t in rows if i == doc and t for w in t.split()]
+        idf = {w: math.log((n + 1) / (len({i for i, t in rows if t and w in t.split()}) + 1)) + 1 for w in words}
+        raw = {w: words.count(w) * idf[w] for w in idf}
+        return {(doc, w): v / math.sqrt(sum(x * x for x in raw.values())) for w, v in raw.items()}
+
+    for doc in (5, 13, None):
+        for key, weight in weights(doc).items():
+            assert found[key] == pytest.approx(weight)
+    assert len(found) == sum(len(weights(d)) for d in {i for i, _ in rows})
