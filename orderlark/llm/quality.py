@@ -10,10 +10,11 @@ the mean of ln((target + SMOOTHING) / (expected + SMOOTHING)) over its features,
 document whose score is below MIN_SCORE is rejected, as are those that fail the base rules. The
 threshold is a constant, so equal counts give equal verdicts. All of it is DataFrame code.
 
-The counts are an array of BUCKETS places that every task holds, so a text is scored within its
-row, once as a trusted text and once as another one; which of the two holds is asked of the ids
-afterwards. Only texts whose id passes a Bloom filter of the trusted ids are shuffled, to count
-the target.
+The counts are arrays of BUCKETS places, which reach the tasks as scalar subqueries. Each text gives
+one row for each of its distinct buckets, and these rows are added up per text where they arise, in
+compiled code, once as a trusted text and once as another one; which of the two holds is asked of
+the ids afterwards. Only sums are shuffled, and texts whose id passes a Bloom filter of the trusted
+ids, to count the target.
 
 Defined results: null and blank texts have no words and fail the base rules; repeated rows are
 scored each for itself (the copies count as other documents); without any other trusted document
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlark.llm.common import constant, packed, table, words_column
+from orderlark.llm.common import packed, table, words_column
 from orderlark.session import stored
 
 BUCKETS = 1 << 16  # a power of two
@@ -127,39 +128,41 @@ class Scorer:
         counted = stored(counted, "counts")
         total = counted.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
         self.all_raw, self.all_target = (F.lit(float(total[c] or 0)) for c in ("raw", "target"))
-        self.counts = constant(filled(counted, "bucket", BUCKETS, raw=F.col("raw").cast("double"), target=F.col("target").cast("double"), log_target=F.log(F.coalesce("target", F.lit(0)) + F.lit(float(SMOOTHING)))), "filled")
-
-    def rows(self, packed_docs: DataFrame) -> DataFrame:
-        """Add place, the base measures, maybe_trusted, and the scores `other` (for a text that is not
-        trusted) and `own` (for one that is; without meaning, or null, for others) to rows with id and text."""
-        based = base_rules(packed_docs)
+        listed = filled(counted, "bucket", BUCKETS, raw=F.col("raw").cast("double"), target=F.col("target").cast("double"))
+        # As scalar subqueries they show in no plan; a constant of this size would, in every plan that the driver keeps.
+        self.raw, self.target = (listed.select(F.col("filled")[c]).scalar() for c in ("raw", "target"))
+
+    def rows(self, docs: DataFrame, *kept: str) -> DataFrame:
+        """The columns kept, the base measures, maybe_trusted, and the scores `other` (for a text that is not
+        trusted) and `own` (for one that is; without meaning, or null, for others) of rows with id and text."""
+        based = base_rules(docs.withColumn("_place", F.monotonically_increasing_id()))
         pairs = f"transform(slice(words, 2, size(words)), (w, i) -> {_bucket('words[i], w')})"
         based = based.withColumn("_all", F.expr(f"sort_array(concat(transform(words, w -> {_bucket('w')}), {pairs}))"))
         # Each distinct bucket of the text starts at one of these places in the sorted list.
         based = based.withColumn("_starts", F.expr("filter(transform(_all, (b, i) -> IF(b = get(_all, i - 1), -1, i)), p -> p >= 0)"))
-        based = based.withColumn("_n", F.expr("transform(_starts, (p, i) -> struct(_all[p] AS b, CAST(coalesce(get(_starts, i + 1), size(_all)) - p AS double) AS n))"))
         size, smooth = F.size("_all"), F.lit(float(SMOOTHING))
         others = self.all_raw - size
         share = lambda target: F.when(others > 0, target / others).otherwise(F.lit(0.0))
-        based = based.withColumns({"maybe_trusted": self.maybe, "_share_other": share(self.all_target), "_share_own": share(self.all_target - size)})
+        based = based.withColumns({"maybe_trusted": self.maybe, "_size": size, "_share_other": share(self.all_target), "_share_own": share(self.all_target - size)})
+        # A text without words keeps one row, whose bucket is null.
+        runs = F.explode_outer(F.arrays_zip(F.col("_starts").alias("p"), F.slice("_starts", 2, F.size("_starts")).alias("q")))
+        each = based.withColumn("_run", runs)
+        bucket, n = F.get("_all", F.col("_run.p")), (F.coalesce("_run.q", "_size") - F.col("_run.p")).cast("double")
+        each = each.withColumns({"_n": n, "_raw": F.get(self.raw, bucket), "_target": F.get(self.target, bucket)})
 
         def score(own: bool) -> Column:
             share = F.col("_share_own" if own else "_share_other")
+            # Of a text that is not trusted, the target holds nothing to take out.
+            target = F.col("_target") - F.col("_n") if own else F.col("_target")
+            expected = F.col("_raw") * share - F.col("_n") * share
+            weight = F.col("_n") * (F.log(target + smooth) - F.log(expected + smooth))
+            return F.sum(F.when(F.col("maybe_trusted"), weight) if own else weight)
 
-            def weight(x: Column) -> Column:
-                # Of a text that is not trusted, the target holds nothing to take out.
-                target = F.log(F.get(self.counts["target"], x["b"]) - x["n"] + smooth) if own else F.get(self.counts["log_target"], x["b"])
-                # (raw - n) * share, with the share read twice: Spark would put the expression
-                # behind a column that is read once into the loop.
-                expected = F.get(self.counts["raw"], x["b"]) * share - x["n"] * share
-                return x["n"] * (target - F.log(expected + smooth))
-
-            return F.when(size > 0, F.aggregate("_n", F.lit(0.0), lambda a, x: a + weight(x)) / size).otherwise(F.lit(0.0))
-
-        # While `place` is read, a filter on the scores is not pushed below them, where Spark
-        # would compute them again for every term of the condition.
-        out = based.withColumns({"other": score(False), "own": F.when(F.col("maybe_trusted"), score(True)), "place": F.monotonically_increasing_id()})
-        return out.drop("_all", "_starts", "_n", "_share_other", "_share_own", "words")
+        # The rows of a text are one after the other in one task, which sums them before anything moves.
+        firsts = [F.first(c).alias(c) for c in (*MEASURES, "maybe_trusted", "_size")]
+        out = each.groupBy("_place", *kept).agg(score(False).alias("other"), score(True).alias("own"), *firsts)
+        mean = lambda c: F.when(F.col("_size") > 0, F.col(c) / F.col("_size")).otherwise(F.lit(0.0))
+        return out.withColumns({"other": mean("other"), "own": F.when(F.col("maybe_trusted"), mean("own"))}).drop("_place", "_size")
 
 
 def passes(score: str) -> Column:
@@ -169,27 +172,27 @@ def passes(score: str) -> Column:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def _judged(docs: DataFrame, scorer: Scorer, *kept: str) -> DataFrame:
+    """The columns kept, the base measures, score and verdict of rows with id and text."""
+    # Only these short rows meet the ids. Written once, so that a caller's filter reads them.
+    short = stored(scorer.rows(docs, *kept, "id").drop("maybe_trusted"), "scores")
+    met = short.join(scorer.trusted.hint("merge"), F.col("id") == F.col("_id"), "left")
+    return met.withColumn("score", F.when(F.col("_id").isNotNull(), F.col("own")).otherwise(F.col("other"))).withColumn("kept", passes("score")).drop("id", "_id", "other", "own")
+
+
 def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Base measures, score and verdict of every document (doc_id, measures, score, kept)."""
     scorer = Scorer(docs, labels, text_col, id_col)
-    rows = scorer.rows(docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    # Only these short rows meet the ids. Written once, so that a caller's filter reads them
-    # instead of being pushed below the scores.
-    short = stored(rows.select("doc_id", "id", *MEASURES, "other", "own"), "scores")
-    met = short.join(scorer.trusted.hint("merge"), F.col("id") == F.col("_id"), "left")
-    return met.withColumn("score", F.when(F.col("_id").isNotNull(), F.col("own")).otherwise(F.col("other"))).withColumn("kept", passes("score")).drop("id", "_id", "other", "own")
+    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scorer, "doc_id")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that pass, unchanged."""
     scorer = Scorer(docs, labels, text_col, id_col)
-    rows = scorer.rows(packed(docs, id=F.col(id_col).cast("long"), text=F.col(text_col)))
-    # Being trusted decides only where the two scores fall on different sides.
-    verdicts = rows.withColumns({"if_other": passes("other"), "if_own": passes("own")}).withColumn("open", F.col("maybe_trusted") & ~F.col("if_other").eqNullSafe(F.col("if_own")))
-    left = stored(verdicts.where("if_other OR open").select("place", "id", "row", "open", "if_other", "if_own"), "passing")
-    asked = left.where("open").join(scorer.trusted.hint("merge"), F.col("id") == F.col("_id"), "left")
-    decided = asked.where(F.when(F.col("_id").isNotNull(), F.col("if_own")).otherwise(F.col("if_other"))).select("row")
-    return left.where("NOT open").select("row").unionByName(decided).select("row.*")
+    # Numbers are written out, so that every later read finds the same ones.
+    numbered = stored(packed(docs, place=F.monotonically_increasing_id(), id=F.col(id_col).cast("long"), text=F.col(text_col)), "numbered")
+    passing = _judged(numbered.drop("row"), scorer, "place").where("kept")
+    return numbered.drop("id", "text").hint("merge").join(passing.select("place"), "place", "left_semi").select("row.*")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

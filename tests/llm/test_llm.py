@@ -386,6 +386,17 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.scored(odd, labels(spark).limit(0)).where("score != 0").count() == 0
 
 
+def test_quality_counts_stay_out_of_plans(spark):
+    """The driver keeps the plans of many queries, so none shows the table of counts; and texts are
+    scored in compiled code, not by array functions. Texts that are equal are scored each for itself."""
+    docs = spark.createDataFrame([(i, "a b c " * 20) for i in (1, 1)] + [(None, None), (2, "d e f " * 20), (3, " ")], "doc_id long, text string")
+    scorer = quality.Scorer(docs, labels(spark, ((1, 1, 0),)), "text", "doc_id")
+    found = scorer.rows(docs.withColumn("id", F.col("doc_id")), "doc_id", "id")
+    plan = found._jdf.queryExecution().toString()
+    assert len(plan) < 200_000 and "aggregate(_n" not in plan and "HashAggregate" in plan
+    assert [(r["doc_id"], r["n_words"], r["other"] == 0) for r in found.orderBy("doc_id").collect()] == [(None, 0, True), (1, 60, False), (1, 60, False), (2, 60, True), (3, 0, True)]
+
+
 # 7
 
 
