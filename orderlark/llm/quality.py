@@ -189,10 +189,12 @@ def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: s
 def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that pass, unchanged."""
     scorer = Scorer(docs, labels, text_col, id_col)
-    # Numbers are written out, so that every later read finds the same ones.
-    numbered = stored(packed(docs, place=F.monotonically_increasing_id(), id=F.col(id_col).cast("long"), text=F.col(text_col)), "numbered")
-    passing = _judged(numbered.drop("row"), scorer, "place").where("kept")
-    return numbered.drop("id", "text").hint("merge").join(passing.select("place"), "place", "left_semi").select("row.*")
+    # A verdict follows from id and text, so the texts themselves need not be written out with numbers.
+    key = {"id": F.col(id_col).cast("long"), "hash": F.xxhash64(text_col)}
+    slim = docs.select(*[c.alias(n) for n, c in key.items()], key["id"].alias("kept_id"), F.col(text_col).alias("text"))
+    passing = _judged(slim, scorer, "kept_id", "hash").where("kept").select("kept_id", F.col("hash").alias("kept_hash"))
+    met = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    return packed(docs, **key).hint("merge").join(passing, met, "left_semi").select("row.*")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
