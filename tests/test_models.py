@@ -219,3 +219,13 @@ def test_terms_are_counted_and_weighed_in_tasks_of_bounded_size(spark, monkeypat
         for key, weight in weights(doc).items():
             assert found[key] == pytest.approx(weight)
     assert len(found) == sum(len(weights(d)) for d in {i for i, _ in rows})
+
+
+def test_every_classifier_fit_reads_a_finished_split(spark):
+    """Jobs of the fits neither read the table again nor carry the counters of the whole plan."""
+    from orderlark.plans.model_queries import _embedding_split
+
+    rows = _embedding_split(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Scan parquet" not in plan and "Exchange" not in plan
+    assert {r["split"] for r in rows.select("split").distinct().collect()} == {"train", "test"}
