@@ -132,3 +132,33 @@ def test_ranker_beats_a_single_feature(spark, group_rows):
 
     ours, one = gain(model.score(held)), gain(held.withColumnRenamed("a", "score"))
     assert ours["ndcg_at_5"] > one["ndcg_at_5"] and ours["ndcg_at_10"] > one["ndcg_at_10"]
+
+
+def test_lambda_terms_of_many_groups_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 30, 60)
+    x, stretch, taught = rng.normal(size=(sizes.sum(), 3)), rng.integers(1, 4, 60), rng.random(60) < 0.7
+    y, scores = rng.random(len(x)) < 0.3, np.round(rng.normal(size=len(x)), 1)
+    ends = np.cumsum(sizes)
+    each = [lambda_rank.group_terms(x[e - n : e], y[e - n : e], scores[e - n : e], k) for e, n, k in zip(ends, sizes, stretch)]
+    for pairs in (1, 500, 50_000):
+        monkeypatch.setattr(lambda_rank, "PAIRS", pairs)
+        g, h, ndcg = lambda_rank.block_terms(x, y, scores, sizes, stretch, taught)
+        assert np.allclose(g, sum(e[0] for e, t in zip(each, taught) if t)) and np.allclose(h, sum(e[1] for e, t in zip(each, taught) if t))
+        assert np.allclose(ndcg, [e[2] for e in each], equal_nan=True)
+
+
+def test_ranker_blocks_hold_whole_groups(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 400, 1, 1).selectExpr("id % 7 + 1 AS at", "1L AS parts", "false AS held", "0 AS y", "array(cast(id AS double), 0D) AS x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    monkeypatch.setattr(lambda_rank, "BLOCK_ROWS", 25)
+    try:
+        found = lambda_rank._blocks(rows).withColumn("n", F.length("x") / 16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = [np.frombuffer(r["sizes"], np.int64) for r in found]
+    assert len(found) > 5 and [s.sum() for s in sizes] == [r["n"] for r in found]
+    assert np.concatenate(sizes).tolist() == [7] * 57 + [1]
+    assert np.concatenate([np.frombuffer(r["x"]).reshape(-1, 2)[:, 0] for r in found]).tolist() == list(range(400))
