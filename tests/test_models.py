@@ -229,3 +229,17 @@ def test_every_classifier_fit_reads_a_finished_split(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Scan parquet" not in plan and "Exchange" not in plan
     assert {r["split"] for r in rows.select("split").distinct().collect()} == {"train", "test"}
+
+
+def test_classifier_comparison_takes_the_full_sizes(spark, monkeypatch):
+    from orderlark.models import texts
+    from orderlark.plans import model_queries
+
+    rows = spark.createDataFrame([("train",), ("test",)], "split string")
+    monkeypatch.setattr(model_queries, "_embedding_split", lambda spark, d: rows)
+    monkeypatch.setattr(texts, "compare_classifiers", lambda train, test, label, models: models)
+    models = model_queries.QUERIES["M9_classifier_comparison"](spark, "")
+    assert models["logistic_regression"].getMaxIter() >= 1000
+    assert models["linear_svm"].getClassifier().getMaxIter() >= 1000
+    assert models["random_forest"].getNumTrees() == 100
+    assert models["gradient_boosting"].getClassifier().getMaxIter() == 100
