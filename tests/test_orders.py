@@ -216,3 +216,39 @@ def test_interaction_features_move_only_what_is_read(spark, monkeypatch):
     monkeypatch.setattr(entity, "stored", lambda df, label: written.append(df.columns) or df)
     assert a4(spark, SF_SMALL).columns[: len(ID)] == ID
     assert set(written[0]) == {*ID, "sales_value", "quantity"}
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from orderlark.session import SWEEP_CONF, stored
+
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    time.sleep(1)  # files of earlier queries may still be on their way out
+    before = _shuffle_files(spark)
+    out = stored(rows.groupBy("k").agg(F.max("id").alias("m")), "swept")
+    for _ in range(50):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before
+    assert out.count() == 7 and spark.conf.get(SWEEP_CONF) == "false"
+
+
+def test_first_generation_tables_share_one_join_of_lines_and_orders(spark):
+    from orderlark.plans.order_queries import _v1
+
+    orders, prices, inventory, _, ties = _v1(spark, "/root/testdata/sf0.001", 25)
+    for df in (orders, prices, inventory):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_last_row_of_a_key_in_some_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 2, 5.0), (1, "b", 3, 6.0), (2, "c", 1, None)], "k int, other string, seq int, v double")
+    out = prepare.last_per_key(rows, ["k"], ["seq"], ["v"])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 6.0), (2, None)] and out.columns == ["k", "v"]
