@@ -97,3 +97,42 @@ def test_a_query_travels_once_to_each_pack(spark):
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "id bigint, val array<double>")
     out = knn_join(q, b, 5, dim=8, pivots=30, block_rows=30).orderBy("query_id", "rank").collect()
     assert [r["neighbor_id"] for r in out] == brute(queries, base, np.arange(900), 5)[0].ravel().tolist()
+
+
+def test_visits_come_in_rounds_of_bounded_copies(spark, monkeypatch):
+    """Many blocks: the parts of the queries take turns, and the pairs are those of one round."""
+    from orderlark.operators import text_neighbors as t
+
+    assert t._rounds(2, 16, 32) == [(0, 16)]
+    assert t._rounds(115, 38, 32) == [(i, i + 1) for i in range(38)]
+    # Where more visits are wanted, the larger side is cut, so that the smaller one is copied.
+    assert t._cut((10_000, 3_000_000, 1), (30_000, 9_000_000, 2)) == (11, 3)
+    assert t._cut((20, 60, 1), (1500, 4500, 1)) == (1, 1)
+    assert t._rounds(20, 5, 32) == [(0, 2), (2, 4), (4, 5)]
+    rng = np.random.default_rng(8)
+    cells = [(i, int(j), float(w)) for i in range(90) for j, w in zip(rng.choice(12, 3, replace=False), rng.random(3) / 2)]
+    weights = spark.createDataFrame(cells, "id bigint, token bigint, weight double")
+    ids = spark.range(90)
+    queries, base = ids.where("id % 3 = 0"), ids.where("id % 3 > 0").withColumn("label", F.lit("x"))
+
+    def run():
+        return sorted(tuple(r) for r in sparse_knn(weights, queries, base, 4, block_rows=10).select("query_id", "neighbor_id", "rank").collect())
+
+    monkeypatch.setattr(t, "QUERY_ROWS", 5)
+    one = run()
+    asked = []
+    monkeypatch.setattr(t, "_rounds", lambda blocks, parts, least: asked.append(parts) or [(i, i + 1) for i in range(parts)])
+    assert run() == one and len(one) == 120 and asked[0] > 1
+
+
+def test_numbered_tokens_are_not_numbered_again(spark):
+    from orderlark.operators.text_neighbors import numbered
+    from orderlark.operators.tfidf import tfidf
+
+    rows = spark.createDataFrame([(1, "aa bb bb"), (2, "aa cc"), (3, None)], "id bigint, text string")
+    named = {(r["id"], r["token"]): r["weight"] for r in tfidf(rows, "id", "text", F.lit(True)).collect()}
+    coded = tfidf(rows, "id", "text", F.lit(True), numbered=True)
+    assert sorted(r["weight"] for r in coded.collect()) == sorted(named.values())
+    assert coded.select("token").distinct().count() == 3
+    assert numbered(coded).columns == ["id", "code", "weight"]
+    assert "Join" not in numbered(spark.createDataFrame([(1, 5, 1.0)], "id bigint, token bigint, weight double"))._jdf.queryExecution().toString()
