@@ -252,3 +252,17 @@ def test_last_row_of_a_key_in_some_columns(spark):
     rows = spark.createDataFrame([(1, "a", 2, 5.0), (1, "b", 3, 6.0), (2, "c", 1, None)], "k int, other string, seq int, v double")
     out = prepare.last_per_key(rows, ["k"], ["seq"], ["v"])
     assert sorted(tuple(r) for r in out.collect()) == [(1, 6.0), (2, None)] and out.columns == ["k", "v"]
+
+
+def test_packed_csv_holds_the_same_sales(spark, tmp_path):
+    import os
+
+    rows = spark.createDataFrame(
+        [(day(1), "c1", 'a "b", c', 2.0, 3.5, None), (day(2, 5), None, "p\u00e9", None, 1e-9, 0.1)],
+        "DATE timestamp_ntz, `Partner Customer Referans Code` string, `Product Code` string, NetSalesQty double, `Net Sales Value LC` double, `Discount %` double",
+    )
+    plain, packed = str(tmp_path / "plain.csv"), str(tmp_path / "packed.csv")
+    tables.save_csv(rows, plain)
+    tables.save_csv(rows, packed, compression="gzip")
+    assert all(f.endswith(".csv.gz") for f in os.listdir(packed) if f.startswith("part-"))
+    assert sorted(map(repr, tables.load_sales(spark, packed).collect())) == sorted(map(repr, tables.load_sales(spark, plain).collect())) == sorted(map(repr, rows.collect()))
