@@ -106,7 +106,7 @@ def test_visits_come_in_rounds_of_bounded_copies(spark, monkeypatch):
     assert t._rounds(2, 16, 32) == [(0, 16)]
     assert t._rounds(115, 38, 32) == [(i, i + 1) for i in range(38)]
     # Where more visits are wanted, the larger side is cut, so that the smaller one is copied.
-    assert t._cut((10_000, 3_000_000, 1), (30_000, 9_000_000, 2)) == (11, 3)
+    assert t._cut((10_000, 3_000_000, 1), (30_000, 9_000_000, 2)) == (10, 4)
     assert t._cut((20, 60, 1), (1500, 4500, 1)) == (1, 1)
     assert t._rounds(20, 5, 32) == [(0, 2), (2, 4), (4, 5)]
     rng = np.random.default_rng(8)
